@@ -120,3 +120,95 @@ SELECT p_partkey AS ym_track_id, CAST(p_size AS BIGINT) AS ym_album_id, p_name A
        {sql_list(EMOTIONS)}[CAST((p_partkey + p_size) % {len(EMOTIONS)} AS INTEGER) + 1] AS emotion
 FROM part
 """
+
+
+# ----------------------------------------------------------------- playlists (events)
+GENRE_KEYS = list(GENRE_MAP.keys())
+
+
+def _pick(values, idx):
+    """``values[idx]`` for a 0-based index column over a literal list."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+
+
+def playlist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Playlist dump entries ``(title, pos, ts, track struct)`` from ``events``.
+
+    Title by event type (purchase -> genre-, signup -> national-, else emotion-)
+    with the class picked by ``props.k``; the track is the user; albums,
+    artists, cover and download info are missing/wrong on fixed id residues so
+    that every reject reason occurs.
+    """
+    from ..schemas import GENRES, GENRES_NATIONAL
+
+    e = read_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    title = (
+        F.when(F.col("event_type") == "purchase", F.concat(F.lit("genre-"), _pick(GENRES, F.pmod(k, F.lit(len(GENRES))))))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("national-"), _pick(GENRES_NATIONAL, F.pmod(k, F.lit(len(GENRES_NATIONAL))))))
+        .otherwise(F.concat(F.lit("emotion-"), _pick(EMOTIONS, F.pmod(k, F.lit(len(EMOTIONS))))))
+    )
+    album = F.struct(
+        F.expr("user_id div 3").alias("id"),
+        _pick(GENRE_KEYS, F.pmod(uid, F.lit(len(GENRE_KEYS)))).alias("genre"),
+        (F.lit(1990) + F.pmod(uid, F.lit(30))).cast("int").alias("year"),
+        F.when(F.pmod(eid, F.lit(17)) == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("avatars.example/"), uid.cast("string"), F.lit("/%%"))).alias("cover_uri"),
+    )
+    albums = F.when(F.pmod(eid, F.lit(11)) == 0, F.array().cast("array<struct<id:bigint,genre:string,year:int,cover_uri:string>>")).otherwise(F.array(album))
+    artists = F.when(F.pmod(eid, F.lit(13)) == 0, F.array().cast("array<struct<name:string>>")).otherwise(
+        F.array(F.struct(F.concat(F.lit("Artist "), F.pmod(uid, F.lit(40)).cast("string")).alias("name")))
+    )
+    download = F.array(F.struct(
+        F.when(F.pmod(eid, F.lit(7)) == 0, F.lit("aac")).otherwise(F.lit("mp3")).alias("codec"),
+        F.when(F.pmod(eid, F.lit(5)) == 0, F.lit(192)).otherwise(F.lit(320)).alias("bitrate"),
+    ))
+    track = F.struct(
+        uid.alias("id"),
+        F.concat(F.lit("track "), uid.cast("string")).alias("title"),
+        albums.alias("albums"),
+        artists.alias("artists"),
+        download.alias("download_info"),
+        F.lit(None).cast("string").alias("lyrics"),
+    )
+    return e.select(title.alias("title"), eid.alias("pos"), F.col("ts"), track.alias("track"))
+
+
+def _playlist_sql() -> str:
+    from ..schemas import GENRES, GENRES_NATIONAL
+
+    return f"""
+SELECT CASE WHEN event_type = 'purchase' THEN 'genre-' || {sql_list(GENRES)}[k % {len(GENRES)} + 1]
+            WHEN event_type = 'signup' THEN 'national-' || {sql_list(GENRES_NATIONAL)}[k % {len(GENRES_NATIONAL)} + 1]
+            ELSE 'emotion-' || {sql_list(EMOTIONS)}[k % {len(EMOTIONS)} + 1] END AS title,
+       event_id AS pos, ts, user_id AS tid, user_id // 3 AS album_id,
+       'track ' || CAST(user_id AS VARCHAR) AS track_title,
+       {sql_list(GENRE_KEYS)}[user_id % {len(GENRE_KEYS)} + 1] AS album_genre,
+       CAST(1990 + user_id % 30 AS INTEGER) AS album_year,
+       CASE WHEN event_id % 17 = 0 THEN NULL ELSE 'avatars.example/' || CAST(user_id AS VARCHAR) || '/%%' END AS cover_uri,
+       event_id % 11 = 0 AS no_album, event_id % 13 = 0 AS no_artist,
+       'Artist ' || CAST(user_id % 40 AS VARCHAR) AS artist,
+       event_id % 7 <> 0 AND event_id % 5 <> 0 AS has_mp3_320
+FROM (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+"""
+
+
+PLAYLIST_SQL = _playlist_sql()
+
+FLAT_PLAYLIST_SQL = f"""
+SELECT title AS playlist, pos, ts,
+       CASE WHEN no_album THEN 'no album' WHEN no_artist THEN 'no artist'
+            WHEN cover_uri IS NULL THEN 'no cover' WHEN NOT has_mp3_320 THEN 'no mp3 320' END AS reject_reason,
+       tid AS ym_track_id,
+       CASE WHEN no_album THEN NULL ELSE album_id END AS ym_album_id,
+       track_title,
+       CASE WHEN no_artist THEN NULL ELSE artist END AS artist_name,
+       CASE WHEN no_album THEN NULL ELSE replace(cover_uri, '%%', '1000x1000') END AS cover_url,
+       CASE WHEN no_album THEN NULL ELSE album_genre END AS ym_genre,
+       CASE WHEN no_album THEN NULL ELSE album_year END AS year,
+       CASE WHEN starts_with(title, 'emotion-') THEN substr(title, 9) END AS emotion,
+       CASE WHEN no_album THEN NULL ELSE 'audio/' || CAST(album_id AS VARCHAR) || ':' || CAST(tid AS VARCHAR) || '.mp3' END AS audio_path,
+       'covers/' || CAST(tid AS VARCHAR) || '.jpg' AS cover_path
+FROM ({PLAYLIST_SQL})
+"""

@@ -1,5 +1,462 @@
-"""Queries registered by this module."""
+"""Catalogue queries: playlists from ``events``, finalised tracks from ``part``,
+artists from ``customer``/``nation``, crowd labels from ``lineitem``."""
 
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.lists import join_list
+from ..operators import aggregates, catalog, crowd
+from ..schemas import EMOTIONS, GENRE_MAP, GENRE_MAP_DEFAULT, NARROW_GENRES, POPULAR_EMOTION_KEEP, POPULAR_GENRE_KEEP, UNPOPULAR_GENRES
+from ..sources.tables import manifest_ids, read_table
+from .bindings import (
+    ANSWERS_SQL,
+    FINAL_TRACKS_SQL,
+    FLAT_PLAYLIST_SQL,
+    final_tracks,
+    playlist_entries,
+    sql_list,
+)
+from .q_crowd import CONFIRMED_SQL, confirmed_emotions
+from .registry import register
+
+SPLIT_TS = "2024-01-15"
+
+
+def flat_playlists(spark, sf_dir):
+    return catalog.flatten_playlist_tracks(playlist_entries(spark, sf_dir).withColumnRenamed("ts", "_ts")).join(
+        playlist_entries(spark, sf_dir).select("pos", "ts"), "pos"
+    )
+
+
+def valid_playlist_rows(spark, sf_dir):
+    e = playlist_entries(spark, sf_dir)
+    flat = catalog.flatten_playlist_tracks(e)
+    return flat.join(e.select("pos", "ts"), "pos").where(F.col("reject_reason").isNull())
+
+
+FLAT_COLS = ["playlist", "pos", "reject_reason", "ym_track_id", "ym_album_id", "track_title", "artist_name",
+             "cover_url", "ym_genre", "year", "emotion", "audio_path", "cover_path"]
+
+
+@register(
+    "catalog_playlist_ingest",
+    ("S-13", "P-9", "P-10", "P-11", "F-7", "F-9"),
+    f"SELECT {', '.join(FLAT_COLS)} FROM ({FLAT_PLAYLIST_SQL})",
+)
+def q_ingest(spark, sf_dir):
+    return catalog.flatten_playlist_tracks(playlist_entries(spark, sf_dir)).select(*FLAT_COLS)
+
+
+def _emotions_by_track(rows):
+    return catalog.emotions_in_order(rows, "ym_track_id", "emotion", ["pos"], "emotions_maybe")
+
+
+MERGE_SQL = f"""
+WITH flat AS ({FLAT_PLAYLIST_SQL}),
+     ok AS (SELECT * FROM flat WHERE reject_reason IS NULL AND emotion IS NOT NULL),
+     old AS (SELECT ym_track_id, emotion, min(pos) AS p FROM ok WHERE ts < TIMESTAMP '{SPLIT_TS}' GROUP BY ALL),
+     new AS (SELECT ym_track_id, emotion, min(pos) AS p FROM ok WHERE ts >= TIMESTAMP '{SPLIT_TS}' GROUP BY ALL),
+     cur AS (SELECT DISTINCT ym_track_id FROM old),
+     newtracks AS (SELECT DISTINCT ym_track_id FROM new),
+     inserted AS (SELECT n.ym_track_id FROM newtracks n ANTI JOIN cur c USING (ym_track_id)
+                  ORDER BY (SELECT min(p) FROM new x WHERE x.ym_track_id = n.ym_track_id), n.ym_track_id
+                  LIMIT greatest(0, {{limit}} - (SELECT count(*) FROM cur))),
+     keep AS (SELECT ym_track_id FROM cur UNION ALL SELECT ym_track_id FROM inserted),
+     labels AS (SELECT ym_track_id, emotion, 0 AS src, p FROM old
+                UNION ALL
+                SELECT n.ym_track_id, n.emotion, 1, n.p FROM new n
+                WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.ym_track_id = n.ym_track_id AND o.emotion = n.emotion))
+SELECT k.ym_track_id, coalesce(string_agg(l.emotion, '|' ORDER BY l.src, l.p), '') AS emotions_maybe
+FROM keep k LEFT JOIN labels l USING (ym_track_id) GROUP BY k.ym_track_id
+"""
+
+
+def merged_playlists(spark, sf_dir, limit=None):
+    ok = valid_playlist_rows(spark, sf_dir).where(F.col("emotion").isNotNull())
+    ts = F.col("ts")
+    old = _emotions_by_track(ok.where(ts < F.lit(SPLIT_TS).cast("timestamp_ntz")))
+    new_rows = ok.where(ts >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
+    new = _emotions_by_track(new_rows).join(new_rows.groupBy("ym_track_id").agg(F.min("pos").alias("pos")), "ym_track_id")
+    merged = catalog.merge_playlist(old, new, list_col="emotions_maybe", limit=limit, order_cols=["pos", "ym_track_id"])
+    return merged.select("ym_track_id", join_list("emotions_maybe").alias("emotions_maybe"))
+
+
+@register("catalog_playlist_merge", ("U-3", "A-8", "F-2"), MERGE_SQL.replace("{limit}", "1000000000000"))
+def q_merge(spark, sf_dir):
+    return merged_playlists(spark, sf_dir)
+
+
+@register("catalog_ingest_limit", ("L-3", "U-3"), MERGE_SQL.replace("{limit}", "(SELECT count(*) FROM cur) + 5"))
+def q_ingest_limit(spark, sf_dir):
+    # existing rows + 5 new ones: computed from the data, like the reference's running limit
+    ok = valid_playlist_rows(spark, sf_dir).where(F.col("emotion").isNotNull())
+    n_cur = ok.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")).select("ym_track_id").distinct().count()
+    return merged_playlists(spark, sf_dir, limit=n_cur + 5)
+
+
+@register(
+    "catalog_filter_member",
+    ("P-2", "A-8"),
+    f"""
+WITH flat AS ({FLAT_PLAYLIST_SQL})
+SELECT DISTINCT ym_track_id FROM flat WHERE reject_reason IS NULL AND emotion = 'happy'
+""",
+)
+def q_member(spark, sf_dir):
+    lists = _emotions_by_track(valid_playlist_rows(spark, sf_dir))
+    return catalog.filter_member(lists, "emotions_maybe", "happy").select("ym_track_id")
+
+
+CONF_CTE = CONFIRMED_SQL.strip()
+
+
+@register(
+    "catalog_label_count",
+    ("P-3", "P-4"),
+    f"""
+WITH conf AS ({CONF_CTE})
+SELECT ym_track_id, n_emotions, CASE WHEN n_emotions = 1 THEN 'one' ELSE 'many' END AS kind
+FROM conf WHERE n_emotions >= 1
+""",
+)
+def q_label_count(spark, sf_dir):
+    conf = confirmed_emotions(spark, sf_dir).withColumn("emotions_arr", F.split("emotions", r"\|"))
+    conf = conf.withColumn("emotions_arr", F.filter("emotions_arr", lambda x: x != ""))
+    one = catalog.select_by_label_count(conf, catalog.ONE_LABEL, "emotions_arr").withColumn("kind", F.lit("one"))
+    many = catalog.select_by_label_count(conf, catalog.MANY_LABELS, "emotions_arr").withColumn("kind", F.lit("many"))
+    return one.unionByName(many).select("ym_track_id", "n_emotions", "kind")
+
+
+@register(
+    "catalog_label_frequencies",
+    ("A-3", "L-2"),
+    f"""
+WITH conf AS ({CONF_CTE}),
+     e AS (SELECT unnest(string_split(emotions, '|')) AS label FROM conf WHERE emotions <> ''),
+     c AS (SELECT label, count(*) AS count FROM e GROUP BY label)
+SELECT label, count, CAST(sum(count) OVER () AS BIGINT) AS total FROM c
+""",
+)
+def q_freq(spark, sf_dir):
+    conf = confirmed_emotions(spark, sf_dir).withColumn("labels", F.filter(F.split("emotions", r"\|"), lambda x: x != ""))
+    return aggregates.sort_frequencies(aggregates.label_frequencies(conf, "labels"))
+
+
+def _genre_case_sql(col: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in GENRE_MAP.items())
+    return f"coalesce(CASE {col} {whens} END, '{GENRE_MAP_DEFAULT}')"
+
+
+def _keep_sql(col: str, rules: dict, id_col: str = "ym_track_id") -> str:
+    whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.items())
+    return f"(CASE {col} {whens} END IS NULL OR {id_col} % 10 <= CASE {col} {whens} END)"
+
+
+@register(
+    "catalog_map_genre",
+    ("J-7",),
+    f"SELECT ym_track_id, genre AS genre_raw, {_genre_case_sql('genre')} AS genre FROM ({FINAL_TRACKS_SQL})",
+)
+def q_map_genre(spark, sf_dir):
+    t = final_tracks(spark, sf_dir).withColumnRenamed("genre", "genre_raw")
+    return catalog.map_genre(t, "genre_raw", "genre").select("ym_track_id", "genre_raw", "genre")
+
+
+@register(
+    "catalog_unknown_genres",
+    ("J-7",),
+    f"""
+SELECT DISTINCT genre AS raw FROM ({FINAL_TRACKS_SQL})
+WHERE genre IS NOT NULL AND genre NOT IN ({", ".join("'" + k + "'" for k in list(GENRE_MAP) + ["relax"])})
+""",
+)
+def q_unknown_genres(spark, sf_dir):
+    return catalog.unknown_genres(final_tracks(spark, sf_dir), "genre", strict=True)
+
+
+NARROW_SQL = f"""
+SELECT ym_track_id, ym_album_id, {_genre_case_sql('genre')} AS genre, nation, emotion
+FROM ({FINAL_TRACKS_SQL}) WHERE genre IS NOT NULL AND genre NOT IN ({", ".join("'" + g + "'" for g in NARROW_GENRES)})
+"""
+
+
+@register("catalog_drop_narrow_genres", ("P-6", "J-7", "P-3"), NARROW_SQL)
+def q_narrow(spark, sf_dir):
+    return catalog.drop_narrow_genres(final_tracks(spark, sf_dir)).select("ym_track_id", "ym_album_id", "genre", "nation", "emotion")
+
+
+@register(
+    "catalog_unpopular_genres",
+    ("P-5",),
+    f"SELECT * FROM ({NARROW_SQL}) WHERE genre IN ({', '.join(chr(39) + g + chr(39) for g in UNPOPULAR_GENRES)})",
+)
+def q_unpopular(spark, sf_dir):
+    return catalog.filter_genres(q_narrow(spark, sf_dir), UNPOPULAR_GENRES, keep=True)
+
+
+@register("catalog_reduce_popular_genres", ("P-7", "R-5"), f"SELECT * FROM ({NARROW_SQL}) WHERE {_keep_sql('genre', POPULAR_GENRE_KEEP)}")
+def q_reduce_genres(spark, sf_dir):
+    return catalog.reduce_popular_genres(q_narrow(spark, sf_dir))
+
+
+@register(
+    "catalog_reduce_popular_emotions",
+    ("P-8", "R-5"),
+    f"SELECT * FROM ({FINAL_TRACKS_SQL}) WHERE {_keep_sql('emotion', POPULAR_EMOTION_KEEP)}",
+)
+def q_reduce_emotions(spark, sf_dir):
+    return catalog.reduce_popular_emotions(final_tracks(spark, sf_dir))
+
+
+@register(
+    "catalog_filter_has_emotion",
+    ("P-1",),
+    f"SELECT ym_track_id, emotion FROM ({FINAL_TRACKS_SQL}) WHERE emotion = 'sadness'",
+)
+def q_has_emotion(spark, sf_dir):
+    return catalog.filter_equals(final_tracks(spark, sf_dir), "emotion", "sadness").select("ym_track_id", "emotion")
+
+
+@register(
+    "catalog_counts_by_class",
+    ("A-4", "A-5"),
+    f"""
+WITH t AS ({NARROW_SQL})
+SELECT CASE WHEN grouping(emotion) = 0 THEN 'emotion' WHEN grouping(genre) = 0 THEN 'genre' ELSE '*' END AS dimension,
+       CASE WHEN grouping(emotion) = 0 THEN emotion WHEN grouping(genre) = 0 THEN genre END AS value,
+       count(*) AS count
+FROM t GROUP BY GROUPING SETS ((emotion), (genre), ())
+""",
+)
+def q_counts(spark, sf_dir):
+    return aggregates.counts_by(q_narrow(spark, sf_dir), ["emotion", "genre"])
+
+
+@register(
+    "catalog_row_counts",
+    ("A-5",),
+    f"""
+WITH t AS ({FINAL_TRACKS_SQL})
+SELECT count(*) AS rows, count(*) FILTER (WHERE genre IS NULL) AS no_genre,
+       count(*) FILTER (WHERE emotion IN ('happy', 'joy')) AS happy_or_joy FROM t
+""",
+)
+def q_row_counts(spark, sf_dir):
+    t = final_tracks(spark, sf_dir)
+    return aggregates.row_counts(t, no_genre=F.col("genre").isNull(), happy_or_joy=F.col("emotion").isin("happy", "joy"))
+
+
+@register(
+    "catalog_balance",
+    ("P-6", "P-7", "P-8", "U-1"),
+    f"""
+WITH t AS (SELECT * FROM ({NARROW_SQL}) WHERE {_keep_sql('genre', POPULAR_GENRE_KEEP)} AND {_keep_sql('emotion', POPULAR_EMOTION_KEEP)})
+SELECT ym_album_id, genre, min(ym_track_id) AS ym_track_id, arg_min(emotion, ym_track_id) AS emotion
+FROM t GROUP BY ym_album_id, genre
+""",
+)
+def q_balance(spark, sf_dir):
+    t = catalog.reduce_popular_emotions(catalog.reduce_popular_genres(q_narrow(spark, sf_dir)))
+    d = catalog.drop_duplicates_first(t.select("ym_album_id", "genre", "ym_track_id", "emotion"), ["ym_album_id", "genre"], ["ym_track_id"])
+    return d
+
+
+@register(
+    "catalog_first_n_per_class",
+    ("W-1",),
+    f"""
+SELECT ym_track_id, emotion FROM ({FINAL_TRACKS_SQL})
+QUALIFY row_number() OVER (PARTITION BY emotion ORDER BY ym_track_id) <= 100
+""",
+)
+def q_first_n(spark, sf_dir):
+    return catalog.first_n_per_class(final_tracks(spark, sf_dir).select("ym_track_id", "emotion"), "emotion", ["ym_track_id"], n=100)
+
+
+@register(
+    "catalog_page",
+    ("L-4", "L-5", "P-21"),
+    f"""
+SELECT ym_track_id, ym_album_id, track_title, NULL::VARCHAR AS artist_name, genre, emotion, nation,
+       NULL::VARCHAR AS year, NULL::VARCHAR AS artist_country, NULL::VARCHAR AS artist_sex, NULL::VARCHAR AS artist_year,
+       NULL::VARCHAR AS audio_path, NULL::VARCHAR AS cover_url, NULL::VARCHAR AS artist_age
+FROM ({FINAL_TRACKS_SQL}) ORDER BY ym_track_id LIMIT 20 OFFSET 60
+""",
+)
+def q_page(spark, sf_dir):
+    view = catalog.catalogue_view(final_tracks(spark, sf_dir))
+    return catalog.page(view, ["ym_track_id"], page_no=3)
+
+
+# ------------------------------------------------------------------ artists (customer / nation)
+def artist_tracks(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    return o.select(
+        F.col("o_orderkey").alias("ym_track_id"),
+        name.alias("artist_name"),
+        F.when(F.pmod("o_orderkey", F.lit(5)) == 0, F.lit("KNOWN")).alias("artist_country"),
+        F.lit(None).cast("string").alias("artist_sex"),
+        F.lit(None).cast("string").alias("artist_year"),
+    )
+
+
+def artist_cache(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer")
+    n = read_table(spark, sf_dir, "nation")
+    j = c.join(n, c.c_nationkey == n.n_nationkey, "left")
+    return j.select(
+        F.col("c_name").alias("artist_name"),
+        F.when(F.pmod("c_custkey", F.lit(4)) == 0, F.lit(None).cast("string")).otherwise(F.col("n_name")).alias("artist_country"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("male")).when(F.col("c_mktsegment") == "MACHINERY", F.lit("female")).alias("artist_sex"),
+        F.when(F.pmod("c_custkey", F.lit(3)) == 0, F.lit(None).cast("string")).otherwise((F.lit(1950) + F.pmod("c_custkey", F.lit(60))).cast("string")).alias("artist_year"),
+        F.pmod("c_custkey", F.lit(4)).cast("int").alias("requests_cnt"),
+    )
+
+
+def region_source(spark, sf_dir):
+    """Fallback country source: region name of the customer's nation."""
+    c = read_table(spark, sf_dir, "customer")
+    n = read_table(spark, sf_dir, "nation")
+    r = read_table(spark, sf_dir, "region")
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select(F.col("c_name").alias("artist_name"), F.col("r_name").alias("artist_country"))
+
+
+ARTIST_CACHE_SQL = """
+SELECT c_name AS artist_name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE n_name END AS artist_country,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN 'male' WHEN c_mktsegment = 'MACHINERY' THEN 'female' END AS artist_sex,
+       CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(1950 + c_custkey % 60 AS VARCHAR) END AS artist_year,
+       CAST(c_custkey % 4 AS INTEGER) AS requests_cnt
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+"""
+
+
+@register(
+    "catalog_artist_enrich",
+    ("J-4", "F-4", "P-14"),
+    f"""
+WITH cache AS ({ARTIST_CACHE_SQL}),
+     reg AS (SELECT lower(c_name) AS k, max(r_name) AS country FROM customer JOIN nation ON c_nationkey = n_nationkey
+             JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
+     cache1 AS (SELECT lower(artist_name) AS k, arg_max(artist_country, (requests_cnt, artist_name)) AS c,
+                       arg_max(artist_sex, (requests_cnt, artist_name)) AS s, arg_max(artist_year, (requests_cnt, artist_name)) AS y
+                FROM cache GROUP BY 1),
+     t AS (SELECT o_orderkey AS ym_track_id, 'CUSTOMER#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS artist_name,
+                  CASE WHEN o_orderkey % 5 = 0 THEN 'KNOWN' END AS artist_country FROM orders)
+SELECT t.ym_track_id, t.artist_name, coalesce(t.artist_country, cache1.c, reg.country) AS artist_country,
+       cache1.s AS artist_sex, cache1.y AS artist_year
+FROM t LEFT JOIN cache1 ON lower(t.artist_name) = cache1.k LEFT JOIN reg ON lower(t.artist_name) = reg.k
+""",
+)
+def q_artists(spark, sf_dir):
+    out = catalog.enrich_artists(artist_tracks(spark, sf_dir), artist_cache(spark, sf_dir), [region_source(spark, sf_dir)])
+    return out.select("ym_track_id", "artist_name", "artist_country", "artist_sex", "artist_year")
+
+
+@register(
+    "catalog_artist_work_list",
+    ("P-13",),
+    f"""
+SELECT artist_name, artist_country, artist_sex, artist_year, requests_cnt + 1 AS requests_cnt FROM ({ARTIST_CACHE_SQL})
+WHERE (artist_country IS NULL OR artist_sex IS NULL OR artist_year IS NULL) AND requests_cnt <= 1
+""",
+)
+def q_work_list(spark, sf_dir):
+    return catalog.artist_work_list(artist_cache(spark, sf_dir))
+
+
+@register(
+    "catalog_genre_enrich",
+    ("J-5",),
+    f"""
+WITH t AS (SELECT p_partkey AS ym_track_id, p_name AS track_title, p_brand AS artist_name,
+                  CASE WHEN p_partkey % 4 = 0 THEN p_type END AS g FROM part),
+     lk AS (SELECT DISTINCT p_name AS track_title, p_brand AS artist_name FROM part WHERE p_size % 3 <> 0),
+     lkg AS (SELECT track_title, artist_name, lower(track_title) AS genres FROM lk WHERE length(track_title) % 2 = 0
+             UNION ALL SELECT track_title, artist_name, NULL FROM lk WHERE length(track_title) % 2 = 1)
+SELECT t.ym_track_id, coalesce(CASE WHEN t.g IS NOT NULL THEN t.g ELSE lkg.genres END, '') AS deezer_genres
+FROM t LEFT JOIN lkg USING (track_title, artist_name)
+WHERE t.g IS NOT NULL OR lkg.track_title IS NOT NULL
+""",
+)
+def q_genres(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    tracks = p.select(
+        F.col("p_partkey").alias("ym_track_id"), F.col("p_name").alias("track_title"), F.col("p_brand").alias("artist_name"),
+        F.when(F.pmod("p_partkey", F.lit(4)) == 0, F.array(F.col("p_type"))).otherwise(F.array().cast("array<string>")).alias("deezer_genres"),
+    )
+    lk = p.where(F.pmod("p_size", F.lit(3)) != 0).select(F.col("p_name").alias("track_title"), F.col("p_brand").alias("artist_name")).distinct()
+    lk = lk.withColumn("genres", F.when(F.length("track_title") % 2 == 0, F.split(F.lower("track_title"), "\\|")))
+    out = catalog.enrich_genres(tracks, lk, on_miss="drop")
+    return out.select("ym_track_id", join_list("deezer_genres").alias("deezer_genres"))
+
+
+@register(
+    "catalog_dedup_answers",
+    ("U-1",),
+    f"""
+WITH a AS ({ANSWERS_SQL})
+SELECT l_orderkey, l_suppkey, arg_min(l_linenumber, (submitted_at, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus)) AS l_linenumber
+FROM a GROUP BY l_orderkey, l_suppkey
+""",
+)
+def q_dedup(spark, sf_dir):
+    from .bindings import ANSWER_ORDER, answers
+
+    a = answers(spark, sf_dir).select("l_orderkey", "l_suppkey", "l_linenumber", *[c for c in ANSWER_ORDER if c not in ("l_orderkey", "l_linenumber")])
+    d = catalog.drop_duplicates_first(a, ["l_orderkey", "l_suppkey"], ANSWER_ORDER)
+    return d.select("l_orderkey", "l_suppkey", "l_linenumber")
+
+
+@register(
+    "catalog_distinct_labels",
+    ("U-7", "U-5"),
+    f"""
+WITH flat AS ({FLAT_PLAYLIST_SQL})
+SELECT DISTINCT emotion AS label FROM flat WHERE reject_reason IS NULL AND emotion IS NOT NULL
+""",
+)
+def q_distinct_labels(spark, sf_dir):
+    lists = _emotions_by_track(valid_playlist_rows(spark, sf_dir))
+    return catalog.distinct_labels(lists, "emotions_maybe")
+
+
+@register(
+    "catalog_missing_ids",
+    ("U-4",),
+    """
+SELECT DISTINCT o_orderkey AS ym_track_id FROM orders
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)
+""",
+)
+def q_missing(spark, sf_dir):
+    req = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ym_track_id"))
+    got = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ym_track_id"))
+    return catalog.set_difference(req, got, "ym_track_id")
+
+
+PAGE_ID_RE = r"/(\d+)(?:\.html)?/?(?:[?#].*)?$"
+
+
+@register(
+    "catalog_image_manifest",
+    ("S-5", "J-6", "J-10", "F-10"),
+    f"""
+WITH m AS (SELECT url AS path, TRY_CAST(NULLIF(regexp_extract(url, '{PAGE_ID_RE}', 1), '') AS BIGINT) AS track_id FROM pages)
+SELECT m.path, m.track_id, p.p_name AS track_title, 'hit' AS status FROM m JOIN part p ON m.track_id = p.p_partkey
+UNION ALL
+SELECT m.path, m.track_id, NULL, 'miss' FROM m WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = m.track_id)
+""",
+)
+def q_manifest(spark, sf_dir):
+    m = manifest_ids(read_table(spark, sf_dir, "pages").select(F.col("url").alias("path")), "path", PAGE_ID_RE)
+    tracks = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ym_track_id"), F.col("p_name").alias("track_title"))
+    hits, misses = catalog.join_manifest(m, tracks)
+    return hits.select("path", "track_id", "track_title", F.lit("hit").alias("status")).unionByName(
+        misses.select("path", "track_id", F.lit(None).cast("string").alias("track_title"), F.lit("miss").alias("status"))
+    )
+
+
+_ = (EMOTIONS, sql_list, crowd)
