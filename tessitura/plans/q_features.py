@@ -1,5 +1,113 @@
-"""Queries registered by this module."""
+"""Feature-array queries over ``embeddings`` (values = frames, first 10 values = scores)."""
 
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions import arrays
+from ..functions.scores import multi_hot_from_indices
+from ..sources.tables import read_table
+from .registry import register
+
+EMB_SQL = "SELECT vec_id AS track_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings"
+
+
+def embedding_rows(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("track_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))
+
+
+@register(
+    "features_chunks",
+    ("X-2", "X-8"),
+    f"""
+WITH e AS ({EMB_SQL}), c AS (SELECT track_id, v, unnest(range(0, len(v) // 10)) AS chunk FROM e)
+SELECT track_id, CAST(chunk AS INTEGER) AS chunk, CAST(len(list_slice(v, chunk * 10 + 1, chunk * 10 + 10)) AS INTEGER) AS n_values,
+       round(list_sum(list_slice(v, chunk * 10 + 1, chunk * 10 + 10)), 4) AS total
+FROM c
+""",
+)
+def q_chunks(spark, sf_dir):
+    e = embedding_rows(spark, sf_dir)
+    ex = e.select("track_id", F.posexplode(arrays.equal_chunks("v", 10)).alias("chunk", "values"))
+    return ex.select("track_id", "chunk", F.size("values").alias("n_values"), F.round(arrays.array_sum("values"), 4).alias("total"))
+
+
+POWER_SQL = "list_transform(v, lambda x: CASE WHEN abs(x) < 0.02 THEN 0.0 ELSE x * x END)"
+
+
+def _log_sum_sql(n: int) -> str:
+    return f"list_sum(list_transform(list_resize({POWER_SQL}, {n}, 0.0), lambda x: ln(CASE WHEN x = 0 THEN 1e-6 ELSE x END)))"
+
+
+@register(
+    "features_log_power",
+    ("X-3", "X-4"),
+    f"""
+WITH e AS ({EMB_SQL})
+SELECT track_id, round({_log_sum_sql(72)}, 3) AS log_sum_padded, round({_log_sum_sql(50)}, 3) AS log_sum_cut,
+       CAST(len(list_filter({POWER_SQL}, lambda x: x = 0)) AS INTEGER) AS n_floor
+FROM e
+""",
+)
+def q_log_power(spark, sf_dir):
+    e = embedding_rows(spark, sf_dir)
+    power = F.transform("v", lambda x: F.when(F.abs(x) < 0.02, F.lit(0.0)).otherwise(x * x))
+    e = e.withColumn("p", power)
+    padded = arrays.log_floor(arrays.pad_truncate("p", 72))
+    cut = arrays.log_floor(arrays.pad_truncate("p", 50))
+    return e.select(
+        "track_id",
+        F.round(arrays.array_sum(padded), 3).alias("log_sum_padded"),
+        F.round(arrays.array_sum(cut), 3).alias("log_sum_cut"),
+        F.size(F.filter("p", lambda x: x == 0)).alias("n_floor"),
+    )
+
+
+@register(
+    "features_first_chunk",
+    ("X-7",),
+    f"""
+WITH e AS ({EMB_SQL})
+SELECT track_id, round(list_sum(list_slice(v, 1, 10)), 4) AS first_total, CAST(100 AS INTEGER) AS zeros_len, CAST(0 AS DOUBLE) AS zeros_total FROM e
+""",
+)
+def q_first_chunk(spark, sf_dir):
+    e = embedding_rows(spark, sf_dir)
+    f10 = arrays.first_or_zeros(arrays.equal_chunks("v", 10), 10)
+    f100 = arrays.first_or_zeros(arrays.equal_chunks("v", 100), 100)
+    return e.select(
+        "track_id",
+        F.round(arrays.array_sum(f10), 4).alias("first_total"),
+        F.size(f100).alias("zeros_len"),
+        F.round(arrays.array_sum(f100), 4).alias("zeros_total"),
+    )
+
+
+@register(
+    "features_mean_pool",
+    ("A-10",),
+    f"""
+WITH e AS ({EMB_SQL}), f AS (SELECT track_id, unnest(range(len(v))) AS i, unnest(v) AS x FROM e)
+SELECT track_id, CAST(i % 8 AS INTEGER) AS dim, round(avg(x), 5) AS mean FROM f GROUP BY track_id, i % 8
+""",
+)
+def q_mean_pool(spark, sf_dir):
+    e = embedding_rows(spark, sf_dir)
+    pooled = arrays.mean_over_time(arrays.reshape("v", 8))
+    return e.select("track_id", F.posexplode(pooled).alias("dim", "mean")).select("track_id", "dim", F.round("mean", 5).alias("mean"))
+
+
+@register(
+    "features_training_matrix",
+    ("X-10", "M-5", "X-4"),
+    f"""
+WITH e AS ({EMB_SQL})
+SELECT track_id, repeat('0', label) || '1' || repeat('0', 9 - label) AS multihot,
+       CAST(len(list_resize(v, 64, 0.0)) AS INTEGER) AS n_values FROM e
+""",
+)
+def q_training_matrix(spark, sf_dir):
+    e = embedding_rows(spark, sf_dir)
+    mh = multi_hot_from_indices(F.array("label"), 10)
+    return e.select("track_id", F.array_join(mh, "").alias("multihot"), F.size(arrays.pad_truncate("v", 64)).alias("n_values"))
