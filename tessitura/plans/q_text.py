@@ -1,5 +1,116 @@
-"""Queries registered by this module."""
+"""Text queries over ``documents`` (lyrics role): cleanup, TF-IDF keywords, vocabulary, labels."""
 
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import text
+from ..sources.tables import read_table, vocabulary_line
+from .registry import register
+
+CLEAN_SQL = "trim(translate(text, chr(10) || chr(160), '  '))"
+
+
+def docs(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+def _kw_sql(where: str = "") -> str:
+    return f"""
+SELECT doc_id, w AS keyword, weight, rank FROM (
+  WITH d AS (SELECT doc_id, regexp_extract_all(lower({CLEAN_SQL}), '\\p{{L}}{{3,}}') AS toks FROM documents {where}),
+       t AS (SELECT doc_id, unnest(toks) AS w, len(toks) AS n FROM d),
+       tf AS (SELECT doc_id, w, count(*) AS tf, any_value(n) AS n FROM t GROUP BY doc_id, w),
+       df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+       nd AS (SELECT count(DISTINCT doc_id) AS nd FROM tf),
+       s AS (SELECT tf.doc_id, tf.w, (tf.tf / tf.n) * ln((SELECT nd FROM nd) / df.df) AS weight FROM tf JOIN df USING (w))
+  SELECT doc_id, w, weight, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, w) AS rank FROM s
+) WHERE rank <= 10
+"""
+
+
+KW_SQL = _kw_sql()
+
+
+@register(
+    "text_clean_lyrics",
+    ("F-8", "S-15", "S-4"),
+    f"""
+SELECT doc_id AS track_id, CAST(length({CLEAN_SQL}) AS INTEGER) AS n_chars_clean,
+       CASE WHEN length({CLEAN_SQL}) > 0 THEN 'lyrics/' || CAST(doc_id AS VARCHAR) || '.txt' END AS lyrics_path
+FROM documents
+""",
+)
+def q_clean(spark, sf_dir):
+    d = docs(spark, sf_dir).withColumnRenamed("doc_id", "track_id")
+    tracks = d.select("track_id")
+    out = text.attach_lyrics(tracks, d.select("track_id", "text"))
+    lengths = d.select("track_id", F.length(text.clean_text("text")).alias("n_chars_clean"))
+    return out.join(lengths, "track_id").select("track_id", "n_chars_clean", "lyrics_path")
+
+
+@register("text_keywords", ("K-1",), f"SELECT doc_id, keyword, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM ({KW_SQL})")
+def q_keywords(spark, sf_dir):
+    kw = text.tfidf_keywords(docs(spark, sf_dir))
+    return kw.select("doc_id", "keyword", F.round("weight", 6).alias("weight"), F.col("rank").cast("int").alias("rank"))
+
+
+VOCAB_SQL = f"""
+SELECT keyword, count(*) AS count FROM ({KW_SQL}) GROUP BY keyword ORDER BY count DESC, keyword LIMIT 50
+"""
+
+
+@register(
+    "text_keyword_vocabulary",
+    ("A-6", "L-6"),
+    f"SELECT keyword, count, CAST(row_number() OVER (ORDER BY count DESC, keyword) - 1 AS INTEGER) AS idx FROM ({VOCAB_SQL})",
+)
+def q_vocab(spark, sf_dir):
+    return text.keyword_vocabulary(text.tfidf_keywords(docs(spark, sf_dir)))
+
+
+@register(
+    "text_vocabulary_line",
+    ("S-11", "S-10"),
+    f"""
+SELECT string_agg(keyword, ';' ORDER BY idx) AS line FROM (
+  SELECT keyword, row_number() OVER (ORDER BY count DESC, keyword) - 1 AS idx FROM ({VOCAB_SQL}))
+""",
+)
+def q_vocab_line(spark, sf_dir):
+    return vocabulary_line(text.keyword_vocabulary(text.tfidf_keywords(docs(spark, sf_dir))))
+
+
+@register(
+    "text_keyword_labels",
+    ("A-7", "K-3"),
+    f"""
+WITH kw AS ({KW_SQL}),
+     v AS (SELECT keyword, row_number() OVER (ORDER BY count DESC, keyword) - 1 AS idx FROM ({VOCAB_SQL}))
+SELECT doc_id, string_agg(keyword, '|' ORDER BY idx) AS labels, count(*) AS n_labels
+FROM (SELECT DISTINCT kw.doc_id, kw.keyword, v.idx FROM kw JOIN v USING (keyword)) GROUP BY doc_id
+""",
+)
+def q_kw_labels(spark, sf_dir):
+    kw = text.tfidf_keywords(docs(spark, sf_dir))
+    vocab = text.keyword_vocabulary(kw)
+    lab = text.restrict_to_vocabulary(kw, vocab)
+    return lab.select("doc_id", F.array_join("labels", "|").alias("labels"), F.size("labels").cast("long").alias("n_labels"))
+
+
+@register(
+    "text_keywords_append",
+    ("U-6",),
+    f"""
+SELECT doc_id, keyword, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank, 'existing' AS origin FROM ({_kw_sql("WHERE lang = 'en'")})
+UNION ALL
+SELECT doc_id, keyword, round(weight, 6), CAST(rank AS INTEGER), 'new' FROM ({_kw_sql("WHERE lang <> 'en' OR lang IS NULL")})
+""",
+)
+def q_append(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    existing = text.tfidf_keywords(d.where(F.col("lang") == "en")).withColumn("origin", F.lit("existing"))
+    fresh_docs = d.join(existing.select("doc_id").distinct(), "doc_id", "left_anti")
+    fresh = text.tfidf_keywords(fresh_docs).withColumn("origin", F.lit("new"))
+    out = existing.unionByName(fresh)
+    return out.select("doc_id", "keyword", F.round("weight", 6).alias("weight"), F.col("rank").cast("int").alias("rank"), "origin")
