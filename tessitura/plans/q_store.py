@@ -1,5 +1,96 @@
-"""Queries registered by this module."""
+"""Feature-store queries: embeddings written as chunked features, read back by id."""
 
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions import arrays
+from ..session import scratch_path
+from ..sources import shards
+from ..sources.tables import read_table
+from .q_features import EMB_SQL, embedding_rows
+from .registry import register
+
+
+def chunk_features(emb):
+    """Extractor: an embedding cut into 8 chunks of 8 values (the store's feature rows)."""
+    return emb.select("track_id", F.posexplode(arrays.equal_chunks("v", 8)).alias("chunk", "mel"))
+
+
+def build_store(spark, sf_dir, where=None):
+    path = scratch_path(spark, "features")
+    emb = embedding_rows(spark, sf_dir)
+    if where is not None:
+        emb = emb.where(where)
+    shards.write_store(chunk_features(emb), path, mode="overwrite")
+    return path
+
+
+def requested_ids(spark, sf_dir):
+    return read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("track_id"))
+
+
+@register(
+    "store_shard_report",
+    ("S-6", "S-8", "F-11", "A-5", "J-3"),
+    f"""
+WITH r AS (SELECT DISTINCT doc_id AS track_id FROM labels),
+     e AS ({EMB_SQL})
+SELECT CAST(r.track_id % 20 AS INTEGER) AS bucket, count(*) AS requested, count(e.track_id) AS found
+FROM r LEFT JOIN e USING (track_id) GROUP BY 1
+""",
+)
+def q_report(spark, sf_dir):
+    store = shards.read_store(spark, build_store(spark, sf_dir))
+    req = requested_ids(spark, sf_dir)
+    found = shards.lookup_table(store, req)
+    return shards.shard_report(req, found)
+
+
+@register(
+    "store_lookup_labels",
+    ("S-7", "J-8", "X-8"),
+    f"""
+WITH e AS ({EMB_SQL}), c AS (SELECT track_id, unnest(range(8)) AS chunk, v FROM e)
+SELECT l.doc_id AS track_id, CAST(c.chunk AS INTEGER) AS chunk, l.quality, l.toxic,
+       round(list_sum(list_slice(c.v, c.chunk * 8 + 1, c.chunk * 8 + 8)), 4) AS total
+FROM labels l JOIN c ON l.doc_id = c.track_id
+""",
+)
+def q_lookup(spark, sf_dir):
+    store = shards.read_store(spark, build_store(spark, sf_dir))
+    lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("track_id"), "quality", "toxic")
+    feats = shards.lookup_table(store, lab)
+    j = feats.join(lab, "track_id")
+    return j.select("track_id", "chunk", "quality", "toxic", F.round(arrays.array_sum("mel"), 4).alias("total"))
+
+
+@register(
+    "store_fill_misses",
+    ("J-9", "X-9", "X-11", "U-4", "S-7"),
+    f"""
+WITH r AS (SELECT DISTINCT doc_id AS track_id FROM labels), e AS ({EMB_SQL})
+SELECT r.track_id,
+       CASE WHEN e.track_id IS NULL THEN 'missing' WHEN e.track_id % 2 = 0 THEN 'hit' ELSE 'extracted' END AS status,
+       CAST(CASE WHEN e.track_id IS NULL THEN 0 ELSE 8 END AS BIGINT) AS n_chunks
+FROM r LEFT JOIN e USING (track_id)
+""",
+)
+def q_fill(spark, sf_dir):
+    even = F.pmod("track_id", F.lit(2)) == 0
+    path = build_store(spark, sf_dir, where=even)
+    emb = embedding_rows(spark, sf_dir)
+    # ids the store held before the fill (the rows it was built from)
+    before = emb.where(even).select("track_id").withColumn("_was", F.lit(True))
+
+    def extract(ids):
+        return chunk_features(emb.join(ids, "track_id", "left_semi"))
+
+    req = requested_ids(spark, sf_dir)
+    found, left = shards.load_or_extract(spark, path, req, extract)
+    counts = found.groupBy("track_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    got = counts.join(before, "track_id", "left").select(
+        "track_id", F.when(F.col("_was"), F.lit("hit")).otherwise(F.lit("extracted")).alias("status"), "n_chunks"
+    )
+    miss = left.select("track_id", F.lit("missing").alias("status"), F.lit(0).cast("long").alias("n_chunks"))
+    return got.unionByName(miss)
