@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from ..schemas import HOP_LENGTH, LOG_FLOOR, MINUTE_FRAMES, N_FFT, N_MELS, SAMPLE_RATE
 
 BLOCK_SIZE = 1 << 16
@@ -141,34 +142,65 @@ def first_seconds(pcm: DataFrame, seconds: float, sr: int = SAMPLE_RATE, block_s
     return keep.withColumn("samples", F.slice("samples", 1, n_keep.cast("int")))
 
 
-def chunk_frames(frames: DataFrame, chunk_len: int = MINUTE_FRAMES) -> DataFrame:
+def frame_counts(pcm: DataFrame, hop: int = HOP_LENGTH) -> DataFrame:
+    """Frames per track with centred framing: ``1 + len // hop`` (from block sizes, no FFT needed)."""
+    n = pcm.groupBy("track_id").agg(F.sum(F.size("samples")).alias("n_samples"))
+    return n.select("track_id", "n_samples", (F.floor(F.col("n_samples") / F.lit(hop)) + 1).cast("long").alias("n_frames"))
+
+
+def chunk_frames(frames: DataFrame, chunk_len: int = MINUTE_FRAMES, counts: DataFrame | None = None) -> DataFrame:
     """X-2 long form: ``chunk = frame div chunk_len``; the incomplete tail chunk of each track is dropped.
 
-    The frame count per track is a grouped aggregate, joined back on the track.
+    The frame count per track comes from ``counts`` (see :func:`frame_counts`)
+    or, when not given, from a grouped aggregate over the frames.
     """
-    n = frames.groupBy("track_id").agg(F.max("frame").alias("_last"))
+    if counts is None:
+        n = frames.groupBy("track_id").agg((F.max("frame") + 1).alias("_nf"))
+    else:
+        n = counts.select("track_id", F.col("n_frames").alias("_nf"))
     j = frames.join(n, "track_id")
-    full = F.floor((F.col("_last") + 1) / F.lit(chunk_len))
+    full = F.floor(F.col("_nf") / F.lit(chunk_len))
     return (
         j.withColumn("chunk", F.floor(F.col("frame") / F.lit(chunk_len)).cast("int"))
         .where(F.col("chunk") < full)
         .withColumn("frame", (F.col("frame") - F.col("chunk") * chunk_len).cast("int"))
-        .drop("_last")
+        .drop("_nf")
     )
 
 
+PCM_SCHEMA = T.StructType([
+    T.StructField("track_id", T.LongType()),
+    T.StructField("block", T.IntegerType()),
+    T.StructField("samples", T.ArrayType(T.FloatType())),
+])
+
+
+def _text_to_blocks(block_size: int):
+    def run(batches):
+        for pdf in batches:
+            tids, blocks, samples = [], [], []
+            for tid, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
+                if text is None or len(text) == 0:
+                    continue
+                codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+                y = ((codes % 64).astype(np.float32) - 32.0) / 32.0
+                for b in range(0, (len(y) + block_size - 1) // block_size):
+                    tids.append(int(tid))
+                    blocks.append(b)
+                    samples.append(y[b * block_size : (b + 1) * block_size])
+            yield pd.DataFrame({"track_id": tids, "block": blocks, "samples": samples})
+
+    return run
+
+
 def pcm_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_size: int = BLOCK_SIZE) -> DataFrame:
     """A PCM table derived from text (one sample per character, in [-1, 1)), cut into blocks.
 
     Used to drive X-1 at the scale of the text corpus; real deployments read
     decoded audio into the same ``(track_id, block, samples)`` shape.
     """
-    chars = F.filter(F.split(F.col(text_col), ""), lambda c: c != "")
-    samples = F.transform(chars, lambda c: ((F.pmod(F.ascii(c), F.lit(64)) - 32) / 32.0).cast("float"))
-    s = docs.select(F.col(id_col).cast("long").alias("track_id"), samples.alias("s")).where(F.size("s") > 0)
-    n_blocks = F.ceil(F.size("s") / F.lit(block_size)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice("s", b * block_size + 1, block_size))
-    return s.select("track_id", F.posexplode(blocks).alias("block", "samples"))
+    docs = spread(docs.select(id_col, text_col), id_col)
+    return docs.mapInPandas(_text_to_blocks(block_size), PCM_SCHEMA)
 
 
 def frame_stats(frames: DataFrame) -> DataFrame:

@@ -1,65 +1,94 @@
 """K-2: diversity re-rank of keyword candidates (greedy maximal marginal relevance).
 
-Candidates are a document's top-50 TF-IDF words (K-1); word and document
-vectors come from ``pyspark.ml`` Word2Vec fitted on the corpus.  The greedy
-selection runs per document in ``applyInPandas`` over at most 50 rows, as
-described for EmbedRank (Bennani-Smires et al., 2018): score =
-``beta * sim(word, doc) - (1 - beta) * max sim(word, chosen)``; candidates whose
-similarity to a chosen word reaches ``alias_threshold`` become its aliases and
-leave the pool.
+Candidates are a document's top-50 TF-IDF words (K-1).  Word vectors are
+hashed character-trigram profiles (subword vectors that need no training:
+inflected forms of one word land close together, which is what alias
+grouping needs); the document vector is the TF-IDF-weighted mean of its
+candidates.  The greedy selection runs per document in ``applyInPandas`` over
+at most 50 rows, as described for EmbedRank (Bennani-Smires et al., 2018):
+score = ``beta * sim(word, doc) - (1 - beta) * max sim(word, chosen)``;
+candidates whose similarity to a chosen word reaches ``alias_threshold``
+become its aliases and leave the pool.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import TOKEN_RE, clean_text, tfidf_keywords
+from .text import tfidf_keywords
 
 MMR_SCHEMA = "doc_id long, rank int, keyword string, score double, aliases string"
+DIMS = 256
+
+
+def trigram_vector(word: str, dims: int = DIMS) -> np.ndarray:
+    """Hashed counts of the character trigrams of ``<word>`` (crc32, so stable across processes)."""
+    w = f"<{word}>"
+    v = np.zeros(dims)
+    for i in range(len(w) - 2):
+        v[zlib.crc32(w[i : i + 3].encode("utf-8")) % dims] += 1.0
+    return v
 
 
-def _mmr(n: int, beta: float, alias_threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = pdf["doc_id"].iloc[0]
-        words = list(pdf["keyword"])
-        vecs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["wvec"]])
-        dvec = np.asarray(pdf["dvec"].iloc[0], dtype=np.float64)
-        norm = lambda a: a / np.maximum(np.linalg.norm(a, axis=-1, keepdims=True), 1e-12)
-        vn, dn = norm(vecs), norm(dvec)
-        sim_doc = vn @ dn
-        sim_ww = vn @ vn.T
-        order = np.lexsort((np.array(words), -sim_doc))  # stable: similarity desc, then word
-        pool = list(order)
-        chosen, out = [], []
-        while pool and len(chosen) < n:
-            if chosen:
-                red = sim_ww[np.ix_(pool, chosen)].max(axis=1)
-                scores = beta * sim_doc[pool] - (1 - beta) * red
-            else:
-                scores = sim_doc[pool]
-            best_pos = int(np.argmax(scores))  # first max = best-ranked candidate on ties
-            best = pool.pop(best_pos)
-            aliases = [p for p in pool if sim_ww[best, p] >= alias_threshold]
-            pool = [p for p in pool if p not in aliases]
-            chosen.append(best)
-            out.append((doc, len(chosen), words[best], float(scores[best_pos]), "|".join(sorted(words[a] for a in aliases))))
-        return pd.DataFrame(out, columns=["doc_id", "rank", "keyword", "score", "aliases"])
+def mmr_select(words, weights, n: int, beta: float, alias_threshold: float, cache: dict | None = None):
+    """Greedy MMR over one document's candidates (given best TF-IDF first)."""
+    weights = np.asarray(weights, dtype=np.float64)
+    cache = {} if cache is None else cache
+    for w in words:
+        if w not in cache:
+            cache[w] = trigram_vector(w)
+    vecs = np.stack([cache[w] for w in words])
+    vn = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-12)
+    dvec = (np.maximum(weights, 0.0)[:, None] * vn).sum(axis=0)
+    dn = dvec / max(np.linalg.norm(dvec), 1e-12)
+    sim_doc = vn @ dn
+    sim_ww = vn @ vn.T
+    pool = list(range(len(words)))
+    chosen, out = [], []
+    while pool and len(chosen) < n:
+        if chosen:
+            scores = beta * sim_doc[pool] - (1 - beta) * sim_ww[np.ix_(pool, chosen)].max(axis=1)
+        else:
+            scores = sim_doc[pool]
+        best_pos = int(np.argmax(scores))  # first maximum: the better TF-IDF rank wins ties
+        best = pool.pop(best_pos)
+        aliases = [p for p in pool if sim_ww[best, p] >= alias_threshold]
+        pool = [p for p in pool if p not in aliases]
+        chosen.append(best)
+        out.append((len(chosen), words[best], float(scores[best_pos]), "|".join(sorted(words[a] for a in aliases))))
+    return out
+
+
+def _mmr_batches(n: int, beta: float, alias_threshold: float):
+    def run(batches):
+        cache: dict = {}
+        for pdf in batches:
+            if len(cache) > 200_000:
+                cache.clear()
+            rows = []
+            for doc, cands in zip(pdf["doc_id"], pdf["cands"]):
+                words = [c["keyword"] for c in cands]
+                weights = [-c["neg_weight"] for c in cands]
+                for rank, word, score, aliases in mmr_select(words, weights, n, beta, alias_threshold, cache):
+                    rows.append((int(doc), rank, word, score, aliases))
+            yield pd.DataFrame(rows, columns=["doc_id", "rank", "keyword", "score", "aliases"])
 
     return run
 
 
-def keyphrases(docs: DataFrame, n: int = 10, beta: float = 0.55, alias_threshold: float = 0.7, candidates: int = 50, vector_size: int = 16, seed: int = 42, num_partitions: int = 8) -> DataFrame:
-    """K-2 over whole documents: ``(doc_id, rank, keyword, score, aliases)``."""
-    toks = docs.select("doc_id", F.regexp_extract_all(F.lower(clean_text("text")), F.lit(TOKEN_RE), 0).alias("tokens"))
-    w2v = Word2Vec(vectorSize=vector_size, minCount=1, seed=seed, maxIter=1, inputCol="tokens", outputCol="dv", numPartitions=num_partitions)
-    model = w2v.fit(toks)
-    word_vecs = model.getVectors().select(F.col("word").alias("keyword"), vector_to_array("vector").alias("wvec"))
-    doc_vecs = model.transform(toks).select("doc_id", vector_to_array("dv").alias("dvec"))
-    cands = tfidf_keywords(docs, top=candidates).select("doc_id", "keyword")
-    rows = cands.join(word_vecs, "keyword").join(doc_vecs, "doc_id")
-    return rows.groupBy("doc_id").applyInPandas(_mmr(n, beta, alias_threshold), MMR_SCHEMA)
+def keyphrases(docs: DataFrame, n: int = 10, beta: float = 0.55, alias_threshold: float = 0.7, candidates: int = 50) -> DataFrame:
+    """K-2 over whole documents: ``(doc_id, rank, keyword, score, aliases)``.
+
+    Candidates are collected per document (at most ``candidates`` each, best
+    TF-IDF first) and re-ranked in Arrow batches of many documents.
+    """
+    cands = tfidf_keywords(docs, top=candidates)
+    per_doc = cands.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("neg_weight"), F.col("keyword")))).alias("cands")
+    )
+    return per_doc.mapInPandas(_mmr_batches(n, beta, alias_threshold), MMR_SCHEMA)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .._compat import col_of
 from ..schemas import KEYWORD_VOCAB_SIZE, KEYWORDS_TOP
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, spread
 
 TOKEN_RE = r"\p{L}{3,}"
 
@@ -43,16 +43,37 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, salt_from: str, n_sa
     return b.join(s, [key, "_salt"], how).drop("_salt")
 
 
+def tokens(c) -> Column:
+    """Maximal runs of 3+ Unicode letters of the lower-cased, cleaned text.
+
+    Same tokens as ``regexp_extract_all(text, '\\p{L}{3,}')`` but a split on
+    non-letters, which is several times cheaper.
+    """
+    parts = F.split(F.lower(clean_text(c)), r"[^\p{L}]+")
+    return F.filter(parts, lambda w: F.length(w) >= 3)
+
+
 def term_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, word, tf, doc_len)`` over whole texts (every token of every document)."""
-    toks = docs.select(F.col(doc_col).alias("doc"), F.regexp_extract_all(F.lower(clean_text(text_col)), F.lit(TOKEN_RE), 0).alias("toks"))
-    toks = toks.select("doc", F.size("toks").alias("doc_len"), F.explode("toks").alias("word"))
+    """``(doc, word, tf, doc_len)`` over whole texts (every token of every document).
+
+    ``explode_outer`` + a null filter instead of ``explode``: the optimizer
+    would otherwise infer a ``size(tokens) > 0`` filter and evaluate the
+    tokenizer a second time below the repartition.
+    """
+    docs = spread(docs.select(doc_col, text_col), doc_col)
+    toks = docs.select(F.col(doc_col).alias("doc"), tokens(text_col).alias("toks"))
+    toks = toks.select("doc", F.size("toks").alias("doc_len"), F.explode_outer("toks").alias("word")).where(F.col("word").isNotNull())
     return toks.groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
 def tfidf_keywords(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", top: int = KEYWORDS_TOP, n_salts: int = 16) -> DataFrame:
-    """K-1: per document the ``top`` words by ``tf/len * ln(N/df)``, ties A-Z; ``rank`` from 1."""
-    tf = term_counts(docs, doc_col, text_col)
+    """K-1: per document the ``top`` words by ``tf/len * ln(N/df)``, ties A-Z; ``rank`` from 1.
+
+    The term-count table feeds three consumers (document frequency, corpus
+    size, the join), so it is checkpointed once to the shared checkpoint
+    folder instead of tokenising every text three times.
+    """
+    tf = term_counts(docs, doc_col, text_col).checkpoint(eager=True)
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n_docs = tf.select(F.countDistinct("doc")).scalar()
     j = salted_join(tf, df, "word", "doc", n_salts)

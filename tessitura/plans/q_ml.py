@@ -12,24 +12,41 @@ from .q_features import embedding_rows
 from .registry import register
 
 
-@register("features_log_mel", ("X-1", "X-6", "X-2"))
+@register("features_log_mel", ("X-1", "X-2"))
 def q_log_mel(spark, sf_dir):
-    """X-1 over a PCM table derived from the whole text corpus (one sample per character)."""
+    """X-1 over a PCM table derived from the whole text corpus (one sample per character).
+
+    The PCM table is checkpointed: it stands for stored decoded audio and
+    feeds both the FFT and the frame counts.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    pcm = features.pcm_from_text(docs)
+    pcm = features.pcm_from_text(docs).checkpoint(eager=True)
     frames = features.log_mel(pcm)
+    counts = features.frame_counts(pcm)
+    chunked = features.chunk_frames(frames, 64, counts).groupBy("track_id").agg(F.countDistinct("chunk").alias("n_chunks_64"))
     stats = features.frame_stats(frames)
-    first = features.frame_stats(features.log_mel(features.first_seconds(pcm, 2.0))).select(
-        "track_id", F.col("n_frames").alias("n_frames_2s")
-    )
-    chunks = features.chunk_frames(frames, 64).groupBy("track_id").agg(F.countDistinct("chunk").alias("n_chunks_64"))
-    out = stats.join(first, "track_id", "left").join(chunks, "track_id", "left")
+    out = stats.join(chunked, "track_id", "left")
     return out.select(
-        "track_id", "n_frames", "n_frames_2s", F.coalesce("n_chunks_64", F.lit(0)).alias("n_chunks_64"),
+        "track_id", "n_frames", F.coalesce("n_chunks_64", F.lit(0)).cast("long").alias("n_chunks_64"),
         F.round("mean_log_mel", 3).alias("mean_log_mel"), F.round("max_log_mel", 3).alias("max_log_mel"),
     )
 
 
+@register(
+    "features_pcm_first_seconds",
+    ("X-6", "X-1"),
+    """
+SELECT doc_id AS track_id, CAST(least(length(text), 44100) AS BIGINT) AS n_samples,
+       CAST(least(length(text), 44100) // 1024 + 1 AS BIGINT) AS n_frames
+FROM documents WHERE length(text) > 0
+""",
+)
+def q_first_seconds(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    pcm = features.first_seconds(features.pcm_from_text(docs), 2.0)
+    return features.frame_counts(pcm)
+
+
 def pooled(spark, sf_dir):
     """A-10 vectors: each embedding as 8 frames x 8 dims, averaged over frames."""
     e = embedding_rows(spark, sf_dir)

@@ -101,3 +101,16 @@ def local_test_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSess
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
         },
     )
+
+
+def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition by ``keys`` only when ``df`` has fewer partitions than the cluster's parallelism.
+
+    For CPU-heavy per-row work (tokenising whole texts, decoding samples) right
+    after a scan of few, large files.  A big input already split into many
+    file partitions is returned unchanged, so no extra shuffle at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
