@@ -24,7 +24,6 @@ from ..schemas import (
     POPULAR_GENRE_KEEP,
     UNPOPULAR_GENRES,
 )
-from .ordering import dense_index
 
 
 # ------------------------------------------------------------------ P-1 .. P-4
@@ -214,12 +213,12 @@ def merge_playlist(current: DataFrame, incoming: DataFrame, key: str = "ym_track
 def limit_after_existing(new_rows: DataFrame, existing: DataFrame, limit: int, order_cols: Sequence[str]) -> DataFrame:
     """L-3: keep the first ``max(0, limit - count(existing))`` new rows in ``order_cols`` order.
 
-    The existing count is a scalar subquery; positions come from a blocked
-    dense index, so nothing is gathered in one task.
+    The cap is the feature here (ingest stops at ``limit`` rows), so this is a
+    top-k: one scalar count, then ``orderBy().limit()``, which Spark runs as a
+    per-partition top-k plus a merge of at most k rows per partition.
     """
-    n_existing = existing.select(F.count(F.lit(1))).scalar()
-    indexed = dense_index(new_rows, order_cols, F.lit(0), idx_col="_ins_idx")
-    return indexed.where(F.col("_ins_idx") < F.greatest(F.lit(limit) - n_existing, F.lit(0))).drop("_ins_idx")
+    k = max(0, int(limit) - existing.count())
+    return new_rows.orderBy(*order_cols).limit(k)
 
 
 # ------------------------------------------------------------------ U-1 / U-5 / U-4 / U-7

@@ -23,14 +23,24 @@ def encode_labels(df: DataFrame, label_col: str, vocab: Sequence[str], out_col:
     return df.withColumn(out_col, F.try_element_at(lit_map, F.col(label_col)).cast("int"))
 
 
+def topk_accuracy_expr(scores_col, label_col, k: int) -> Column:
+    """M-6 as an aggregate expression."""
+    return F.avg(F.array_contains(topk_indices(scores_col, k), col_of(label_col)).cast("double"))
+
+
+def cover_accuracy_expr(true_col, pred_col) -> Column:
+    """M-7 as an aggregate expression: share of rows where the two label sets meet."""
+    return F.avg(F.coalesce(F.arrays_overlap(col_of(true_col), col_of(pred_col)), F.lit(False)).cast("double"))
+
+
 def topk_accuracy(df: DataFrame, scores_col: str, label_col: str, ks: Sequence[int] = (1, 3)) -> DataFrame:
     """M-6: share of rows whose label is among the top-k scores, for each k."""
-    return df.agg(*[F.avg(F.array_contains(topk_indices(scores_col, k), F.col(label_col)).cast("double")).alias(f"top{k}_accuracy") for k in ks])
+    return df.agg(*[topk_accuracy_expr(scores_col, label_col, k).alias(f"top{k}_accuracy") for k in ks])
 
 
 def cover_accuracy(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
     """M-7: share of rows where the true and predicted label sets meet."""
-    return df.agg(F.avg(F.coalesce(F.arrays_overlap(true_col, pred_col), F.lit(False)).cast("double")).alias("cover_accuracy"))
+    return df.agg(cover_accuracy_expr(true_col, pred_col).alias("cover_accuracy"))
 
 
 def confusion_matrix(df: DataFrame, true_col: str, pred_col: str, labels: Sequence) -> DataFrame:

@@ -123,9 +123,10 @@ FROM conf WHERE n_emotions >= 1
 def q_label_count(spark, sf_dir):
     conf = confirmed_emotions(spark, sf_dir).withColumn("emotions_arr", F.split("emotions", r"\|"))
     conf = conf.withColumn("emotions_arr", F.filter("emotions_arr", lambda x: x != ""))
-    one = catalog.select_by_label_count(conf, catalog.ONE_LABEL, "emotions_arr").withColumn("kind", F.lit("one"))
-    many = catalog.select_by_label_count(conf, catalog.MANY_LABELS, "emotions_arr").withColumn("kind", F.lit("many"))
-    return one.unionByName(many).select("ym_track_id", "n_emotions", "kind")
+    # one pass: rows with labels (P-3), tagged with the P-4 selector they fall under
+    labelled = catalog.select_by_label_count(conf, catalog.ALL_TRACKS, "emotions_arr")
+    kind = F.when(F.size("emotions_arr") == 1, F.lit("one")).otherwise(F.lit("many"))
+    return labelled.select("ym_track_id", "n_emotions", kind.alias("kind"))
 
 
 @register(

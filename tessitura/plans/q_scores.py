@@ -88,13 +88,11 @@ FROM t
 )
 def q_accuracy(spark, sf_dir):
     s = score_rows(spark, sf_dir)
-    acc = metrics.topk_accuracy(s, "s", "label", (1, 3))
-    cov = metrics.cover_accuracy(s.select(F.array("label").alias("t"), topk_indices("s", 3).alias("p")), "t", "p")
-    # two one-row aggregates, put side by side on a constant key
-    a = acc.withColumn("_k", F.lit(1))
-    c = cov.withColumn("_k", F.lit(1))
-    j = a.join(c, "_k").drop("_k")
-    return j.select(*[F.round(c, 6).alias(c) for c in ("top1_accuracy", "top3_accuracy", "cover_accuracy")])
+    return s.agg(
+        F.round(metrics.topk_accuracy_expr("s", "label", 1), 6).alias("top1_accuracy"),
+        F.round(metrics.topk_accuracy_expr("s", "label", 3), 6).alias("top3_accuracy"),
+        F.round(metrics.cover_accuracy_expr(F.array("label"), topk_indices("s", 3)), 6).alias("cover_accuracy"),
+    )
 
 
 @register(
@@ -172,11 +170,10 @@ def q_losses(spark, sf_dir):
         F.round(F.avg(crossentropy_index("label", "z")), 6).alias("index_ce"),
     )
     l = label_rows(spark, sf_dir).withColumn("p", sigmoid_all("logit"))
-    b = l.agg(
-        F.round(F.avg(bce_with_logits("y", "logit")), 6).alias("bce_logits"),
-        F.round(F.sum(weighted_binary_crossentropy("y", "p")), 4).alias("weighted_bce_sum"),
-    )
-    return ce.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # the label-table losses are one-row aggregates: scalar subqueries, not a join
+    bce = l.select(F.round(F.avg(bce_with_logits("y", "logit")), 6)).scalar()
+    wbce = l.select(F.round(F.sum(weighted_binary_crossentropy("y", "p")), 4)).scalar()
+    return ce.select("*", bce.alias("bce_logits"), wbce.alias("weighted_bce_sum"))
 
 
 @register(
