@@ -45,15 +45,30 @@ def mel_to_hz(m):
     return np.where(m >= min_log_mel, min_log_hz * np.exp(logstep * (m - min_log_mel)), f_sp * m)
 
 
-def mel_filterbank(sr: int = SAMPLE_RATE, n_fft: int = N_FFT, n_mels: int = N_MELS) -> np.ndarray:
-    """``(n_mels, 1 + n_fft/2)`` Slaney-normalised triangular mel filters."""
+def hz_to_mel_htk(f):
+    return 2595.0 * np.log10(1.0 + np.asarray(f, dtype=np.float64) / 700.0)
+
+
+def mel_to_hz_htk(m):
+    return 700.0 * (10.0 ** (np.asarray(m, dtype=np.float64) / 2595.0) - 1.0)
+
+
+def mel_filterbank(sr: int = SAMPLE_RATE, n_fft: int = N_FFT, n_mels: int = N_MELS, scale: str = "slaney") -> np.ndarray:
+    """``(n_mels, 1 + n_fft/2)`` triangular mel filters.
+
+    ``scale='slaney'``: Slaney mel scale, area-normalised (first extractor);
+    ``scale='htk'``: HTK mel scale, no normalisation (second extractor's defaults).
+    """
+    to_mel, to_hz = (hz_to_mel, mel_to_hz) if scale == "slaney" else (hz_to_mel_htk, mel_to_hz_htk)
     fft_freqs = np.linspace(0, sr / 2.0, 1 + n_fft // 2)
-    mel_pts = mel_to_hz(np.linspace(hz_to_mel(0.0), hz_to_mel(sr / 2.0), n_mels + 2))
+    mel_pts = to_hz(np.linspace(to_mel(0.0), to_mel(sr / 2.0), n_mels + 2))
     fdiff = np.diff(mel_pts)
     ramps = mel_pts[:, None] - fft_freqs[None, :]
     lower = -ramps[:-2] / fdiff[:-1, None]
     upper = ramps[2:] / fdiff[1:, None]
     weights = np.maximum(0.0, np.minimum(lower, upper))
+    if scale != "slaney":
+        return weights
     enorm = 2.0 / (mel_pts[2 : n_mels + 2] - mel_pts[:n_mels])
     return weights * enorm[:, None]
 
@@ -91,11 +106,11 @@ FRAME_SCHEMA = T.StructType([
 ])
 
 
-def _blocks_to_frames(block_size: int, n_fft: int, hop: int, n_mels: int, sr: int):
+def _blocks_to_frames(block_size: int, n_fft: int, hop: int, n_mels: int, sr: int, scale: str = "slaney"):
     half = n_fft // 2
 
     def run(batches):
-        mel = mel_filterbank(sr, n_fft, n_mels)
+        mel = mel_filterbank(sr, n_fft, n_mels, scale)
         for pdf in batches:
             out_tid, out_frame, out_mel = [], [], []
             for tid, b, samples, prev, nxt in zip(pdf["track_id"], pdf["block"], pdf["samples"], pdf["prev_tail"], pdf["next_head"]):
@@ -121,8 +136,13 @@ def _blocks_to_frames(block_size: int, n_fft: int, hop: int, n_mels: int, sr: in
     return run
 
 
-def log_mel(pcm: DataFrame, block_size: int = BLOCK_SIZE, n_fft: int = N_FFT, hop: int = HOP_LENGTH, n_mels: int = N_MELS, sr: int = SAMPLE_RATE, channel: int | None = None) -> DataFrame:
-    """X-1 (and X-5 with ``channel``): ``(track_id, frame, mel array<float>)`` time-major log-mel rows."""
+def log_mel(pcm: DataFrame, block_size: int = BLOCK_SIZE, n_fft: int = N_FFT, hop: int = HOP_LENGTH, n_mels: int = N_MELS, sr: int = SAMPLE_RATE, channel: int | None = None, scale: str = "slaney") -> DataFrame:
+    """X-1: ``(track_id, frame, mel array<float>)`` time-major log-mel rows.
+
+    X-5 is the same operator with ``channel`` (one channel of a multi-channel
+    PCM table, ``channel`` column) and ``scale='htk'``.  Resampling to
+    ``sr`` belongs to decoding and is not done here.
+    """
     if block_size % hop:
         raise ValueError("block_size must be a multiple of hop")
     src = pcm if channel is None else pcm.where(F.col("channel") == channel)
@@ -131,7 +151,7 @@ def log_mel(pcm: DataFrame, block_size: int = BLOCK_SIZE, n_fft: int = N_FFT, ho
     prev = src.select("track_id", (F.col("block") + 1).alias("block"), F.slice("samples", -half, half).alias("prev_tail"))
     nxt = src.select("track_id", (F.col("block") - 1).alias("block"), F.slice("samples", 1, half).alias("next_head"))
     joined = src.join(prev, ["track_id", "block"], "left").join(nxt, ["track_id", "block"], "left")
-    return joined.mapInPandas(_blocks_to_frames(block_size, n_fft, hop, n_mels, sr), FRAME_SCHEMA)
+    return joined.mapInPandas(_blocks_to_frames(block_size, n_fft, hop, n_mels, sr, scale), FRAME_SCHEMA)
 
 
 def first_seconds(pcm: DataFrame, seconds: float, sr: int = SAMPLE_RATE, block_size: int = BLOCK_SIZE) -> DataFrame:

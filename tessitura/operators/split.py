@@ -62,3 +62,15 @@ def random_partner(df: DataFrame, key: str, seed: int = 0, exclude_self: bool =
     left = idx.withColumn("_target", target)
     right = idx.select(F.col("_pidx").alias("_target"), F.col(key).alias("partner_" + key))
     return left.join(right, "_target", "left").drop("_target", "_pidx", "_n")
+
+
+def n_parts(df: DataFrame, key: str, n: int, block_bits: int = 16) -> DataFrame:
+    """W-8: cut the rows, ordered by ``key``, into ``n`` near-equal consecutive parts (``array_split`` sizes).
+
+    Positions come from a blocked dense index (block = ``key >> block_bits``),
+    so the only whole-table step is a count per block.
+    """
+    from .ordering import near_equal_parts
+
+    idx = dense_index(df, [F.col(key)], F.shiftright(F.col(key), block_bits), idx_col="_i", total_col="_n")
+    return idx.withColumn("batch", near_equal_parts("_i", "_n", F.lit(n))).drop("_i", "_n")

@@ -461,3 +461,126 @@ def q_manifest(spark, sf_dir):
 
 
 _ = (EMOTIONS, sql_list, crowd)
+
+
+# ------------------------------------------------------------------ artist responses (S-14, P-12)
+def artist_responses(spark, sf_dir):
+    """Saved response bodies derived from ``customer``/``nation``/``region``: XML search + getinfo, JSON locations."""
+    c = read_table(spark, sf_dir, "customer")
+    n = read_table(spark, sf_dir, "nation")
+    r = read_table(spark, sf_dir, "region")
+    j = c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    key = F.col("c_custkey")
+    code = F.when(F.pmod(key, F.lit(10)) == 0, F.lit("103")).when(F.pmod(key, F.lit(10)) == 1, F.lit("101")).otherwise(F.lit("100"))
+    answer = F.when(F.pmod(key, F.lit(7)) == 0, F.lit("invalid")).otherwise(F.lit("valid"))
+    search = F.format_string("<row><code>%s</code><answer>%s</answer><country>%s</country><mbid>mb%d</mbid></row>", code, answer, F.col("n_name"), key)
+    info_country = F.when(F.pmod(key, F.lit(3)) == 0, F.concat(F.col("n_name"), F.lit("-info"))).otherwise(F.col("n_name"))
+    info = F.format_string("<row><country>%s</country><mbid>mb%d</mbid><sexe>%s</sexe><year_debut>%d</year_debut></row>",
+                           info_country, key, F.col("c_mktsegment"), (F.lit(1950) + F.pmod(key, F.lit(60))).cast("int"))
+    status = F.when(F.pmod(key, F.lit(5)) == 0, F.lit("error")).otherwise(F.lit("success"))
+    locs = F.when(F.pmod(key, F.lit(4)) == 0, F.lit("[]")).otherwise(F.format_string('[{"country":"%s"}]', F.col("r_name")))
+    js = F.format_string('{"headers":{"status":"%s"},"results":[{"locations":%s}]}', status, locs)
+    name = F.col("c_name").alias("artist_name")
+    parts = [
+        j.select(name, F.lit("musicovery").alias("source"), F.lit("search").alias("kind"), search.alias("body")),
+        j.where(F.pmod(key, F.lit(6)) != 5).select(name, F.lit("musicovery").alias("source"), F.lit("getinfo").alias("kind"), info.alias("body")),
+        j.select(name, F.lit("jamendo").alias("source"), F.lit("locations").alias("kind"), js.alias("body")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register(
+    "catalog_artist_responses",
+    ("S-14", "P-12"),
+    """
+WITH b AS (SELECT c_name AS artist_name, c_custkey AS k, n_name, r_name, c_mktsegment FROM customer
+           LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey),
+     s AS (SELECT *, CASE WHEN k % 10 = 0 THEN '103' WHEN k % 10 = 1 THEN '101' ELSE '100' END AS code,
+                  CASE WHEN k % 7 = 0 THEN 'invalid' ELSE 'valid' END AS answer, k % 6 <> 5 AS has_info FROM b)
+SELECT artist_name,
+       CASE WHEN code = '103' THEN 'limit' WHEN code <> '100' OR answer <> 'valid' THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN code = '100' AND answer = 'valid' THEN
+            CASE WHEN has_info THEN (CASE WHEN k % 3 = 0 THEN n_name || '-info' ELSE n_name END) ELSE n_name END END AS artist_country,
+       CASE WHEN code = '100' AND answer = 'valid' AND has_info THEN c_mktsegment END AS artist_sex,
+       CASE WHEN code = '100' AND answer = 'valid' AND has_info THEN CAST(1950 + k % 60 AS VARCHAR) END AS artist_year,
+       CASE WHEN k % 5 <> 0 AND k % 4 <> 0 THEN r_name END AS fallback_country
+FROM s
+""",
+)
+def q_artist_responses(spark, sf_dir):
+    from ..operators import artists
+
+    resp = artist_responses(spark, sf_dir)
+    info = artists.parse_search_info(resp)
+    loc = artists.parse_locations(resp).withColumnRenamed("artist_country", "fallback_country")
+    return info.join(loc, "artist_name", "left").select(
+        "artist_name", "status", "artist_country", "artist_sex", "artist_year", "fallback_country"
+    )
+
+
+# ------------------------------------------------------------------ CSV edge (S-1, S-2, S-3, F-1), JSON sink (S-9)
+@register(
+    "catalog_tracks_csv_roundtrip",
+    ("S-1", "S-2", "S-3", "F-1", "F-2"),
+    f"""
+WITH flat AS ({FLAT_PLAYLIST_SQL}),
+     ok AS (SELECT * FROM flat WHERE reject_reason IS NULL AND emotion IS NOT NULL),
+     f AS (SELECT ym_track_id, emotion, min(pos) AS p FROM ok GROUP BY ALL)
+SELECT ym_track_id, string_agg(emotion, '|' ORDER BY p) AS emotions_maybe, count(*) AS n_emotions FROM f GROUP BY ym_track_id
+""",
+)
+def q_csv_roundtrip(spark, sf_dir):
+    from ..schemas import TRACKS
+    from ..session import scratch_path
+    from ..sources.tables import empty_frame, read_tracks_csv, write_csv
+
+    lists = _emotions_by_track(valid_playlist_rows(spark, sf_dir))
+    tracks = lists.select(*[
+        F.col(f.name) if f.name in ("ym_track_id", "emotions_maybe") else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in TRACKS.fields
+    ])
+    tracks = empty_frame(spark, TRACKS).unionByName(tracks)
+    path = scratch_path(spark, "tracks-csv")
+    write_csv(tracks, path)
+    back = read_tracks_csv(spark, path)
+    return back.select("ym_track_id", join_list("emotions_maybe").alias("emotions_maybe"), F.size("emotions_maybe").cast("long").alias("n_emotions"))
+
+
+@register(
+    "catalog_json_records",
+    ("S-9",),
+    f"""
+SELECT to_json({{'ym_track_id': ym_track_id, 'track_title': track_title, 'genre': genre, 'emotion': emotion}}) AS json
+FROM ({FINAL_TRACKS_SQL})
+""",
+)
+def q_json(spark, sf_dir):
+    t = final_tracks(spark, sf_dir).select("ym_track_id", "track_title", "genre", "emotion")
+    return t.select(F.to_json(F.struct(*t.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+# ------------------------------------------------------------------ path helpers (F-6, F-10), weights (F-3)
+@register(
+    "catalog_audio_renames",
+    ("F-6", "F-10", "F-7"),
+    f"""
+WITH a AS (SELECT DISTINCT audio_path FROM ({ANSWERS_SQL})),
+     r AS (SELECT audio_path, regexp_replace(audio_path, '/\\d+:(\\d+\\.mp3)$', '/\\1') AS new_path FROM a)
+SELECT audio_path, new_path,
+       regexp_replace(regexp_extract(new_path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem,
+       NULLIF(regexp_extract(regexp_extract(new_path, '([^/]*)$', 1), '\\.([^.]*)$', 1), '') AS ext,
+       'audio_short/' || regexp_extract(new_path, '([^/]*)$', 1) AS short_path
+FROM r
+""",
+)
+def q_renames(spark, sf_dir):
+    from ..functions.paths import file_ext, file_stem, remove_album_from_name, short_audio_path
+    from .bindings import answers
+
+    a = answers(spark, sf_dir).select("audio_path").distinct()
+    r = a.withColumn("new_path", remove_album_from_name("audio_path"))
+    return r.select("audio_path", "new_path", file_stem("new_path").alias("stem"), file_ext("new_path").alias("ext"),
+                    short_audio_path("new_path").alias("short_path"))

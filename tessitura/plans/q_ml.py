@@ -47,6 +47,19 @@ def q_first_seconds(spark, sf_dir):
     return features.frame_counts(pcm)
 
 
+@register("features_second_extractor", ("X-5",))
+def q_second_extractor(spark, sf_dir):
+    """X-5: the HTK-scale extractor on channel 1 of a two-channel PCM table (channel 1 = inverted signal)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    mono = features.pcm_from_text(docs)
+    stereo = mono.withColumn("channel", F.lit(0)).unionByName(
+        mono.withColumn("channel", F.lit(1)).withColumn("samples", F.transform("samples", lambda x: -x))
+    )
+    frames = features.log_mel(stereo, channel=1, scale="htk")
+    st = features.frame_stats(frames)
+    return st.select("track_id", "n_frames", F.round("mean_log_mel", 3).alias("mean_log_mel"), F.round("max_log_mel", 3).alias("max_log_mel"))
+
+
 def pooled(spark, sf_dir):
     """A-10 vectors: each embedding as 8 frames x 8 dims, averaged over frames."""
     e = embedding_rows(spark, sf_dir)

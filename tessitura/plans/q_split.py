@@ -71,3 +71,17 @@ def q_partner(spark, sf_dir):
         cover("partner_ym_track_id").alias("image_second"),
         F.concat(F.lit("audio/"), F.col("ym_track_id").cast("string"), F.lit(".mp3")).alias("audio_path"),
     )
+
+
+@register(
+    "split_feature_batches",
+    ("W-8",),
+    """
+WITH i AS (SELECT o_orderkey AS ym_track_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, count(*) OVER () AS n FROM orders),
+     q AS (SELECT *, n // 10 AS q, n % 10 AS r FROM i)
+SELECT ym_track_id, CAST(CASE WHEN idx < r * (q + 1) THEN idx // (q + 1) ELSE r + (idx - r * (q + 1)) // q END AS BIGINT) AS batch FROM q
+""",
+)
+def q_feature_batches(spark, sf_dir):
+    out = split.n_parts(order_ids(spark, sf_dir), "ym_track_id", 10)
+    return out.select("ym_track_id", "batch")

@@ -114,3 +114,25 @@ def q_append(spark, sf_dir):
     fresh = text.tfidf_keywords(fresh_docs).withColumn("origin", F.lit("new"))
     out = existing.unionByName(fresh)
     return out.select("doc_id", "keyword", F.round("weight", 6).alias("weight"), F.col("rank").cast("int").alias("rank"), "origin")
+
+
+@register(
+    "text_keyword_weights",
+    ("F-3", "F-1", "S-10"),
+    f"""
+SELECT doc_id, keyword, round(weight, 6) AS weight FROM ({KW_SQL})
+""",
+)
+def q_weights(spark, sf_dir):
+    """Keywords stored the CSV way (``;``-joined words and weights) and parsed back."""
+    from ..functions.lists import keyword_structs
+
+    kw = text.tfidf_keywords(docs(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    lists = kw.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "keyword", "weight"))).alias("_s"))
+    stored = lists.select(
+        "doc_id",
+        F.array_join(F.transform("_s", lambda s: s["keyword"]), ";").alias("keywords"),
+        F.array_join(F.transform("_s", lambda s: s["weight"].cast("string")), ";").alias("weights"),
+    )
+    parsed = stored.select("doc_id", F.explode(keyword_structs("keywords", "weights")).alias("k"))
+    return parsed.select("doc_id", F.col("k.keyword").alias("keyword"), F.col("k.weight").alias("weight"))
