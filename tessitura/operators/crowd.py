@@ -199,16 +199,17 @@ def skipped_in_row(
     worker_col: str = "worker_id",
     time_col: str = "submitted_at",
     limit: int = SKIPPED_IN_ROW_LIMIT,
+    block_days: int = 30,
 ) -> DataFrame:
     """W-5: length of the run of skipped answers ending at each answer; restricted when >= limit.
 
     Gaps and islands on an exact per-worker position: the run length is the
     distance to the last non-skipped answer.  Positions and the "last
-    non-skipped" carry are computed per (worker, day) block, with the carry
-    between blocks taken from a small per-block table.
+    non-skipped" carry are computed per (worker, ``block_days``-day) block,
+    with the carry between blocks taken from the per-block table.
     """
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    base = answers.withColumn("_skip", F.coalesce(skipped, F.lit(False))).withColumn("_blkday", day_block(micros))
+    base = answers.withColumn("_skip", F.coalesce(skipped, F.lit(False))).withColumn("_blkday", day_block(micros, block_days))
     indexed = dense_index(base, order_cols, F.col("_blkday"), partition_cols=[worker_col], idx_col="_pos")
     keep_pos = F.when(~F.col("_skip"), F.col("_pos"))
     w_in = Window.partitionBy(worker_col, "_blkday").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -249,11 +250,12 @@ def majority_agreement(
     min_answers: int = MAJORITY_MIN_ANSWERS,
     min_correct_pct: float = MAJORITY_MIN_CORRECT_PCT,
     chunk: int = 4096,
+    block_days: int = 30,
 ) -> DataFrame:
     """W-6: over each worker's last ``history`` answers to tasks that reached a majority,
     the share that agreed with it; restricted when ``>= min_answers`` answers and ``< min_correct_pct`` %.
 
-    Exact per-worker positions (:func:`dense_index`, day blocks), then fixed
+    Exact per-worker positions (:func:`dense_index`, ``block_days`` blocks), then fixed
     position chunks; the last ``history-1`` rows of a chunk are copied into the
     next chunk as context, so each window task holds ``chunk + history`` rows.
     """
@@ -262,7 +264,7 @@ def majority_agreement(
         "correct", (F.col(result_col) == F.col("majority")).cast("int")
     )
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    indexed = dense_index(scored, order_cols, day_block(micros), partition_cols=[worker_col], idx_col="_pos")
+    indexed = dense_index(scored, order_cols, day_block(micros, block_days), partition_cols=[worker_col], idx_col="_pos")
     with_chunk = indexed.withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)).cast("long")).withColumn("_ctx", F.lit(False))
     ctx = (
         with_chunk.where(F.pmod(F.col("_pos"), F.lit(chunk)) >= F.lit(chunk - (history - 1)))

@@ -64,9 +64,9 @@ def hex_block(key: Column, digits: int = 3) -> Column:
     return F.substring(key, 1, digits)
 
 
-def day_block(micros: Column) -> Column:
-    """Block key for an order by time in microseconds: the UTC day number."""
-    return F.floor(micros / F.lit(86_400_000_000)).cast("long")
+def day_block(micros: Column, days: int = 1) -> Column:
+    """Block key for an order by time in microseconds: UTC day number divided by ``days``."""
+    return F.floor(micros / F.lit(86_400_000_000 * days)).cast("long")
 
 
 def near_equal_parts(idx, n, k) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import EMOTIONS, GENRE_MAP, NARROW_GENRES
+from ..session import spread
 from ..sources.tables import read_table
 
 BASE_URL = "https://static.tracks.example/"
@@ -36,7 +37,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     line is open; reward = quantity; the audio URL has an album prefix except for
     every 7th track, so both URL forms of F-5 occur.
     """
-    li = read_table(spark, sf_dir, "lineitem")
+    li = spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey")
     tid = F.col("l_orderkey").cast("string")
     path = F.when(
         F.pmod("l_orderkey", F.lit(7)) == 0, F.concat(F.lit("audio/"), tid, F.lit(".mp3"))
