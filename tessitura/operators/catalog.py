@@ -318,6 +318,16 @@ def page(df: DataFrame, order_cols: Sequence[str], page_no: int = 0, per_page: i
     return df.orderBy(*order_cols).offset(page_no * per_page).limit(per_page)
 
 
+def page_after(df: DataFrame, key: str, last_key=None, per_page: int = 20) -> DataFrame:
+    """L-5 at depth: keyset paging, the rows after ``last_key`` in ``key`` order.
+
+    A filter (pushed to the scan) plus a top-k, so page 10,000 costs the same
+    as page 1, unlike an offset.
+    """
+    src = df if last_key is None else df.where(F.col(key) > F.lit(last_key))
+    return src.orderBy(key).limit(per_page)
+
+
 def first_n_per_class(df: DataFrame, class_col: str, order_cols: Sequence[str], n: int = 200, fanout: int = 64) -> DataFrame:
     """W-1: the first ``n`` rows of every class in ``order_cols`` order.
 

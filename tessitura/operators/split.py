@@ -22,7 +22,7 @@ def shuffle_key(key, seed: int, epoch: int | None = None) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def shuffled_index(df: DataFrame, key: str, seed: int = SPLIT_SEED, epoch: int | None = None, digits: int = 3, idx_col: str = "idx", total_col: str = "n") -> DataFrame:
+def shuffled_index(df: DataFrame, key: str, seed: int = SPLIT_SEED, epoch: int | None = None, digits: int = 4, idx_col: str = "idx", total_col: str = "n") -> DataFrame:
     """Exact dense position of every row in the seeded shuffle order (ties by key)."""
     h = shuffle_key(key, seed, epoch)
     with_h = df.withColumn("_h", h)
@@ -30,14 +30,14 @@ def shuffled_index(df: DataFrame, key: str, seed: int = SPLIT_SEED, epoch: int |
     return out.drop("_h")
 
 
-def exact_split(df: DataFrame, key: str, test_size: float = TEST_SPLIT, seed: int = SPLIT_SEED, digits: int = 3) -> DataFrame:
+def exact_split(df: DataFrame, key: str, test_size: float = TEST_SPLIT, seed: int = SPLIT_SEED, digits: int = 4) -> DataFrame:
     """R-1: test = first ``ceil(test_size * n)`` rows of the shuffle; labels stay on their rows."""
     idx = shuffled_index(df, key, seed, digits=digits)
     cut = F.ceil(F.col("n") * F.lit(test_size))
     return idx.withColumn("split", F.when(F.col("idx") < cut, F.lit("test")).otherwise(F.lit("train"))).drop("n")
 
 
-def batches(df: DataFrame, key: str, size: int = BATCH_SIZE, seed: int = SPLIT_SEED, epoch: int | None = None, drop_last: bool = True, digits: int = 3) -> DataFrame:
+def batches(df: DataFrame, key: str, size: int = BATCH_SIZE, seed: int = SPLIT_SEED, epoch: int | None = None, drop_last: bool = True, digits: int = 4) -> DataFrame:
     """R-2: seeded mini-batches of ``size``; the short last batch is dropped or kept."""
     idx = shuffled_index(df, key, seed, epoch, digits=digits)
     out = idx.withColumn("batch", F.floor(F.col("idx") / F.lit(size)).cast("long"))
@@ -46,7 +46,7 @@ def batches(df: DataFrame, key: str, size: int = BATCH_SIZE, seed: int = SPLIT_S
     return out.drop("n")
 
 
-def random_partner(df: DataFrame, key: str, seed: int = 0, exclude_self: bool = False, digits: int = 3) -> DataFrame:
+def random_partner(df: DataFrame, key: str, seed: int = 0, exclude_self: bool = False, digits: int = 4) -> DataFrame:
     """R-3: a reproducible random partner row for every row (may be itself unless ``exclude_self``).
 
     The partner index is ``pmod(h, n)`` (``n-1`` and a shift when excluding

@@ -3,11 +3,11 @@
 The reference re-fetches all answers of a pool and upserts the vote into the
 assignments table each time results come in (U-2 over A-1).  As a stream:
 answer files arrive in a folder; a stateful streaming aggregation keeps the
-YES/NO counts per task (one state row per task, in the state store); each
-micro-batch's updated counts are upserted into the assignments table with
-``foreachBatch``.  The table is rewritten per batch into a new version folder
-(written, then read back), so the lineage never grows and a restarted query
-resumes from its checkpoint.
+YES/NO counts per task (one state row per task, in the state store; use the
+RocksDB provider for large state); each micro-batch's updated counts go to the
+assignments table with ``foreachBatch``, which appends only the changed rows
+to a log merged on read (newest batch wins), so a batch costs O(batch).  A
+restarted query resumes from its checkpoint.
 """
 
 from __future__ import annotations
@@ -39,28 +39,50 @@ def vote_stream(answers: DataFrame, base_url: str | None = None) -> DataFrame:
 
 
 class AssignmentsTable:
-    """Versioned Parquet table of assignments; each upsert writes a new version folder."""
+    """Assignments as an append-only log of micro-batch updates, merged on read.
+
+    Each micro-batch appends only the rows it changed (``batch_id`` partition),
+    so a batch costs O(batch), not O(table).  Reading merges the log with the
+    U-2 rule (newest batch wins per key, a ``max_by`` aggregate); ``compact``
+    writes the merged state as a new base and starts a new log.
+    """
+
+    KEYS = ("emotion", "audio_path")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.version = 0
-        schema = T.StructType(list(ASSIGNMENTS.fields) + [T.StructField("audio_path", T.StringType())])
-        empty = spark.createDataFrame([], schema)
-        empty.write.mode("overwrite").parquet(self._path(0))
+        self.generation = 0
+        self.schema = T.StructType(list(ASSIGNMENTS.fields) + [T.StructField("audio_path", T.StringType())])
+        self._log_schema = T.StructType(list(self.schema.fields) + [T.StructField("batch_id", T.LongType())])
+        spark.createDataFrame([], self._log_schema).write.mode("overwrite").partitionBy("batch_id").parquet(self._log())
 
-    def _path(self, v: int) -> str:
-        return f"{self.root}/v{v:06d}"
+    def _log(self) -> str:
+        return f"{self.root}/g{self.generation:04d}/log"
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self._path(self.version))
+    def _base(self) -> str:
+        return f"{self.root}/g{self.generation:04d}/base"
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        # key: the task input (one URL can only carry one track), so URL forms stay separate rows
-        merged = upsert_assignments(self.read(), batch.select(*self.read().columns), keys=("emotion", "audio_path"))
-        nxt = self.version + 1
-        merged.write.mode("overwrite").parquet(self._path(nxt))
-        self.version = nxt
+        cols = [f.name for f in self.schema.fields]
+        batch.select(*cols, F.lit(batch_id).cast("long").alias("batch_id")).write.mode("append").partitionBy("batch_id").parquet(self._log())
+
+    def read(self) -> DataFrame:
+        cols = [f.name for f in self.schema.fields]
+        log = self.spark.read.schema(self._log_schema).parquet(self._log())
+        merged = log.groupBy(*self.KEYS).agg(F.max_by(F.struct(*[c for c in cols if c not in self.KEYS]), F.col("batch_id")).alias("_r"))
+        current = merged.select(*self.KEYS, "_r.*").select(*cols)
+        if self.generation == 0:
+            return current
+        base = self.spark.read.schema(self.schema).parquet(self._base())
+        return upsert_assignments(base, current, keys=self.KEYS)
+
+    def compact(self) -> None:
+        """Write the merged state as the next generation's base (its log starts empty)."""
+        state = self.read()
+        self.generation += 1
+        state.write.mode("overwrite").parquet(self._base())
+        self.spark.createDataFrame([], self._log_schema).write.mode("overwrite").partitionBy("batch_id").parquet(self._log())
 
 
 def run_vote_stream(spark: SparkSession, answers_dir: str, schema: T.StructType, base_url: str | None = None, table_root: str | None = None) -> DataFrame:

@@ -135,3 +135,9 @@ def test_playlist_reject_reasons(spark):
 def test_page_offset(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     assert [r.k for r in catalog.page(df, ["k"], page_no=2, per_page=20).collect()] == list(range(40, 60))
+
+
+def test_page_after_keyset(spark):
+    df = spark.range(100).withColumnRenamed("id", "k")
+    assert [r.k for r in catalog.page_after(df, "k", 39, 20).collect()] == list(range(40, 60))
+    assert [r.k for r in catalog.page_after(df, "k", None, 3).collect()] == [0, 1, 2]

@@ -61,3 +61,17 @@ def test_stream_vote_equals_batch(spark):
     batch = crowd.majority_vote(df, base_url="https://b.example/")
     assert rows(streamed, "ym_track_id", "emotion", "NO", "YES") == rows(batch, "ym_track_id", "emotion", "NO", "YES")
 
+
+
+def test_assignments_log_compaction(spark):
+    from tessitura.streaming.votes import AssignmentsTable
+
+    t = AssignmentsTable(spark, scratch_path(spark, "t-log"))
+    cols = "ym_track_id long, emotion string, NO long, YES long, rate double, audio_path string"
+    t.upsert(spark.createDataFrame([(1, "happy", 1, 0, 0.0, "u1"), (2, "happy", 0, 1, 1.0, "u2")], cols), 0)
+    t.upsert(spark.createDataFrame([(1, "happy", 1, 2, 2 / 3, "u1")], cols), 1)
+    before = rows(t.read(), "audio_path", "YES")
+    assert before == [("u1", 2), ("u2", 1)]
+    t.compact()
+    t.upsert(spark.createDataFrame([(3, "sad", 0, 1, 1.0, "u3")], cols), 2)
+    assert rows(t.read(), "audio_path", "YES") == [("u1", 2), ("u2", 1), ("u3", 1)]
