@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # top-n per group with n <= this value gets a partial limit before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    # checkpoint files of DataFrames that are no longer referenced get deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # Largest table we ever hint as broadcast.  Only tables whose row count is
