@@ -209,8 +209,8 @@ def skipped_in_row(
     with the carry between blocks taken from the per-block table.
     """
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    base = answers.withColumn("_skip", F.coalesce(skipped, F.lit(False))).withColumn("_blkday", day_block(micros, block_days))
-    indexed = dense_index(base, order_cols, F.col("_blkday"), partition_cols=[worker_col], idx_col="_pos")
+    base = answers.withColumn("_skip", F.coalesce(skipped, F.lit(False)))
+    indexed = dense_index(base, order_cols, day_block(micros, block_days), partition_cols=[worker_col], idx_col="_pos", block_col="_blkday")
     keep_pos = F.when(~F.col("_skip"), F.col("_pos"))
     w_in = Window.partitionBy(worker_col, "_blkday").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     local = indexed.withColumn("_last_local", F.max(keep_pos).over(w_in))
@@ -228,14 +228,25 @@ def skipped_in_row(
 
 
 # --------------------------------------------------------------------- W-6
-def majority_answers(answers: DataFrame, task_cols: Sequence[str] = ("emotion", "audio_path"), result_col: str = "result", threshold: int = MAJORITY_ANSWER_THRESHOLD) -> DataFrame:
-    """Majority answer per task: the answer given by at least ``threshold`` workers (unique when it exists)."""
-    counts = answers.where(F.col(result_col).isNotNull()).groupBy(*task_cols, result_col).agg(F.count(F.lit(1)).alias("_c"))
-    top = counts.where(F.col("_c") >= F.lit(threshold)).groupBy(*task_cols).agg(
-        F.max_by(F.col(result_col), F.col("_c")).alias("majority"),
-        F.count(F.lit(1)).alias("_n_major"),
-    )
-    return top.where(F.col("_n_major") == 1).drop("_n_major")
+def majority_answers(
+    answers: DataFrame,
+    task_cols: Sequence[str] = ("emotion", "audio_path"),
+    result_col: str = "result",
+    threshold: int = MAJORITY_ANSWER_THRESHOLD,
+    values: Sequence[str] = ("YES", "NO"),
+) -> DataFrame:
+    """Majority answer per task: the one value given by at least ``threshold`` workers (none when two are).
+
+    One aggregate with a ``count_if`` per known answer value (like a pivot with
+    given values), so a single shuffle by task.
+    """
+    counts = answers.groupBy(*task_cols).agg(*[F.count_if(F.col(result_col) == F.lit(v)).alias(f"_c{i}") for i, v in enumerate(values)])
+    reached = [F.col(f"_c{i}") >= F.lit(threshold) for i in range(len(values))]
+    n_reached = sum((r.cast("int") for r in reached), F.lit(0))
+    pick = F.lit(None).cast("string")
+    for i in reversed(range(len(values))):
+        pick = F.when(reached[i], F.lit(values[i])).otherwise(pick)
+    return counts.where(n_reached == 1).select(*task_cols, pick.alias("majority"))
 
 
 def majority_agreement(

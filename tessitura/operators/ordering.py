@@ -32,6 +32,7 @@ def dense_index(
     idx_col: str = "idx",
     total_col: str | None = None,
     block_bound: int | None = None,
+    block_col: str | None = None,
 ) -> DataFrame:
     """Add ``idx_col``: 0-based position of each row in its partition, ordered by ``order_cols``.
 
@@ -39,6 +40,8 @@ def dense_index(
     ``order_cols`` must be a total order (add a unique tiebreak).  When
     ``block_bound`` is given (e.g. 16**k for a hex prefix) and there are no
     partition columns, the block table has a proven size and is broadcast.
+    With ``block_col`` the block key is kept under that name, so later
+    windows on (partition, block) reuse this partitioning without a shuffle.
     """
     parts = list(partition_cols)
     orders = [col_of(c) for c in order_cols]
@@ -56,7 +59,8 @@ def dense_index(
         offsets = bounded_broadcast(offsets, block_bound)
     joined = with_block.join(offsets, on=[*parts, "_blk"], how="inner")
     w_in = Window.partitionBy(*parts, "_blk").orderBy(*orders)
-    return joined.withColumn(idx_col, (F.col("_off") + F.row_number().over(w_in) - 1).cast("long")).drop("_off", "_blk")
+    out = joined.withColumn(idx_col, (F.col("_off") + F.row_number().over(w_in) - 1).cast("long")).drop("_off")
+    return out.withColumnRenamed("_blk", block_col) if block_col else out.drop("_blk")
 
 
 def hex_block(key: Column, digits: int = 3) -> Column:

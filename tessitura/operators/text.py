@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .._compat import col_of
 from ..schemas import KEYWORD_VOCAB_SIZE, KEYWORDS_TOP
-from ..session import bounded_broadcast, spread
+from ..session import bounded_broadcast, checkpoint, spread
 
 TOKEN_RE = r"\p{L}{3,}"
 
@@ -73,7 +73,7 @@ def tfidf_keywords(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
     size, the join), so it is checkpointed once to the shared checkpoint
     folder instead of tokenising every text three times.
     """
-    tf = term_counts(docs, doc_col, text_col).checkpoint(eager=True)
+    tf = checkpoint(term_counts(docs, doc_col, text_col))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n_docs = tf.select(F.countDistinct("doc")).scalar()
     j = salted_join(tf, df, "word", "doc", n_salts)

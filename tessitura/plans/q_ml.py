@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..operators import aggregates, features, keyphrases, metrics, ml, split
 from ..schemas import EMOTIONS
+from ..session import checkpoint
 from ..sources.tables import read_table
 from .q_features import embedding_rows
 from .registry import register
@@ -20,7 +21,7 @@ def q_log_mel(spark, sf_dir):
     feeds both the FFT and the frame counts.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    pcm = features.pcm_from_text(docs).checkpoint(eager=True)
+    pcm = checkpoint(features.pcm_from_text(docs))
     frames = features.log_mel(pcm)
     counts = features.frame_counts(pcm)
     chunked = features.chunk_frames(frames, 64, counts).groupBy("track_id").agg(F.countDistinct("chunk").alias("n_chunks_64"))

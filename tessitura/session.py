@@ -116,3 +116,9 @@ def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> Data
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (resolved first; never ``localCheckpoint``)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
