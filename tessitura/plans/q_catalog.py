@@ -373,8 +373,8 @@ def q_work_list(spark, sf_dir):
     ("J-5",),
     f"""
 WITH t AS (SELECT p_partkey AS ym_track_id, p_name AS track_title, p_brand AS artist_name,
-                  CASE WHEN p_partkey % 4 = 0 THEN p_type END AS g FROM part),
-     lk AS (SELECT DISTINCT p_name AS track_title, p_brand AS artist_name FROM part WHERE p_size % 3 <> 0),
+                  CASE WHEN p_type = 'PROMO' THEN p_type END AS g FROM part),
+     lk AS (SELECT DISTINCT p_name AS track_title, p_brand AS artist_name FROM part WHERE p_size > 10),
      lkg AS (SELECT track_title, artist_name, lower(track_title) AS genres FROM lk WHERE length(track_title) % 2 = 0
              UNION ALL SELECT track_title, artist_name, NULL FROM lk WHERE length(track_title) % 2 = 1)
 SELECT t.ym_track_id, coalesce(CASE WHEN t.g IS NOT NULL THEN t.g ELSE lkg.genres END, '') AS deezer_genres
@@ -386,9 +386,9 @@ def q_genres(spark, sf_dir):
     p = read_table(spark, sf_dir, "part")
     tracks = p.select(
         F.col("p_partkey").alias("ym_track_id"), F.col("p_name").alias("track_title"), F.col("p_brand").alias("artist_name"),
-        F.when(F.pmod("p_partkey", F.lit(4)) == 0, F.array(F.col("p_type"))).otherwise(F.array().cast("array<string>")).alias("deezer_genres"),
+        F.when(F.col("p_type") == "PROMO", F.array(F.col("p_type"))).otherwise(F.array().cast("array<string>")).alias("deezer_genres"),
     )
-    lk = p.where(F.pmod("p_size", F.lit(3)) != 0).select(F.col("p_name").alias("track_title"), F.col("p_brand").alias("artist_name")).distinct()
+    lk = p.where(F.col("p_size") > 10).select(F.col("p_name").alias("track_title"), F.col("p_brand").alias("artist_name")).distinct()
     lk = lk.withColumn("genres", F.when(F.length("track_title") % 2 == 0, F.split(F.lower("track_title"), "\\|")))
     out = catalog.enrich_genres(tracks, lk, on_miss="drop")
     return out.select("ym_track_id", join_list("deezer_genres").alias("deezer_genres"))
@@ -483,7 +483,7 @@ def artist_responses(spark, sf_dir):
     name = F.col("c_name").alias("artist_name")
     parts = [
         j.select(name, F.lit("musicovery").alias("source"), F.lit("search").alias("kind"), search.alias("body")),
-        j.where(F.pmod(key, F.lit(6)) != 5).select(name, F.lit("musicovery").alias("source"), F.lit("getinfo").alias("kind"), info.alias("body")),
+        j.where(F.col("c_acctbal") >= 0).select(name, F.lit("musicovery").alias("source"), F.lit("getinfo").alias("kind"), info.alias("body")),
         j.select(name, F.lit("jamendo").alias("source"), F.lit("locations").alias("kind"), js.alias("body")),
     ]
     out = parts[0]
@@ -496,10 +496,10 @@ def artist_responses(spark, sf_dir):
     "catalog_artist_responses",
     ("S-14", "P-12"),
     """
-WITH b AS (SELECT c_name AS artist_name, c_custkey AS k, n_name, r_name, c_mktsegment FROM customer
+WITH b AS (SELECT c_name AS artist_name, c_custkey AS k, c_acctbal, n_name, r_name, c_mktsegment FROM customer
            LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey),
      s AS (SELECT *, CASE WHEN k % 10 = 0 THEN '103' WHEN k % 10 = 1 THEN '101' ELSE '100' END AS code,
-                  CASE WHEN k % 7 = 0 THEN 'invalid' ELSE 'valid' END AS answer, k % 6 <> 5 AS has_info FROM b)
+                  CASE WHEN k % 7 = 0 THEN 'invalid' ELSE 'valid' END AS answer, c_acctbal >= 0 AS has_info FROM b)
 SELECT artist_name,
        CASE WHEN code = '103' THEN 'limit' WHEN code <> '100' OR answer <> 'valid' THEN 'error' ELSE 'ok' END AS status,
        CASE WHEN code = '100' AND answer = 'valid' THEN

@@ -208,10 +208,9 @@ def q_suites(spark, sf_dir):
 
 WORKERS_SQL = """
 SELECT CAST(c_custkey AS VARCHAR) AS worker_id, c_nationkey AS region,
-       CASE WHEN c_custkey % 3 = 0 THEN 'EN' ELSE 'RU' END AS language,
-       CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'BROWSER'
-            WHEN c_mktsegment = 'MACHINERY' THEN 'TOLOKA_APP' ELSE 'OTHER' END AS client,
-       round(c_acctbal / 100.0, 2) AS skill
+       CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 'RU' ELSE 'EN' END AS language,
+       CASE WHEN c_acctbal < 3000 THEN 'BROWSER' WHEN c_acctbal < 8000 THEN 'TOLOKA_APP' ELSE 'OTHER' END AS client,
+       round(100.0 - abs(c_acctbal) / 100.0, 2) AS skill
 FROM customer
 """
 BOUND_REGIONS = [1, 3, 5, 7, 11, 13, 17, 19, 23]
@@ -222,11 +221,10 @@ def workers(spark, sf_dir):
     return c.select(
         F.col("c_custkey").cast("string").alias("worker_id"),
         F.col("c_nationkey").alias("region"),
-        F.when(F.pmod("c_custkey", F.lit(3)) == 0, F.lit("EN")).otherwise(F.lit("RU")).alias("language"),
-        F.when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), F.lit("BROWSER"))
-        .when(F.col("c_mktsegment") == "MACHINERY", F.lit("TOLOKA_APP"))
+        F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD"), F.lit("RU")).otherwise(F.lit("EN")).alias("language"),
+        F.when(F.col("c_acctbal") < 3000, F.lit("BROWSER")).when(F.col("c_acctbal") < 8000, F.lit("TOLOKA_APP"))
         .otherwise(F.lit("OTHER")).alias("client"),
-        F.round(F.col("c_acctbal") / 100.0, 2).alias("skill"),
+        F.round(F.lit(100.0) - F.abs(F.col("c_acctbal")) / 100.0, 2).alias("skill"),
     )
 
 

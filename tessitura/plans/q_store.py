@@ -71,17 +71,17 @@ def q_lookup(spark, sf_dir):
     f"""
 WITH r AS (SELECT DISTINCT doc_id AS track_id FROM labels), e AS ({EMB_SQL})
 SELECT r.track_id,
-       CASE WHEN e.track_id IS NULL THEN 'missing' WHEN e.track_id % 2 = 0 THEN 'hit' ELSE 'extracted' END AS status,
+       CASE WHEN e.track_id IS NULL THEN 'missing' WHEN e.label < 5 THEN 'hit' ELSE 'extracted' END AS status,
        CAST(CASE WHEN e.track_id IS NULL THEN 0 ELSE 8 END AS BIGINT) AS n_chunks
 FROM r LEFT JOIN e USING (track_id)
 """,
 )
 def q_fill(spark, sf_dir):
-    even = F.pmod("track_id", F.lit(2)) == 0
-    path = build_store(spark, sf_dir, where=even)
+    seeded = F.col("label") < 5  # the store starts with the features of classes 0-4
+    path = build_store(spark, sf_dir, where=seeded)
     emb = embedding_rows(spark, sf_dir)
     # ids the store held before the fill (the rows it was built from)
-    before = emb.where(even).select("track_id").withColumn("_was", F.lit(True))
+    before = emb.where(seeded).select("track_id").withColumn("_was", F.lit(True))
 
     def extract(ids):
         return chunk_features(emb.join(ids, "track_id", "left_semi"))
