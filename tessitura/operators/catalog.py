@@ -24,6 +24,7 @@ from ..schemas import (
     POPULAR_GENRE_KEEP,
     UNPOPULAR_GENRES,
 )
+from .joins import salted_join
 
 
 # ------------------------------------------------------------------ P-1 .. P-4
@@ -261,16 +262,21 @@ def dedupe_cache(cache: DataFrame, name_col: str = "artist_name") -> DataFrame:
     return agg.select("_key", *[F.col("_row")[c].alias(c) for c in payload])
 
 
-def enrich_artists(tracks: DataFrame, cache: DataFrame, fallbacks: Sequence[DataFrame] = (), name_col: str = "artist_name") -> DataFrame:
+def enrich_artists(tracks: DataFrame, cache: DataFrame, fallbacks: Sequence[DataFrame] = (), name_col: str = "artist_name", salt_from: str | None = None) -> DataFrame:
     """J-4 + P-14: fill missing artist fields by lower-cased name, track value first, then cache,
     then each fallback source in order (each source: ``artist_name`` + some of the fields).
+
+    Every source is first reduced to one row per name; the joins are salted
+    by ``salt_from`` (a track column, default the first column) because one
+    artist may own a large share of the tracks.
     """
+    salt = salt_from or tracks.columns[0]
     out = tracks.withColumn("_key", F.lower(F.col(name_col)))
     sources = [dedupe_cache(cache, name_col)] + [dedupe_source(s, name_col) for s in fallbacks]
     for i, src in enumerate(sources):
         fields = [f for f in ARTIST_FIELDS if f in src.columns]
         src = src.select("_key", *[F.col(f).alias(f"_s{i}_{f}") for f in fields])
-        out = out.join(src, "_key", "left")
+        out = salted_join(out, src, "_key", salt, how="left")
         for f in fields:
             out = out.withColumn(f, F.coalesce(F.col(f), F.col(f"_s{i}_{f}"))).drop(f"_s{i}_{f}")
     return out.drop("_key")

@@ -31,6 +31,7 @@ from ..schemas import (
     vocabulary,
 )
 from ..session import bounded_broadcast
+from .joins import salted_join
 from .ordering import day_block, dense_index, near_equal_parts
 
 DAY_MICROS = 86_400_000_000
@@ -271,7 +272,8 @@ def majority_agreement(
     next chunk as context, so each window task holds ``chunk + history`` rows.
     """
     major = majority_answers(answers, task_cols, result_col, threshold)
-    scored = answers.join(major, list(task_cols), "inner").withColumn(
+    # one task may hold a large share of all answers: salt the task join by worker and time
+    scored = salted_join(answers, major, list(task_cols), [worker_col, time_col]).withColumn(
         "correct", (F.col(result_col) == F.col("majority")).cast("int")
     )
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))

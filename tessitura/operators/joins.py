@@ -1,0 +1,31 @@
+"""Join helpers for skewed keys."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_SALTS = 16
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], salt_from: str | Column | Sequence[str], n_salts: int = DEFAULT_SALTS, how: str = "inner") -> DataFrame:
+    """Equi-join where one key value may hold a large share of ``big``.
+
+    ``small`` must have at most a few rows per key (a dimension or an
+    aggregate).  Each of its rows is copied ``n_salts`` times; ``big`` gets
+    ``salt = pmod(xxhash64(salt_from), n_salts)`` from columns that vary within
+    a key, so one hot key is spread over ``n_salts`` tasks instead of one.
+    ``how`` is ``inner`` or ``left`` (big side preserved).
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    if isinstance(salt_from, str):
+        cols = [F.col(salt_from)]
+    elif isinstance(salt_from, Column):
+        cols = [salt_from]
+    else:
+        cols = [F.col(c) for c in salt_from]
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(n_salts)).cast("int"))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
+    return b.join(s, [*keys, "_salt"], how).drop("_salt")

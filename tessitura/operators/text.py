@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .._compat import col_of
 from ..schemas import KEYWORD_VOCAB_SIZE, KEYWORDS_TOP
 from ..session import bounded_broadcast, checkpoint, spread
+from .joins import salted_join
 
 TOKEN_RE = r"\p{L}{3,}"
 
@@ -31,18 +32,6 @@ def attach_lyrics(tracks: DataFrame, lyrics: DataFrame, key: str = "track_id", l
     return j.withColumn("lyrics_path", path).drop("_lk", "_clean")
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, salt_from: str, n_salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join where ``key`` may be very hot on the ``big`` side.
-
-    Each small-side row is copied ``n_salts`` times and the big side gets
-    ``salt = pmod(xxhash64(salt_from), n_salts)``, so one hot key is spread
-    over ``n_salts`` tasks instead of one.
-    """
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_from)), F.lit(n_salts)).cast("int"))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-    return b.join(s, [key, "_salt"], how).drop("_salt")
-
-
 def tokens(c) -> Column:
     """Maximal runs of 3+ Unicode letters of the lower-cased, cleaned text.
 
