@@ -24,6 +24,7 @@ from ..schemas import (
     POPULAR_GENRE_KEEP,
     UNPOPULAR_GENRES,
 )
+from ..session import bounded_broadcast
 from .joins import salted_join
 
 
@@ -96,7 +97,7 @@ def unknown_genres(df: DataFrame, src_col: str = "genre", strict: bool = True) -
     mapping = GENRE_MAP_STRICT if strict else GENRE_MAP
     known = df.sparkSession.createDataFrame([(k,) for k in mapping], "raw string")
     vals = df.select(F.col(src_col).alias("raw")).where(F.col("raw").isNotNull()).distinct()
-    return vals.join(F.broadcast(known), "raw", "left_anti")
+    return vals.join(bounded_broadcast(known, len(mapping)), "raw", "left_anti")
 
 
 def drop_narrow_genres(df: DataFrame, source_col: str = "genre", genre_col: str = "genre", narrow: Sequence[str] = NARROW_GENRES) -> DataFrame:
