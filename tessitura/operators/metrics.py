@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .._compat import col_of
 from ..functions.scores import argmax, topk_indices
-from ..schemas import EMOJI, EMOTIONS
+from ..schemas import EMOJI, EMOTION_WORDS, EMOTIONS
 from ..session import bounded_broadcast
 
 
@@ -86,6 +86,12 @@ def emoji_of(c) -> Column:
     return F.coalesce(F.try_element_at(lit_map, col_of(c)), F.lit(""))
 
 
+def emotion_words_of(c) -> Column:
+    """F-12: task-page words of an emotion, the emotion name itself when unknown."""
+    lit_map = F.create_map(*[F.lit(x) for kv in EMOTION_WORDS.items() for x in kv])
+    return F.coalesce(F.try_element_at(lit_map, col_of(c)), col_of(c))
+
+
 def fonts_lookup(df: DataFrame, fonts: DataFrame, emotion_col: str = "emotion", vocab_size: int = len(EMOTIONS)) -> DataFrame:
     """J-11: emotion -> fonts, ``[]`` when unknown.  The fonts table has one row per emotion (bounded)."""
     f = bounded_broadcast(fonts.select(F.col("emotion").alias("_fe"), F.col("fonts").alias("_fonts")), vocab_size)

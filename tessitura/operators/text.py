@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .._compat import col_of
 from ..schemas import KEYWORD_VOCAB_SIZE, KEYWORDS_TOP
-from ..session import bounded_broadcast, checkpoint, spread
+from ..session import bounded_broadcast, materialize, spread
 from .joins import salted_join
 
 TOKEN_RE = r"\p{L}{3,}"
@@ -59,10 +59,10 @@ def tfidf_keywords(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
     """K-1: per document the ``top`` words by ``tf/len * ln(N/df)``, ties A-Z; ``rank`` from 1.
 
     The term-count table feeds three consumers (document frequency, corpus
-    size, the join), so it is checkpointed once to the shared checkpoint
-    folder instead of tokenising every text three times.
+    size, the join), so it is written once as a Parquet table below the shared
+    checkpoint folder instead of tokenising every text three times.
     """
-    tf = checkpoint(term_counts(docs, doc_col, text_col))
+    tf = materialize(term_counts(docs, doc_col, text_col), "term-counts")
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n_docs = tf.select(F.countDistinct("doc")).scalar()
     j = salted_join(tf, df, "word", "doc", n_salts)

@@ -214,6 +214,13 @@ def _emoji_case(col: str) -> str:
     return f"coalesce(CASE {col} {whens} END, '')"
 
 
+def _words_case(col: str) -> str:
+    from ..schemas import EMOTION_WORDS
+
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EMOTION_WORDS.items())
+    return f"coalesce(CASE {col} {whens} END, {col})"
+
+
 @register(
     "scores_chunk_vote",
     ("A-9", "W-3", "F-12", "F-16"),
@@ -223,7 +230,8 @@ def _emoji_case(col: str) -> str:
 SELECT track_id, string_agg(emotion, ',' ORDER BY pos) AS emotions,
        max(CASE WHEN pos = 0 THEN emotion END) AS emotion_1, max(CASE WHEN pos = 1 THEN emotion END) AS emotion_2,
        max(CASE WHEN pos = 2 THEN emotion END) AS emotion_3,
-       max(CASE WHEN pos = 0 THEN {_emoji_case('emotion')} END) AS emoji_1
+       max(CASE WHEN pos = 0 THEN {_emoji_case('emotion')} END) AS emoji_1,
+       max(CASE WHEN pos = 0 THEN {_words_case('emotion')} END) AS words_1
 FROM n GROUP BY track_id
 """,
 )
@@ -236,6 +244,7 @@ def q_chunk_vote(spark, sf_dir):
         F.array_join("labels", ",").alias("emotions"),
         *metrics.ranked_fields("labels", 3, "emotion"),
         metrics.emoji_of(F.try_element_at("labels", F.lit(1))).alias("emoji_1"),
+        metrics.emotion_words_of(F.try_element_at("labels", F.lit(1))).alias("words_1"),
     )
 
 

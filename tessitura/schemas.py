@@ -99,6 +99,16 @@ EMOJI = {
     "anger": "😡", "wary": "😑", "surprise": "😲", "fear": "😱",
 }
 
+# Task-page words per emotion (unknown -> the emotion name itself).
+EMOTION_WORDS = {
+    "comfortable": "Комфортная, уютная, домашняя", "happy": "Счастливая", "inspirational": "Вдохновляющая",
+    "joy": "Радостная, позитивная, бодрая", "lonely": "Одинокая", "funny": "Забавная, смешная",
+    "nostalgic": "Ностальгическая", "passionate": "Страстная, сексуальная", "quiet": "Спокойная, тихая",
+    "relaxed": "Расслабленная, релакс", "romantic": "Романтическая", "sadness": "Печальная, грустная",
+    "soulful": "Душевная", "sweet": "Сладкая, милая", "serious": "Серьёзная", "anger": "Ярость, гнев",
+    "wary": "Острожная, напряжённая", "surprise": "Удивительная, сюрприз", "fear": "Страх",
+}
+
 # Crowd rules.
 REWARD_PER_ASSIGNMENT = 0.01
 TASKS_PER_SUITE = 20
