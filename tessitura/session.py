@@ -61,7 +61,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     the session.  Only when nothing is set (local runs, tests) do we pick a
     folder of our own.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a local SparkContext (Spark Connect): use the setting as is
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set")
+        return configured
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
@@ -112,8 +118,11 @@ def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> Data
     after a scan of few, large files.  A big input already split into many
     file partitions is returned unchanged, so no extra shuffle at scale.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD view of the plan (e.g. Spark Connect): leave the layout to the scan
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
