@@ -75,3 +75,16 @@ def test_assignments_log_compaction(spark):
     t.compact()
     t.upsert(spark.createDataFrame([(3, "sad", 0, 1, 1.0, "u3")], cols), 2)
     assert rows(t.read(), "audio_path", "YES") == [("u1", 2), ("u2", 1), ("u3", 1)]
+
+
+def test_lookup_prunes_partitions(spark):
+    path = scratch_path(spark, "t-prune")
+    shards.write_store(feats(spark, range(100)), path, mode="overwrite")
+    store = shards.read_store(spark, path)
+    static = shards.lookup_ids(store, [3, 23])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in static and "(bucket#" in static
+    ids = spark.createDataFrame([(7,), (27,)], "track_id long")
+    q = shards.lookup_table(store, ids)
+    assert rows(q, "track_id") == [(7,), (7,), (27,), (27,)]
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "(bucket#" in plan
