@@ -36,7 +36,7 @@ def multi_hot_from_indices(idx_list, n: int) -> Column:
 
 
 def names_of(indices, vocab: Sequence[str]) -> Column:
-    """F-13: index list -> names through a fixed vocabulary."""
+    """F-13 / M-3: index list -> names through a fixed vocabulary (top-k names in score order)."""
     voc = F.array(*[F.lit(v) for v in vocab])
     return F.transform(col_of(indices), lambda i: F.element_at(voc, i + 1))
 

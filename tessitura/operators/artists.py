@@ -16,7 +16,7 @@ CODE_OK, CODE_LIMIT, ANSWER_OK = "100", "103", "valid"
 
 
 def parse_search_info(responses: DataFrame) -> DataFrame:
-    """P-12 (first source): per artist ``status``, ``country``, ``sex``, ``year``.
+    """S-14 / P-12 (first source): per artist ``status``, ``country``, ``sex``, ``year``.
 
     The search response must have code 100 and answer ``valid`` (else status
     ``error``; code 103 is ``limit``).  Country comes from the search and is
@@ -39,7 +39,7 @@ def parse_search_info(responses: DataFrame) -> DataFrame:
 
 
 def parse_locations(responses: DataFrame) -> DataFrame:
-    """P-12 (fallback source): country of the first location of the first hit when status is ``success``."""
+    """S-14 / P-12 (fallback source): country of the first location of the first hit when status is ``success``."""
     j = responses.where(F.col("source") == "jamendo").withColumn("j", F.from_json("body", JSON_SCHEMA))
     first = F.try_element_at(F.try_element_at(F.col("j.results"), F.lit(1))["locations"], F.lit(1))["country"]
     country = F.when(F.col("j.headers.status") == "success", first)

@@ -112,7 +112,7 @@ def drop_narrow_genres(df: DataFrame, source_col: str = "genre", genre_col: str
 
 
 def keep_rate_expr(class_col, id_col, rules: Mapping[str, int]) -> Column:
-    """Keep-rule predicate: class ``c`` with threshold ``t`` keeps ``pmod(id, 10) <= t``; others all kept.
+    """R-5 keep-rule predicate: class ``c`` with threshold ``t`` keeps ``pmod(id, 10) <= t``; others all kept.
 
     A null class is kept (pandas ``!=`` is True for null).
     """
@@ -156,7 +156,7 @@ def playlist_emotion(title: Column, prefix: str = "emotion-") -> Column:
 
 
 def flatten_playlist_tracks(entries: DataFrame, track_col: str = "track", title_col: str = "title", pos_col: str = "pos") -> DataFrame:
-    """P-9 + P-10 + P-11: playlist entries ``(title, pos, track struct)`` -> flat track rows.
+    """S-13 / P-9 / P-10 / P-11: playlist entries ``(title, pos, track struct)`` -> flat track rows.
 
     Invalid tracks are kept with a ``reject_reason`` so the caller can report them.
     """

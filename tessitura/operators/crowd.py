@@ -100,7 +100,7 @@ def apply_confirmed(tracks: DataFrame, confirmed: DataFrame, track_col: str = "y
 
 # --------------------------------------------------------------------- U-2 / W-2
 def upsert_assignments(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("ym_track_id", "emotion")) -> DataFrame:
-    """U-2: union old and new assignments; for each key the newest row wins.
+    """U-2 / W-2: union old and new assignments; for each key the newest row wins.
 
     Implemented as ``max_by`` over a version number: a hash aggregate with
     partial aggregation, no sort and no window.

@@ -137,7 +137,7 @@ def _blocks_to_frames(block_size: int, n_fft: int, hop: int, n_mels: int, sr: in
 
 
 def log_mel(pcm: DataFrame, block_size: int = BLOCK_SIZE, n_fft: int = N_FFT, hop: int = HOP_LENGTH, n_mels: int = N_MELS, sr: int = SAMPLE_RATE, channel: int | None = None, scale: str = "slaney") -> DataFrame:
-    """X-1: ``(track_id, frame, mel array<float>)`` time-major log-mel rows.
+    """X-1 / X-5: ``(track_id, frame, mel array<float>)`` time-major log-mel rows.
 
     X-5 is the same operator with ``channel`` (one channel of a multi-channel
     PCM table, ``channel`` column) and ``scale='htk'``.  Resampling to
@@ -162,6 +162,22 @@ def first_seconds(pcm: DataFrame, seconds: float, sr: int = SAMPLE_RATE, block_s
     return keep.withColumn("samples", F.slice("samples", 1, n_keep.cast("int")))
 
 
+def explode_chunks(df: DataFrame, chunks_col: str = "chunks", key: str = "track_id") -> DataFrame:
+    """X-8: one item per (track, minute chunk): ``(key, chunk, values)``."""
+    return df.select(key, F.posexplode(chunks_col).alias("chunk", "values"))
+
+
+def training_matrix(features: DataFrame, labels: DataFrame, vocab: list[str], length: int, key: str = "track_id",
+                    values_col: str = "values", labels_col: str = "labels") -> DataFrame:
+    """X-10: every feature row padded/cut to ``length`` values (zeros before any log) with its
+    multi-hot label vector in vocabulary order; rows are joined by key, never by position (Q-4, Q-15)."""
+    from ..functions.arrays import pad_truncate
+    from ..functions.scores import multi_hot
+
+    j = features.join(labels.select(key, labels_col), key, "inner")
+    return j.select(key, pad_truncate(values_col, length).alias("x"), multi_hot(labels_col, vocab).alias("y"))
+
+
 def frame_counts(pcm: DataFrame, hop: int = HOP_LENGTH) -> DataFrame:
     """Frames per track with centred framing: ``1 + len // hop`` (from block sizes, no FFT needed)."""
     n = pcm.groupBy("track_id").agg(F.sum(F.size("samples")).alias("n_samples"))

@@ -128,7 +128,7 @@ def ranked_fields(labels, k: int, prefix: str) -> list[Column]:
 
 
 def mislabels(predictions: DataFrame, labels: DataFrame, tracks: DataFrame, key: str = "track_id") -> DataFrame:
-    """J-12: tracks whose predicted label is not among their true labels, as distinct (pred, audio_path)."""
+    """J-12 / U-5: tracks whose predicted label is not among their true labels, as distinct (pred, audio_path)."""
     j = predictions.join(labels, key).join(tracks.select(key, "audio_path"), key)
     return j.where(~F.coalesce(F.array_contains("labels", F.col("pred")), F.lit(False))).select("pred", "audio_path").distinct()
 

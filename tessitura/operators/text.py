@@ -80,7 +80,7 @@ def keywords_as_list(keywords: DataFrame, doc_col: str = "doc_id") -> DataFrame:
 
 
 def keyword_vocabulary(keywords: DataFrame, size: int = KEYWORD_VOCAB_SIZE) -> DataFrame:
-    """A-6 / L-6: the ``size`` most frequent keywords (occurrences, Q-9), ties A-Z; ``idx`` from 0."""
+    """A-6 / L-6 / K-3: the ``size`` most frequent keywords (occurrences, Q-9), ties A-Z; ``idx`` from 0."""
     counts = keywords.groupBy("keyword").agg(F.count(F.lit(1)).alias("count"))
     top = counts.orderBy(F.desc("count"), F.asc("keyword")).limit(size)
     w = Window.orderBy(F.desc("count"), F.asc("keyword"))  # over at most `size` rows
@@ -88,7 +88,7 @@ def keyword_vocabulary(keywords: DataFrame, size: int = KEYWORD_VOCAB_SIZE) -> D
 
 
 def restrict_to_vocabulary(keywords: DataFrame, vocab: DataFrame, doc_col: str = "doc_id", size: int = KEYWORD_VOCAB_SIZE) -> DataFrame:
-    """A-7: per document its keywords that are in the vocabulary (vocabulary order); documents left with none are dropped."""
+    """A-7 / K-3: per document its keywords that are in the vocabulary (vocabulary order); documents left with none are dropped."""
     v = bounded_broadcast(vocab.select("keyword", "idx"), size)
     j = keywords.select(doc_col, "keyword").join(v, "keyword", "inner")
     g = j.groupBy(doc_col).agg(F.array_sort(F.collect_set(F.struct("idx", "keyword"))).alias("_s"))

@@ -584,3 +584,47 @@ def q_renames(spark, sf_dir):
     r = a.withColumn("new_path", remove_album_from_name("audio_path"))
     return r.select("audio_path", "new_path", file_stem("new_path").alias("stem"), file_ext("new_path").alias("ext"),
                     short_audio_path("new_path").alias("short_path"))
+
+
+# ------------------------------------------------------------------ image-pair study (J-6, P-16, P-17)
+PAIR_BASE = "https://static.tracks.example/data/"
+
+
+@register(
+    "catalog_pair_tasks",
+    ("P-16", "P-17", "J-6", "R-3"),
+    f"""
+WITH m AS (SELECT DISTINCT TRY_CAST(NULLIF(regexp_extract(url, '{PAGE_ID_RE}', 1), '') AS BIGINT) AS track_id FROM pages),
+     items AS (SELECT m.track_id,
+                      '{PAIR_BASE}audios/' || CAST(m.track_id AS VARCHAR) || '.mp3' AS url_audio,
+                      'https://covers.example/' || CAST(p.p_partkey AS VARCHAR) || '.jpg' AS url_cover,
+                      '{PAIR_BASE}images/' || CAST(m.track_id AS VARCHAR) || '_gen.jpg' AS url_cover_generated
+               FROM m JOIN part p ON m.track_id = p.p_partkey),
+     idx AS (SELECT *, row_number() OVER (ORDER BY md5('3:' || CAST(track_id AS VARCHAR)), track_id) - 1 AS i,
+                    count(*) OVER () AS n FROM items),
+     r AS (SELECT a.url_cover_generated AS image_first, b.url_cover_generated AS image_second, a.url_audio AS audio_path
+           FROM idx a JOIN idx b
+             ON b.i = CAST(('0x' || substr(md5('partner:3:' || CAST(a.track_id AS VARCHAR)), 1, 8))::UBIGINT % a.n AS BIGINT))
+SELECT 'original' AS kind, url_cover AS image_first, url_cover_generated AS image_second, url_audio AS audio_path FROM items
+UNION ALL
+SELECT 'analog', url_cover_generated,
+       '{PAIR_BASE}images-other/image-' || CAST(CAST(('0x' || substr(md5('analog:3:' || CAST(track_id AS VARCHAR)), 1, 8))::UBIGINT % 1000 AS BIGINT) + 1 AS VARCHAR) || '.jpg',
+       url_audio FROM items
+UNION ALL
+SELECT 'random', image_first, image_second, audio_path FROM r
+""",
+)
+def q_pairs(spark, sf_dir):
+    from ..operators import pairs
+
+    images = manifest_ids(read_table(spark, sf_dir, "pages").select(F.col("url").alias("path")), "path", PAGE_ID_RE).select("track_id").distinct()
+    p = read_table(spark, sf_dir, "part")
+    tracks = p.select(
+        F.col("p_partkey").alias("ym_track_id"), F.col("p_type").alias("genre"),
+        F.concat(F.lit("covers.example/"), F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("cover_url"),
+    )
+    items, _missing = pairs.pair_items(images, tracks, base=PAIR_BASE)
+    out = pairs.pairs_original(items).withColumn("kind", F.lit("original"))
+    out = out.unionByName(pairs.pairs_analog(items, seed=3, base=PAIR_BASE).withColumn("kind", F.lit("analog")))
+    out = out.unionByName(pairs.pairs_random(items, seed=3).withColumn("kind", F.lit("random")))
+    return out.select("kind", "image_first", "image_second", "audio_path")

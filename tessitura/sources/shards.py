@@ -84,7 +84,7 @@ def load_or_extract(
     key: str = "track_id",
     n_shards: int = N_SHARDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """J-9: hits from the store, misses extracted by ``extract(ids)`` and appended; returns
+    """J-9 / X-9: hits from the store, misses extracted by ``extract(ids)`` and appended; returns
     ``(features for every id that has them, ids still missing)``.
 
     The misses are written before they are read back, which also cuts the
@@ -108,3 +108,11 @@ def shard_report(requested: DataFrame, found: DataFrame, key: str = "track_id",
     hit = found.select("track_id").distinct().withColumn("_hit", F.lit(1))
     j = req.join(hit, "track_id", "left").withColumn("bucket", shard_of("track_id", n_shards))
     return j.groupBy("bucket").agg(F.count(F.lit(1)).alias("requested"), F.count("_hit").alias("found"))
+
+
+def attach_labels(features: DataFrame, labels: DataFrame, key: str = "track_id") -> tuple[DataFrame, DataFrame]:
+    """J-8: one row per (track, chunk) with the track's labels (inner join), and the
+    labelled tracks that have no features (anti join, the report)."""
+    rows = features.join(labels, key, "inner")
+    missing = labels.select(key).distinct().join(features.select(key).distinct(), key, "left_anti")
+    return rows, missing
