@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..functions.scores import multi_hot_from_indices
 from ..sources.tables import read_table
 from .registry import register
 
@@ -108,6 +107,9 @@ SELECT track_id, repeat('0', label) || '1' || repeat('0', 9 - label) AS multihot
 """,
 )
 def q_training_matrix(spark, sf_dir):
+    from ..operators.features import training_matrix
+
     e = embedding_rows(spark, sf_dir)
-    mh = multi_hot_from_indices(F.array("label"), 10)
-    return e.select("track_id", F.array_join(mh, "").alias("multihot"), F.size(arrays.pad_truncate("v", 64)).alias("n_values"))
+    labels = e.select("track_id", F.array(F.col("label").cast("string")).alias("labels"))
+    m = training_matrix(e.select("track_id", F.col("v").alias("values")), labels, [str(i) for i in range(10)], 64)
+    return m.select("track_id", F.array_join("y", "").alias("multihot"), F.size("x").alias("n_values"))

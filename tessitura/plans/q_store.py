@@ -61,7 +61,7 @@ def q_lookup(spark, sf_dir):
     store = shards.read_store(spark, build_store(spark, sf_dir))
     lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("track_id"), "quality", "toxic")
     feats = shards.lookup_table(store, lab)
-    j = feats.join(lab, "track_id")
+    j, _missing = shards.attach_labels(feats, lab)
     return j.select("track_id", "chunk", "quality", "toxic", F.round(arrays.array_sum("mel"), 4).alias("total"))
 
 
