@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lists import join_list
-from ..operators import aggregates, catalog, crowd
-from ..schemas import EMOTIONS, GENRE_MAP, GENRE_MAP_DEFAULT, NARROW_GENRES, POPULAR_EMOTION_KEEP, POPULAR_GENRE_KEEP, UNPOPULAR_GENRES
+from ..operators import aggregates, catalog
+from ..schemas import GENRE_MAP, GENRE_MAP_DEFAULT, NARROW_GENRES, POPULAR_EMOTION_KEEP, POPULAR_GENRE_KEEP, UNPOPULAR_GENRES
 from ..sources.tables import manifest_ids, read_table
 from .bindings import (
     ANSWERS_SQL,
@@ -15,7 +15,6 @@ from .bindings import (
     FLAT_PLAYLIST_SQL,
     final_tracks,
     playlist_entries,
-    sql_list,
 )
 from .q_crowd import CONFIRMED_SQL, confirmed_emotions
 from .registry import register
@@ -23,12 +22,6 @@ from .registry import register
 SPLIT_TS = "2024-01-15"
 
 
-def flat_playlists(spark, sf_dir):
-    return catalog.flatten_playlist_tracks(playlist_entries(spark, sf_dir).withColumnRenamed("ts", "_ts")).join(
-        playlist_entries(spark, sf_dir).select("pos", "ts"), "pos"
-    )
-
-
 def valid_playlist_rows(spark, sf_dir):
     e = playlist_entries(spark, sf_dir)
     flat = catalog.flatten_playlist_tracks(e)
@@ -460,8 +453,6 @@ def q_manifest(spark, sf_dir):
     )
 
 
-_ = (EMOTIONS, sql_list, crowd)
-
 
 # ------------------------------------------------------------------ artist responses (S-14, P-12)
 def artist_responses(spark, sf_dir):
