@@ -50,7 +50,8 @@ def confusion_matrix(df: DataFrame, true_col: str, pred_col: str, labels: Sequen
     """
     spark = df.sparkSession
     piv = df.groupBy(true_col).pivot(pred_col, list(labels)).agg(F.count(F.lit(1))).na.fill(0)
-    vocab = bounded_broadcast(spark.createDataFrame([(v,) for v in labels], [true_col]), len(labels))
+    labels_df = spark.createDataFrame([(v,) for v in labels], [true_col]).select(F.col(true_col).cast(df.schema[true_col].dataType))
+    vocab = bounded_broadcast(labels_df, len(labels))
     out = vocab.join(piv, true_col, "left").na.fill(0)
     return out.select(true_col, *[F.col(f"`{v}`").cast("long").alias(f"pred_{v}") for v in labels])
 

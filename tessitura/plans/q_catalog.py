@@ -544,7 +544,7 @@ def q_csv_roundtrip(spark, sf_dir):
     "catalog_json_records",
     ("S-9",),
     f"""
-SELECT to_json({{'ym_track_id': ym_track_id, 'track_title': track_title, 'genre': genre, 'emotion': emotion}}) AS json
+SELECT CAST(to_json({{'ym_track_id': ym_track_id, 'track_title': track_title, 'genre': genre, 'emotion': emotion}}) AS VARCHAR) AS json
 FROM ({FINAL_TRACKS_SQL})
 """,
 )

@@ -300,7 +300,7 @@ def q_fonts(spark, sf_dir):
 {VOTE_SQL},
      n AS (SELECT track_id, pos, {sql_list(EMOTIONS)}[label + 1] AS emotion FROM v WHERE pos < 3),
      g AS (SELECT track_id, list(emotion ORDER BY pos) AS emotions FROM n GROUP BY track_id)
-SELECT track_id, to_json({{'result': {{'emotions': emotions}}}}) AS body FROM g
+SELECT track_id, CAST(to_json({{'result': {{'emotions': emotions}}}}) AS VARCHAR) AS body FROM g
 """,
 )
 def q_result_json(spark, sf_dir):

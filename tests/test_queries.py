@@ -14,6 +14,7 @@ from tessitura.sources.tables import DRIVER_TABLES
 from .conftest import SF_SMALL
 
 HEAVY = ("ml_", "stream_", "store_", "features_log_mel", "text_keyphrases")
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT"}
 
 
 def _norm(v):
@@ -60,6 +61,9 @@ def test_oracle_match(spark, duck, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(got) == len(exp)
     assert _digest(df.columns, got) == _digest(dcols, exp)
+    dtypes = dict(zip(dcols, [str(t) for t in res.description and duck.sql(entry.oracle_sql()[name]).types]))
+    for f in df.schema.fields:
+        assert SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) == dtypes[f.name], (f.name, f.dataType)
 
 
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith(HEAVY)))
