@@ -61,7 +61,7 @@ def test_oracle_match(spark, duck, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(got) == len(exp)
     assert _digest(df.columns, got) == _digest(dcols, exp)
-    dtypes = dict(zip(dcols, [str(t) for t in res.description and duck.sql(entry.oracle_sql()[name]).types]))
+    dtypes = dict(zip(dcols, [str(t) for t in duck.sql(entry.oracle_sql()[name]).types]))
     for f in df.schema.fields:
         assert SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) == dtypes[f.name], (f.name, f.dataType)
 
