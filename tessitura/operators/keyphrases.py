@@ -1,11 +1,11 @@
 """K-2: diversity re-rank of keyword candidates (greedy maximal marginal relevance).
 
-Candidates are a document's top-50 TF-IDF words (K-1).  Word vectors are
+Candidates are all words of a document, ranked by TF-IDF (K-1 weights).  Word vectors are
 hashed character-trigram profiles (subword vectors that need no training:
 inflected forms of one word land close together, which is what alias
 grouping needs); the document vector is the TF-IDF-weighted mean of its
-candidates.  The greedy selection runs per document in ``applyInPandas`` over
-at most 50 rows, as described for EmbedRank (Bennani-Smires et al., 2018):
+candidates.  The greedy selection runs per document (in Arrow batches of
+documents), as described for EmbedRank (Bennani-Smires et al., 2018):
 score = ``beta * sim(word, doc) - (1 - beta) * max sim(word, chosen)``;
 candidates whose similarity to a chosen word reaches ``alias_threshold``
 become its aliases and leave the pool.
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import tfidf_keywords
+from .text import tfidf_scores
 
 MMR_SCHEMA = "doc_id long, rank int, keyword string, score double, aliases string"
 DIMS = 256
@@ -36,7 +36,12 @@ def trigram_vector(word: str, dims: int = DIMS) -> np.ndarray:
 
 
 def mmr_select(words, weights, n: int, beta: float, alias_threshold: float, cache: dict | None = None):
-    """Greedy MMR over one document's candidates (given best TF-IDF first)."""
+    """Greedy MMR over all of one document's words (given best TF-IDF first).
+
+    Similarities to the chosen words are kept as a running maximum, so each
+    step is one matrix-vector product: O(words x dims) memory and time per
+    step, never words x words.
+    """
     weights = np.asarray(weights, dtype=np.float64)
     cache = {} if cache is None else cache
     for w in words:
@@ -47,20 +52,19 @@ def mmr_select(words, weights, n: int, beta: float, alias_threshold: float, cach
     dvec = (np.maximum(weights, 0.0)[:, None] * vn).sum(axis=0)
     dn = dvec / max(np.linalg.norm(dvec), 1e-12)
     sim_doc = vn @ dn
-    sim_ww = vn @ vn.T
-    pool = list(range(len(words)))
-    chosen, out = [], []
-    while pool and len(chosen) < n:
-        if chosen:
-            scores = beta * sim_doc[pool] - (1 - beta) * sim_ww[np.ix_(pool, chosen)].max(axis=1)
-        else:
-            scores = sim_doc[pool]
-        best_pos = int(np.argmax(scores))  # first maximum: the better TF-IDF rank wins ties
-        best = pool.pop(best_pos)
-        aliases = [p for p in pool if sim_ww[best, p] >= alias_threshold]
-        pool = [p for p in pool if p not in aliases]
-        chosen.append(best)
-        out.append((len(chosen), words[best], float(scores[best_pos]), "|".join(sorted(words[a] for a in aliases))))
+    active = np.ones(len(words), dtype=bool)
+    max_sim = np.full(len(words), -np.inf)
+    out = []
+    while active.any() and len(out) < n:
+        scores = sim_doc if not out else beta * sim_doc - (1 - beta) * max_sim
+        masked = np.where(active, scores, -np.inf)
+        best = int(np.argmax(masked))  # first maximum: the better TF-IDF rank wins ties
+        active[best] = False
+        sim_best = vn @ vn[best]
+        aliases = np.flatnonzero(active & (sim_best >= alias_threshold))
+        active[aliases] = False
+        max_sim = np.maximum(max_sim, sim_best)
+        out.append((len(out) + 1, words[best], float(masked[best]), "|".join(sorted(words[a] for a in aliases))))
     return out
 
 
@@ -81,14 +85,15 @@ def _mmr_batches(n: int, beta: float, alias_threshold: float):
     return run
 
 
-def keyphrases(docs: DataFrame, n: int = 10, beta: float = 0.55, alias_threshold: float = 0.7, candidates: int = 50) -> DataFrame:
+def keyphrases(docs: DataFrame, n: int = 10, beta: float = 0.55, alias_threshold: float = 0.7) -> DataFrame:
     """K-2 over whole documents: ``(doc_id, rank, keyword, score, aliases)``.
 
-    Candidates are collected per document (at most ``candidates`` each, best
-    TF-IDF first) and re-ranked in Arrow batches of many documents.
+    Every distinct word of a document is a candidate (no cut); a document's
+    candidates are collected into one row (bounded by its own vocabulary) and
+    re-ranked in Arrow batches of many documents.
     """
-    cands = tfidf_keywords(docs, top=candidates)
-    per_doc = cands.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("neg_weight"), F.col("keyword")))).alias("cands")
+    scored = tfidf_scores(docs)
+    per_doc = scored.groupBy(F.col("doc").alias("doc_id")).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("neg_weight"), F.col("word").alias("keyword")))).alias("cands")
     )
     return per_doc.mapInPandas(_mmr_batches(n, beta, alias_threshold), MMR_SCHEMA)

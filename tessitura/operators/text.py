@@ -55,8 +55,8 @@ def term_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text"
     return toks.groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
-def tfidf_keywords(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", top: int = KEYWORDS_TOP, n_salts: int = 16) -> DataFrame:
-    """K-1: per document the ``top`` words by ``tf/len * ln(N/df)``, ties A-Z; ``rank`` from 1.
+def tfidf_scores(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", n_salts: int = 16) -> DataFrame:
+    """Every (document, word) with its weight ``tf/len * ln(N/df)`` (no cut).
 
     The term-count table feeds three consumers (document frequency, corpus
     size, the join), so it is written once as a Parquet table below the shared
@@ -67,7 +67,12 @@ def tfidf_keywords(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
     n_docs = tf.select(F.countDistinct("doc")).scalar()
     j = salted_join(tf, df, "word", "doc", n_salts)
     weight = (F.col("tf") / F.col("doc_len")) * F.log(n_docs / F.col("df"))
-    scored = j.select("doc", "word", weight.alias("weight"))
+    return j.select("doc", "word", weight.alias("weight"))
+
+
+def tfidf_keywords(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", top: int = KEYWORDS_TOP, n_salts: int = 16) -> DataFrame:
+    """K-1: per document the ``top`` words by ``tf/len * ln(N/df)``, ties A-Z; ``rank`` from 1."""
+    scored = tfidf_scores(docs, doc_col, text_col, n_salts)
     w = Window.partitionBy("doc").orderBy(F.desc("weight"), F.asc("word"))
     top_rows = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return top_rows.select(F.col("doc").alias(doc_col), F.col("word").alias("keyword"), "weight", "rank")
