@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # top-n per group with n <= this value gets a partial limit before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    # Arrow batches to Python workers are cut by bytes too: PCM blocks and
+    # per-document candidate lists are wide rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     # checkpoint files of DataFrames that are no longer referenced get deleted
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
