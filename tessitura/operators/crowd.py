@@ -83,9 +83,10 @@ def confirmed_labels(assignments: DataFrame, threshold: float = 1.0, vocab: Sequ
     spark = assignments.sparkSession
     voc = bounded_broadcast(vocabulary(spark, list(vocab), "emotion", "_vidx"), len(vocab))
     ok = assignments.where(F.col("rate") >= F.lit(threshold)).where(F.col("ym_track_id").isNotNull())
-    ranked = ok.select("ym_track_id", "emotion").distinct().join(voc, "emotion", "left")
+    ranked = ok.select("ym_track_id", "emotion").join(voc, "emotion", "left")
+    # collect_set dedups (track, class) inside the one aggregation: a single shuffle by track
     grouped = ranked.groupBy("ym_track_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("_vidx", F.lit(len(vocab))).alias("i"), F.col("emotion").alias("e")))).alias("_s")
+        F.array_sort(F.collect_set(F.struct(F.coalesce("_vidx", F.lit(len(vocab))).alias("i"), F.col("emotion").alias("e")))).alias("_s")
     )
     return grouped.select("ym_track_id", F.transform("_s", lambda s: s["e"]).alias("emotions"))
 
