@@ -65,7 +65,14 @@ class AssignmentsTable:
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         cols = [f.name for f in self.schema.fields]
-        batch.select(*cols, F.lit(batch_id).cast("long").alias("batch_id")).write.mode("append").partitionBy("batch_id").parquet(self._log())
+        # a retried micro-batch replaces its own partition (dynamic overwrite): the write is idempotent
+        (
+            batch.select(*cols, F.lit(batch_id).cast("long").alias("batch_id"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id")
+            .parquet(self._log())
+        )
 
     def read(self) -> DataFrame:
         cols = [f.name for f in self.schema.fields]

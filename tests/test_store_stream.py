@@ -88,3 +88,17 @@ def test_lookup_prunes_partitions(spark):
     assert rows(q, "track_id") == [(7,), (7,), (27,), (27,)]
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "(bucket#" in plan
+
+
+def test_assignments_batch_retry_is_idempotent(spark):
+    from tessitura.streaming.votes import AssignmentsTable
+
+    t = AssignmentsTable(spark, scratch_path(spark, "t-retry"))
+    cols = "ym_track_id long, emotion string, NO long, YES long, rate double, audio_path string"
+    b0 = spark.createDataFrame([(1, "happy", 1, 0, 0.0, "u1")], cols)
+    t.upsert(b0, 0)
+    t.upsert(spark.createDataFrame([(2, "happy", 0, 1, 1.0, "u2")], cols), 1)
+    t.upsert(spark.createDataFrame([(2, "happy", 0, 2, 1.0, "u2")], cols), 1)  # batch 1 retried with its final rows
+    log = spark.read.parquet(t._log())
+    assert log.where("batch_id = 1").count() == 1 and log.where("batch_id = 0").count() == 1
+    assert rows(t.read(), "audio_path", "YES") == [("u1", 0), ("u2", 2)]
