@@ -299,14 +299,16 @@ def artist_work_list(cache: DataFrame, max_requests: int = 1) -> DataFrame:
     )
 
 
-def enrich_genres(tracks: DataFrame, lookup: DataFrame, on_miss: str = "drop", list_col: str = "deezer_genres") -> DataFrame:
+def enrich_genres(tracks: DataFrame, lookup: DataFrame, on_miss: str = "drop", list_col: str = "deezer_genres", salt_from: str | None = None) -> DataFrame:
     """J-5: tracks without genres get them from ``lookup`` by (title, artist).
 
     Tracks with genres are kept unchanged; a hit with no genres keeps the row;
-    a miss is dropped (``on_miss='drop'``) or kept (``'keep'``).
+    a miss is dropped (``on_miss='drop'``) or kept (``'keep'``).  The lookup is
+    reduced to one row per key and the join is salted (one title/artist pair
+    can repeat across very many tracks).
     """
     lk = lookup.groupBy("track_title", "artist_name").agg(F.first("genres", ignorenulls=True).alias("_g"), F.lit(True).alias("_hit"))
-    j = tracks.join(lk, ["track_title", "artist_name"], "left")
+    j = salted_join(tracks, lk, ["track_title", "artist_name"], salt_from or tracks.columns[0], how="left")
     has = non_empty(list_col)
     if on_miss == "drop":
         j = j.where(has | F.col("_hit").isNotNull())
