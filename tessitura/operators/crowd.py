@@ -32,7 +32,7 @@ from ..schemas import (
 )
 from ..session import bounded_broadcast
 from .joins import salted_join
-from .ordering import day_block, dense_index, near_equal_parts
+from .ordering import day_block, dense_index, epoch_micros, near_equal_parts
 
 DAY_MICROS = 86_400_000_000
 
@@ -183,7 +183,7 @@ def income_last_24h(
     most one day.  So a partition holds two days of one worker, never the
     worker's whole history.
     """
-    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
+    micros = epoch_micros(answers, time_col)
     base = answers.withColumn("_us", micros).withColumn("_day", day_block(F.col("_us")))
     primary = base.withColumn("_ctx", F.lit(False))
     context = base.withColumn("_day", F.col("_day") + 1).withColumn("_ctx", F.lit(True))
@@ -210,7 +210,7 @@ def skipped_in_row(
     non-skipped" carry are computed per (worker, ``block_days``-day) block,
     with the carry between blocks taken from the per-block table.
     """
-    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
+    micros = epoch_micros(answers, time_col)
     base = answers.withColumn("_skip", F.coalesce(skipped, F.lit(False)))
     indexed = dense_index(base, order_cols, day_block(micros, block_days), partition_cols=[worker_col], idx_col="_pos", block_col="_blkday")
     keep_pos = F.when(~F.col("_skip"), F.col("_pos"))
@@ -277,7 +277,7 @@ def majority_agreement(
     scored = salted_join(answers, major, list(task_cols), [worker_col, time_col]).withColumn(
         "correct", (F.col(result_col) == F.col("majority")).cast("int")
     )
-    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
+    micros = epoch_micros(scored, time_col)
     indexed = dense_index(scored, order_cols, day_block(micros, block_days), partition_cols=[worker_col], idx_col="_pos")
     with_chunk = indexed.withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)).cast("long")).withColumn("_ctx", F.lit(False))
     ctx = (

@@ -68,6 +68,19 @@ def hex_block(key: Column, digits: int = 3) -> Column:
     return F.substring(key, 1, digits)
 
 
+def epoch_micros(df: DataFrame, col: str) -> Column:
+    """Microseconds since 1970-01-01 of a time column, independent of the session time zone.
+
+    ``TIMESTAMP_NTZ`` is wall-clock time: its distance from the NTZ epoch is
+    taken directly, so a 24 h window means 24 wall-clock hours whatever the
+    session zone (no daylight-saving shifts).  ``TIMESTAMP`` uses ``unix_micros``.
+    """
+    dtype = dict(df.dtypes)[col]
+    if dtype == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+    return F.unix_micros(F.col(col).cast("timestamp"))
+
+
 def day_block(micros: Column, days: int = 1) -> Column:
     """Block key for an order by time in microseconds: UTC day number divided by ``days``."""
     return F.floor(micros / F.lit(86_400_000_000 * days)).cast("long")
