@@ -79,7 +79,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str
 # ------------------------------------------------------------------ S-4 / S-5
 def read_text_dir(spark: SparkSession, path: str, id_pattern: str = r"(\d+)\.txt$") -> DataFrame:
     """S-4: one row per file, whole text; the id comes from the file name."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     name = F.col("_metadata.file_name")
     tid = F.nullif(F.regexp_extract(name, id_pattern, 1), F.lit("")).try_cast("bigint")
     return df.select(tid.alias("track_id"), F.col("value").alias("text"))
@@ -118,15 +118,16 @@ def parse_emotion_fonts(text: Column) -> Column:
 
 def read_emotion_fonts(spark: SparkSession, path: str) -> DataFrame:
     """S-10: the fonts JSON file as ``(emotion, fonts)`` rows."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(parse_emotion_fonts(F.col("value"))).alias("emotion", "fonts"))
 
 
 def read_keyword_list(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
     """S-10: ``;``-separated keyword list as ``(idx, keyword)``."""
-    raw = spark.read.option("wholetext", True).text(path)
-    exploded = raw.select(F.posexplode(split_list(F.trim(F.col("value")), sep)).alias("idx", "keyword"))
-    return exploded.select(F.col("idx").cast("int"), F.trim("keyword").alias("keyword"))
+    raw = spark.read.text(path, wholetext=True)
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")  # noqa: E731  (spaces, tabs and newlines)
+    exploded = raw.select(F.posexplode(split_list(strip(F.col("value")), sep)).alias("idx", "keyword"))
+    return exploded.select(F.col("idx").cast("int"), strip(F.col("keyword")).alias("keyword"))
 
 
 def vocabulary_line(vocab: DataFrame, sep: str = ";", idx_col: str = "idx", name_col: str = "keyword") -> DataFrame:
