@@ -127,10 +127,11 @@ def assigned(tracks: DataFrame, assignments: DataFrame, track_col: str = "ym_tra
 
 
 # --------------------------------------------------------------------- P-15 / W-7
-def task_projection(tracks: DataFrame, base_url: str, emotion=None, path_col: str = "audio_path", emotion_col: str = "emotion") -> DataFrame:
-    """P-15: tasks ``(emotion, audio_url)`` from tracks; the URL is ``base + audio_path``."""
+def task_projection(tracks: DataFrame, base_url: str, emotion=None, path_col: str = "audio_path", emotion_col: str = "emotion",
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """P-15: tasks ``(emotion, audio_url)`` from tracks; the URL is ``base + audio_path`` (``keep``: extra columns)."""
     emo = F.lit(emotion) if emotion is not None else F.col(emotion_col)
-    return tracks.select(emo.alias("emotion"), F.concat(F.lit(base_url), F.col(path_col)).alias("audio_path"))
+    return tracks.select(emo.alias("emotion"), *keep, F.concat(F.lit(base_url), F.col(path_col)).alias("audio_path"))
 
 
 def task_suites(

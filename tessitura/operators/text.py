@@ -100,8 +100,15 @@ def restrict_to_vocabulary(keywords: DataFrame, vocab: DataFrame, doc_col: str =
     return g.select(doc_col, F.transform("_s", lambda s: s["keyword"]).alias("labels"))
 
 
-def append_missing_keywords(existing: DataFrame, docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", top: int = KEYWORDS_TOP) -> DataFrame:
-    """U-6: documents without keywords get K-1 keywords (IDF over those documents); the rest stay."""
+def append_missing_keywords(existing: DataFrame, docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", top: int = KEYWORDS_TOP,
+                            origin_col: str | None = None) -> DataFrame:
+    """U-6: documents without keywords get K-1 keywords (IDF over those documents); the rest stay.
+
+    With ``origin_col`` the rows are tagged ``existing`` / ``new``.
+    """
     fresh_docs = docs.join(existing.select(doc_col).distinct(), doc_col, "left_anti")
     fresh = tfidf_keywords(fresh_docs, doc_col, text_col, top)
+    if origin_col:
+        existing = existing.withColumn(origin_col, F.lit("existing"))
+        fresh = fresh.withColumn(origin_col, F.lit("new"))
     return existing.unionByName(fresh)

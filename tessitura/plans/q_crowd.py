@@ -201,7 +201,7 @@ FROM q
 )
 def q_suites(spark, sf_dir):
     t = order_tracks(spark, sf_dir)
-    tasks = t.select("emotion", "ym_track_id", F.concat(F.lit(BASE_URL), F.col("audio_path")).alias("audio_path"))
+    tasks = crowd.task_projection(t, BASE_URL, keep=["ym_track_id"])
     out = crowd.task_suites(tasks, order_cols=["ym_track_id"], block=F.expr("ym_track_id div 65536"))
     return out.select("emotion", "ym_track_id", "audio_path", "task_idx", "suite")
 

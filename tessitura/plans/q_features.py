@@ -27,8 +27,10 @@ FROM c
 """,
 )
 def q_chunks(spark, sf_dir):
-    e = embedding_rows(spark, sf_dir)
-    ex = e.select("track_id", F.posexplode(arrays.equal_chunks("v", 10)).alias("chunk", "values"))
+    from ..operators.features import explode_chunks
+
+    e = embedding_rows(spark, sf_dir).withColumn("chunks", arrays.equal_chunks("v", 10))
+    ex = explode_chunks(e, "chunks")
     return ex.select("track_id", "chunk", F.size("values").alias("n_values"), F.round(arrays.array_sum("values"), 4).alias("total"))
 
 

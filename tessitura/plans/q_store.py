@@ -41,10 +41,12 @@ FROM r LEFT JOIN e USING (track_id) GROUP BY 1
 """,
 )
 def q_report(spark, sf_dir):
+    from ..operators.catalog import with_features
+
     store = shards.read_store(spark, build_store(spark, sf_dir))
     req = requested_ids(spark, sf_dir)
-    found = shards.lookup_table(store, req)
-    return shards.shard_report(req, found)
+    found = with_features(req.withColumnRenamed("track_id", "ym_track_id"), shards.lookup_table(store, req))
+    return shards.shard_report(req, found.withColumnRenamed("ym_track_id", "track_id"))
 
 
 @register(

@@ -109,10 +109,8 @@ SELECT doc_id, keyword, round(weight, 6), CAST(rank AS INTEGER), 'new' FROM ({_k
 )
 def q_append(spark, sf_dir):
     d = docs(spark, sf_dir)
-    existing = text.tfidf_keywords(d.where(F.col("lang") == "en")).withColumn("origin", F.lit("existing"))
-    fresh_docs = d.join(existing.select("doc_id").distinct(), "doc_id", "left_anti")
-    fresh = text.tfidf_keywords(fresh_docs).withColumn("origin", F.lit("new"))
-    out = existing.unionByName(fresh)
+    existing = text.tfidf_keywords(d.where(F.col("lang") == "en"))
+    out = text.append_missing_keywords(existing, d, origin_col="origin")
     return out.select("doc_id", "keyword", F.round("weight", 6).alias("weight"), F.col("rank").cast("int").alias("rank"), "origin")
 
 
@@ -128,11 +126,11 @@ def q_weights(spark, sf_dir):
     from ..functions.lists import keyword_structs
 
     kw = text.tfidf_keywords(docs(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
-    lists = kw.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "keyword", "weight"))).alias("_s"))
+    lists = text.keywords_as_list(kw)
     stored = lists.select(
         "doc_id",
-        F.array_join(F.transform("_s", lambda s: s["keyword"]), ";").alias("keywords"),
-        F.array_join(F.transform("_s", lambda s: s["weight"].cast("string")), ";").alias("weights"),
+        F.array_join(F.transform("keywords", lambda s: s["keyword"]), ";").alias("keywords"),
+        F.array_join(F.transform("keywords", lambda s: s["weight"].cast("string")), ";").alias("weights"),
     )
     parsed = stored.select("doc_id", F.explode(keyword_structs("keywords", "weights")).alias("k"))
     return parsed.select("doc_id", F.col("k.keyword").alias("keyword"), F.col("k.weight").alias("weight"))

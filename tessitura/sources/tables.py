@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lists import join_list, split_list
-from ..schemas import ANSWERS_RAW, EMOTION_FONTS, LIST_COLUMNS, TRACKS, TRACKS_CSV
+from ..schemas import ANSWERS_RAW, LIST_COLUMNS, TRACKS, TRACKS_CSV
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -156,6 +156,3 @@ def read_answers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         cols.append((F.col(f"`{src}`").try_cast(f.dataType) if src else F.lit(None).cast(f.dataType)).alias(f.name))
     return raw.select(*cols)
 
-
-def emotion_fonts_schema() -> T.StructType:
-    return EMOTION_FONTS
