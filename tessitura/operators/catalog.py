@@ -212,15 +212,27 @@ def merge_playlist(current: DataFrame, incoming: DataFrame, key: str = "ym_track
     return updated.unionByName(fresh.select(*fill))
 
 
-def limit_after_existing(new_rows: DataFrame, existing: DataFrame, limit: int, order_cols: Sequence[str]) -> DataFrame:
+TOP_K_IN_ONE_TASK = 100_000
+
+
+def limit_after_existing(new_rows: DataFrame, existing: DataFrame, limit: int, order_cols: Sequence[str], block_bits: int = 16) -> DataFrame:
     """L-3: keep the first ``max(0, limit - count(existing))`` new rows in ``order_cols`` order.
 
-    The cap is the feature here (ingest stops at ``limit`` rows), so this is a
-    top-k: one scalar count, then ``orderBy().limit()``, which Spark runs as a
-    per-partition top-k plus a merge of at most k rows per partition.
+    The cap is the feature here (ingest stops at ``limit`` rows).  For a small
+    k it is a top-k (``orderBy().limit()``: per-partition top-k, then one merge
+    of at most k rows per partition).  For a large k the final merge would sit
+    in one task, so positions come from a blocked dense index instead
+    (block = first order column ``>> block_bits``, which must be integral) and
+    the rows with position < k are kept, all distributed.
     """
     k = max(0, int(limit) - existing.count())
-    return new_rows.orderBy(*order_cols).limit(k)
+    if k <= TOP_K_IN_ONE_TASK:
+        return new_rows.orderBy(*order_cols).limit(k)
+    from .ordering import dense_index
+
+    block = F.shiftright(F.col(order_cols[0]).cast("long"), block_bits)
+    indexed = dense_index(new_rows, list(order_cols), block, idx_col="_ins_idx")
+    return indexed.where(F.col("_ins_idx") < F.lit(k)).drop("_ins_idx")
 
 
 # ------------------------------------------------------------------ U-1 / U-5 / U-4 / U-7

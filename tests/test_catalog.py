@@ -141,3 +141,12 @@ def test_page_after_keyset(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     assert [r.k for r in catalog.page_after(df, "k", 39, 20).collect()] == list(range(40, 60))
     assert [r.k for r in catalog.page_after(df, "k", None, 3).collect()] == [0, 1, 2]
+
+
+def test_limit_after_existing_large_k_path(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "TOP_K_IN_ONE_TASK", 3)
+    new = spark.range(50).withColumnRenamed("id", "pos").withColumn("pos", (F.col("pos") * 7919) % 1000)
+    existing = spark.range(2)
+    got = sorted(r.pos for r in catalog.limit_after_existing(new, existing, 12, ["pos"], block_bits=6).collect())
+    exp = sorted(r.pos for r in new.orderBy("pos").limit(10).collect())
+    assert got == exp
