@@ -3,7 +3,8 @@
 Input is a raw answers table, one row per worker answer
 (``answer_id, worker_id, submitted_at, status, reward, audio_path, result``)
 plus the pool's class in ``emotion``.  All windows are bounded by a block
-(a day, a position chunk) so a very active worker never lands in one task.
+(a day, a span of days, a position chunk) so a very active worker never lands
+in one task; joins on a task key are salted.
 """
 
 from __future__ import annotations
