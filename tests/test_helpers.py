@@ -70,3 +70,25 @@ def test_epoch_micros_ntz_and_ltz(spark):
     ltz = spark.createDataFrame([(dt.datetime(1970, 1, 2),)], "t timestamp")
     assert ntz.select(epoch_micros(ntz, "t").alias("u")).first().u == 86_400_000_000
     assert ltz.select(epoch_micros(ltz, "t").alias("u")).first().u == 86_400_000_000  # session zone is UTC
+
+
+def test_result_json_forms_and_ranked_fields(spark):
+    df = spark.createDataFrame([(["happy", "joy"],)], "e array<string>")
+    out = df.select(
+        metrics.result_json("emotions", F.col("e")).alias("ok"),
+        metrics.result_json("error", F.lit("Unknown emotion")).alias("err"),
+        metrics.result_json("keywords", F.array(F.lit("love"))).alias("kw"),
+        *metrics.ranked_fields("e", 3, "emotion"),
+    ).first()
+    assert out.ok == '{"result":{"emotions":["happy","joy"]}}'
+    assert out.err == '{"error":"Unknown emotion"}' and out.kw == '{"result":{"keywords":["love"]}}'
+    assert (out.emotion_1, out.emotion_2, out.emotion_3) == ("happy", "joy", None)
+
+
+def test_request_errors_and_picks(spark):
+    df = spark.createDataFrame([(1, [], "happy"), (2, [[1.0]], "bored"), (3, [[1.0]], "happy")], "id long, c array<array<double>>, emotion string")
+    errs = {r.id: r.error for r in metrics.request_errors(df, chunks_col="c", emotion_col="emotion").collect()}
+    assert errs == {1: "Audio features are empty", 2: "Unknown emotion", 3: None}
+    fonts = spark.createDataFrame([(1, ["A", "B", "C"]), (2, [])], "id long, fonts array<string>")
+    picks = {r.id: r.p for r in fonts.select("id", metrics.seeded_picks("fonts", "id", 5, seed=1).alias("p")).collect()}
+    assert len(picks[1]) == 5 and set(picks[1]) <= {"A", "B", "C"} and picks[2] == []
