@@ -36,6 +36,7 @@ from .joins import salted_join
 from .ordering import day_block, dense_index, epoch_micros, near_equal_parts
 
 DAY_MICROS = 86_400_000_000
+HOT_TASKS = 1024
 
 
 # --------------------------------------------------------------------- A-1 / L-1
@@ -244,13 +245,16 @@ def majority_answers(
     One aggregate with a ``count_if`` per known answer value (like a pivot with
     given values), so a single shuffle by task.
     """
-    counts = answers.groupBy(*task_cols).agg(*[F.count_if(F.col(result_col) == F.lit(v)).alias(f"_c{i}") for i, v in enumerate(values)])
+    counts = answers.groupBy(*task_cols).agg(
+        *[F.count_if(F.col(result_col) == F.lit(v)).alias(f"_c{i}") for i, v in enumerate(values)],
+        F.count(F.lit(1)).alias("n_answers"),
+    )
     reached = [F.col(f"_c{i}") >= F.lit(threshold) for i in range(len(values))]
     n_reached = sum((r.cast("int") for r in reached), F.lit(0))
     pick = F.lit(None).cast("string")
     for i in reversed(range(len(values))):
         pick = F.when(reached[i], F.lit(values[i])).otherwise(pick)
-    return counts.where(n_reached == 1).select(*task_cols, pick.alias("majority"))
+    return counts.where(n_reached == 1).select(*task_cols, pick.alias("majority"), "n_answers")
 
 
 def majority_agreement(
@@ -275,8 +279,10 @@ def majority_agreement(
     next chunk as context, so each window task holds ``chunk + history`` rows.
     """
     major = majority_answers(answers, task_cols, result_col, threshold)
-    # one task may hold a large share of all answers: salt the task join by worker and time
-    scored = salted_join(answers, major, list(task_cols), [worker_col, time_col]).withColumn(
+    # one task may hold a large share of all answers: salt the join for the most-answered tasks
+    # (a bounded top-k), by worker and time
+    hot = major.orderBy(F.desc("n_answers"), *[F.asc(c) for c in task_cols]).limit(HOT_TASKS).select(*task_cols)
+    scored = salted_join(answers, major.drop("n_answers"), list(task_cols), [worker_col, time_col], hot_keys=hot, hot_bound=HOT_TASKS).withColumn(
         "correct", (F.col(result_col) == F.col("majority")).cast("int")
     )
     micros = epoch_micros(scored, time_col)

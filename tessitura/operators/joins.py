@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
+
 DEFAULT_SALTS = 16
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], salt_from: str | Column | Sequence[str], n_salts: int = DEFAULT_SALTS, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], salt_from: str | Column | Sequence[str], n_salts: int = DEFAULT_SALTS, how: str = "inner",
+                hot_keys: DataFrame | None = None, hot_bound: int | None = None) -> DataFrame:
     """Equi-join where one key value may hold a large share of ``big``.
 
     ``small`` must have at most a few rows per key (a dimension or an
@@ -18,6 +21,10 @@ def salted_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], sal
     ``salt = pmod(xxhash64(salt_from), n_salts)`` from columns that vary within
     a key, so one hot key is spread over ``n_salts`` tasks instead of one.
     ``how`` is ``inner`` or ``left`` (big side preserved).
+
+    With ``hot_keys`` (a table of key values with a proven row bound
+    ``hot_bound``, e.g. a top-k) only those keys are salted: the hot-key table
+    is broadcast, other keys keep salt 0 and are not copied.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if isinstance(salt_from, str):
@@ -26,6 +33,15 @@ def salted_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], sal
         cols = [salt_from]
     else:
         cols = [F.col(c) for c in salt_from]
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(n_salts)).cast("int"))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
+    salt = F.pmod(F.xxhash64(*cols), F.lit(n_salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(n_salts - 1))
+    if hot_keys is None:
+        b = big.withColumn("_salt", salt)
+        s = small.withColumn("_salt", F.explode(every))
+    else:
+        if hot_bound is None:
+            raise ValueError("hot_keys needs hot_bound (its proven row bound)")
+        hot = bounded_broadcast(hot_keys.select(*keys).distinct().withColumn("_hot", F.lit(True)), hot_bound)
+        b = big.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+        s = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
     return b.join(s, [*keys, "_salt"], how).drop("_salt")

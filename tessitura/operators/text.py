@@ -17,6 +17,7 @@ from ..session import bounded_broadcast, materialize, spread
 from .joins import salted_join
 
 TOKEN_RE = r"\p{L}{3,}"
+HOT_WORDS = 1024
 
 
 def clean_text(c) -> Column:
@@ -65,7 +66,9 @@ def tfidf_scores(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
     tf = materialize(term_counts(docs, doc_col, text_col), "term-counts")
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n_docs = tf.select(F.countDistinct("doc")).scalar()
-    j = salted_join(tf, df, "word", "doc", n_salts)
+    # the most frequent words are the skewed join keys: salt only those (a bounded top-k)
+    hot = df.orderBy(F.desc("df"), F.asc("word")).limit(HOT_WORDS).select("word")
+    j = salted_join(tf, df, "word", "doc", n_salts, hot_keys=hot, hot_bound=HOT_WORDS)
     weight = (F.col("tf") / F.col("doc_len")) * F.log(n_docs / F.col("df"))
     return j.select("doc", "word", weight.alias("weight"))
 
