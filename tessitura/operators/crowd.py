@@ -31,7 +31,7 @@ from ..schemas import (
     WORKER_REGIONS,
     vocabulary,
 )
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, materialize
 from .joins import salted_join
 from .ordering import day_block, dense_index, epoch_micros, near_equal_parts
 
@@ -278,7 +278,8 @@ def majority_agreement(
     position chunks; the last ``history-1`` rows of a chunk are copied into the
     next chunk as context, so each window task holds ``chunk + history`` rows.
     """
-    major = majority_answers(answers, task_cols, result_col, threshold)
+    # one row per task, far smaller than the answers; written once because two consumers read it
+    major = materialize(majority_answers(answers, task_cols, result_col, threshold), "majority")
     # one task may hold a large share of all answers: salt the join for the most-answered tasks
     # (a bounded top-k), by worker and time
     hot = major.orderBy(F.desc("n_answers"), *[F.asc(c) for c in task_cols]).limit(HOT_TASKS).select(*task_cols)
