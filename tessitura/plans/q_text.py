@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import text
+from ..session import materialize
 from ..sources.tables import read_table, vocabulary_line
 from .registry import register
 
@@ -92,7 +93,8 @@ FROM (SELECT DISTINCT kw.doc_id, kw.keyword, v.idx FROM kw JOIN v USING (keyword
 """,
 )
 def q_kw_labels(spark, sf_dir):
-    kw = text.tfidf_keywords(docs(spark, sf_dir))
+    # the keyword table (10 rows per document) feeds both the vocabulary and the restriction
+    kw = materialize(text.tfidf_keywords(docs(spark, sf_dir)), "keywords")
     vocab = text.keyword_vocabulary(kw)
     lab = text.restrict_to_vocabulary(kw, vocab)
     return lab.select("doc_id", F.array_join("labels", "|").alias("labels"), F.size("labels").cast("long").alias("n_labels"))
@@ -109,7 +111,8 @@ SELECT doc_id, keyword, round(weight, 6), CAST(rank AS INTEGER), 'new' FROM ({_k
 )
 def q_append(spark, sf_dir):
     d = docs(spark, sf_dir)
-    existing = text.tfidf_keywords(d.where(F.col("lang") == "en"))
+    # the stored keyword table of the documents that already have keywords
+    existing = materialize(text.tfidf_keywords(d.where(F.col("lang") == "en")), "keywords-existing")
     out = text.append_missing_keywords(existing, d, origin_col="origin")
     return out.select("doc_id", "keyword", F.round("weight", 6).alias("weight"), F.col("rank").cast("int").alias("rank"), "origin")
 
