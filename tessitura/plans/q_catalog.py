@@ -607,6 +607,7 @@ SELECT 'random', image_first, image_second, audio_path FROM r
 )
 def q_pairs(spark, sf_dir):
     from ..operators import pairs
+    from ..session import materialize
 
     images = manifest_ids(read_table(spark, sf_dir, "pages").select(F.col("url").alias("path")), "path", PAGE_ID_RE).select("track_id").distinct()
     p = read_table(spark, sf_dir, "part")
@@ -615,6 +616,7 @@ def q_pairs(spark, sf_dir):
         F.concat(F.lit("covers.example/"), F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("cover_url"),
     )
     items, _missing = pairs.pair_items(images, tracks, base=PAIR_BASE)
+    items = materialize(items, "pair-items")  # read by the three pair kinds (random twice)
     out = pairs.pairs_original(items).withColumn("kind", F.lit("original"))
     out = out.unionByName(pairs.pairs_analog(items, seed=3, base=PAIR_BASE).withColumn("kind", F.lit("analog")))
     out = out.unionByName(pairs.pairs_random(items, seed=3).withColumn("kind", F.lit("random")))
