@@ -1,6 +1,6 @@
 """Loads the modules that register this folder's queries."""
 
-from . import chat, decontaminate, mixing, toxicity, url_filter  # noqa: F401
+from . import chat, decontaminate, jaccard_join, mixing, toxicity, url_filter  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
