@@ -1,6 +1,6 @@
 """Loads the modules that register this folder's queries."""
 
-from . import chat, decontaminate, jaccard_join, lm_scoring, mixing, suffix_dedup, toxicity, url_filter  # noqa: F401
+from . import ann, chat, decontaminate, jaccard_join, lm_scoring, mixing, suffix_dedup, token_counts, toxicity, url_filter  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
