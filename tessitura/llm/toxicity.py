@@ -177,6 +177,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, **bounds) -> NoisyOrModel:
     return fit_noisy_or([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
+def drop_toxic(docs: DataFrame, model: NoisyOrModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns unchanged."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return score_documents(whole, model, threshold).where(F.col("predicted") == 0).select("row.*")
+
+
 def score_documents(docs: DataFrame, model: NoisyOrModel, threshold: float = 0.5) -> DataFrame:
     """``docs`` without its text, plus score, predicted and ``spans``: start, end (code points) and probability of the offending sentences."""
     others = [f for f in docs.schema.fields if f.name not in ("text", "score", "predicted", "spans")]
