@@ -18,6 +18,7 @@ once per row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import random
 from collections.abc import Sequence
@@ -111,7 +112,7 @@ def landing(sizes: Sequence[float], p: list[float], open_units: list[int], movab
         p[i] = x
     if open_units:
         off = total - sum(x * s for x, s in zip(p, sizes))
-        for _ in range(8):
+        for _ in range(16):
             i = min(movable, key=lambda i: (abs(off - (1 - 2 * p[i]) * sizes[i]), i), default=None)
             if i is None or abs(off - (1 - 2 * p[i]) * sizes[i]) >= abs(off):
                 break
@@ -120,13 +121,28 @@ def landing(sizes: Sequence[float], p: list[float], open_units: list[int], movab
     return p
 
 
+def spare_units(sizes: Sequence[float]) -> set[int]:
+    """A few units of doubling sizes that a block leaves open: with them the last round can even out what rounding costs.
+
+    ``sizes`` are sorted from large to small.
+    """
+    rising = [-s for s in sizes]
+    found = {bisect.bisect_left(rising, -(1 << k)) for k in range(10)}
+    return {i for i in found if i < len(sizes) and sizes[i] > 0} if len(sizes) > 100 else set()
+
+
 def _fly(last: bool):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         # large documents first: what stays open, and so the landing error, is small
         pdf = pdf.sort_values(["size", "_h", "_row"], ascending=[False, True, True], kind="stable")
         sizes = pdf["size"].tolist()
         start = pdf["_p"].tolist()
-        p, left = flight(sizes, start, random.Random(f"{SEED}:{key[0]}:{key[1]}:{len(pdf)}"))
+        rng = random.Random(f"{SEED}:{key[0]}:{key[1]}:{len(pdf)}")
+        flying = [i for i in range(len(sizes)) if i not in spare] if (spare := set() if last else spare_units(sizes)) else range(len(sizes))
+        p = list(start)
+        moved, left = flight([sizes[i] for i in flying], [start[i] for i in flying], rng)
+        for i, x in zip(flying, moved):
+            p[i] = x
         if last:
             p = landing(sizes, p, left, [i for i, x in enumerate(start) if 1e-9 < x < 1 - 1e-9])
         return pdf.assign(_p=p)[["_row", "doc_id", "source_no", "size", "_whole", "_p", "_h"]]

@@ -138,7 +138,7 @@ class NGramTrie:
         """Number of each n-gram in its level, or -1: walks down, searching each id relative to its context's range."""
         node = np.zeros(len(grams), dtype=np.int64)
         for k in range(grams.shape[1]):
-            ok = np.flatnonzero(node >= 0)
+            ok = np.flatnonzero((node >= 0) & (grams[:, k] < self.universe))
             found = np.full(len(grams), -1, dtype=np.int64)
             found[ok] = self.ids[k].find(node[ok].astype(np.uint64) * np.uint64(self.universe) + grams[ok, k].astype(np.uint64))
             node = found

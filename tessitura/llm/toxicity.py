@@ -144,7 +144,7 @@ def fit_noisy_or(texts: list[str | None], labels: list[int], rounds: int = 200,
                 doc_of.append(d)
     word, sent, doc_of = (np.array(x, dtype=np.int64) for x in (word, sent, doc_of))
     w = np.array([odds[f] for f in vocab])
-    grads = np.full(len(vocab), 1e-8)
+    grads = np.full(len(vocab), 1e-4)
     base_leak = 1e-3
     for _ in range(rounds if len(word) else 0):
         z = bias + np.bincount(sent, weights=w[word], minlength=len(doc_of))
