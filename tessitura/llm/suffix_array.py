@@ -31,6 +31,8 @@ def suffix_array(t: np.ndarray, deep: str = "double") -> np.ndarray:
     n = len(t)
     if n == 1:
         return np.zeros(1, dtype=np.int64)
+    if t.dtype != np.uint16 and t.max() < 1 << 16:
+        t = t.astype(np.uint16)  # NumPy sorts 16-bit keys by counting
     s = classify(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     sigma = int(t.max()) + 1
@@ -41,22 +43,23 @@ def suffix_array(t: np.ndarray, deep: str = "double") -> np.ndarray:
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     ranked = order[is_lms[order]]
-    names = _name(t, lms, ranked)
+    number = np.empty(n, dtype=np.int32)
+    number[lms] = np.arange(len(lms), dtype=np.int32)
+    which = number[ranked]
+    names = _name(t, lms, ranked, which)
     by_place = np.empty(len(lms), dtype=np.int64)
-    by_place[np.searchsorted(lms, ranked)] = names
+    by_place[which] = names
     if len(lms) and names[-1] + 1 < len(lms):
         ranked = lms[_double(by_place) if deep == "double" and induce is _induce_buckets else suffix_array(by_place, deep)]
     return induce(t, s, ranked, count, end)
 
 
-def _name(t: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+def _name(t: np.ndarray, lms: np.ndarray, ranked: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Names 0, 1, .. of the leftmost S substrings in sorted order; equal substrings share one."""
     m = len(ranked)
     if m == 0:
         return np.zeros(0, dtype=np.int64)
-    length = np.empty(m, dtype=np.int64)
-    nxt = np.append(lms[1:], len(t) - 1)
-    length = (nxt - lms + 1)[np.searchsorted(lms, ranked)]
+    length = (np.append(lms[1:], len(t) - 1) - lms + 1).astype(np.int32)[which]
     same = length[1:] == length[:-1]
     left = np.flatnonzero(same)
     k = 0
@@ -72,7 +75,7 @@ def _name(t: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> np.ndarray:
 def _double(rank: np.ndarray) -> np.ndarray:
     """Suffix array of a string of names by doubling the compared length; only suffixes that still tie are sorted again."""
     n = len(rank)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     r = rank[order]
     first = np.ones(n, dtype=bool)
     first[1:] = r[1:] != r[:-1]
@@ -88,7 +91,7 @@ def _double(rank: np.ndarray) -> np.ndarray:
         members = order[where]
         nxt = members + k
         key = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0) + rank[members] * (n + 1)
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)
         members, key = members[o], key[o]
         order[where] = members
         fresh = np.ones(len(key), dtype=bool)
@@ -111,7 +114,7 @@ def _rank_in_group(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def _induce_buckets(t, s, lms, count, end):
     """Induce a suffix array from the given order of leftmost S suffixes, a bucket at a time."""
     n = len(t)
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, -1, dtype=np.int32)
     start = end - count
     by = np.argsort(t[lms], kind="stable")
     chars = t[lms][by]
@@ -193,41 +196,45 @@ def _induce_scan(t, s, lms, count, end):
     return np.array(sa, dtype=np.int64)
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted LCP, cut at ``most``: for each text position, the common prefix with its predecessor in the suffix array.
+def common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Permuted LCP, cut at ``most``: for each text position, the common prefix with its predecessor in ``order``.
 
-    A position whose left symbol equals its predecessor's left symbol has the
-    value before it minus one; only the others are compared, several symbols at
-    a time.
+    ``order`` is a suffix array or the part of one that matters; other positions
+    get 0.  A position whose predecessor is the one of the position before it,
+    moved on by one over equal symbols, has that value minus one; only the others
+    are compared, four symbols at a time.
     """
     n = len(t)
-    before = np.full(n, -1, dtype=np.int64)
-    before[sa[1:]] = sa[:-1]
-    place = np.arange(n)
-    here, there = place[1:], before[1:]
-    fresh = np.ones(n, dtype=bool)
-    fresh[1:] = (there <= 0) | (t[here - 1] != t[np.maximum(there, 1) - 1]) | (before[:-1] != there - 1)
-    # beyond ``most`` the true value is unknown, so a value is compared anew every ``most`` positions
-    run = place - np.maximum.accumulate(np.where(fresh, place, 0))
-    fresh |= run % most == 0
-    value = np.zeros(n, dtype=np.int64)
-    at = np.flatnonzero(fresh & (before >= 0))
+    out = np.zeros(n, dtype=np.int32)
+    if len(order) < 2:
+        return out
+    before = np.full(n + 1, -1, dtype=np.int32)  # the last cell stands before position 0
+    before[order[1:]] = order[:-1]
+    place = np.flatnonzero(before[:-1] >= 0).astype(np.int32)
+    there = before[place]
+    follows = (there > 0) & (place > 0) & (before[place - 1] == there - 1)
+    follows &= t[np.maximum(place, 1) - 1] == t[np.maximum(there, 1) - 1]
+    # beyond ``most`` the true value is unknown, so a value is compared anew after ``most`` positions
+    rank = np.arange(len(place), dtype=np.int32)
+    start = np.maximum.accumulate(np.where(follows, 0, rank))
+    fresh = ~follows | ((rank - start) % most == 0)
     padded = np.concatenate([t.astype(np.uint16), np.arange(1, 8, dtype=np.uint16) + np.uint16(60_000)])
-    wide = np.lib.stride_tricks.sliding_window_view(padded, 4)
-    wide = np.ascontiguousarray(wide).view(np.uint64).reshape(-1)
-    limit = 2 * most
-    left, k = at, 0
-    while len(left) and k < limit:
-        a, b = left + k, before[left] + k
-        inside = (a < n) & (b < n)
-        left, a, b = left[inside], a[inside], b[inside]
+    wide = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 4)).view(np.uint64).reshape(-1)
+    value = np.zeros(len(place), dtype=np.int32)
+    left = np.flatnonzero(fresh)
+    a, b = place[left], there[left]
+    k = 0
+    while len(left) and k < 2 * most:
         x = wide[a] ^ wide[b]
-        same = x == 0
-        low = x[~same] & (~x[~same] + np.uint64(1))
-        value[left[~same]] = k + (np.log2(low.astype(np.float64)).astype(np.int64) // 16)
-        left = left[same]
+        done = x != 0
+        low = x[done] & (~x[done] + np.uint64(1))
+        value[left[done]] = k + (np.log2(low.astype(np.float64)).astype(np.int32) // 16)
+        go = ~done
         k += 4
+        left, a, b = left[go], a[go] + 4, b[go] + 4
         value[left] = k
-    source = np.maximum.accumulate(np.where(fresh, place, 0))
-    out = np.where(before >= 0, np.maximum(value[source] - (place - source), 0), 0)
-    return np.minimum(out, most)
+        inside = (a < n) & (b < n)
+        left, a, b = left[inside], a[inside], b[inside]
+    source = np.maximum.accumulate(np.where(fresh, rank, 0))
+    out[place] = np.clip(value[source] - (rank - source), 0, most)
+    return out

@@ -52,11 +52,12 @@ _PIECE = 1 << 21
 _U = np.uint64
 
 
-def _anchors_of_piece(buf: np.ndarray, off: np.ndarray, length: int, gram: int, least_start: int) -> tuple[np.ndarray, ...]:
+def _anchors_of_piece(buf: np.ndarray, off: np.ndarray, length: int, gram: int, least_start: int = 0, end_start: int | None = None) -> tuple[np.ndarray, ...]:
     n, w, half = len(buf), length - gram + 1, (length - gram + 1) // 2
     empty = np.zeros(0, dtype=np.int64)
+    nothing = empty, empty, empty.astype(_U), empty.astype(_U)
     if n < length:
-        return empty, empty, empty.astype(_U)
+        return nothing
     with np.errstate(over="ignore"):
         run = np.empty(n + 1, dtype=_U)
         run[0] = 0
@@ -74,9 +75,10 @@ def _anchors_of_piece(buf: np.ndarray, off: np.ndarray, length: int, gram: int,
         at = (least & _U((1 << 22) - 1)).astype(np.int64)
         room = np.repeat(off[1:], np.diff(off))[: len(at)] - np.arange(len(at))
         starts = np.flatnonzero(room >= length)
-        starts = starts[starts >= least_start]
+        if end_start is not None:
+            starts = starts[(starts >= least_start) & (starts < end_start)]
         if not len(starts):
-            return empty, empty, empty.astype(_U)
+            return nothing
         at = at[starts]
         new = np.ones(len(at), dtype=bool)
         new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -87,28 +89,29 @@ def _anchors_of_piece(buf: np.ndarray, off: np.ndarray, length: int, gram: int,
         left = mix((run[at + gram] - run[a]) * inverse[a] + (at - a).astype(_U))
         right = mix((run[b] - run[at]) * inverse[at] + (b - at).astype(_U))
         entry = (h[at] >> _U(16) << _U(16)) | (left >> _U(56) << _U(8)) | (right >> _U(56))
-    return first, last, entry
+        content = mix((run[last + length] - run[first]) * inverse[first] + (last - first).astype(_U))
+    return first, last, entry, content
 
 
-def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document number, first window start, last window start, entry) of every anchor, in text order.
+def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(document number, first window start, last window start, entry, hash of the fragment) of every anchor, in text order.
 
     An entry is 48 bits of the anchor's hash and 8 bits each of the hashes of the
     anchor with its left and with its right surroundings.  A long text is scanned
     in pieces.
     """
     if len(buf) <= _PIECE * 2 or len(off) > 2:
-        first, last, entry = _anchors_of_piece(buf, off, length, gram, 0)
+        first, last, entry, content = _anchors_of_piece(buf, off, length, gram)
     else:
         parts = []
         for a in range(0, len(buf), _PIECE):
             lo = max(0, a - 64 - length)
             sub = buf[lo : a + _PIECE + length - 1 + 64 + length]
-            f, l, e = _anchors_of_piece(sub, np.array([0, len(sub)]), length, gram, a - lo)
-            inside = f + lo < a + _PIECE
-            parts.append((f[inside] + lo, np.minimum(l[inside] + lo, a + _PIECE - 1), e[inside]))
-        first, last, entry = (np.concatenate(x) for x in zip(*parts))
-    return np.searchsorted(off, first, side="right") - 1, first, last, entry
+            piece = buf[lo : a + _PIECE + length + 64]  # with the surroundings of its first and last anchor
+            f, l, e, c = _anchors_of_piece(piece, np.array([0, len(piece)]), length, gram, a - lo, a + _PIECE - lo)
+            parts.append((f + lo, l + lo, e, c))
+        first, last, entry, content = (np.concatenate(x) for x in zip(*parts))
+    return np.searchsorted(off, first, side="right") - 1, first, last, entry, content
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -122,7 +125,7 @@ def _wide(blob: bytes, n: int) -> np.ndarray:
 
 def _by_id(ids: np.ndarray, entries: np.ndarray, buckets: int) -> list[tuple]:
     """Answers: rows (bucket, id, entries) for pairs (id, entry)."""
-    o = np.argsort(ids, kind="stable")
+    o = np.argsort(ids)
     ids, entries = ids[o], entries[o]
     cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, dtype=np.int64)
     return [(int(ids[a] % buckets), int(ids[a]), entries[a:b].tobytes(), None) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)])]
@@ -140,11 +143,10 @@ def _entry_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 def _group_flags(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """True for the members of every key that occurs with two ids or more."""
-    o = np.lexsort((ids, keys))
+    o = np.argsort(keys)
     k, d = keys[o], ids[o]
-    head = np.append(True, k[1:] != k[:-1])
-    at = np.flatnonzero(head)
-    shared = d[at] != d[np.append(at[1:], len(k)) - 1]
+    at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    shared = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
     out = np.empty(len(keys), dtype=bool)
     out[o] = np.repeat(shared, np.diff(np.append(at, len(k))))
     return out
@@ -155,19 +157,15 @@ def _send_anchors(length: int, buckets: int):
 
     def pack(entries, ids):
         e, d = np.concatenate(entries), np.concatenate(ids)
-        o = np.lexsort((d, e))
+        o = np.argsort(e)
         e, d = e[o], d[o]
-        keep = np.append(True, (e[1:] != e[:-1]) | (d[1:] != d[:-1]))
-        e, d = e[keep], d[keep]
-        head = np.append(True, e[1:] != e[:-1])
-        at = np.flatnonzero(head)
-        size = np.diff(np.append(at, len(e)))
-        known = np.repeat(size > 1, size)
+        at = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
+        least, most = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
+        known = np.repeat(least != most, np.diff(np.append(at, len(e))))
         rows = _by_id(d[known], e[known], buckets)
-        e, d = e[at], d[at]  # the smallest id speaks for the block
-        bucket = ((e >> _U(16)) % _U(buckets)).astype(np.int64)
-        o = np.argsort(bucket, kind="stable")
-        e, d, cut = e[o], d[o], np.searchsorted(bucket[o], np.arange(buckets + 1))
+        e, d = e[at], least  # the smallest id speaks for the block
+        # buckets are stretches of the hash range, so they lie in order already
+        cut = np.searchsorted(((e >> _U(48)) * _U(buckets)) >> _U(16), np.arange(buckets + 1, dtype=_U))
         rows += [(b, None, e[cut[b] : cut[b + 1]].tobytes(), _narrow(d[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b + 1] > cut[b]]
         return _entry_batches(rows)
 
@@ -176,7 +174,7 @@ def _send_anchors(length: int, buckets: int):
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
             for lo, _, buf, off in text_chunks(b.column(1)):
-                doc, _, _, e = anchors(buf, off, length)
+                doc, _, _, e, _ = anchors(buf, off, length)
                 if len(e):
                     entries.append(e)
                     ids.append(keys[lo + doc])
@@ -219,28 +217,29 @@ def _shared_fragments(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.n
     """(id, first, last, entry, content hash, bytes, offsets into bytes) of the shared fragments of a stretch of documents."""
     keys = batch.column(0).to_numpy(zero_copy_only=False)
     lists = batch.column(2)
+    blobs = [None if x is None else b"".join(x) for x in lists.to_pylist()]
     for lo, hi, buf, off in text_chunks(batch.column(1)):
-        doc, first, last, e = anchors(buf, off, length)
-        own, where = [], []
-        for i in range(lo, hi):
-            for blob in lists[i].as_py() or ():
-                own.append(np.frombuffer(blob, _U))
-                where.append(np.full(len(own[-1]), i - lo, dtype=np.int64))
-        if not own or not len(e):
+        told = [blobs[i] or b"" for i in range(lo, hi)]
+        own = np.frombuffer(b"".join(told), _U)
+        if not len(own):
             continue
+        doc, first, last, e, content = anchors(buf, off, length)
+        where = np.repeat(np.arange(hi - lo), [len(x) // 8 for x in told])
         with np.errstate(over="ignore"):
-            wanted = mix(np.concatenate(own) + mix(np.concatenate(where).astype(_U)))
-            hit = np.isin(mix(e + mix(doc.astype(_U))), wanted)
-            doc, first, last, e = doc[hit], first[hit], last[hit], e[hit]
-            n = len(buf)
-            run = np.zeros(n + 1, dtype=_U)
-            np.cumsum(BYTE_VALUE[buf] * powers(n, _BASE), dtype=_U, out=run[1:])
-            content = mix((run[last + length] - run[first]) * powers(n + 1, _INVERSE)[first] + (last - first).astype(_U))
-        yield keys[lo + doc], first - off[doc], last - off[doc], e, content, buf, off[doc]
+            wanted = np.sort(mix(own + mix(where.astype(_U))))
+            asked = mix(e + mix(doc.astype(_U)))
+        i = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)] == asked)
+        doc = doc[i]
+        yield keys[lo + doc], first[i] - off[doc], last[i] - off[doc], e[i], content[i], buf, off[doc]
 
 
-_CONTENT = "bucket int, anchor binary, content binary, least binary, times binary, size binary, bytes binary"
-_CONTENT_NAMES = [c.split()[0] for c in _CONTENT.split(", ")]
+# Rows of one exchange.  kind 0: distinct fragments of a block for a shard (a anchors, b smallest ids, c occurrences,
+# d sizes, e bytes); kind 1: occurrences (a fragments' hashes, b ids, c starts, d tags), dealt out evenly.  A fragment is
+# known by the 64-bit hash of its bytes and a tag, 16 bits of its anchor's hash.
+_SENT = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary"
+_SENT_NAMES = [c.split()[0] for c in _SENT.split(", ")]
+_SENT_TYPES = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+_TAG = _U(65_535)
 
 
 def _gather(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -250,9 +249,23 @@ def _gather(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return buf[idx]
 
 
+def _content_hashes(data: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each fragment's bytes, as :func:`anchors` computes it in the text."""
+    ends = np.cumsum(size)
+    with np.errstate(over="ignore"):
+        n = len(data)
+        run = np.zeros(n + 1, dtype=_U)
+        np.cumsum(BYTE_VALUE[data] * powers(n, _BASE), dtype=_U, out=run[1:])
+        return mix((run[ends] - run[ends - size]) * powers(n + 1, _INVERSE)[ends - size] + (size - length).astype(_U))
+
+
 def _merge(anchor, content, least, times, size, data):
-    """Equal fragments once: sorted by (anchor, content), smallest id, summed occurrences."""
-    o = np.lexsort((content, anchor))
+    """Equal fragments once: grouped by anchor, smallest id, summed occurrences.
+
+    16 bits of the content hash order a group; if two contents share them their
+    copies may stay apart, which costs a few bytes and changes nothing.
+    """
+    o = np.argsort((anchor << _U(16)) | (content >> _U(48)))
     a, c = anchor[o], content[o]
     head = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))
     at = np.flatnonzero(head)
@@ -261,31 +274,33 @@ def _merge(anchor, content, least, times, size, data):
     return a[at], c[at], np.minimum.reduceat(least[o], at), np.add.reduceat(times[o], at), size[pick], _gather(data, (ends - size)[pick], size[pick])
 
 
-def _send_contents(length: int, buckets: int):
-    """Partition function over (id, text, entries): packed distinct fragments per bucket."""
+def _send_fragments(length: int, buckets: int):
+    """Partition function over (id, text, entries): packed distinct fragments per bucket, and their occurrences."""
 
     def pack(parts):
-        a, c, least, times, size, data = _merge(*(np.concatenate(x) for x in zip(*parts)))
-        bucket = (a % _U(buckets)).astype(np.int64)
-        o = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[o], np.arange(buckets + 1))
-        ends = np.cumsum(size)
+        anchor, content, ids, size, data, at = (np.concatenate(x) for x in zip(*parts))
+        a, c, least, times, size, data = _merge(anchor, content, ids, np.ones(len(ids), dtype=np.int64), size, data)
+        # buckets are stretches of the anchors' hash range, so they lie in order already
+        cut = np.searchsorted(((a >> _U(32)) * _U(buckets)) >> _U(16), np.arange(buckets + 1, dtype=_U))
+        ends = np.append(0, np.cumsum(size))
         rows = []
         for b in range(buckets):
-            i = o[cut[b] : cut[b + 1]]
-            if len(i):
-                rows.append((b, a[i].tobytes(), c[i].tobytes(), _narrow(least[i]), times[i].astype(np.int64).tobytes(), size[i].astype(np.int32).tobytes(), _gather(data, (ends - size)[i], size[i]).tobytes()))
-        types = [pa.int32()] + [pa.binary()] * 6
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=_CONTENT_NAMES)
+            i = slice(cut[b], cut[b + 1])
+            if cut[b + 1] > cut[b]:
+                rows.append((0, b, a[i].tobytes(), _narrow(least[i]), times[i].tobytes(), size[i].astype(np.int32).tobytes(), data[ends[cut[b]] : ends[cut[b + 1]]].tobytes()))
+        step = 20_000
+        for i in range(0, len(ids), step):
+            j = slice(i, i + step)
+            rows.append((1, int(content[i] % _U(buckets)), content[j].tobytes(), _narrow(ids[j]), _narrow(at[j]), (anchor[j] & _TAG).astype(np.uint16).tobytes(), None))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_SENT_TYPES)], names=_SENT_NAMES)
 
     def run(batches):
         parts, held = [], 0
         for b in batches:
             for ids, first, last, e, content, buf, base in _shared_fragments(b, length):
                 size = last - first + length
-                data = _gather(buf, first + base, size)
-                parts.append((e >> _U(16), content, ids, np.ones(len(ids), dtype=np.int64), size, data))
-                held += len(data)
+                parts.append((e >> _U(16), content, ids, size, _gather(buf, first + base, size), first))
+                held += int(size.sum())
                 if held >= FLUSH_BYTES:
                     yield pack(parts)
                     parts, held = [], 0
@@ -295,15 +310,13 @@ def _send_contents(length: int, buckets: int):
     return run
 
 
-def _send_occurrences(length: int):
-    """Partition function over (id, text, entries): (anchor, content, id, start of the fragment)."""
-
-    def run(batches):
-        for b in batches:
-            for ids, first, _, e, content, _, _ in _shared_fragments(b, length):
-                yield pa.RecordBatch.from_arrays([pa.array((e >> _U(16)).view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids), pa.array(first)], names=["anchor", "content", "id", "at"])
-
-    return run
+def _occurrences(batches):
+    """Partition function over sent rows: one row (content, tag, id, start) per occurrence."""
+    for b in batches:
+        for kind, _, c, ids, at, tag, _ in zip(*(col.to_pylist() for col in b.columns)):
+            if kind == 1:
+                n = len(c) // 8
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c, np.int64)), pa.array(np.frombuffer(tag, np.uint16).astype(np.int32)), pa.array(_wide(ids, n)), pa.array(_wide(at, n))], names=["content", "tag", "id", "at"])
 
 
 def window_minima(size: np.ndarray, data: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
@@ -313,31 +326,30 @@ def window_minima(size: np.ndarray, data: np.ndarray, least: np.ndarray, length:
     induced sorting, and neighbours with a common prefix of ``length`` grouped.
     """
     m, ends = len(size), np.cumsum(size)
-    t = np.ones(len(data) + m + 1, dtype=np.int64)
+    t = np.ones(len(data) + m + 1, dtype=np.uint16)
     t[-1] = 0
-    frag = np.repeat(np.arange(m), size)
-    t[np.arange(len(data)) + frag] = data.astype(np.int64) + 2
+    frag = np.repeat(np.arange(m, dtype=np.int32), size)
+    place = np.arange(len(data), dtype=np.int32)
+    t[place + frag] = data.astype(np.uint16) + 2
     sa = suffix_array(t)
-    prefix = common_prefixes(t, sa, length)
-    owner = np.full(len(t), -1, dtype=np.int64)
-    place = np.arange(len(data))
+    owner = np.full(len(t), -1, dtype=np.int32)
     window = np.repeat(ends, size) - place >= length  # windows start here
     owner[(place + frag)[window]] = frag[window]
     mine = owner[sa]
     full = mine >= 0
     pos, mine = sa[full], mine[full]
-    # a suffix with a whole window stands next to all others with the same window
-    joined = prefix[pos] >= length
+    # equal windows are neighbours among the suffixes that start with a whole window
+    joined = common_prefixes(t, pos, length)[pos] >= length
     group = np.cumsum(~joined) - 1
     at = np.flatnonzero(~joined)
     best = np.minimum.reduceat(least[mine], at)[group] if len(at) else least[mine]
-    by_pos = np.empty(len(t), dtype=np.int64)
+    by_pos = np.zeros(len(t), dtype=np.int64)
     by_pos[pos] = best
     return by_pos[owner >= 0]
 
 
 def _shard_results(length: int):
-    """Partition function over packed fragments: (anchor, content, a, b, least) for runs of windows a..b of fragments that matter."""
+    """Partition function over packed fragments: (content, tag, a, b, least) for runs of windows a..b of fragments that matter."""
 
     def results(a, c, least, times, size, best):
         windows = size - length + 1
@@ -349,7 +361,7 @@ def _shard_results(length: int):
         lo, hi = start[at], start[np.append(at[1:], len(frag)) - 1]
         use = (times[f] > 1) | (g < least[f])
         f, g, lo, hi = f[use], g[use], lo[use], hi[use]
-        return pa.RecordBatch.from_arrays([pa.array(a[f].view(np.int64)), pa.array(c[f].view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(g)], names=["anchor", "content", "a", "b", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(c[f].view(np.int64)), pa.array((a[f] & _TAG).astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(g)], names=["content", "tag", "a", "b", "least"])
 
     def hot(size, data, least):
         """A group too large for one array: its windows are dealt out by hash and sorted part by part."""
@@ -372,9 +384,11 @@ def _shard_results(length: int):
     def run(batches):
         parts = []
         for b in batches:
-            for _, a, c, l, t, s, d in zip(*(col.to_pylist() for col in b.columns)):
-                a = np.frombuffer(a, _U)
-                parts.append((a, np.frombuffer(c, _U), _wide(l, len(a)), np.frombuffer(t, np.int64), np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(d, np.uint8)))
+            for kind, _, a, l, t, s, d in zip(*(col.to_pylist() for col in b.columns)):
+                if kind:
+                    continue
+                a, size, d = np.frombuffer(a, _U), np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(d, np.uint8)
+                parts.append((a, _content_hashes(d, size, length), _wide(l, len(a)), np.frombuffer(t, np.int64), size, d))
         if not parts:
             return
         a, c, least, times, size, data = _merge(*(np.concatenate(x) for x in zip(*parts)))
@@ -425,13 +439,15 @@ def cut_documents(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, int]
     base = base.select("_key", "_keep", "text", F.coalesce(F.array_contains("_shas", F.sha2("text", 256)), F.lit(False)).alias("_copy"))
     body = F.when(~F.col("_copy"), F.col("text"))
 
-    entries = base.select("_key", body.alias("text")).mapInArrow(_send_anchors(length, buckets), _ENTRY)
+    # every branch reads the same columns, so that Spark shuffles the texts once and uses that exchange again
+    entries = base.select("_key", body.alias("text"), "_keep").mapInArrow(_send_anchors(length, buckets), _ENTRY)
     answers = entries.repartition(width, "bucket").mapInArrow(_answer_anchors(buckets), _ENTRY)
     shared = answers.groupBy(F.col("id").alias("_key")).agg(F.collect_list("x").alias("_entries"))
-    told = base.join(shared.hint("shuffle_hash"), "_key").select("_key", body.alias("text"), "_entries")
-    found = told.mapInArrow(_send_contents(length, buckets), _CONTENT).repartition(width, "bucket").mapInArrow(_shard_results(length), "anchor long, content long, a int, b int, least long")
-    places = told.mapInArrow(_send_occurrences(length), "anchor long, content long, id long, at long")
-    hits = places.join(found, ["anchor", "content"]).where(F.col("least") < F.col("id"))
+    told = base.join(shared.hint("shuffle_hash"), "_key").select("_key", body.alias("text"), "_entries", "_keep")
+    sent = told.mapInArrow(_send_fragments(length, buckets), _SENT).repartition(width, "bucket")  # read by both of the following
+    found = sent.mapInArrow(_shard_results(length), "content long, tag int, a int, b int, least long")
+    places = sent.mapInArrow(_occurrences, "content long, tag int, id long, at long")
+    hits = places.join(found, ["content", "tag"]).where(F.col("least") < F.col("id"))
     spans = hits.select(F.col("id").alias("_key"), F.struct((F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("b") + length).alias("e")).alias("_span"))
     spans = spans.groupBy("_key").agg(F.collect_list("_span").alias("_spans"))
 
