@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from .._compat import col_of
 from ..functions.lists import append_distinct, non_empty
-from ..functions.paths import audio_path_default, cover_template
+from ..functions.paths import cover_template
 from ..schemas import (
-    EMOTIONS,
     GENRE_MAP,
     GENRE_MAP_DEFAULT,
     GENRE_MAP_STRICT,
@@ -25,7 +24,7 @@ from ..schemas import (
     UNPOPULAR_GENRES,
 )
 from ..session import bounded_broadcast
-from .joins import salted_join
+from .ordering import dense_index, range_block
 
 
 # ------------------------------------------------------------------ P-1 .. P-4
@@ -155,14 +154,20 @@ def playlist_emotion(title: Column, prefix: str = "emotion-") -> Column:
     return F.when(title.startswith(prefix), F.substring(title, len(prefix) + 1, 1 << 20))
 
 
-def flatten_playlist_tracks(entries: DataFrame, track_col: str = "track", title_col: str = "title", pos_col: str = "pos") -> DataFrame:
+# Where downloaded files of a track lie.
+AUDIO_DIR, LYRICS_DIR, COVER_DIR, COVER_SIZE = "data/audios/", "data/lyrics/", "data/covers/", "1000x1000"
+
+
+def flatten_playlist_tracks(entries: DataFrame, track_col: str = "track", title_col: str = "title", pos_col: str = "pos", keep: Sequence[str] = ()) -> DataFrame:
     """S-13 / P-9 / P-10 / P-11: playlist entries ``(title, pos, track struct)`` -> flat track rows.
 
-    Invalid tracks are kept with a ``reject_reason`` so the caller can report them.
+    Invalid tracks are kept with a ``reject_reason`` so the caller can report
+    them.  ``keep`` names further columns of ``entries`` to pass through.
     """
     t = F.col(track_col)
     album = F.try_element_at(t["albums"], F.lit(1))
     year = album["year"].cast("string").try_cast("int")
+    tid = t["id"].cast("string")
     return entries.select(
         F.col(title_col).alias("playlist"),
         F.col(pos_col).alias("pos"),
@@ -171,12 +176,14 @@ def flatten_playlist_tracks(entries: DataFrame, track_col: str = "track", title_
         album["id"].alias("ym_album_id"),
         t["title"].alias("track_title"),
         F.try_element_at(t["artists"], F.lit(1))["name"].alias("artist_name"),
-        cover_template(album["cover_uri"]).alias("cover_url"),
+        cover_template(album["cover_uri"], COVER_SIZE).alias("cover_url"),
         album["genre"].alias("ym_genre"),
         year.alias("year"),
         playlist_emotion(F.col(title_col)).alias("emotion"),
-        audio_path_default(t["id"], album["id"]).alias("audio_path"),
-        F.concat(F.lit("covers/"), t["id"].cast("string"), F.lit(".jpg")).alias("cover_path"),
+        F.concat(F.lit(AUDIO_DIR), tid, F.lit(".mp3")).alias("audio_path"),
+        F.when(F.length(t["lyrics"]) > 0, F.concat(F.lit(LYRICS_DIR), tid, F.lit(".txt"))).alias("lyrics_path"),
+        F.concat(F.lit(COVER_DIR), tid, F.lit(f":{COVER_SIZE}.jpg")).alias("cover_path"),
+        *keep,
     )
 
 
@@ -193,54 +200,65 @@ def emotions_in_order(rows: DataFrame, key_col: str, label_col: str, order_cols:
     return grouped.select(key_col, F.transform("_s", lambda s: s[label_col]).alias(out_col))
 
 
-def merge_playlist(current: DataFrame, incoming: DataFrame, key: str = "ym_track_id", list_col: str = "emotions_maybe", limit: int | None = None, order_cols: Sequence[str] = ("pos",)) -> DataFrame:
-    """U-3: merge new playlist tracks into the tracks table.
+def tracks_from_entries(entries: DataFrame, key: str = "ym_track_id", label_col: str = "emotion", pos_col: str = "pos", list_col: str = "emotions_maybe") -> DataFrame:
+    """One row per track of valid playlist entries: the fields of its first entry, and its distinct labels in order
+    of first appearance (null when it is on no labelled playlist).
 
-    ``incoming`` has one row per track with its new labels in ``list_col``.
-    Known ids get the new labels appended (A-8); new ids are inserted; when
-    ``limit`` is set, existing + inserted rows stop at ``limit`` (L-3), new
-    rows taken in ``order_cols`` order.
+    Two aggregates: by (track, label), which collapses a hot track before the
+    shuffle, then by track over at most one row per label.
     """
-    cur_cols = current.columns
-    inc = incoming.select(*[F.col(c).alias("_n_" + c) for c in incoming.columns])
-    known = current.join(inc, F.col(key) == F.col("_n_" + key), "left")
-    updated = known.withColumn(list_col, append_distinct(F.col(list_col), F.col("_n_" + list_col))).select(*cur_cols)
-    fresh = incoming.join(current.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
-    if limit is not None:
-        fresh = limit_after_existing(fresh, current, limit, order_cols)
-    fill = [F.col(c) if c in fresh.columns else F.lit(None).cast(t).alias(c) for c, t in current.dtypes]
-    return updated.unionByName(fresh.select(*fill))
-
-
-TOP_K_IN_ONE_TASK = 100_000
+    fields = [c for c in entries.columns if c not in (key, label_col, pos_col)]
+    by_label = entries.groupBy(key, label_col).agg(F.min(pos_col).alias("_p"), F.min_by(F.struct(*fields), pos_col).alias("_row"))
+    labelled = F.when(F.col(label_col).isNotNull(), F.struct("_p", label_col))
+    by_track = by_label.groupBy(key).agg(F.min("_p").alias(pos_col), F.min_by("_row", "_p").alias("_row"), F.array_sort(F.collect_list(labelled)).alias("_s"))
+    labels = F.when(F.size("_s") > 0, F.transform("_s", lambda x: x[label_col]))
+    return by_track.select(key, pos_col, *[F.col("_row")[c].alias(c) for c in fields], labels.alias(list_col))
+
+
+def cut_position(entries: DataFrame, current: DataFrame, limit: int, key: str = "ym_track_id", pos_col: str = "pos") -> DataFrame:
+    """L-3: the entries that are read before the table holds ``limit`` tracks.
+
+    Reading goes on until the track that fills the table has been inserted;
+    later entries are not read at all, so they add no label to known tracks
+    either.  The cut is the first position of the k-th new track, k = limit -
+    tracks in ``current``; it is found with a dense index over stretches of the
+    position range, in the query itself.
+    """
+    fresh = entries.groupBy(key).agg(F.min(pos_col).alias("_p")).join(current.select(key), key, "left_anti")
+    k = F.lit(int(limit)) - current.select(F.count(F.lit(1))).scalar()
+    indexed = dense_index(fresh, ["_p", key], range_block(fresh, "_p"), idx_col="_i")
+    cut = indexed.where(F.col("_i") == k - 1).select(F.max("_p")).scalar()
+    return entries.where((k > 0) & (cut.isNull() | (F.col(pos_col) <= cut)))
 
 
-def limit_after_existing(new_rows: DataFrame, existing: DataFrame, limit: int, order_cols: Sequence[str], block_bits: int = 16) -> DataFrame:
-    """L-3: keep the first ``max(0, limit - count(existing))`` new rows in ``order_cols`` order.
+def merge_playlist(current: DataFrame, entries: DataFrame, key: str = "ym_track_id", label_col: str = "emotion", pos_col: str = "pos", list_col: str = "emotions_maybe", limit: int | None = None) -> DataFrame:
+    """U-3: merge valid playlist entries (one row per entry, in ``pos_col`` order) into the tracks table.
 
-    The cap is the feature here (ingest stops at ``limit`` rows).  For a small
-    k it is a top-k (``orderBy().limit()``: per-partition top-k, then one merge
-    of at most k rows per partition).  For a large k the final merge would sit
-    in one task, so positions come from a blocked dense index instead
-    (block = first order column ``>> block_bits``, which must be integral) and
-    the rows with position < k are kept, all distributed.
+    Known tracks keep their fields and get the new labels appended (A-8); new
+    tracks are inserted with the fields of their first entry, also from
+    playlists without a label (null list).  With ``limit`` reading stops as in
+    :func:`cut_position`.  Columns of ``current`` that entries lack are null in
+    inserted rows.
     """
-    k = max(0, int(limit) - existing.count())
-    if k <= TOP_K_IN_ONE_TASK:
-        return new_rows.orderBy(*order_cols).limit(k)
-    from .ordering import dense_index
-
-    block = F.shiftright(F.col(order_cols[0]).cast("long"), block_bits)
-    indexed = dense_index(new_rows, list(order_cols), block, idx_col="_ins_idx")
-    return indexed.where(F.col("_ins_idx") < F.lit(k)).drop("_ins_idx")
+    read = entries if limit is None else cut_position(entries, current, limit, key, pos_col)
+    new = tracks_from_entries(read, key, label_col, pos_col, list_col)
+    n = new.select(*[F.col(c).alias("_n_" + c) for c in new.columns])
+    both = current.join(n, F.col(key) == F.col("_n_" + key), "full_outer")
+    known = F.col(key).isNotNull()
+    appended = F.when(F.col("_n_" + list_col).isNull(), F.col(list_col)).otherwise(append_distinct(F.col(list_col), F.col("_n_" + list_col)))
+    out = []
+    for c, kind in current.dtypes:
+        inserted = F.col("_n_" + c) if c in new.columns else F.lit(None).cast(kind)
+        out.append(F.when(known, appended if c == list_col else F.col(c)).otherwise(inserted).alias(c))
+    return both.select(*out)
 
 
 # ------------------------------------------------------------------ U-1 / U-5 / U-4 / U-7
 def drop_duplicates_first(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
     """U-1: one row per key, the first in ``order_cols`` order.
 
-    ``min_by`` over a struct: hash aggregate with map-side partials, no sort,
-    and a hot key collapses before the shuffle.
+    ``min_by`` over a struct, with partial aggregation: a hot key collapses
+    before the shuffle.
     """
     payload = [c for c in df.columns if c not in keys]
     order = F.struct(*[F.col(c) for c in order_cols])
@@ -275,30 +293,34 @@ def dedupe_cache(cache: DataFrame, name_col: str = "artist_name") -> DataFrame:
     return agg.select("_key", *[F.col("_row")[c].alias(c) for c in payload])
 
 
-def enrich_artists(tracks: DataFrame, cache: DataFrame, fallbacks: Sequence[DataFrame] = (), name_col: str = "artist_name", salt_from: str | None = None) -> DataFrame:
+def enrich_artists(tracks: DataFrame, cache: DataFrame, fallbacks: Sequence[DataFrame] = (), name_col: str = "artist_name") -> DataFrame:
     """J-4 + P-14: fill missing artist fields by lower-cased name, track value first, then cache,
     then each fallback source in order (each source: ``artist_name`` + some of the fields).
 
-    Every source is first reduced to one row per name; the joins are salted
-    by ``salt_from`` (a track column, default the first column) because one
-    artist may own a large share of the tracks.
+    Every source is first reduced to one row per name, then all of them to one
+    row per name that holds each field's first known value in source order, so
+    the tracks are shuffled once.  An artist who owns a large share of the
+    tracks is left to AQE's skew join.
     """
-    salt = salt_from or tracks.columns[0]
-    out = tracks.withColumn("_key", F.lower(F.col(name_col)))
     sources = [dedupe_cache(cache, name_col)] + [dedupe_source(s, name_col) for s in fallbacks]
+    ranked = None
     for i, src in enumerate(sources):
-        fields = [f for f in ARTIST_FIELDS if f in src.columns]
-        src = src.select("_key", *[F.col(f).alias(f"_s{i}_{f}") for f in fields])
-        out = salted_join(out, src, "_key", salt, how="left")
-        for f in fields:
-            out = out.withColumn(f, F.coalesce(F.col(f), F.col(f"_s{i}_{f}"))).drop(f"_s{i}_{f}")
-    return out.drop("_key")
+        fields = [F.col(f).cast("string").alias(f) if f in src.columns else F.lit(None).cast("string").alias(f) for f in ARTIST_FIELDS]
+        one = src.select("_key", F.lit(i).alias("_rank"), *fields)
+        ranked = one if ranked is None else ranked.unionByName(one)
+    first = ranked.groupBy("_key").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_rank"))).alias("_s_" + f) for f in ARTIST_FIELDS])
+    out = tracks.withColumn("_key", F.lower(F.col(name_col))).join(first, "_key", "left")
+    for f in ARTIST_FIELDS:
+        out = out.withColumn(f, F.coalesce(F.col(f), F.col("_s_" + f)))
+    return out.drop("_key", *["_s_" + f for f in ARTIST_FIELDS])
 
 
 def dedupe_source(src: DataFrame, name_col: str = "artist_name") -> DataFrame:
+    """One row per lower-cased name: the smallest by (name, then the fields as they stand); facts of different rows do not mix."""
     fields = [f for f in ARTIST_FIELDS if f in src.columns]
     keyed = src.withColumn("_key", F.lower(F.col(name_col)))
-    return keyed.groupBy("_key").agg(*[F.max(f).alias(f) for f in fields])
+    agg = keyed.groupBy("_key").agg(F.min_by(F.struct(*fields), F.struct(name_col, *fields)).alias("_row"))
+    return agg.select("_key", *[F.col("_row")[f].alias(f) for f in fields])
 
 
 def artist_work_list(cache: DataFrame, max_requests: int = 1) -> DataFrame:
@@ -311,16 +333,16 @@ def artist_work_list(cache: DataFrame, max_requests: int = 1) -> DataFrame:
     )
 
 
-def enrich_genres(tracks: DataFrame, lookup: DataFrame, on_miss: str = "drop", list_col: str = "deezer_genres", salt_from: str | None = None) -> DataFrame:
+def enrich_genres(tracks: DataFrame, lookup: DataFrame, on_miss: str = "drop", list_col: str = "deezer_genres") -> DataFrame:
     """J-5: tracks without genres get them from ``lookup`` by (title, artist).
 
     Tracks with genres are kept unchanged; a hit with no genres keeps the row;
     a miss is dropped (``on_miss='drop'``) or kept (``'keep'``).  The lookup is
-    reduced to one row per key and the join is salted (one title/artist pair
-    can repeat across very many tracks).
+    reduced to one row per key, the smallest genre list it has; a title/artist
+    pair that repeats across very many tracks is left to AQE's skew join.
     """
-    lk = lookup.groupBy("track_title", "artist_name").agg(F.first("genres", ignorenulls=True).alias("_g"), F.lit(True).alias("_hit"))
-    j = salted_join(tracks, lk, ["track_title", "artist_name"], salt_from or tracks.columns[0], how="left")
+    lk = lookup.groupBy("track_title", "artist_name").agg(F.min("genres").alias("_g"), F.lit(True).alias("_hit"))
+    j = tracks.join(lk, ["track_title", "artist_name"], "left")
     has = non_empty(list_col)
     if on_miss == "drop":
         j = j.where(has | F.col("_hit").isNotNull())
@@ -333,6 +355,12 @@ def join_manifest(manifest: DataFrame, tracks: DataFrame, key: str = "track_id",
     return manifest.join(t, key, "inner"), manifest.join(t.select(key), key, "left_anti")
 
 
+def tracks_without_file(tracks: DataFrame, manifest: DataFrame, key: str = "track_id", track_key: str = "ym_track_id") -> DataFrame:
+    """J-10: tracks whose file is not in the manifest (anti join)."""
+    have = manifest.select(F.col(key).alias("_have"))
+    return tracks.join(have, F.col(track_key) == F.col("_have"), "left_anti")
+
+
 # ------------------------------------------------------------------ L-4 / L-5 / W-1
 def page(df: DataFrame, order_cols: Sequence[str], page_no: int = 0, per_page: int = 20) -> DataFrame:
     """L-5 (and L-4 with page 0): one page in a total order; top-k + offset, no full sort."""
@@ -367,19 +395,17 @@ def first_n_per_class(df: DataFrame, class_col: str, order_cols: Sequence[str],
     return lvl1.withColumn("_rank", F.row_number().over(w2)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def catalogue_view(df: DataFrame) -> DataFrame:
-    """P-21: the catalogue page columns; cover URL gets ``https://``.
-
-    The page also lists ``artist_age``, which no table has; it comes out null.
-    """
-    cols = ["ym_track_id", "ym_album_id", "track_title", "artist_name", "genre", "emotion", "nation",
-            "year", "artist_country", "artist_sex", "artist_year", "audio_path"]
-    out = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols]
-    cover = F.concat(F.lit("https://"), F.col("cover_url")) if "cover_url" in df.columns else F.lit(None).cast("string")
-    return df.select(*out, cover.alias("cover_url"), F.lit(None).cast("string").alias("artist_age"))
+# The columns of the catalogue page, in its order.
+CATALOGUE_COLUMNS = (
+    "ym_track_id", "ym_album_id", "track_title", "artist_name", "audio_path", "lyrics_path", "cover_path", "cover_url", "emotion", "genre",
+    "artist_country", "artist_year", "artist_age",
+)
 
 
-def emotion_index(df: DataFrame, col: str = "emotion", out: str = "emotion_idx") -> DataFrame:
-    """Vocabulary position of a class name (null when unknown)."""
-    pos = F.nullif(F.array_position(F.array(*[F.lit(e) for e in EMOTIONS]), F.col(col)), F.lit(0))
-    return df.withColumn(out, (pos - 1).cast("int"))
+def catalogue_view(df: DataFrame) -> DataFrame:
+    """P-21: the catalogue page's 13 columns; the cover URL gets ``https://``.  Columns the table lacks
+    (``artist_age`` is in no table) come out null."""
+    out = {c: F.col(c) if c in df.columns else F.lit(None).cast("string") for c in CATALOGUE_COLUMNS}
+    if "cover_url" in df.columns:
+        out["cover_url"] = F.concat(F.lit("https://"), F.col("cover_url"))
+    return df.select(*[e.alias(c) for c, e in out.items()])

@@ -4,7 +4,7 @@ Input is a raw answers table, one row per worker answer
 (``answer_id, worker_id, submitted_at, status, reward, audio_path, result``)
 plus the pool's class in ``emotion``.  All windows are bounded by a block
 (a day, a span of days, a position chunk) so a very active worker never lands
-in one task; joins on a task key are salted.
+in one task; skewed joins on a task key are split by AQE.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .._compat import col_of
 from ..functions.paths import track_id_from_url
@@ -32,11 +33,10 @@ from ..schemas import (
     vocabulary,
 )
 from ..session import bounded_broadcast, materialize
-from .joins import salted_join
-from .ordering import day_block, dense_index, epoch_micros, near_equal_parts
+from .ordering import day_block, dense_index, epoch_micros, near_equal_parts, range_block
 
 DAY_MICROS = 86_400_000_000
-HOT_TASKS = 1024
+MONEY = "decimal(20,4)"
 
 
 # --------------------------------------------------------------------- A-1 / L-1
@@ -103,15 +103,19 @@ def apply_confirmed(tracks: DataFrame, confirmed: DataFrame, track_col: str = "y
 
 # --------------------------------------------------------------------- U-2 / W-2
 def upsert_assignments(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("ym_track_id", "emotion")) -> DataFrame:
-    """U-2 / W-2: union old and new assignments; for each key the newest row wins.
+    """U-2 / W-2: union old and new assignments; one row per key stays.
 
-    Implemented as ``max_by`` over a version number: a hash aggregate with
-    partial aggregation, no sort and no window.
+    The kept row is the last one in the order (old before new, rate from high
+    to low, no rate last): new beats old, and of several rows of one version
+    (two URLs of a track) the lowest rate wins, then the fewest YES, then the
+    fewest NO.  Rows without a track id are one key per class, like any id.
+    One aggregate by key with partial aggregation.
     """
-    cols = [c for c in old.columns]
+    cols = list(old.columns)
     tagged = old.select(*cols, F.lit(0).alias("_ver")).unionByName(new.select(*cols, F.lit(1).alias("_ver")))
     payload = [c for c in cols if c not in keys]
-    agg = tagged.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.col("_ver")).alias("_row"))
+    last = F.struct("_ver", F.col("rate").isNull(), -F.col("rate"), -F.col("YES"), -F.col("NO"))
+    agg = tagged.groupBy(*keys).agg(F.max_by(F.struct(*payload), last).alias("_row"))
     return agg.select(*keys, *[F.col("_row")[c].alias(c) for c in payload]).select(*cols)
 
 
@@ -148,9 +152,11 @@ def task_suites(
     Positions come from :func:`dense_index` (blocked, no whole-pool sort);
     sizes equal ``numpy.array_split``.  Adds ``task_idx`` and ``suite``.
     """
-    # ``block`` must be monotone in ``order_cols`` (e.g. ``floor(track_id / 65536)``);
-    # without one, each pool is one block.
-    blk = block if block is not None else F.lit(0)
+    # ``block`` must be monotone in ``order_cols``; without one, a numeric first order column is cut into
+    # stretches of its range, and any other makes each pool one block
+    first = order_cols[0]
+    numeric = isinstance(first, str) and isinstance(tasks.schema[first].dataType, T.NumericType)
+    blk = block if block is not None else range_block(tasks, first) if numeric else F.lit(0)
     indexed = dense_index(tasks, order_cols, blk, partition_cols=group_cols, idx_col="task_idx", total_col="_n")
     k = F.ceil(F.col("_n") / F.lit(per_suite))
     return indexed.withColumn("suite", near_equal_parts("task_idx", "_n", k)).drop("_n")
@@ -181,19 +187,27 @@ def income_last_24h(
 ) -> DataFrame:
     """W-4: per answer, the worker's income over the last 24 h (inclusive); restricted when >= limit.
 
-    Window partitions are (worker, day): every row is also copied into the
-    next day's partition as context, because a 24 h frame reaches back at
-    most one day.  So a partition holds two days of one worker, never the
-    worker's whole history.
+    One pass and a running sum: in the partition of (worker, day) an answer of
+    that day adds its reward, one of the day before adds its reward and takes
+    it back when its 24 hours are over.  So a partition holds two days of one
+    worker, never the whole history, and the cost is linear in its rows.
+    Rewards are summed as decimals.  Answers without a time see each other
+    only; answers without a worker are one worker.
     """
-    micros = epoch_micros(answers, time_col)
-    base = answers.withColumn("_us", micros).withColumn("_day", day_block(F.col("_us")))
-    primary = base.withColumn("_ctx", F.lit(False))
-    context = base.withColumn("_day", F.col("_day") + 1).withColumn("_ctx", F.lit(True))
-    both = primary.unionByName(context)
-    w = Window.partitionBy(worker_col, "_day").orderBy("_us").rangeBetween(-DAY_MICROS, 0)
-    out = both.withColumn("income_24h", F.sum(F.col(reward_col).cast("double")).over(w)).where(~F.col("_ctx"))
-    return out.withColumn("restricted", F.col("income_24h") >= F.lit(limit)).drop("_us", "_day", "_ctx")
+    base = answers.withColumn("_us", epoch_micros(answers, time_col)).withColumn("_day", day_block(F.col("_us")))
+    pay = F.coalesce(F.col(reward_col).cast(MONEY), F.lit(0).cast(MONEY))
+
+    def event(day, at, amount, own):
+        return F.struct(day.alias("day"), at.alias("at"), amount.cast(MONEY).alias("pay"), F.lit(own).alias("own"))
+
+    day, us = F.col("_day"), F.col("_us")
+    own = event(day, us, pay, True)
+    later = F.array(own, event(day + 1, us, pay, False), event(day + 1, us + DAY_MICROS + 1, -pay, False))
+    events = base.withColumn("_e", F.explode(F.when(us.isNull(), F.array(own)).otherwise(later)))
+    w = Window.partitionBy(worker_col, "_e.day").orderBy("_e.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = events.withColumn("income_24h", F.sum("_e.pay").over(w)).where(F.col("_e.own"))
+    out = out.withColumn("restricted", F.col("income_24h") >= F.lit(limit).cast(MONEY))
+    return out.withColumn("income_24h", F.col("income_24h").cast("double")).drop("_us", "_day", "_e")
 
 
 # --------------------------------------------------------------------- W-5
@@ -208,28 +222,26 @@ def skipped_in_row(
 ) -> DataFrame:
     """W-5: length of the run of skipped answers ending at each answer; restricted when >= limit.
 
-    Gaps and islands on an exact per-worker position: the run length is the
-    distance to the last non-skipped answer.  Positions and the "last
-    non-skipped" carry are computed per (worker, ``block_days``-day) block,
-    with the carry between blocks taken from the per-block table.
+    The run length is the distance to the last non-skipped answer.  Rows are
+    shuffled once, by (worker, ``block_days``-day block); positions inside the
+    block come from a window, and a small table with one row per block carries
+    the rows and the last non-skipped position of all earlier blocks.  Answers
+    without a time are the first block, those without a worker one worker.
     """
-    micros = epoch_micros(answers, time_col)
-    base = answers.withColumn("_skip", F.coalesce(skipped, F.lit(False)))
-    indexed = dense_index(base, order_cols, day_block(micros, block_days), partition_cols=[worker_col], idx_col="_pos", block_col="_blkday")
-    keep_pos = F.when(~F.col("_skip"), F.col("_pos"))
-    w_in = Window.partitionBy(worker_col, "_blkday").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    local = indexed.withColumn("_last_local", F.max(keep_pos).over(w_in))
-    per_block = indexed.groupBy(worker_col, "_blkday").agg(F.max(keep_pos).alias("_blk_last"))
-    w_prev = Window.partitionBy(worker_col).orderBy("_blkday").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.withColumn("_carry", F.max("_blk_last").over(w_prev)).select(worker_col, "_blkday", "_carry")
-    out = local.join(carry, [worker_col, "_blkday"], "inner")
-    last = F.coalesce(F.greatest("_last_local", "_carry"), F.col("_last_local"), F.col("_carry"), F.lit(-1))
-    streak = F.when(F.col("_skip"), F.col("_pos") - last).otherwise(F.lit(0)).cast("long")
-    return (
-        out.withColumn("skipped_in_row", streak)
-        .withColumn("restricted", F.col("skipped_in_row") >= F.lit(limit))
-        .drop("_skip", "_blkday", "_pos", "_last_local", "_carry")
-    )
+    block = F.struct(F.col(worker_col).alias("w"), day_block(epoch_micros(answers, time_col), block_days).alias("d"))
+    base = answers.withColumn("_skip", F.coalesce(skipped, F.lit(False))).withColumn("_blk", block).repartition("_blk")
+    w_in = Window.partitionBy("_blk").orderBy(*[col_of(c) for c in order_cols])
+    placed = base.withColumn("_i", F.row_number().over(w_in))
+    answered = F.when(~F.col("_skip"), F.col("_i"))
+    placed = placed.withColumn("_last", F.max(answered).over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
+    per_block = placed.groupBy("_blk").agg(F.max("_i").alias("_n"), F.max("_last").alias("_end"))
+    w_prev = Window.partitionBy("_blk.w").orderBy("_blk.d").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_block.withColumn("_before", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)))
+    carry = before.withColumn("_carry", F.max(F.col("_before") + F.col("_end")).over(w_prev)).select("_blk", "_before", "_carry")
+    last = F.coalesce(F.col("_before") + F.col("_last"), F.col("_carry"), F.lit(0))
+    streak = F.when(F.col("_skip"), F.col("_before") + F.col("_i") - last).otherwise(F.lit(0)).cast("long")
+    out = placed.join(carry, "_blk").withColumn("skipped_in_row", streak)
+    return out.withColumn("restricted", F.col("skipped_in_row") >= F.lit(limit)).drop("_skip", "_blk", "_i", "_last", "_before", "_carry")
 
 
 # --------------------------------------------------------------------- W-6
@@ -245,16 +257,13 @@ def majority_answers(
     One aggregate with a ``count_if`` per known answer value (like a pivot with
     given values), so a single shuffle by task.
     """
-    counts = answers.groupBy(*task_cols).agg(
-        *[F.count_if(F.col(result_col) == F.lit(v)).alias(f"_c{i}") for i, v in enumerate(values)],
-        F.count(F.lit(1)).alias("n_answers"),
-    )
+    counts = answers.groupBy(*task_cols).agg(*[F.count_if(F.col(result_col) == F.lit(v)).alias(f"_c{i}") for i, v in enumerate(values)])
     reached = [F.col(f"_c{i}") >= F.lit(threshold) for i in range(len(values))]
     n_reached = sum((r.cast("int") for r in reached), F.lit(0))
     pick = F.lit(None).cast("string")
     for i in reversed(range(len(values))):
         pick = F.when(reached[i], F.lit(values[i])).otherwise(pick)
-    return counts.where(n_reached == 1).select(*task_cols, pick.alias("majority"), "n_answers")
+    return counts.where(n_reached == 1).select(*task_cols, pick.alias("majority"))
 
 
 def majority_agreement(
@@ -275,32 +284,26 @@ def majority_agreement(
     the share that agreed with it; restricted when ``>= min_answers`` answers and ``< min_correct_pct`` %.
 
     Exact per-worker positions (:func:`dense_index`, ``block_days`` blocks), then fixed
-    position chunks; the last ``history-1`` rows of a chunk are copied into the
-    next chunk as context, so each window task holds ``chunk + history`` rows.
+    position chunks; in the same pass the last ``history-1`` rows of a chunk are also
+    dealt to the next chunk as context, so each window task holds ``chunk + history``
+    rows.  The scored answers are written once, as positions read them twice (a job
+    runs when this is called); a task with a large share of the answers is left to
+    AQE's skew join.  Null workers are one worker, null times come first.
     """
-    # one row per task, far smaller than the answers; written once because two consumers read it
-    major = materialize(majority_answers(answers, task_cols, result_col, threshold), "majority")
-    # one task may hold a large share of all answers: salt the join for the most-answered tasks
-    # (a bounded top-k), by worker and time
-    hot = major.orderBy(F.desc("n_answers"), *[F.asc(c) for c in task_cols]).limit(HOT_TASKS).select(*task_cols)
-    scored = salted_join(answers, major.drop("n_answers"), list(task_cols), [worker_col, time_col], hot_keys=hot, hot_bound=HOT_TASKS).withColumn(
-        "correct", (F.col(result_col) == F.col("majority")).cast("int")
-    )
-    micros = epoch_micros(scored, time_col)
-    indexed = dense_index(scored, order_cols, day_block(micros, block_days), partition_cols=[worker_col], idx_col="_pos")
-    with_chunk = indexed.withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)).cast("long")).withColumn("_ctx", F.lit(False))
-    ctx = (
-        with_chunk.where(F.pmod(F.col("_pos"), F.lit(chunk)) >= F.lit(chunk - (history - 1)))
-        .withColumn("_chunk", F.col("_chunk") + 1)
-        .withColumn("_ctx", F.lit(True))
-    )
-    both = with_chunk.unionByName(ctx)
+    key = F.struct(*task_cols)  # null-safe
+    major = majority_answers(answers, task_cols, result_col, threshold).select(key.alias("_task"), "majority")
+    scored = answers.withColumn("_task", key).join(major, "_task").drop("_task")
+    scored = materialize(scored.withColumn("correct", (F.col(result_col) == F.col("majority")).cast("int")), "scored-answers")
+    indexed = dense_index(scored, order_cols, day_block(epoch_micros(scored, time_col), block_days), partition_cols=[worker_col], idx_col="_pos")
+    own = F.floor(F.col("_pos") / F.lit(chunk)).cast("long")
+    context = F.pmod(F.col("_pos"), F.lit(chunk)) >= F.lit(chunk - (history - 1))
+    dealt = indexed.withColumn("_own", own).withColumn("_chunk", F.explode(F.when(context, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
     w = Window.partitionBy(worker_col, "_chunk").orderBy("_pos").rowsBetween(-(history - 1), 0)
     out = (
-        both.withColumn("n_recent", F.count(F.lit(1)).over(w))
+        dealt.withColumn("n_recent", F.count(F.lit(1)).over(w))
         .withColumn("correct_pct", F.avg("correct").over(w) * 100.0)
-        .where(~F.col("_ctx"))
+        .where(F.col("_chunk") == F.col("_own"))
         .withColumn("n_total", F.col("_pos") + 1)
     )
     restricted = (F.col("n_total") >= F.lit(min_answers)) & (F.col("correct_pct") < F.lit(min_correct_pct))
-    return out.withColumn("restricted", restricted).drop("_pos", "_chunk", "_ctx")
+    return out.withColumn("restricted", restricted).drop("_pos", "_chunk", "_own")

@@ -235,7 +235,7 @@ def pcm_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Used to drive X-1 at the scale of the text corpus; real deployments read
     decoded audio into the same ``(track_id, block, samples)`` shape.
     """
-    docs = spread(docs.select(id_col, text_col), id_col)
+    docs = spread(docs.select(id_col, text_col))
     return docs.mapInPandas(_text_to_blocks(block_size), PCM_SCHEMA)
 
 

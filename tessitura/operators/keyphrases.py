@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import tfidf_scores
+from ..session import materialize
+from .text import document_frequencies, term_counts, weigh
 
 MMR_SCHEMA = "doc_id long, rank int, keyword string, score double, aliases string"
 DIMS = 256
@@ -92,7 +93,8 @@ def keyphrases(docs: DataFrame, n: int = 10, beta: float = 0.55, alias_threshold
     candidates are collected into one row (bounded by its own vocabulary) and
     re-ranked in Arrow batches of many documents.
     """
-    scored = tfidf_scores(docs)
+    terms = materialize(term_counts(docs), "term-counts")
+    scored = weigh(terms, document_frequencies(terms))
     per_doc = scored.groupBy(F.col("doc").alias("doc_id")).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("neg_weight"), F.col("word").alias("keyword")))).alias("cands")
     )

@@ -93,9 +93,9 @@ def emotion_words_of(c) -> Column:
     return F.coalesce(F.try_element_at(lit_map, col_of(c)), col_of(c))
 
 
-def fonts_lookup(df: DataFrame, fonts: DataFrame, emotion_col: str = "emotion", vocab_size: int = len(EMOTIONS)) -> DataFrame:
-    """J-11: emotion -> fonts, ``[]`` when unknown.  The fonts table has one row per emotion (bounded)."""
-    f = bounded_broadcast(fonts.select(F.col("emotion").alias("_fe"), F.col("fonts").alias("_fonts")), vocab_size)
+def fonts_lookup(df: DataFrame, fonts: DataFrame, emotion_col: str = "emotion") -> DataFrame:
+    """J-11: emotion -> fonts, ``[]`` when unknown.  The font lists grow with the data, so the join is not hinted."""
+    f = fonts.select(F.col("emotion").alias("_fe"), F.col("fonts").alias("_fonts"))
     j = df.join(f, F.col(emotion_col) == F.col("_fe"), "left")
     return j.withColumn("fonts", F.coalesce("_fonts", F.array().cast("array<string>"))).drop("_fe", "_fonts")
 
@@ -116,10 +116,10 @@ def seeded_picks(items, key, n: int = 5, seed: int = 0) -> Column:
 
 
 def result_json(kind: str, payload: Column) -> Column:
-    """F-14: ``{"result": {kind: payload}}``; ``kind='error'`` gives ``{"error": message}``."""
-    if kind == "error":
-        return F.to_json(F.struct(payload.alias("error")))
-    return F.to_json(F.struct(F.struct(payload.alias(kind)).alias("result")))
+    """F-14: ``{"result": {kind: payload}}`` for emotions, keywords and error messages; ``kind='fonts'`` takes an
+    array of ``struct<emotion, fonts>`` and gives ``{"result": [{"emotion": .., "fonts": [..]}, ..]}``."""
+    body = payload if kind == "fonts" else F.struct(payload.alias(kind))
+    return F.to_json(F.struct(body.alias("result")), {"ignoreNullFields": "false"})
 
 
 def ranked_fields(labels, k: int, prefix: str) -> list[Column]:

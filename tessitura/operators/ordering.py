@@ -37,7 +37,9 @@ def dense_index(
     """Add ``idx_col``: 0-based position of each row in its partition, ordered by ``order_cols``.
 
     ``block`` must be non-decreasing in ``order_cols`` within a partition and
-    ``order_cols`` must be a total order (add a unique tiebreak).  When
+    ``order_cols`` must be a total order (add a unique tiebreak).  Nulls are
+    values like any other and come first.  The rows are shuffled once, by
+    (partition, block), for both the counts and the positions.  When
     ``block_bound`` is given (e.g. 16**k for a hex prefix) and there are no
     partition columns, the block table has a proven size and is broadcast.
     With ``block_col`` the block key is kept under that name, so later
@@ -45,22 +47,35 @@ def dense_index(
     """
     parts = list(partition_cols)
     orders = [col_of(c) for c in order_cols]
-    with_block = df.withColumn("_blk", block)
-    counts = with_block.groupBy(*parts, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    w_run = Window.partitionBy(*parts).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    # one struct key: unlike its fields it is never null, so rows with a null block or partition column stay
+    keyed = df.withColumn("_pk", F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(parts)], block.alias("blk"))).repartition("_pk")
+    counts = keyed.groupBy("_pk").agg(F.count(F.lit(1)).alias("_n"))
+    groups = [F.col(f"_pk.p{i}") for i in range(len(parts))]
+    w_run = Window.partitionBy(*groups).orderBy("_pk.blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_run), F.lit(0)).cast("long"))
-    keep = [*parts, "_blk", "_off"]
+    keep = ["_pk", "_off"]
     if total_col:
-        w_all = Window.partitionBy(*parts)
-        offsets = offsets.withColumn(total_col, F.sum("_n").over(w_all).cast("long"))
+        offsets = offsets.withColumn(total_col, F.sum("_n").over(Window.partitionBy(*groups)).cast("long"))
         keep.append(total_col)
     offsets = offsets.select(*keep)
     if block_bound is not None and not parts:
         offsets = bounded_broadcast(offsets, block_bound)
-    joined = with_block.join(offsets, on=[*parts, "_blk"], how="inner")
-    w_in = Window.partitionBy(*parts, "_blk").orderBy(*orders)
-    out = joined.withColumn(idx_col, (F.col("_off") + F.row_number().over(w_in) - 1).cast("long")).drop("_off")
-    return out.withColumnRenamed("_blk", block_col) if block_col else out.drop("_blk")
+    joined = keyed.join(offsets, "_pk")
+    out = joined.withColumn(idx_col, (F.col("_off") + F.row_number().over(Window.partitionBy("_pk").orderBy(*orders)) - 1).cast("long"))
+    if block_col:
+        out = out.withColumn(block_col, F.col("_pk.blk"))
+    return out.drop("_off", "_pk")
+
+
+def range_block(df: DataFrame, col: str, n_blocks: int = 4096) -> Column:
+    """Block key for an order by a number: its range cut into ``n_blocks`` equal stretches.
+
+    Least and greatest value come from a scalar subquery, so the block table
+    has at most ``n_blocks`` rows (and one for null) however sparse the values are.
+    """
+    x = F.col(col).cast("double")
+    lo, hi = df.select(F.min(x)).scalar(), df.select(F.max(x)).scalar()
+    return F.least(F.floor((x - lo) / F.greatest(hi - lo, F.lit(1.0)) * n_blocks), F.lit(n_blocks - 1)).cast("long")
 
 
 def hex_block(key: Column, digits: int = 3) -> Column:

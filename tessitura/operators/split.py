@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .._compat import col_of
 from ..schemas import BATCH_SIZE, SPLIT_SEED, TEST_SPLIT
-from .ordering import dense_index, hex_block
+from .ordering import dense_index, hex_block, near_equal_parts, range_block
 
 
 def shuffle_key(key, seed: int, epoch: int | None = None) -> Column:
@@ -53,7 +53,7 @@ def random_partner(df: DataFrame, key: str, seed: int = 0, exclude_self: bool =
     self) over dense positions; the lookup is an equi-join on the index.
     """
     idx = shuffled_index(df, key, seed=seed, digits=digits, idx_col="_pidx", total_col="_n")
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("partner"), F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("partner"), F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
     if exclude_self:
         raw = F.pmod(h, F.greatest(F.col("_n") - 1, F.lit(1)))
         target = F.when(raw >= F.col("_pidx"), raw + 1).otherwise(raw)
@@ -64,13 +64,11 @@ def random_partner(df: DataFrame, key: str, seed: int = 0, exclude_self: bool =
     return left.join(right, "_target", "left").drop("_target", "_pidx", "_n")
 
 
-def n_parts(df: DataFrame, key: str, n: int, block_bits: int = 16) -> DataFrame:
+def n_parts(df: DataFrame, key: str, n: int, n_blocks: int = 4096) -> DataFrame:
     """W-8: cut the rows, ordered by ``key``, into ``n`` near-equal consecutive parts (``array_split`` sizes).
 
-    Positions come from a blocked dense index (block = ``key >> block_bits``),
-    so the only whole-table step is a count per block.
+    Positions come from a dense index over ``n_blocks`` stretches of the key's
+    range, so the only whole-table step is a count per block.
     """
-    from .ordering import near_equal_parts
-
-    idx = dense_index(df, [F.col(key)], F.shiftright(F.col(key), block_bits), idx_col="_i", total_col="_n")
+    idx = dense_index(df, [F.col(key)], range_block(df, key, n_blocks), idx_col="_i", total_col="_n")
     return idx.withColumn("batch", near_equal_parts("_i", "_n", F.lit(n))).drop("_i", "_n")

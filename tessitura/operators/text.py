@@ -3,7 +3,7 @@
 K-1 is TF-IDF over the corpus with DataFrame aggregates: tokens by a Unicode
 letter regex, term counts per (doc, word), document frequency per word, and
 a top-10 window per document.  Hot words ("the") are the skew key of the
-df join, so that join is salted.
+df join, which AQE splits at run time.
 """
 
 from __future__ import annotations
@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 from .._compat import col_of
 from ..schemas import KEYWORD_VOCAB_SIZE, KEYWORDS_TOP
 from ..session import bounded_broadcast, materialize, spread
-from .joins import salted_join
 
 TOKEN_RE = r"\p{L}{3,}"
-HOT_WORDS = 1024
 
 
 def clean_text(c) -> Column:
@@ -48,39 +46,52 @@ def term_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text"
 
     ``explode_outer`` + a null filter instead of ``explode``: the optimizer
     would otherwise infer a ``size(tokens) > 0`` filter and evaluate the
-    tokenizer a second time below the repartition.
+    tokenizer a second time.
     """
-    docs = spread(docs.select(doc_col, text_col), doc_col)
-    toks = docs.select(F.col(doc_col).alias("doc"), tokens(text_col).alias("toks"))
+    toks = spread(docs.select(doc_col, text_col)).select(F.col(doc_col).alias("doc"), tokens(text_col).alias("toks"))
     toks = toks.select("doc", F.size("toks").alias("doc_len"), F.explode_outer("toks").alias("word")).where(F.col("word").isNotNull())
     return toks.groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
-def tfidf_scores(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", n_salts: int = 16) -> DataFrame:
-    """Every (document, word) with its weight ``tf/len * ln(N/df)`` (no cut).
+def document_frequencies(terms: DataFrame) -> DataFrame:
+    """``(word, df, n_docs)`` of a term-count table: the corpus statistics that K-1 weights need."""
+    df = terms.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    return df.withColumn("n_docs", terms.select(F.countDistinct("doc")).scalar())
 
-    The term-count table feeds three consumers (document frequency, corpus
-    size, the join), so it is written once as a Parquet table below the shared
-    checkpoint folder instead of tokenising every text three times.
-    """
-    tf = materialize(term_counts(docs, doc_col, text_col), "term-counts")
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = tf.select(F.countDistinct("doc")).scalar()
-    # the most frequent words are the skewed join keys: salt only those (a bounded top-k)
-    hot = df.orderBy(F.desc("df"), F.asc("word")).limit(HOT_WORDS).select("word")
-    j = salted_join(tf, df, "word", "doc", n_salts, hot_keys=hot, hot_bound=HOT_WORDS)
-    weight = (F.col("tf") / F.col("doc_len")) * F.log(n_docs / F.col("df"))
+
+def add_frequencies(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Statistics of two disjoint sets of documents together."""
+    n = lambda t: F.coalesce(t.select(F.max("n_docs")).scalar(), F.lit(0))
+    both = stored.select("word", "df").unionByName(new.select("word", "df")).groupBy("word").agg(F.sum("df").alias("df"))
+    return both.withColumn("n_docs", n(stored) + n(new))
+
+
+def weigh(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Every (document, word) with its weight ``tf/len * ln(N/df)``.  A word of a third of all rows is left to AQE's skew join."""
+    j = terms.join(frequencies, "word")
+    weight = (F.col("tf") / F.col("doc_len")) * F.log(F.col("n_docs") / F.col("df"))
     return j.select("doc", "word", weight.alias("weight"))
 
 
-def tfidf_keywords(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", top: int = KEYWORDS_TOP, n_salts: int = 16) -> DataFrame:
-    """K-1: per document the ``top`` words by ``tf/len * ln(N/df)``, ties A-Z; ``rank`` from 1."""
-    scored = tfidf_scores(docs, doc_col, text_col, n_salts)
+def top_keywords(scored: DataFrame, doc_col: str = "doc_id", top: int = KEYWORDS_TOP) -> DataFrame:
+    """K-1 cut: per document the ``top`` words by weight, ties A-Z; ``rank`` from 1."""
     w = Window.partitionBy("doc").orderBy(F.desc("weight"), F.asc("word"))
     top_rows = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return top_rows.select(F.col("doc").alias(doc_col), F.col("word").alias("keyword"), "weight", "rank")
 
 
+def tfidf_keywords(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", top: int = KEYWORDS_TOP) -> DataFrame:
+    """K-1: per document the ``top`` words by ``tf/len * ln(N/df)``.
+
+    The term-count table feeds three consumers (document frequency, corpus
+    size, the join), so it is written once as a Parquet table below the shared
+    checkpoint folder (a job runs when this is called) instead of tokenising
+    every text three times.
+    """
+    terms = materialize(term_counts(docs, doc_col, text_col), "term-counts")
+    return top_keywords(weigh(terms, document_frequencies(terms)), doc_col, top)
+
+
 def keywords_as_list(keywords: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """Ranked rows -> ``array<struct<keyword, weight>>`` per document (at most ``top`` rows each)."""
     g = keywords.groupBy(doc_col).agg(F.array_sort(F.collect_list(F.struct("rank", "keyword", "weight"))).alias("_s"))
@@ -103,14 +114,19 @@ def restrict_to_vocabulary(keywords: DataFrame, vocab: DataFrame, doc_col: str =
     return g.select(doc_col, F.transform("_s", lambda s: s["keyword"]).alias("labels"))
 
 
-def append_missing_keywords(existing: DataFrame, docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", top: int = KEYWORDS_TOP,
+def append_missing_keywords(existing: DataFrame, docs: DataFrame, stored: DataFrame, doc_col: str = "doc_id", text_col: str = "text", top: int = KEYWORDS_TOP,
                             origin_col: str | None = None) -> DataFrame:
-    """U-6: documents without keywords get K-1 keywords (IDF over those documents); the rest stay.
+    """U-6: documents without keywords get K-1 keywords; the rest stay.
 
-    With ``origin_col`` the rows are tagged ``existing`` / ``new``.
+    ``stored`` holds the document frequencies of the documents that have
+    keywords.  The new documents are added to it and weighed against the whole
+    corpus, so an appended document's keywords are those of a full recompute
+    and do not depend on the batch.  With ``origin_col`` the rows are tagged
+    ``existing`` / ``new``.
     """
     fresh_docs = docs.join(existing.select(doc_col).distinct(), doc_col, "left_anti")
-    fresh = tfidf_keywords(fresh_docs, doc_col, text_col, top)
+    terms = materialize(term_counts(fresh_docs, doc_col, text_col), "term-counts-new")
+    fresh = top_keywords(weigh(terms, add_frequencies(stored, document_frequencies(terms))), doc_col, top)
     if origin_col:
         existing = existing.withColumn(origin_col, F.lit("existing"))
         fresh = fresh.withColumn(origin_col, F.lit("new"))

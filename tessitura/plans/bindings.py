@@ -22,7 +22,7 @@ ANSWER_ORDER = [
     "submitted_at", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
     "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
 ]
-ANSWER_ORDER_SQL = ", ".join(ANSWER_ORDER)
+ANSWER_ORDER_SQL = ", ".join(c + " NULLS FIRST" for c in ANSWER_ORDER)
 
 
 def sql_list(values) -> str:
@@ -35,18 +35,20 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Pool class by line parity (odd -> happy, even -> sadness); skipped when the
     line is open; reward = quantity; the audio URL has an album prefix except for
-    every 7th track, so both URL forms of F-5 occur.
+    every 7th track and every 4th line, so both URL forms of F-5 occur, also of
+    one track.  By rules on the key some answers have no worker, no time, or a
+    URL that names no track.
     """
-    li = spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey")
+    li = spread(read_table(spark, sf_dir, "lineitem"))
     tid = F.col("l_orderkey").cast("string")
-    path = F.when(
-        F.pmod("l_orderkey", F.lit(7)) == 0, F.concat(F.lit("audio/"), tid, F.lit(".mp3"))
-    ).otherwise(F.concat(F.lit("audio/"), F.expr("l_orderkey div 7").cast("string"), F.lit(":"), tid, F.lit(".mp3")))
+    of = lambda n: F.pmod("l_orderkey", F.lit(n)) == 0
+    plain = of(7) | (F.pmod("l_linenumber", F.lit(4)) == 3)
+    path = F.when(of(97), F.concat(F.lit("audio/"), tid, F.lit(".ogg"))).when(plain, F.concat(F.lit("audio/"), tid, F.lit(".mp3"))).otherwise(F.concat(F.lit("audio/"), F.expr("l_orderkey div 7").cast("string"), F.lit(":"), tid, F.lit(".mp3")))
     return li.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-        F.col("l_suppkey").cast("string").alias("worker_id"),
-        F.col("l_shipdate").alias("submitted_at"),
+        F.when(~of(101), F.col("l_suppkey").cast("string")).alias("worker_id"),
+        F.when(~of(103), F.col("l_shipdate")).alias("submitted_at"),
         F.when(F.col("l_linestatus") == "O", F.lit("SKIPPED")).otherwise(F.lit("SUBMITTED")).alias("status"),
         F.col("l_quantity").alias("reward"),
         F.concat(F.lit(BASE_URL), path).alias("audio_path"),
@@ -58,11 +60,12 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWERS_SQL = f"""
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
        l_discount, l_tax, l_returnflag, l_linestatus,
-       CAST(l_suppkey AS VARCHAR) AS worker_id,
-       l_shipdate AS submitted_at,
+       CASE WHEN l_orderkey % 101 <> 0 THEN CAST(l_suppkey AS VARCHAR) END AS worker_id,
+       CASE WHEN l_orderkey % 103 <> 0 THEN l_shipdate END AS submitted_at,
        CASE WHEN l_linestatus = 'O' THEN 'SKIPPED' ELSE 'SUBMITTED' END AS status,
        l_quantity AS reward,
-       '{BASE_URL}' || CASE WHEN l_orderkey % 7 = 0 THEN 'audio/' || CAST(l_orderkey AS VARCHAR) || '.mp3'
+       '{BASE_URL}' || CASE WHEN l_orderkey % 97 = 0 THEN 'audio/' || CAST(l_orderkey AS VARCHAR) || '.ogg'
+                          WHEN l_orderkey % 7 = 0 OR l_linenumber % 4 = 3 THEN 'audio/' || CAST(l_orderkey AS VARCHAR) || '.mp3'
                           ELSE 'audio/' || CAST(l_orderkey // 7 AS VARCHAR) || ':' || CAST(l_orderkey AS VARCHAR) || '.mp3' END AS audio_path,
        CASE WHEN l_returnflag = 'R' THEN 'NO' ELSE 'YES' END AS result,
        CASE WHEN l_linenumber % 2 = 1 THEN 'happy' ELSE 'sadness' END AS emotion
@@ -171,7 +174,7 @@ def playlist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         albums.alias("albums"),
         artists.alias("artists"),
         download.alias("download_info"),
-        F.lit(None).cast("string").alias("lyrics"),
+        F.when(F.pmod(uid, F.lit(3)) == 0, F.lit("la la")).when(F.pmod(uid, F.lit(3)) == 1, F.lit("")).alias("lyrics"),
     )
     return e.select(title.alias("title"), eid.alias("pos"), F.col("ts"), track.alias("track"))
 
@@ -209,7 +212,8 @@ SELECT title AS playlist, pos, ts,
        CASE WHEN no_album THEN NULL ELSE album_genre END AS ym_genre,
        CASE WHEN no_album THEN NULL ELSE album_year END AS year,
        CASE WHEN starts_with(title, 'emotion-') THEN substr(title, 9) END AS emotion,
-       CASE WHEN no_album THEN NULL ELSE 'audio/' || CAST(album_id AS VARCHAR) || ':' || CAST(tid AS VARCHAR) || '.mp3' END AS audio_path,
-       'covers/' || CAST(tid AS VARCHAR) || '.jpg' AS cover_path
+       'data/audios/' || CAST(tid AS VARCHAR) || '.mp3' AS audio_path,
+       CASE WHEN tid % 3 = 0 THEN 'data/lyrics/' || CAST(tid AS VARCHAR) || '.txt' END AS lyrics_path,
+       'data/covers/' || CAST(tid AS VARCHAR) || ':1000x1000.jpg' AS cover_path
 FROM ({PLAYLIST_SQL})
 """

@@ -10,6 +10,7 @@ from ..operators import aggregates, catalog
 from ..schemas import GENRE_MAP, GENRE_MAP_DEFAULT, NARROW_GENRES, POPULAR_EMOTION_KEEP, POPULAR_GENRE_KEEP, UNPOPULAR_GENRES
 from ..sources.tables import manifest_ids, read_table
 from .bindings import (
+    ANSWER_ORDER_SQL,
     ANSWERS_SQL,
     FINAL_TRACKS_SQL,
     FLAT_PLAYLIST_SQL,
@@ -23,13 +24,12 @@ SPLIT_TS = "2024-01-15"
 
 
 def valid_playlist_rows(spark, sf_dir):
-    e = playlist_entries(spark, sf_dir)
-    flat = catalog.flatten_playlist_tracks(e)
-    return flat.join(e.select("pos", "ts"), "pos").where(F.col("reject_reason").isNull())
+    flat = catalog.flatten_playlist_tracks(playlist_entries(spark, sf_dir), keep=["ts"])
+    return flat.where(F.col("reject_reason").isNull())
 
 
 FLAT_COLS = ["playlist", "pos", "reject_reason", "ym_track_id", "ym_album_id", "track_title", "artist_name",
-             "cover_url", "ym_genre", "year", "emotion", "audio_path", "cover_path"]
+             "cover_url", "ym_genre", "year", "emotion", "audio_path", "lyrics_path", "cover_path"]
 
 
 @register(
@@ -41,51 +41,74 @@ def q_ingest(spark, sf_dir):
     return catalog.flatten_playlist_tracks(playlist_entries(spark, sf_dir)).select(*FLAT_COLS)
 
 
+@register(
+    "catalog_playlist_json",
+    ("S-13", "P-9", "P-10", "P-11"),
+    f"SELECT * REPLACE (row_number() OVER (PARTITION BY playlist ORDER BY pos) - 1 AS pos) FROM (SELECT {', '.join(FLAT_COLS)} FROM ({FLAT_PLAYLIST_SQL}))",
+)
+def q_playlist_json(spark, sf_dir):
+    """Playlists written as JSON, one per line, read back with the declared schema and flattened."""
+    from ..session import scratch_path
+    from ..sources.tables import read_playlists, write_json
+
+    e = playlist_entries(spark, sf_dir)
+    tracks = F.transform(F.array_sort(F.collect_list(F.struct("pos", "track"))), lambda x: x["track"])
+    path = scratch_path(spark, "playlists")
+    write_json(e.groupBy("title").agg(tracks.alias("tracks")), path)
+    return catalog.flatten_playlist_tracks(read_playlists(spark, path)).select(*FLAT_COLS)
+
+
 def _emotions_by_track(rows):
     return catalog.emotions_in_order(rows, "ym_track_id", "emotion", ["pos"], "emotions_maybe")
 
 
+TRACK_FIELDS = ["ym_album_id", "track_title", "artist_name", "cover_url", "ym_genre", "year", "audio_path", "lyrics_path", "cover_path"]
 MERGE_SQL = f"""
 WITH flat AS ({FLAT_PLAYLIST_SQL}),
-     ok AS (SELECT * FROM flat WHERE reject_reason IS NULL AND emotion IS NOT NULL),
-     old AS (SELECT ym_track_id, emotion, min(pos) AS p FROM ok WHERE ts < TIMESTAMP '{SPLIT_TS}' GROUP BY ALL),
-     new AS (SELECT ym_track_id, emotion, min(pos) AS p FROM ok WHERE ts >= TIMESTAMP '{SPLIT_TS}' GROUP BY ALL),
-     cur AS (SELECT DISTINCT ym_track_id FROM old),
-     newtracks AS (SELECT DISTINCT ym_track_id FROM new),
-     inserted AS (SELECT n.ym_track_id FROM newtracks n ANTI JOIN cur c USING (ym_track_id)
-                  ORDER BY (SELECT min(p) FROM new x WHERE x.ym_track_id = n.ym_track_id), n.ym_track_id
-                  LIMIT greatest(0, {{limit}} - (SELECT count(*) FROM cur))),
-     keep AS (SELECT ym_track_id FROM cur UNION ALL SELECT ym_track_id FROM inserted),
-     labels AS (SELECT ym_track_id, emotion, 0 AS src, p FROM old
-                UNION ALL
-                SELECT n.ym_track_id, n.emotion, 1, n.p FROM new n
-                WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.ym_track_id = n.ym_track_id AND o.emotion = n.emotion))
-SELECT k.ym_track_id, coalesce(string_agg(l.emotion, '|' ORDER BY l.src, l.p), '') AS emotions_maybe
-FROM keep k LEFT JOIN labels l USING (ym_track_id) GROUP BY k.ym_track_id
-"""
-
+     ok AS (SELECT * FROM flat WHERE reject_reason IS NULL),
+     o AS (SELECT * FROM ok WHERE ts < TIMESTAMP '{SPLIT_TS}'),
+     cur AS (SELECT ym_track_id, {', '.join(f'arg_min({c}, pos) AS {c}' if c != 'lyrics_path' else f"{c}" for c in TRACK_FIELDS if c != 'lyrics_path')},
+                    (arg_min({{{{'x': lyrics_path}}}}, pos)).x AS lyrics_path FROM o GROUP BY ym_track_id),
+     n0 AS (SELECT * FROM ok WHERE ts >= TIMESTAMP '{SPLIT_TS}'),
+     fresh AS (SELECT ym_track_id, min(pos) AS p FROM n0 ANTI JOIN cur USING (ym_track_id) GROUP BY ym_track_id),
+     lim AS (SELECT {{limit}} - (SELECT count(*) FROM cur) AS k),
+     cut AS (SELECT max(p) AS p FROM (SELECT p, row_number() OVER (ORDER BY p, ym_track_id) AS i FROM fresh), lim WHERE i = k),
+     n AS (SELECT n0.* FROM n0, lim, cut WHERE k > 0 AND (cut.p IS NULL OR n0.pos <= cut.p)),
+     ins AS (SELECT ym_track_id, {', '.join(f'arg_min({c}, pos) AS {c}' for c in TRACK_FIELDS if c != 'lyrics_path')},
+                    (arg_min({{{{'x': lyrics_path}}}}, pos)).x AS lyrics_path FROM n ANTI JOIN cur USING (ym_track_id) GROUP BY ym_track_id),
+     keep AS (SELECT * FROM cur UNION ALL BY NAME SELECT * FROM ins),
+     l0 AS (SELECT ym_track_id, emotion, 0 AS src, min(pos) AS p FROM o WHERE emotion IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT ym_track_id, emotion, 1, min(pos) FROM n WHERE emotion IS NOT NULL GROUP BY ALL),
+     labels AS (SELECT ym_track_id, string_agg(emotion, '|' ORDER BY src, p) AS emotions_maybe
+                FROM (SELECT * FROM l0 QUALIFY row_number() OVER (PARTITION BY ym_track_id, emotion ORDER BY src, p) = 1) GROUP BY ym_track_id)
+SELECT k.ym_track_id, {', '.join('k.' + c for c in TRACK_FIELDS)}, l.emotions_maybe, CAST(NULL AS VARCHAR) AS deezer_genres,
+       CAST(NULL AS VARCHAR) AS artist_country, CAST(NULL AS VARCHAR) AS artist_sex, CAST(NULL AS VARCHAR) AS artist_year, CAST(NULL AS VARCHAR) AS emotions
+FROM keep k LEFT JOIN labels l USING (ym_track_id)
+""".replace("{{", "{").replace("}}", "}")
+
+
+def merged_playlists(spark, sf_dir, new_tracks=None):
+    """The events before SPLIT_TS are the table's ingest from nothing, those after it the new playlists (16 columns)."""
+    from ..schemas import TRACKS
+    from ..sources.tables import empty_frame, tracks_to_csv_frame
 
-def merged_playlists(spark, sf_dir, limit=None):
-    ok = valid_playlist_rows(spark, sf_dir).where(F.col("emotion").isNotNull())
-    ts = F.col("ts")
-    old = _emotions_by_track(ok.where(ts < F.lit(SPLIT_TS).cast("timestamp_ntz")))
-    new_rows = ok.where(ts >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
-    new = _emotions_by_track(new_rows).join(new_rows.groupBy("ym_track_id").agg(F.min("pos").alias("pos")), "ym_track_id")
-    merged = catalog.merge_playlist(old, new, list_col="emotions_maybe", limit=limit, order_cols=["pos", "ym_track_id"])
-    return merged.select("ym_track_id", join_list("emotions_maybe").alias("emotions_maybe"))
+    ok = valid_playlist_rows(spark, sf_dir).drop("playlist", "reject_reason")
+    ts = F.lit(SPLIT_TS).cast("timestamp_ntz")
+    old, new = ok.where(F.col("ts") < ts).drop("ts"), ok.where(F.col("ts") >= ts).drop("ts")
+    current = catalog.merge_playlist(empty_frame(spark, TRACKS), old)
+    limit = None if new_tracks is None else old.select("ym_track_id").distinct().count() + new_tracks
+    return tracks_to_csv_frame(catalog.merge_playlist(current, new, limit=limit))
 
 
-@register("catalog_playlist_merge", ("U-3", "A-8", "F-2"), MERGE_SQL.replace("{limit}", "1000000000000"))
+@register("catalog_playlist_merge", ("U-3", "A-8", "F-2", "P-10", "S-3"), MERGE_SQL.replace("{limit}", "1000000000000"))
 def q_merge(spark, sf_dir):
     return merged_playlists(spark, sf_dir)
 
 
 @register("catalog_ingest_limit", ("L-3", "U-3"), MERGE_SQL.replace("{limit}", "(SELECT count(*) FROM cur) + 5"))
 def q_ingest_limit(spark, sf_dir):
-    # existing rows + 5 new ones: computed from the data, like the reference's running limit
-    ok = valid_playlist_rows(spark, sf_dir).where(F.col("emotion").isNotNull())
-    n_cur = ok.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")).select("ym_track_id").distinct().count()
-    return merged_playlists(spark, sf_dir, limit=n_cur + 5)
+    # room for 5 more tracks than the table holds
+    return merged_playlists(spark, sf_dir, new_tracks=5)
 
 
 @register(
@@ -109,17 +132,19 @@ CONF_CTE = CONFIRMED_SQL.strip()
     ("P-3", "P-4"),
     f"""
 WITH conf AS ({CONF_CTE})
-SELECT ym_track_id, n_emotions, CASE WHEN n_emotions = 1 THEN 'one' ELSE 'many' END AS kind
-FROM conf WHERE n_emotions >= 1
+SELECT ym_track_id, n_emotions, CASE WHEN n_emotions = 1 THEN 'one' ELSE 'many' END AS kind FROM conf WHERE n_emotions >= 1
+UNION ALL SELECT ym_track_id, n_emotions, 'all' FROM conf WHERE n_emotions >= 1
 """,
 )
 def q_label_count(spark, sf_dir):
     conf = confirmed_emotions(spark, sf_dir).withColumn("emotions_arr", F.split("emotions", r"\|"))
     conf = conf.withColumn("emotions_arr", F.filter("emotions_arr", lambda x: x != ""))
-    # one pass: rows with labels (P-3), tagged with the P-4 selector they fall under
-    labelled = catalog.select_by_label_count(conf, catalog.ALL_TRACKS, "emotions_arr")
-    kind = F.when(F.size("emotions_arr") == 1, F.lit("one")).otherwise(F.lit("many"))
-    return labelled.select("ym_track_id", "n_emotions", kind.alias("kind"))
+    kinds = (("one", catalog.ONE_LABEL), ("many", catalog.MANY_LABELS), ("all", catalog.ALL_TRACKS))
+    out = None
+    for name, kind in kinds:
+        part = catalog.select_by_label_count(conf, kind, "emotions_arr").select("ym_track_id", "n_emotions", F.lit(name).alias("kind"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register(
@@ -272,15 +297,25 @@ def q_first_n(spark, sf_dir):
     "catalog_page",
     ("L-4", "L-5", "P-21"),
     f"""
-SELECT ym_track_id, ym_album_id, track_title, NULL::VARCHAR AS artist_name, genre, emotion, nation,
-       NULL::VARCHAR AS year, NULL::VARCHAR AS artist_country, NULL::VARCHAR AS artist_sex, NULL::VARCHAR AS artist_year,
-       NULL::VARCHAR AS audio_path, NULL::VARCHAR AS cover_url, NULL::VARCHAR AS artist_age
-FROM ({FINAL_TRACKS_SQL}) ORDER BY ym_track_id LIMIT 20 OFFSET 60
+SELECT ym_track_id, ym_album_id, track_title, artist_name, audio_path, lyrics_path, cover_path, 'https://' || cover_url AS cover_url,
+       emotion, ym_genre AS genre, NULL::VARCHAR AS artist_country, NULL::VARCHAR AS artist_year, NULL::VARCHAR AS artist_age
+FROM (SELECT * FROM ({FLAT_PLAYLIST_SQL}) WHERE reject_reason IS NULL QUALIFY row_number() OVER (PARTITION BY ym_track_id ORDER BY pos) = 1)
+ORDER BY ym_track_id LIMIT 20 OFFSET 20
 """,
 )
 def q_page(spark, sf_dir):
-    view = catalog.catalogue_view(final_tracks(spark, sf_dir))
-    return catalog.page(view, ["ym_track_id"], page_no=3)
+    first = catalog.drop_duplicates_first(valid_playlist_rows(spark, sf_dir), ["ym_track_id"], ["pos"])
+    view = catalog.catalogue_view(first.withColumnRenamed("ym_genre", "genre"))
+    return catalog.page(view, ["ym_track_id"], page_no=1)
+
+
+@register(
+    "catalog_page_after",
+    ("L-5",),
+    f"SELECT ym_track_id, genre, emotion FROM ({FINAL_TRACKS_SQL}) WHERE ym_track_id > 77 ORDER BY ym_track_id LIMIT 20",
+)
+def q_page_after(spark, sf_dir):
+    return catalog.page_after(final_tracks(spark, sf_dir).select("ym_track_id", "genre", "emotion"), "ym_track_id", 77)
 
 
 # ------------------------------------------------------------------ artists (customer / nation)
@@ -367,7 +402,7 @@ def q_work_list(spark, sf_dir):
     f"""
 WITH t AS (SELECT p_partkey AS ym_track_id, p_name AS track_title, p_brand AS artist_name,
                   CASE WHEN p_type = 'PROMO' THEN p_type END AS g FROM part),
-     lk AS (SELECT DISTINCT p_name AS track_title, p_brand AS artist_name FROM part WHERE p_size > 10),
+     lk AS (SELECT DISTINCT p_name AS track_title, p_brand || CASE WHEN p_size > 10 THEN '' ELSE ' (live)' END AS artist_name FROM part),
      lkg AS (SELECT track_title, artist_name, lower(track_title) AS genres FROM lk WHERE length(track_title) % 2 = 0
              UNION ALL SELECT track_title, artist_name, NULL FROM lk WHERE length(track_title) % 2 = 1)
 SELECT t.ym_track_id, coalesce(CASE WHEN t.g IS NOT NULL THEN t.g ELSE lkg.genres END, '') AS deezer_genres
@@ -381,7 +416,9 @@ def q_genres(spark, sf_dir):
         F.col("p_partkey").alias("ym_track_id"), F.col("p_name").alias("track_title"), F.col("p_brand").alias("artist_name"),
         F.when(F.col("p_type") == "PROMO", F.array(F.col("p_type"))).otherwise(F.array().cast("array<string>")).alias("deezer_genres"),
     )
-    lk = p.where(F.col("p_size") > 10).select(F.col("p_name").alias("track_title"), F.col("p_brand").alias("artist_name")).distinct()
+    # the lookup knows small parts under another artist name, so their tracks are misses
+    known_as = F.concat("p_brand", F.when(F.col("p_size") > 10, F.lit("")).otherwise(F.lit(" (live)")))
+    lk = p.select(F.col("p_name").alias("track_title"), known_as.alias("artist_name")).distinct()
     lk = lk.withColumn("genres", F.when(F.length("track_title") % 2 == 0, F.split(F.lower("track_title"), "\\|")))
     out = catalog.enrich_genres(tracks, lk, on_miss="drop")
     return out.select("ym_track_id", join_list("deezer_genres").alias("deezer_genres"))
@@ -392,8 +429,8 @@ def q_genres(spark, sf_dir):
     ("U-1",),
     f"""
 WITH a AS ({ANSWERS_SQL})
-SELECT l_orderkey, l_suppkey, arg_min(l_linenumber, (submitted_at, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus)) AS l_linenumber
-FROM a GROUP BY l_orderkey, l_suppkey
+SELECT l_orderkey, l_suppkey, l_linenumber FROM a
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY {ANSWER_ORDER_SQL}) = 1
 """,
 )
 def q_dedup(spark, sf_dir):
@@ -442,14 +479,20 @@ WITH m AS (SELECT url AS path, TRY_CAST(NULLIF(regexp_extract(url, '{PAGE_ID_RE}
 SELECT m.path, m.track_id, p.p_name AS track_title, 'hit' AS status FROM m JOIN part p ON m.track_id = p.p_partkey
 UNION ALL
 SELECT m.path, m.track_id, NULL, 'miss' FROM m WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = m.track_id)
+UNION ALL
+SELECT NULL, p.p_partkey, p.p_name, 'no file' FROM part p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.track_id = p.p_partkey)
 """,
 )
 def q_manifest(spark, sf_dir):
     m = manifest_ids(read_table(spark, sf_dir, "pages").select(F.col("url").alias("path")), "path", PAGE_ID_RE)
     tracks = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ym_track_id"), F.col("p_name").alias("track_title"))
     hits, misses = catalog.join_manifest(m, tracks)
-    return hits.select("path", "track_id", "track_title", F.lit("hit").alias("status")).unionByName(
-        misses.select("path", "track_id", F.lit(None).cast("string").alias("track_title"), F.lit("miss").alias("status"))
+    lost = catalog.tracks_without_file(tracks, m)
+    nothing = F.lit(None).cast("string")
+    return (
+        hits.select("path", "track_id", "track_title", F.lit("hit").alias("status"))
+        .unionByName(misses.select("path", "track_id", nothing.alias("track_title"), F.lit("miss").alias("status")))
+        .unionByName(lost.select(nothing.alias("path"), F.col("ym_track_id").alias("track_id"), "track_title", F.lit("no file").alias("status")))
     )
 
 
@@ -474,7 +517,7 @@ def artist_responses(spark, sf_dir):
     name = F.col("c_name").alias("artist_name")
     parts = [
         j.select(name, F.lit("musicovery").alias("source"), F.lit("search").alias("kind"), search.alias("body")),
-        j.where(F.col("c_acctbal") >= 0).select(name, F.lit("musicovery").alias("source"), F.lit("getinfo").alias("kind"), info.alias("body")),
+        j.select(name, F.lit("musicovery").alias("source"), F.lit("getinfo").alias("kind"), F.when(F.col("c_acctbal") >= 0, info).otherwise(F.lit("<row></row>")).alias("body")),
         j.select(name, F.lit("jamendo").alias("source"), F.lit("locations").alias("kind"), js.alias("body")),
     ]
     out = parts[0]
@@ -518,26 +561,32 @@ def q_artist_responses(spark, sf_dir):
     ("S-1", "S-2", "S-3", "F-1", "F-2"),
     f"""
 WITH flat AS ({FLAT_PLAYLIST_SQL}),
-     ok AS (SELECT * FROM flat WHERE reject_reason IS NULL AND emotion IS NOT NULL),
-     f AS (SELECT ym_track_id, emotion, min(pos) AS p FROM ok GROUP BY ALL)
-SELECT ym_track_id, string_agg(emotion, '|' ORDER BY p) AS emotions_maybe, count(*) AS n_emotions FROM f GROUP BY ym_track_id
+     ok AS (SELECT * FROM flat WHERE reject_reason IS NULL),
+     t AS (SELECT DISTINCT ym_track_id FROM ok),
+     f AS (SELECT ym_track_id, emotion, min(pos) AS p FROM ok WHERE emotion IS NOT NULL GROUP BY ALL),
+     g AS (SELECT ym_track_id, string_agg(emotion, '|' ORDER BY p) AS e, count(*) AS n FROM f GROUP BY ym_track_id)
+SELECT ym_track_id,
+       CASE WHEN ym_track_id % 5 = 0 THEN NULL WHEN ym_track_id % 5 = 1 THEN '' ELSE 'say "' || CAST(ym_track_id AS VARCHAR) || '", ' || chr(10) || '|x' END AS track_title,
+       CASE WHEN ym_track_id % 4 = 0 THEN '' ELSE e END AS emotions_maybe, CASE WHEN ym_track_id % 4 = 0 THEN 0 ELSE n END AS n_emotions
+FROM t LEFT JOIN g USING (ym_track_id)
 """,
 )
 def q_csv_roundtrip(spark, sf_dir):
+    """Tracks written as CSV and read back: lists, empty lists and nulls, and titles with quotes, newlines and nothing."""
     from ..schemas import TRACKS
     from ..session import scratch_path
     from ..sources.tables import empty_frame, read_tracks_csv, write_csv
 
-    lists = _emotions_by_track(valid_playlist_rows(spark, sf_dir))
-    tracks = lists.select(*[
-        F.col(f.name) if f.name in ("ym_track_id", "emotions_maybe") else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in TRACKS.fields
-    ])
-    tracks = empty_frame(spark, TRACKS).unionByName(tracks)
+    ok = valid_playlist_rows(spark, sf_dir).drop("playlist", "reject_reason", "ts")
+    lists = catalog.merge_playlist(empty_frame(spark, TRACKS), ok)
+    tid = F.col("ym_track_id")
+    title = F.when(tid % 5 == 0, F.lit(None)).when(tid % 5 == 1, F.lit("")).otherwise(F.format_string('say "%d", \n|x', tid))
+    lists = lists.withColumn("track_title", title).withColumn("emotions_maybe", F.when(tid % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("emotions_maybe")))
     path = scratch_path(spark, "tracks-csv")
-    write_csv(tracks, path)
+    write_csv(lists, path)
     back = read_tracks_csv(spark, path)
-    return back.select("ym_track_id", join_list("emotions_maybe").alias("emotions_maybe"), F.size("emotions_maybe").cast("long").alias("n_emotions"))
+    n = F.when(F.col("emotions_maybe").isNotNull(), F.size("emotions_maybe")).cast("long")
+    return back.select("ym_track_id", "track_title", join_list("emotions_maybe").alias("emotions_maybe"), n.alias("n_emotions"))
 
 
 @register(
@@ -546,11 +595,15 @@ def q_csv_roundtrip(spark, sf_dir):
     f"""
 SELECT CAST(to_json({{'ym_track_id': ym_track_id, 'track_title': track_title, 'genre': genre, 'emotion': emotion}}) AS VARCHAR) AS json
 FROM ({FINAL_TRACKS_SQL})
+UNION ALL SELECT CAST(to_json({{'id': ym_track_id}}) AS VARCHAR) FROM ({FINAL_TRACKS_SQL})
 """,
 )
 def q_json(spark, sf_dir):
+    """The records and, as rows of their own, the ids."""
+    from ..sources.tables import ids_as_json, to_json_records
+
     t = final_tracks(spark, sf_dir).select("ym_track_id", "track_title", "genre", "emotion")
-    return t.select(F.to_json(F.struct(*t.columns), {"ignoreNullFields": "false"}).alias("json"))
+    return to_json_records(t).unionByName(ids_as_json(t))
 
 
 # ------------------------------------------------------------------ path helpers (F-6, F-10), weights (F-3)
@@ -595,7 +648,7 @@ WITH m AS (SELECT DISTINCT TRY_CAST(NULLIF(regexp_extract(url, '{PAGE_ID_RE}', 1
                     count(*) OVER () AS n FROM items),
      r AS (SELECT a.url_cover_generated AS image_first, b.url_cover_generated AS image_second, a.url_audio AS audio_path
            FROM idx a JOIN idx b
-             ON b.i = CAST(('0x' || substr(md5('partner:3:' || CAST(a.track_id AS VARCHAR)), 1, 8))::UBIGINT % a.n AS BIGINT))
+             ON b.i = CAST(('0x' || substr(md5('partner:3:' || CAST(a.track_id AS VARCHAR)), 1, 15))::UBIGINT % a.n AS BIGINT))
 SELECT 'original' AS kind, url_cover AS image_first, url_cover_generated AS image_second, url_audio AS audio_path FROM items
 UNION ALL
 SELECT 'analog', url_cover_generated,

@@ -81,10 +81,8 @@ register("crowd_confirmed_emotions", ("A-1", "A-2", "J-13", "F-2"), CONFIRMED_SQ
 WITH answers AS ({ANSWERS_SQL}),
      old AS ({_vote_sql(f"WHERE submitted_at < TIMESTAMP '{CUTOFF}'")}),
      new AS ({_vote_sql(f"WHERE submitted_at >= TIMESTAMP '{CUTOFF}'")})
-SELECT * FROM new
-UNION ALL
-SELECT * FROM old o WHERE NOT EXISTS (
-  SELECT 1 FROM new n WHERE n.ym_track_id IS NOT DISTINCT FROM o.ym_track_id AND n.emotion IS NOT DISTINCT FROM o.emotion)
+SELECT ym_track_id, emotion, "NO", "YES", rate FROM (SELECT *, 1 AS ver FROM new UNION ALL SELECT *, 0 FROM old)
+QUALIFY row_number() OVER (PARTITION BY ym_track_id, emotion ORDER BY ver DESC, rate IS NULL DESC, rate, "YES", "NO") = 1
 """,
 )
 def q_upsert(spark, sf_dir):
@@ -130,10 +128,10 @@ ANSWER_KEY_SQL = ", ".join(ANSWER_KEY)
     f"""
 WITH answers AS ({ANSWERS_SQL}),
      w AS (SELECT {ANSWER_KEY_SQL},
-                  sum(reward) OVER (PARTITION BY worker_id ORDER BY submitted_at
+                  sum(CAST(reward AS DECIMAL(20, 4))) OVER (PARTITION BY worker_id ORDER BY submitted_at NULLS FIRST
                                     RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS income
            FROM answers)
-SELECT {ANSWER_KEY_SQL}, round(income, 4) AS income_24h, income >= 20.0 AS restricted FROM w
+SELECT {ANSWER_KEY_SQL}, round(CAST(income AS DOUBLE), 4) AS income_24h, income >= 20.0 AS restricted FROM w
 """,
 )
 def q_income(spark, sf_dir):
@@ -167,7 +165,7 @@ def q_skipped(spark, sf_dir):
     ("W-6",),
     f"""
 WITH answers AS ({ANSWERS_SQL}),
-     c AS (SELECT emotion, audio_path, result, count(*) AS n FROM answers WHERE result IS NOT NULL GROUP BY ALL),
+     c AS (SELECT emotion, audio_path, result, count(*) AS n FROM answers WHERE result IN ('YES', 'NO') GROUP BY ALL),
      m AS (SELECT emotion, audio_path, max(result) AS majority FROM c WHERE n >= 3 GROUP BY ALL HAVING count(*) = 1),
      s AS (SELECT a.*, CAST(a.result = m.majority AS INTEGER) AS correct FROM answers a JOIN m USING (emotion, audio_path)),
      w AS (SELECT {ANSWER_KEY_SQL}, correct,
@@ -202,7 +200,7 @@ FROM q
 def q_suites(spark, sf_dir):
     t = order_tracks(spark, sf_dir)
     tasks = crowd.task_projection(t, BASE_URL, keep=["ym_track_id"])
-    out = crowd.task_suites(tasks, order_cols=["ym_track_id"], block=F.expr("ym_track_id div 65536"))
+    out = crowd.task_suites(tasks, order_cols=["ym_track_id"])
     return out.select("emotion", "ym_track_id", "audio_path", "task_idx", "suite")
 
 

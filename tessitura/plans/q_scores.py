@@ -300,14 +300,25 @@ def q_fonts(spark, sf_dir):
 {VOTE_SQL},
      n AS (SELECT track_id, pos, {sql_list(EMOTIONS)}[label + 1] AS emotion FROM v WHERE pos < 3),
      g AS (SELECT track_id, list(emotion ORDER BY pos) AS emotions FROM n GROUP BY track_id)
-SELECT track_id, CAST(to_json({{'result': {{'emotions': emotions}}}}) AS VARCHAR) AS body FROM g
+SELECT track_id, 'emotions' AS kind, CAST(to_json({{'result': {{'emotions': emotions}}}}) AS VARCHAR) AS body FROM g
+UNION ALL SELECT track_id, 'keywords', CAST(to_json({{'result': {{'keywords': list_reverse(emotions)}}}}) AS VARCHAR) FROM g
+UNION ALL SELECT track_id, 'error', CAST(to_json({{'result': {{'error': 'no "' || emotions[1] || '"'}}}}) AS VARCHAR) FROM g
+UNION ALL SELECT track_id, 'fonts', CAST(to_json({{'result': list_transform(emotions, lambda e: {{'emotion': e, 'fonts': [e || 'A', e || 'B']}})}}) AS VARCHAR) FROM g
 """,
 )
 def q_result_json(spark, sf_dir):
     votes = metrics.chunk_vote(chunk_rows(spark, sf_dir), "track_id", "chunk", "s", 3, 3)
     names = votes.withColumn("emotion", F.element_at(F.array(*[F.lit(e) for e in EMOTIONS]), F.col("label") + 1))
     lists = metrics.collect_ranked(names, "track_id", "emotion", "pos", "emotions")
-    return lists.select("track_id", metrics.result_json("emotions", F.col("emotions")).alias("body"))
+    fonts = F.transform("emotions", lambda e: F.struct(e.alias("emotion"), F.array(F.concat(e, F.lit("A")), F.concat(e, F.lit("B"))).alias("fonts")))
+    payloads = {
+        "emotions": F.col("emotions"),
+        "keywords": F.reverse("emotions"),
+        "error": F.concat(F.lit('no "'), F.try_element_at("emotions", F.lit(1)), F.lit('"')),
+        "fonts": fonts,
+    }
+    bodies = F.array(*[F.struct(F.lit(k).alias("kind"), metrics.result_json(k, p).alias("body")) for k, p in payloads.items()])
+    return lists.select("track_id", F.explode(bodies).alias("b")).select("track_id", "b.kind", "b.body")
 
 
 @register(

@@ -52,7 +52,7 @@ WITH i AS (SELECT p_partkey AS ym_track_id,
                   row_number() OVER (ORDER BY md5('5:' || CAST(p_partkey AS VARCHAR)), p_partkey) - 1 AS idx,
                   count(*) OVER () AS n FROM part),
      t AS (SELECT ym_track_id, idx, n,
-                  CAST(('0x' || substr(md5('partner:5:' || CAST(ym_track_id AS VARCHAR)), 1, 8))::UBIGINT % (n - 1) AS BIGINT) AS raw FROM i),
+                  CAST(('0x' || substr(md5('partner:5:' || CAST(ym_track_id AS VARCHAR)), 1, 15))::UBIGINT % (n - 1) AS BIGINT) AS raw FROM i),
      u AS (SELECT ym_track_id, CASE WHEN raw >= idx THEN raw + 1 ELSE raw END AS target FROM t)
 SELECT u.ym_track_id, i.ym_track_id AS partner_ym_track_id,
        'https://covers.example/' || CAST(u.ym_track_id AS VARCHAR) || '_gen.jpg' AS image_first,

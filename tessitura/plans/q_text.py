@@ -106,14 +106,16 @@ def q_kw_labels(spark, sf_dir):
     f"""
 SELECT doc_id, keyword, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank, 'existing' AS origin FROM ({_kw_sql("WHERE lang = 'en'")})
 UNION ALL
-SELECT doc_id, keyword, round(weight, 6), CAST(rank AS INTEGER), 'new' FROM ({_kw_sql("WHERE lang <> 'en' OR lang IS NULL")})
+SELECT doc_id, keyword, round(weight, 6), CAST(rank AS INTEGER), 'new' FROM ({KW_SQL}) JOIN documents USING (doc_id) WHERE lang <> 'en' OR lang IS NULL
 """,
 )
 def q_append(spark, sf_dir):
     d = docs(spark, sf_dir)
-    # the stored keyword table of the documents that already have keywords
-    existing = materialize(text.tfidf_keywords(d.where(F.col("lang") == "en")), "keywords-existing")
-    out = text.append_missing_keywords(existing, d, origin_col="origin")
+    # what is stored for the documents that already have keywords: the keywords and the document frequencies
+    terms = materialize(text.term_counts(d.where(F.col("lang") == "en")), "term-counts-stored")
+    stored = materialize(text.document_frequencies(terms), "frequencies-stored")
+    existing = materialize(text.top_keywords(text.weigh(terms, stored)), "keywords-existing")
+    out = text.append_missing_keywords(existing, d, stored, origin_col="origin")
     return out.select("doc_id", "keyword", F.round("weight", 6).alias("weight"), F.col("rank").cast("int").alias("rank"), "origin")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,8 @@ DEFAULT_CONF = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+SPREAD_CONF = "spark.tessitura.spread"
+
 # Largest table we ever hint as broadcast.  Only tables whose row count is
 # bounded by construction (vocabularies, block-offset tables, top-k lists)
 # may be passed to :func:`bounded_broadcast`.
@@ -50,7 +54,7 @@ def get_session(
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     for k, v in conf.items():
-        if not k.startswith("spark.sql.") or k == "spark.sql.shuffle.partitions" and shuffle_partitions is None:
+        if not k.startswith(("spark.sql.", SPREAD_CONF)) or k == "spark.sql.shuffle.partitions" and shuffle_partitions is None:
             continue
         spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
@@ -61,8 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by whoever runs the job and is read from
-    the session.  Only when nothing is set (local runs, tests) do we pick a
-    folder of our own.
+    the session.  Only when nothing is set and the master is local (one
+    machine, as in tests) a folder of our own is made, and removed at exit;
+    any other master without the setting is an error.
     """
     try:
         sc = spark.sparkContext
@@ -76,7 +81,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tessitura-ckpt-")
+        atexit.register(shutil.rmtree, configured, True)
     sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -87,6 +95,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tessitura/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
+    """Delete one written table, or all that this application wrote; call it when their readers are done."""
+    target = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessitura"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def bounded_broadcast(df: DataFrame, bound_rows: int) -> DataFrame:
     """Hint a broadcast for a table whose row count is bounded by construction.
 
@@ -110,24 +125,19 @@ def local_test_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSess
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+            SPREAD_CONF: str(cores),
         },
     )
 
 
-def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-repartition by ``keys`` only when ``df`` has fewer partitions than the cluster's parallelism.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out evenly over as many partitions as the setting ``spark.tessitura.spread`` names; unset: unchanged.
 
-    For CPU-heavy per-row work (tokenising whole texts, decoding samples) right
-    after a scan of few, large files.  A big input already split into many
-    file partitions is returned unchanged, so no extra shuffle at scale.
+    For CPU-heavy per-row work right after a scan of a few files that cannot be
+    split.  At scale the scan itself has enough splits, so it is left unset.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # no RDD view of the plan (e.g. Spark Connect): leave the layout to the scan
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    n = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(n)) if n else df
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

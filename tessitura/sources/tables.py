@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lists import join_list, split_list
-from ..schemas import ANSWERS_RAW, LIST_COLUMNS, TRACKS, TRACKS_CSV
+from ..schemas import ANSWERS_RAW, LIST_COLUMNS, PLAYLISTS, TRACKS, TRACKS_CSV
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -30,11 +30,16 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
 
 
 # ------------------------------------------------------------------ S-1 / S-2
+EMPTY = "\u0001"  # what the reader puts for a quoted empty field, to tell it from a missing one
+
+
 def read_tracks_csv(spark: SparkSession, path: str) -> DataFrame:
     """S-1: tracks CSV with header; ``|`` lists become arrays (F-1).
 
-    pandas also reads ``NA``/``null``/``nan`` as missing; only ``''`` is null
-    here, set on purpose.
+    A field with nothing between the separators is null, a quoted empty field is
+    the empty string (an empty list); pandas' ``NA``/``null``/``nan`` are text
+    here.  Fields may hold quotes and line breaks, so a file is not split: a
+    large table is read as many files.
     """
     raw = (
         spark.read.schema(TRACKS_CSV)
@@ -42,9 +47,11 @@ def read_tracks_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("multiLine", True)
         .option("escape", '"')
         .option("nullValue", "")
+        .option("emptyValue", EMPTY)
         .csv(path)
     )
-    return raw.select(*[split_list(F.col(c)).alias(c) if c in LIST_COLUMNS else F.col(c) for c in raw.columns])
+    text = {f.name: F.when(F.col(f.name) == EMPTY, F.lit("")).otherwise(F.col(f.name)) for f in raw.schema.fields if isinstance(f.dataType, T.StringType)}
+    return raw.select(*[(split_list(text[c]) if c in LIST_COLUMNS else text.get(c, F.col(c))).alias(c) for c in raw.columns])
 
 
 def tracks_to_csv_frame(df: DataFrame) -> DataFrame:
@@ -56,8 +63,9 @@ def tracks_to_csv_frame(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S-2: header CSV, no index column."""
-    tracks_to_csv_frame(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """S-2: header CSV, no index column; null is written as nothing, the empty string (an empty list) as ``""``."""
+    out = tracks_to_csv_frame(df)
+    out.write.mode(mode).option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", '""').csv(path)
 
 
 # ------------------------------------------------------------------ S-3
@@ -102,12 +110,24 @@ def manifest_ids(df: DataFrame, path_col: str = "path", id_pattern: str = r"(\d+
 
 # ------------------------------------------------------------------ S-9
 def to_json_records(df: DataFrame, col_name: str = "json") -> DataFrame:
-    """S-9: one JSON record per row."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias(col_name))
+    """S-9: one JSON record per row; null fields are written as null."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(col_name))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def ids_as_json(df: DataFrame, id_col: str = "ym_track_id", col_name: str = "json") -> DataFrame:
+    """S-9: the ids alone, one JSON row ``{"id": ..}`` each."""
+    return to_json_records(df.select(F.col(id_col).alias("id")), col_name)
+
+
+# ------------------------------------------------------------------ S-13
+def read_playlists(spark: SparkSession, path: str) -> DataFrame:
+    """S-13: playlist dumps (JSON, one playlist per line) as entries ``(title, pos, track struct)``; ``pos`` is 0-based in the list."""
+    raw = spark.read.schema(PLAYLISTS).json(path)
+    return raw.select("title", F.posexplode("tracks").alias("pos", "track")).select("title", F.col("pos").cast("long").alias("pos"), "track")
 
 
 # ------------------------------------------------------------------ S-10 / S-11
@@ -144,7 +164,7 @@ def vocabulary_line(vocab: DataFrame, sep: str = ";", idx_col: str = "idx", name
 def read_answers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """S-12: exported crowd answers; ``INPUT:audio_path``/``OUTPUT:result`` are renamed."""
     if fmt == "csv":
-        raw = spark.read.option("header", True).option("delimiter", "\t").csv(path)
+        raw = spark.read.option("header", True).option("delimiter", "\t").option("inferSchema", False).csv(path)  # all columns are text
     else:
         raw = spark.read.format(fmt).load(path)
     renames = {"INPUT:audio_path": "audio_path", "OUTPUT:result": "result", "ASSIGNMENT:worker_id": "worker_id",

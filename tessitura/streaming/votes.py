@@ -1,108 +1,42 @@
 """Incremental crowd vote with Structured Streaming.
 
-The reference re-fetches all answers of a pool and upserts the vote into the
-assignments table each time results come in (U-2 over A-1).  As a stream:
-answer files arrive in a folder; a stateful streaming aggregation keeps the
-YES/NO counts per task (one state row per task, in the state store; use the
-RocksDB provider for large state); each micro-batch's updated counts go to the
-assignments table with ``foreachBatch``, which appends only the changed rows
-to a log merged on read (newest batch wins), so a batch costs O(batch).  A
-restarted query resumes from its checkpoint.
+Answer files arrive in a folder; a stateful streaming aggregation keeps the YES
+and NO counts per task (one state row per task, in the state store; use the
+RocksDB provider for large state).  Each micro-batch hands over the counts that
+changed, and Spark's own update mode and checkpoint decide what that is.  A
+query started again with the same checkpoint goes on where it stopped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.paths import track_id_from_url
-from ..operators.crowd import upsert_assignments
-from ..schemas import ASSIGNMENTS
+from ..operators.crowd import majority_vote
 from ..session import scratch_path
 
 
-def vote_stream(answers: DataFrame, base_url: str | None = None) -> DataFrame:
-    """Streaming A-1: running YES/NO counts per (class, task input)."""
-    counts = answers.groupBy("emotion", "audio_path").agg(
-        F.count_if(F.col("result") == "NO").alias("NO"),
-        F.count_if(F.col("result") == "YES").alias("YES"),
-    )
-    return counts.select(
-        track_id_from_url(F.col("audio_path"), base_url).alias("ym_track_id"),
-        "emotion",
-        F.col("NO").cast("long").alias("NO"),
-        F.col("YES").cast("long").alias("YES"),
-        F.try_divide(F.col("YES").cast("double"), (F.col("YES") + F.col("NO")).cast("double")).alias("rate"),
-        "audio_path",
-    )
-
-
-class AssignmentsTable:
-    """Assignments as an append-only log of micro-batch updates, merged on read.
-
-    Each micro-batch appends only the rows it changed (``batch_id`` partition),
-    so a batch costs O(batch), not O(table).  Reading merges the log with the
-    U-2 rule (newest batch wins per key, a ``max_by`` aggregate); ``compact``
-    writes the merged state as a new base and starts a new log.
-    """
-
-    KEYS = ("emotion", "audio_path")
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.generation = 0
-        self.schema = T.StructType(list(ASSIGNMENTS.fields) + [T.StructField("audio_path", T.StringType())])
-        self._log_schema = T.StructType(list(self.schema.fields) + [T.StructField("batch_id", T.LongType())])
-        spark.createDataFrame([], self._log_schema).write.mode("overwrite").partitionBy("batch_id").parquet(self._log())
+def vote_stream(spark: SparkSession, answers_dir: str, schema: T.StructType, base_url: str | None = None, max_files: int | None = None) -> DataFrame:
+    """Streaming A-1 over the answer files of a folder (``max_files`` per micro-batch; None: all there are)."""
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return majority_vote(reader.parquet(answers_dir), base_url=base_url)
 
-    def _log(self) -> str:
-        return f"{self.root}/g{self.generation:04d}/log"
 
-    def _base(self) -> str:
-        return f"{self.root}/g{self.generation:04d}/base"
-
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        cols = [f.name for f in self.schema.fields]
-        # a retried micro-batch replaces its own partition (dynamic overwrite): the write is idempotent
-        (
-            batch.select(*cols, F.lit(batch_id).cast("long").alias("batch_id"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(self._log())
-        )
-
-    def read(self) -> DataFrame:
-        cols = [f.name for f in self.schema.fields]
-        log = self.spark.read.schema(self._log_schema).parquet(self._log())
-        merged = log.groupBy(*self.KEYS).agg(F.max_by(F.struct(*[c for c in cols if c not in self.KEYS]), F.col("batch_id")).alias("_r"))
-        current = merged.select(*self.KEYS, "_r.*").select(*cols)
-        if self.generation == 0:
-            return current
-        base = self.spark.read.schema(self.schema).parquet(self._base())
-        return upsert_assignments(base, current, keys=self.KEYS)
-
-    def compact(self) -> None:
-        """Write the merged state as the next generation's base (its log starts empty)."""
-        state = self.read()
-        self.generation += 1
-        state.write.mode("overwrite").parquet(self._base())
-        self.spark.createDataFrame([], self._log_schema).write.mode("overwrite").partitionBy("batch_id").parquet(self._log())
+def run_votes(votes: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Process everything that has arrived (``availableNow``), then stop."""
+    q = votes.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
 
 
-def run_vote_stream(spark: SparkSession, answers_dir: str, schema: T.StructType, base_url: str | None = None, table_root: str | None = None) -> DataFrame:
-    """Process every answer file in ``answers_dir`` (``availableNow``) and return the final assignments."""
-    table = AssignmentsTable(spark, table_root or scratch_path(spark, "assignments"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(answers_dir)
-    q = (
-        vote_stream(stream, base_url)
-        .writeStream.outputMode("update")
-        .foreachBatch(table.upsert)
-        .option("checkpointLocation", scratch_path(spark, "vote-stream-ckpt"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return table.read().drop("audio_path")
+def final_votes(spark: SparkSession, answers_dir: str, schema: T.StructType, base_url: str | None = None, max_files: int | None = None) -> DataFrame:
+    """The vote after all files: each batch's complete table replaces the one before."""
+    out = scratch_path(spark, "votes")
+    votes = vote_stream(spark, answers_dir, schema, base_url, max_files)
+    run_votes(votes, lambda batch, _: batch.write.mode("overwrite").parquet(out), scratch_path(spark, "votes-checkpoint"), "complete")
+    return spark.read.schema(votes.schema).parquet(out)

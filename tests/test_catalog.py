@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tessitura.functions.lists import join_list, split_list
 from tessitura.operators import aggregates, catalog
@@ -71,12 +70,53 @@ def test_emotions_in_order_and_merge_with_limit(spark):
     lists = catalog.emotions_in_order(rows_in, "ym_track_id", "emotion", ["pos"], "emotions_maybe")
     got = dict((r.ym_track_id, r.emotions_maybe) for r in lists.collect())
     assert got[1] == ["sad", "happy"]
-    current = spark.createDataFrame([(1, ["happy"]), (2, ["fear"])], "ym_track_id long, emotions_maybe array<string>")
-    new = lists.join(rows_in.groupBy("ym_track_id").agg(F.min("pos").alias("pos")), "ym_track_id")
-    merged = catalog.merge_playlist(current, new, limit=3, order_cols=["pos", "ym_track_id"])
-    out = dict((r.ym_track_id, r.emotions_maybe) for r in merged.collect())
-    assert out[1] == ["happy", "sad"] and out[2] == ["fear"]
-    assert set(out) == {1, 2, 4}  # limit 3: one new row, the earliest (pos 7)
+
+
+ENTRY = "ym_track_id long, emotion string, pos long, track_title string"
+
+
+def _merge_case(spark):
+    current = spark.createDataFrame([(1, "one", ["happy"], None), (2, "two", ["fear"], "x"), (5, "five", None, None)], "ym_track_id long, track_title string, emotions_maybe array<string>, emotions string")
+    entries = spark.createDataFrame(
+        [(1, "sad", 1, "other"), (4, "joy", 2, "four"), (3, None, 3, "three"), (3, "joy", 4, "later"), (5, "joy", 5, "x"), (1, "happy", 6, "x"), (2, "joy", 7, "x"), (6, "sad", 8, "six"), (4, "sad", 9, "x"), (4, "joy", 10, "x")],
+        ENTRY,
+    )
+    return current, entries
+
+
+def test_merge_playlist(spark):
+    current, entries = _merge_case(spark)
+    out = {r.ym_track_id: r for r in catalog.merge_playlist(current, entries).collect()}
+    assert {k: r.emotions_maybe for k, r in out.items()} == {1: ["happy", "sad"], 2: ["fear", "joy"], 3: ["joy"], 4: ["joy", "sad"], 5: ["joy"], 6: ["sad"]}
+    assert [out[k].track_title for k in (1, 3, 4)] == ["one", "three", "four"] and out[2].emotions == "x"
+    unlabelled = catalog.merge_playlist(current.where("false"), entries.where("emotion is null")).collect()
+    assert [(r.ym_track_id, r.emotions_maybe) for r in unlabelled] == [(3, None)]
+
+
+def test_reading_stops_at_the_limit(spark):
+    """Entries after the track that fills the table are not read: their labels are not applied either."""
+    current, entries = _merge_case(spark)
+    for limit, new, two in ((3, set(), ["fear"]), (4, {4}, ["fear"]), (5, {3, 4}, ["fear"]), (6, {3, 4, 6}, ["fear", "joy"]), (50, {3, 4, 6}, ["fear", "joy"])):
+        out = {r.ym_track_id: r.emotions_maybe for r in catalog.merge_playlist(current, entries, limit=limit).collect()}
+        assert set(out) - {1, 2, 5} == new and out[2] == two
+    plan = catalog.merge_playlist(current, entries, limit=5)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_cut_position_matches_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows_in = [(int(t), None, int(p), "t") for p, t in zip(rng.permutation(2000) * 10**12, rng.integers(0, 300, 2000))]
+    entries = spark.createDataFrame(rows_in, ENTRY)
+    current = spark.createDataFrame([(i,) for i in range(20)], "ym_track_id long")
+    for limit in (20, 21, 60, 299, 1000):
+        seen, exp = set(range(20)), []
+        for t, _, p, _ in sorted(rows_in, key=lambda r: r[2]):
+            if len(seen) >= limit:
+                break
+            seen.add(t)
+            exp.append(p)
+        got = sorted(r.pos for r in catalog.cut_position(entries, current, limit).collect())
+        assert got == exp
 
 
 def test_first_n_per_class_matches_brute_force(spark):
@@ -143,10 +183,9 @@ def test_page_after_keyset(spark):
     assert [r.k for r in catalog.page_after(df, "k", None, 3).collect()] == [0, 1, 2]
 
 
-def test_limit_after_existing_large_k_path(spark, monkeypatch):
-    monkeypatch.setattr(catalog, "TOP_K_IN_ONE_TASK", 3)
-    new = spark.range(50).withColumnRenamed("id", "pos").withColumn("pos", (F.col("pos") * 7919) % 1000)
-    existing = spark.range(2)
-    got = sorted(r.pos for r in catalog.limit_after_existing(new, existing, 12, ["pos"], block_bits=6).collect())
-    exp = sorted(r.pos for r in new.orderBy("pos").limit(10).collect())
-    assert got == exp
+def test_tracks_without_file_and_view(spark):
+    tracks = spark.createDataFrame([(1, "c/1"), (2, "c/2")], "ym_track_id long, cover_url string")
+    files = spark.createDataFrame([("a/1.jpg", 1), ("a/x.jpg", None)], "path string, track_id long")
+    assert rows(catalog.tracks_without_file(tracks, files), "ym_track_id") == [(2,)]
+    view = catalog.catalogue_view(tracks)
+    assert len(view.columns) == 13 and view.first().cover_url == "https://c/1"

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessitura.operators import crowd
-from tessitura.operators.ordering import dense_index, near_equal_parts
+from tessitura.operators.ordering import dense_index, near_equal_parts, range_block
 
 from .conftest import rows
 
@@ -95,6 +95,40 @@ def test_dense_index_blocks_equal_row_number(spark):
     assert (m.i == m.i_e).all() and len(m) == 500
 
 
+def test_dense_index_keeps_null_keys(spark):
+    df = spark.createDataFrame([("a", 5), (None, 7), ("a", None), (None, None), (None, 3), ("a", 1)], "g string, v int")
+    got = rows(dense_index(df, ["v"], F.floor(F.col("v") / 4), partition_cols=["g"], idx_col="i", total_col="n").fillna({"g": "-", "v": -1}), "g", "v", "i", "n")
+    assert got == [("-", -1, 0, 3), ("-", 3, 1, 3), ("-", 7, 2, 3), ("a", -1, 0, 3), ("a", 1, 1, 3), ("a", 5, 2, 3)]
+    wide = dense_index(df, ["v"], range_block(df, "v", 4), idx_col="i").where("v = 7").first().i
+    assert wide == 5
+
+
+def test_upsert_keeps_the_last_row_in_rate_order(spark):
+    cols = "ym_track_id long, emotion string, NO long, YES long, rate double"
+    old = spark.createDataFrame([(1, "happy", 9, 1, 0.1), (2, "happy", 1, 3, 0.75), (2, "happy", 1, 1, 0.5), (None, "sad", 0, 2, 1.0)], cols)
+    new = spark.createDataFrame([(1, "happy", 0, 3, 1.0), (1, "happy", 2, 2, 0.5), (None, "sad", 0, 0, None), (None, "sad", 1, 0, 0.0)], cols)
+    assert {(r.ym_track_id, r.rate) for r in crowd.upsert_assignments(old, new).collect()} == {(1, 0.5), (2, 0.5), (None, None)}
+
+
+def test_answers_without_worker_or_time_stay(spark):
+    base = dt.datetime(2024, 1, 1)
+    data = [(i, None if i % 3 == 0 else "w", None if i % 4 == 0 else base + dt.timedelta(hours=i), "SKIPPED" if i % 5 else "SUBMITTED", 1.5, "u", "YES", "happy") for i in range(24)]
+    df = spark.createDataFrame(data, "answer_id long, worker_id string, submitted_at timestamp, status string, reward double, audio_path string, result string, emotion string")
+    order = ["submitted_at", "answer_id"]
+    income = {r.answer_id: r.income_24h for r in crowd.income_last_24h(df).collect()}
+    runs = {r.answer_id: r.skipped_in_row for r in crowd.skipped_in_row(df, F.col("status") == "SKIPPED", order).collect()}
+    agree = {r.answer_id: r.n_total for r in crowd.majority_agreement(df, order, chunk=12).collect()}
+    assert len(income) == len(runs) == len(agree) == 24
+    for worker in (None, "w"):
+        mine = sorted((d for d in data if d[1] == worker), key=lambda d: (d[2] is not None, d[2] or base, d[0]))
+        run = 0
+        for k, d in enumerate(mine):
+            run = run + 1 if d[3] == "SKIPPED" else 0
+            assert runs[d[0]] == run and agree[d[0]] == k + 1
+            same = [x for x in mine if (x[2] is None) == (d[2] is None) and (d[2] is None or d[2] - dt.timedelta(days=1) <= x[2] <= d[2])]
+            assert income[d[0]] == 1.5 * len(same)
+
+
 def _answers_fixture(spark, seed=3, n=400):
     rng = np.random.default_rng(seed)
     base = dt.datetime(2024, 1, 1)

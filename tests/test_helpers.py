@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import paths
 from tessitura.functions.scores import multi_hot, multi_hot_inverse
-from tessitura.operators import catalog, metrics
+from tessitura.operators import metrics
 from tessitura.operators.ordering import epoch_micros
 from tessitura.schemas import EMOTIONS, mapping_table, vocabulary
 from tessitura.session import scratch_path
@@ -25,10 +25,10 @@ def test_multi_hot_round_trip(spark):
 
 def test_emotion_index_words_emoji(spark):
     df = spark.createDataFrame([("happy",), ("bored",)], "emotion string")
-    out = catalog.emotion_index(df).select(
-        "emotion_idx", metrics.emoji_of("emotion").alias("e"), metrics.emotion_words_of("emotion").alias("w")
+    out = df.select(
+        metrics.emoji_of("emotion").alias("e"), metrics.emotion_words_of("emotion").alias("w")
     ).collect()
-    assert out[0].emotion_idx == EMOTIONS.index("happy") and out[1].emotion_idx is None
+
     assert out[1].e == "" and out[1].w == "bored" and out[0].w != "happy"
 
 
@@ -61,8 +61,10 @@ def test_register_tables_and_json_sink(spark):
     tables.register_tables(spark, "/root/testdata/sf0.001", ["region"])
     assert spark.sql("SELECT count(*) FROM region").first()[0] == 5
     path = scratch_path(spark, "t-json")
-    tables.write_json(spark.createDataFrame([(1, "a")], "id long, name string"), path)
-    assert spark.read.json(path).first().name == "a"
+    tables.write_json(spark.createDataFrame([(1, "a"), (2, None)], "id long, name string"), path)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ['{"id":1,"name":"a"}', '{"id":2,"name":null}']
+    df = spark.createDataFrame([(1, None)], "ym_track_id long, g string")
+    assert tables.to_json_records(df).first().json == '{"ym_track_id":1,"g":null}' and tables.ids_as_json(df).first().json == '{"id":1}'
 
 
 def test_epoch_micros_ntz_and_ltz(spark):
@@ -78,10 +80,12 @@ def test_result_json_forms_and_ranked_fields(spark):
         metrics.result_json("emotions", F.col("e")).alias("ok"),
         metrics.result_json("error", F.lit("Unknown emotion")).alias("err"),
         metrics.result_json("keywords", F.array(F.lit("love"))).alias("kw"),
+        metrics.result_json("fonts", F.transform("e", lambda e: F.struct(e.alias("emotion"), F.array(F.lit("Acme")).alias("fonts")))).alias("fonts"),
         *metrics.ranked_fields("e", 3, "emotion"),
     ).first()
     assert out.ok == '{"result":{"emotions":["happy","joy"]}}'
-    assert out.err == '{"error":"Unknown emotion"}' and out.kw == '{"result":{"keywords":["love"]}}'
+    assert out.fonts == '{"result":[{"emotion":"happy","fonts":["Acme"]},{"emotion":"joy","fonts":["Acme"]}]}'
+    assert out.err == '{"result":{"error":"Unknown emotion"}}' and out.kw == '{"result":{"keywords":["love"]}}'
     assert (out.emotion_1, out.emotion_2, out.emotion_3) == ("happy", "joy", None)
 
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tessitura.plans import registry
 from tessitura.sources.tables import DRIVER_TABLES
 
 from .conftest import SF_SMALL
 
-HEAVY = ("ml_", "stream_", "store_", "features_log_mel", "text_keyphrases")
+registry.load_all()
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT"}
 
 
@@ -48,10 +50,19 @@ def test_entry_runs(spark):
 def test_registry_consistent():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert len(q) >= 70
+    assert len(registry.QUERIES) >= 80
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_entry_without_the_optional_subpackage(monkeypatch):
+    """With the llm folder and the pipeline gone the entry still offers all other queries; a broken import is not hidden."""
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "pipeline" not in entry.queries()
+    monkeypatch.setitem(sys.modules, "tessitura.llm", None)
+    monkeypatch.setitem(sys.modules, "tessitura.llm.queries", None)
+    assert set(entry.queries()) == set(registry.QUERIES) and set(entry.oracle_sql()) == set(registry.ORACLES)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracle_match(spark, duck, name):
     df = entry.queries()[name](spark, SF_SMALL)
     got = [tuple(r) for r in df.collect()]
@@ -66,9 +77,9 @@ def test_oracle_match(spark, duck, name):
         assert SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) == dtypes[f.name], (f.name, f.dataType)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith(HEAVY)))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_plan_has_no_cartesian_join(spark, name):
-    df = entry.queries()[name](spark, SF_SMALL)
+    df = registry.QUERIES[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 

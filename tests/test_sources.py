@@ -24,7 +24,7 @@ def test_tracks_csv_round_trip(spark):
     tables.write_csv(df, path)
     back = {r.ym_track_id: r for r in tables.read_tracks_csv(spark, path).collect()}
     assert back[1].track_title == 'Say "hi", now' and back[1].emotions_maybe == ["happy", "sad"] and back[1].year == 1999
-    assert back[1].deezer_genres is None  # an empty list is written as '' and '' reads as missing
+    assert back[1].deezer_genres == [] and back[2].deezer_genres is None
     assert back[2].track_title == "multi\nline" and back[2].emotions_maybe is None
 
 
@@ -75,3 +75,16 @@ def test_json_records(spark):
     df = spark.createDataFrame([(1, "a")], "id long, name string")
     assert tables.to_json_records(df).first().json == '{"id":1,"name":"a"}'
 
+
+
+def test_csv_tells_empty_lists_from_missing_ones(spark):
+    values = [(1, "a\n\"b\", c", ["x", "y"]), (2, "", []), (3, None, None)]
+    df = tables.empty_frame(spark)
+    from pyspark.sql import functions as F
+
+    rows_in = spark.createDataFrame(values, "ym_track_id long, track_title string, emotions_maybe array<string>")
+    full = rows_in.select(*[F.col(f.name) if f.name in rows_in.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    path = scratch_path(spark, "t-empty-csv")
+    tables.write_csv(full, path)
+    back = sorted((r.ym_track_id, r.track_title, r.emotions_maybe) for r in tables.read_tracks_csv(spark, path).collect())
+    assert back == values

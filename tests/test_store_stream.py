@@ -7,7 +7,7 @@ import pytest
 from tessitura.operators import crowd
 from tessitura.session import scratch_path
 from tessitura.sources import shards
-from tessitura.streaming.votes import run_vote_stream
+from tessitura.streaming.votes import final_votes, run_votes, vote_stream
 
 from .conftest import rows
 
@@ -57,24 +57,25 @@ def test_stream_vote_equals_batch(spark):
     df = spark.createDataFrame(data, "emotion string, audio_path string, result string")
     folder = scratch_path(spark, "t-answers")
     df.repartition(3).write.parquet(folder)
-    streamed = run_vote_stream(spark, folder, df.schema, base_url="https://b.example/")
+    streamed = final_votes(spark, folder, df.schema, base_url="https://b.example/", max_files=1)
     batch = crowd.majority_vote(df, base_url="https://b.example/")
     assert rows(streamed, "ym_track_id", "emotion", "NO", "YES") == rows(batch, "ym_track_id", "emotion", "NO", "YES")
 
 
 
-def test_assignments_log_compaction(spark):
-    from tessitura.streaming.votes import AssignmentsTable
+def test_stream_goes_on_from_its_checkpoint(spark):
+    df = spark.createDataFrame([("happy", f"https://b.example/a/{i % 5}.mp3", "YES" if i % 3 else "NO") for i in range(90)], "emotion string, audio_path string, result string")
+    folder, ckpt = scratch_path(spark, "t-more"), scratch_path(spark, "t-ckpt")
+    seen = {}
 
-    t = AssignmentsTable(spark, scratch_path(spark, "t-log"))
-    cols = "ym_track_id long, emotion string, NO long, YES long, rate double, audio_path string"
-    t.upsert(spark.createDataFrame([(1, "happy", 1, 0, 0.0, "u1"), (2, "happy", 0, 1, 1.0, "u2")], cols), 0)
-    t.upsert(spark.createDataFrame([(1, "happy", 1, 2, 2 / 3, "u1")], cols), 1)
-    before = rows(t.read(), "audio_path", "YES")
-    assert before == [("u1", 2), ("u2", 1)]
-    t.compact()
-    t.upsert(spark.createDataFrame([(3, "sad", 0, 1, 1.0, "u3")], cols), 2)
-    assert rows(t.read(), "audio_path", "YES") == [("u1", 2), ("u2", 1), ("u3", 1)]
+    def keep(batch, _):
+        seen.update({(r.ym_track_id, r.emotion): (r.NO, r.YES) for r in batch.collect()})
+
+    for part in df.randomSplit([0.4, 0.6], seed=1):
+        part.write.mode("append").parquet(folder)
+        run_votes(vote_stream(spark, folder, df.schema, "https://b.example/"), keep, ckpt)
+    batch = {(r.ym_track_id, r.emotion): (r.NO, r.YES) for r in crowd.majority_vote(df, base_url="https://b.example/").collect()}
+    assert seen == batch
 
 
 def test_lookup_prunes_partitions(spark):
@@ -88,17 +89,3 @@ def test_lookup_prunes_partitions(spark):
     assert rows(q, "track_id") == [(7,), (7,), (27,), (27,)]
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "(bucket#" in plan
-
-
-def test_assignments_batch_retry_is_idempotent(spark):
-    from tessitura.streaming.votes import AssignmentsTable
-
-    t = AssignmentsTable(spark, scratch_path(spark, "t-retry"))
-    cols = "ym_track_id long, emotion string, NO long, YES long, rate double, audio_path string"
-    b0 = spark.createDataFrame([(1, "happy", 1, 0, 0.0, "u1")], cols)
-    t.upsert(b0, 0)
-    t.upsert(spark.createDataFrame([(2, "happy", 0, 1, 1.0, "u2")], cols), 1)
-    t.upsert(spark.createDataFrame([(2, "happy", 0, 2, 1.0, "u2")], cols), 1)  # batch 1 retried with its final rows
-    log = spark.read.parquet(t._log())
-    assert log.where("batch_id = 1").count() == 1 and log.where("batch_id = 0").count() == 1
-    assert rows(t.read(), "audio_path", "YES") == [("u1", 0), ("u2", 2)]
