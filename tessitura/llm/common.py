@@ -43,8 +43,18 @@ def id_remainder(col: str = "doc_id"):
     return (F.crc32(F.col(col).cast("string")) % 5).cast("int")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python a thousand rows at a time (Spark's default is ten thousand), unless the session asks for fewer.
+
+    A worker holds one batch and what is made of it, so this bounds its memory.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["QUERIES", "ORACLES", "register", "read", "checked_broadcast", "id_remainder", "materialize", "shuffle_width", "BROADCAST_ROWS"]
+__all__ = ["QUERIES", "ORACLES", "register", "read", "checked_broadcast", "id_remainder", "materialize", "shuffle_width", "small_batches", "BROADCAST_ROWS"]

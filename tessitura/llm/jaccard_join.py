@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import lower_words, mix, text_chunks
-from .common import materialize, read, register, shuffle_width
+from .common import materialize, read, register, shuffle_width, small_batches
 from .components import connected_components
 
 TILE_SHINGLES = 4_000_000
@@ -318,6 +318,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
     """
     num, den = threshold
     spark = docs.sparkSession
+    small_batches(spark)
     width = shuffle_width(spark)
     described = materialize(describe_sets(docs, n), "jac-sets")
     blobs = docs.select("text").mapInArrow(_key_blobs(n, num, den, width * BUCKETS_PER_TASK), _BLOB)

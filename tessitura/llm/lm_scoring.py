@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import lower_words, mix, text_chunks
-from .common import materialize, read, register, shuffle_width
+from .common import materialize, read, register, shuffle_width, small_batches
 from .ngram_trie import NGramTrie
 
 SHORTLIST = 65_000
@@ -319,6 +319,7 @@ def _collect_scores(short: Shortlist):
 def score_texts(docs: DataFrame, training, mu: float = MU, shortlist: int = SHORTLIST) -> DataFrame:
     """_row, n_tokens, n_known, base_score, score, train_tokens for ``docs`` (_row: long, text); learns from rows where ``training`` holds."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     width = shuffle_width(spark)
     buckets = width * BUCKETS_PER_TASK
     learned = docs.where(training)

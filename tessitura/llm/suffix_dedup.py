@@ -1,7 +1,7 @@
 """Suffix-array dedup: cut every byte covered by a 50-byte string that also starts in a document with a smaller id.
 
 Suffixes cannot all be sorted together at scale, nor can every 50-byte string be
-shipped.  Each 50-byte window is assigned the leftmost of its 16-byte strings
+shipped.  Each 50-byte window is assigned the leftmost of its 12-byte strings
 with the smallest hash (its anchor), so equal windows have equal anchors:
 
 1. one pass sends a 12-byte entry per anchor; an anchor that no other document
@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import _BASE, _INVERSE, BYTE_VALUE, mix, powers, text_chunks
-from .common import read, register, shuffle_width
+from .common import checked_broadcast, materialize, read, register, shuffle_width, small_batches
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 BUCKETS_PER_TASK = 8
-FLUSH_ENTRIES = 1_000_000
-FLUSH_BYTES = 8 << 20
+FLUSH_ENTRIES = 500_000
+FLUSH_BYTES = 6 << 20
 BATCH_BYTES = 1 << 20
 HOT_BATCHES = 4
 _LAST = (1 << 63) - 1
@@ -123,22 +123,23 @@ def _wide(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, np.int32 if len(blob) == 4 * n else np.int64).astype(np.int64)
 
 
-def _by_id(ids: np.ndarray, entries: np.ndarray, buckets: int) -> list[tuple]:
-    """Answers: rows (bucket, id, entries) for pairs (id, entry)."""
-    o = np.argsort(ids)
-    ids, entries = ids[o], entries[o]
-    cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, dtype=np.int64)
-    return [(int(ids[a] % buckets), int(ids[a]), entries[a:b].tobytes(), None) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)])]
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of sorted integers, first all lowest ones, .., last all highest ones: the last planes compress to next to nothing."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-_ENTRY = "bucket int, id long, x binary, y binary"
-_ENTRY_ARROW = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+def _unplaned(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(_U).reshape(-1)
 
 
-def _entry_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(rows), 20_000):
-        part = rows[i : i + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], f.type) for k, f in enumerate(_ENTRY_ARROW)], schema=_ENTRY_ARROW)
+# Packed rows.  kind 0: entries for a bucket of anchors (x planes of entries, y ids); kind 1: pairs of an id and an entry
+# that another document has too (x entries, y ids).
+_ENTRY = "kind int, bucket int, x binary, y binary"
+_ENTRY_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
+
+
+def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ENTRY_ARROW)], schema=_ENTRY_ARROW)
 
 
 def _group_flags(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -153,7 +154,7 @@ def _group_flags(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _send_anchors(length: int, buckets: int):
-    """Partition function over (id, text): entries per bucket (y = ids), and answers for anchors already shared inside the block (y null)."""
+    """Partition function over (id, text): entries per bucket, and the pairs whose anchor is already shared inside the block."""
 
     def pack(entries, ids):
         e, d = np.concatenate(entries), np.concatenate(ids)
@@ -162,12 +163,14 @@ def _send_anchors(length: int, buckets: int):
         at = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
         least, most = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
         known = np.repeat(least != most, np.diff(np.append(at, len(e))))
-        rows = _by_id(d[known], e[known], buckets)
+        n = int(known.sum())
+        step = 50_000
+        rows = [(1, i // step % buckets, e[known][i : i + step].tobytes(), _narrow(d[known][i : i + step])) for i in range(0, n, step)]
         e, d = e[at], least  # the smallest id speaks for the block
         # buckets are stretches of the hash range, so they lie in order already
         cut = np.searchsorted(((e >> _U(48)) * _U(buckets)) >> _U(16), np.arange(buckets + 1, dtype=_U))
-        rows += [(b, None, e[cut[b] : cut[b + 1]].tobytes(), _narrow(d[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b + 1] > cut[b]]
-        return _entry_batches(rows)
+        rows += [(0, b, _planes(e[cut[b] : cut[b + 1]]), _narrow(d[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b + 1] > cut[b]]
+        return _entry_batch(rows)
 
     def run(batches):
         entries, ids, held = [], [], 0
@@ -180,44 +183,63 @@ def _send_anchors(length: int, buckets: int):
                     ids.append(keys[lo + doc])
                     held += len(e)
                 if held >= FLUSH_ENTRIES:
-                    yield from pack(entries, ids)
+                    yield pack(entries, ids)
                     entries, ids, held = [], [], 0
         if held:
-            yield from pack(entries, ids)
+            yield pack(entries, ids)
 
     return run
 
 
 def _answer_anchors(buckets: int):
-    """Partition function over entries: (id, entries that another document has too)."""
+    """Partition function over entries: the pairs that another document has too, packed per bucket of ids."""
 
     def run(batches):
-        entries, ids, passed = [], [], []
+        entries, ids, known, whose = [], [], [], []
         for b in batches:
-            for bucket, i, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                if y is None:
-                    passed.append((bucket, i, x, None))
-                else:
-                    e = np.frombuffer(x, _U)
-                    entries.append(e)
-                    ids.append(_wide(y, len(e)))
-            if passed:
-                yield from _entry_batches(passed)
-                passed.clear()
+            for kind, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                (entries if kind == 0 else known).append(_unplaned(x) if kind == 0 else np.frombuffer(x, _U))
+                (ids if kind == 0 else whose).append(_wide(y, len(x) // 8))
         if entries:
             e, d = np.concatenate(entries), np.concatenate(ids)
             key = e >> _U(16)
             shared = _group_flags(e >> _U(8), d) | _group_flags((key << _U(8)) | (e & _U(255)), d)
-            yield from _entry_batches(_by_id(d[shared], e[shared], buckets))
+            known.append(e[shared])
+            whose.append(d[shared])
+        if known:
+            e, d = np.concatenate(known), np.concatenate(whose)
+            bucket = (mix(d.view(_U)) % _U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+            o = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[o], np.arange(buckets + 1))
+            rows = [(1, b, e[i].tobytes(), _narrow(d[i])) for b in range(buckets) if len(i := o[cut[b] : cut[b + 1]])]
+            yield _entry_batch(rows)
 
     return run
 
 
+def _answers_by_id(batches):
+    """Partition function over packed pairs of whole id buckets: one row (id, its entries) per document."""
+    entries, ids = [], []
+    for b in batches:
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            entries.append(np.frombuffer(x, _U))
+            ids.append(_wide(y, len(x) // 8))
+    if not entries:
+        return
+    e, d = np.concatenate(entries), np.concatenate(ids)
+    o = np.argsort(d)
+    e, d = e[o], d[o]
+    cut = np.flatnonzero(np.append(True, d[1:] != d[:-1])).tolist()
+    for i in range(0, len(cut), 10_000):
+        part = cut[i : i + 10_000] + cut[i + 10_000 : i + 10_001]
+        ends = part[1:] + ([len(e)] if i + 10_000 >= len(cut) else [])
+        yield pa.RecordBatch.from_arrays([pa.array(d[part[: len(ends)]]), pa.array([e[a:z].tobytes() for a, z in zip(part, ends)], pa.binary())], names=["id", "entries"])
+
+
 def _shared_fragments(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(id, first, last, entry, content hash, bytes, offsets into bytes) of the shared fragments of a stretch of documents."""
     keys = batch.column(0).to_numpy(zero_copy_only=False)
-    lists = batch.column(2)
-    blobs = [None if x is None else b"".join(x) for x in lists.to_pylist()]
+    blobs = batch.column(2).to_pylist()
     for lo, hi, buf, off in text_chunks(batch.column(1)):
         told = [blobs[i] or b"" for i in range(lo, hi)]
         own = np.frombuffer(b"".join(told), _U)
@@ -233,7 +255,7 @@ def _shared_fragments(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.n
         yield keys[lo + doc], first[i] - off[doc], last[i] - off[doc], e[i], content[i], buf, off[doc]
 
 
-# Rows of one exchange.  kind 0: distinct fragments of a block for a shard (a anchors, b smallest ids, c occurrences,
+# Rows of one exchange.  kind 0: distinct fragments of a block for a shard (a planes of anchors, b smallest ids, c occurrences,
 # d sizes, e bytes); kind 1: occurrences (a fragments' hashes, b ids, c starts, d tags), dealt out evenly.  A fragment is
 # known by the 64-bit hash of its bytes and a tag, 16 bits of its anchor's hash.
 _SENT = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary"
@@ -245,8 +267,9 @@ _TAG = _U(65_535)
 def _gather(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of all (at, size) stretches, one after the other."""
     ends = np.cumsum(size)
-    idx = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - size), size)
-    return buf[idx]
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, len(buf)) < 1 << 31 else np.int64
+    return buf[np.arange(n, dtype=kind) + np.repeat((at - (ends - size)).astype(kind), size)]
 
 
 def _content_hashes(data: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
@@ -287,7 +310,7 @@ def _send_fragments(length: int, buckets: int):
         for b in range(buckets):
             i = slice(cut[b], cut[b + 1])
             if cut[b + 1] > cut[b]:
-                rows.append((0, b, a[i].tobytes(), _narrow(least[i]), times[i].tobytes(), size[i].astype(np.int32).tobytes(), data[ends[cut[b]] : ends[cut[b + 1]]].tobytes()))
+                rows.append((0, b, _planes(a[i]), _narrow(least[i]), times[i].tobytes(), size[i].astype(np.int32).tobytes(), data[ends[cut[b]] : ends[cut[b + 1]]].tobytes()))
         step = 20_000
         for i in range(0, len(ids), step):
             j = slice(i, i + step)
@@ -387,7 +410,7 @@ def _shard_results(length: int):
             for kind, _, a, l, t, s, d in zip(*(col.to_pylist() for col in b.columns)):
                 if kind:
                     continue
-                a, size, d = np.frombuffer(a, _U), np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(d, np.uint8)
+                a, size, d = _unplaned(a), np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(d, np.uint8)
                 parts.append((a, _content_hashes(d, size, length), _wide(l, len(a)), np.frombuffer(t, np.int64), size, d))
         if not parts:
             return
@@ -422,28 +445,34 @@ def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut_documents(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str, arrow: list[tuple[str, pa.DataType]], keep: list[str] | None = None, length: int = LENGTH) -> DataFrame:
-    """Find the removed spans of every row of ``docs`` (doc_id, text, ..) and return what ``finish(bytes, spans)`` makes of them.
+def cut_documents(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, int]], int | None], tuple], schema: str, arrow: list[tuple[str, pa.DataType]], keep: list[str] | None = None, length: int = LENGTH) -> DataFrame:
+    """Find the removed spans of every row of ``docs`` (doc_id, text, ..) and return what ``finish(bytes, spans, None)`` makes of them.
+
+    Of an exact copy of an earlier text all bytes go: ``finish(b"", [], size)``.
 
     The result has the columns ``keep`` of ``docs`` (default: doc_id), then those of ``schema``.
     """
     keep = keep if keep is not None else ["doc_id"]
     spark = docs.sparkSession
+    small_batches(spark)
     width = shuffle_width(spark)
     buckets = width * BUCKETS_PER_TASK
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     digests = docs.where(F.octet_length("text") >= length).select(key.alias("_key"), F.sha2("text", 256).alias("_sha"))
     firsts = digests.groupBy("_sha").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     copies = digests.join(firsts, "_sha").where(F.col("_key") > F.col("_first")).groupBy("_key").agg(F.collect_set("_sha").alias("_shas"))
-    base = docs.select(key.alias("_key"), F.struct(*[F.col(k) for k in keep]).alias("_keep"), "text").join(copies.hint("shuffle_hash"), "_key", "left")
-    base = base.select("_key", "_keep", "text", F.coalesce(F.array_contains("_shas", F.sha2("text", 256)), F.lit(False)).alias("_copy"))
-    body = F.when(~F.col("_copy"), F.col("text"))
+    copies = materialize(copies, "dedup-copies")
+    copies = checked_broadcast(copies, copies.count())  # few: their texts are not even shuffled
+    base = docs.select(key.alias("_key"), F.struct(*[F.col(k) for k in keep]).alias("_keep"), F.octet_length("text").alias("_size"), "text").join(copies, "_key", "left")
+    copy = F.coalesce(F.array_contains("_shas", F.sha2("text", 256)), F.lit(False))
+    base = base.select("_key", "_keep", "_size", F.when(~copy, F.col("text")).alias("text"), copy.alias("_copy"))
 
     # every branch reads the same columns, so that Spark shuffles the texts once and uses that exchange again
-    entries = base.select("_key", body.alias("text"), "_keep").mapInArrow(_send_anchors(length, buckets), _ENTRY)
+    rest = ["_keep", "_size", "_copy"]
+    entries = base.select("_key", "text", *rest).mapInArrow(_send_anchors(length, buckets), _ENTRY)
     answers = entries.repartition(width, "bucket").mapInArrow(_answer_anchors(buckets), _ENTRY)
-    shared = answers.groupBy(F.col("id").alias("_key")).agg(F.collect_list("x").alias("_entries"))
-    told = base.join(shared.hint("shuffle_hash"), "_key").select("_key", body.alias("text"), "_entries", "_keep")
+    shared = answers.repartition(width, "bucket").mapInArrow(_answers_by_id, "id long, entries binary").withColumnRenamed("id", "_key")
+    told = base.join(shared.hint("shuffle_hash"), "_key").select("_key", "text", "entries", *rest)
     sent = told.mapInArrow(_send_fragments(length, buckets), _SENT).repartition(width, "bucket")  # read by both of the following
     found = sent.mapInArrow(_shard_results(length), "content long, tag int, a int, b int, least long")
     places = sent.mapInArrow(_occurrences, "content long, tag int, id long, at long")
@@ -454,14 +483,11 @@ def cut_documents(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, int]
     def apply(batches):
         for b in batches:
             out = []
-            texts, copy, spans_ = b.column(1), b.column(2).to_pylist(), b.column(3)
+            texts, copied, sizes, spans_ = b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)
             for i in range(b.num_rows):
                 raw = (texts[i].as_py() or "").encode()
-                if copy[i]:
-                    cut = [(0, len(raw))]
-                else:
-                    cut = union_spans([(x["s"], x["e"]) for x in spans_[i].as_py() or ()])
-                out.append(finish(raw, cut))
+                cut = [] if copied[i] else union_spans([(x["s"], x["e"]) for x in spans_[i].as_py() or ()])
+                out.append(finish(raw, cut, sizes[i] or 0 if copied[i] else None))
             kept = b.column(0)
             yield pa.RecordBatch.from_arrays(
                 [kept.field(k) for k in range(len(keep))] + [pa.array([o[k] for o in out], t) for k, (_, t) in enumerate(arrow)], names=[*keep, *[n for n, _ in arrow]]
@@ -469,10 +495,12 @@ def cut_documents(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, int]
 
     kinds = dict(docs.dtypes)
     full = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [schema])
-    return base.join(spans.hint("shuffle_hash"), "_key", "left").select("_keep", "text", "_copy", "_spans").mapInArrow(apply, full)
+    return base.join(spans.hint("shuffle_hash"), "_key", "left").select("_keep", "text", "_copy", "_size", "_spans").mapInArrow(apply, full)
 
 
-def _digest(raw: bytes, cut: list[tuple[int, int]]) -> tuple:
+def _digest(raw: bytes, cut: list[tuple[int, int]], copy_of: int | None) -> tuple:
+    if copy_of is not None:
+        return copy_of, copy_of, 1, hashlib.sha256().hexdigest()
     h, at = hashlib.sha256(), 0
     for a, b in cut:
         h.update(raw[at:a])
@@ -499,7 +527,7 @@ def whole_characters(raw: bytes, cut: list[tuple[int, int]]) -> str:
 def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with its repeated passages cut out of ``text``; other columns stay."""
     others = [c for c in docs.columns if c != "text"]
-    out = cut_documents(docs, lambda raw, cut: (whole_characters(raw, cut),), "text string", [("text", pa.string())], keep=others, length=length)
+    out = cut_documents(docs, lambda raw, cut, copy_of: (whole_characters(raw, cut),), "text string", [("text", pa.string())], keep=others, length=length)
     return out.select(*docs.columns)
 
 
