@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import HISTORY
-
 
 def with_vector(df: DataFrame, array_col: str, out_col: str = "features") -> DataFrame:
     return df.withColumn(out_col, array_to_vector(F.col(array_col)))
@@ -27,13 +28,37 @@ def train_multiclass(train: DataFrame, features_col: str = "features", label_col
     return lr.fit(train.withColumn(label_col, F.col(label_col).cast("double")))
 
 
-def train_multilabel(train: DataFrame, label_cols: Sequence[str], features_col: str = "features", reg: float = 0.01, max_iter: int = 50) -> dict[str, LogisticRegressionModel]:
-    """M-13: one binary logistic regression per label column (one-vs-rest for multi-hot targets)."""
-    models = {}
-    for c in label_cols:
-        lr = LogisticRegression(featuresCol=features_col, labelCol="_y", family="binomial", regParam=reg, maxIter=max_iter)
-        models[c] = lr.fit(train.withColumn("_y", F.col(c).cast("double")))
-    return models
+def train_multilabel(train: DataFrame, vector_col: str, labels_col: str, names: Sequence[str], rounds: int = 20, rate: float = 1.0, l2: float = 1e-3) -> np.ndarray:
+    """M-13: one logistic model per label name, all fitted together by full gradient steps.
+
+    A round is one pass: every partition returns the summed gradient of all
+    labels (``labels x (dims + 1)`` numbers), and Spark adds the partitions up.
+    Returns the weights, the bias last.
+    """
+    place = {n: i for i, n in enumerate(names)}
+    data = train.select(F.col(vector_col).alias("x"), F.col(labels_col).alias("y")).persist()
+    n = data.count()
+    dims = len(data.first()["x"]) if n else 0
+    w = np.zeros((len(names), dims + 1))
+    for _ in range(rounds if n else 0):
+
+        def gradient(batches, w=w):
+            g = np.zeros_like(w)
+            for b in batches:
+                x = np.array(b.column(0).to_pylist(), dtype=np.float64)
+                x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+                y = np.zeros((len(x), len(w)))
+                for i, own in enumerate(b.column(1).to_pylist()):
+                    y[i, [place[k] for k in own or () if k in place]] = 1.0
+                g += (1.0 / (1.0 + np.exp(-(x @ w.T))) - y).T @ x
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(g.size)), pa.array(g.ravel())], names=["i", "g"])
+
+        total = data.mapInArrow(gradient, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+        g = np.zeros(w.size)
+        g[[r["i"] for r in total]] = [r["g"] for r in total]
+        w = w - rate * (g.reshape(w.shape) / n + l2 * w)
+    data.unpersist()
+    return w
 
 
 def score(model: LogisticRegressionModel, df: DataFrame, features_col: str = "features") -> DataFrame:
@@ -44,19 +69,27 @@ def score(model: LogisticRegressionModel, df: DataFrame, features_col: str = "fe
     )
 
 
-def score_multilabel(models: dict[str, LogisticRegressionModel], df: DataFrame, features_col: str = "features") -> DataFrame:
-    """M-13 scoring: one probability column per label."""
-    out = df
-    for name, m in models.items():
-        s = m.setFeaturesCol(features_col).transform(out)
-        out = s.withColumn(f"p_{name}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-    return out
+def _dot(vector, weights) -> Column:
+    return F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in weights]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
 
 
-def history_table(spark: SparkSession, runs: dict[str, Sequence[float]], metric: str = "loss", split: str = "train") -> DataFrame:
-    """A-11 input: per-iteration objective values of fitted models as ``(run, split, epoch, metric, value)``.
+def score_multilabel(df: DataFrame, vector_col: str, weights: np.ndarray, names: Sequence[str], out_col: str = "p") -> DataFrame:
+    """M-13 scoring: ``array<struct<label, p>>`` with one probability per label name."""
 
-    The lists come from model summaries and are bounded by ``maxIter``.
-    """
-    rows = [(run, split, i, metric, float(v)) for run, vals in runs.items() for i, v in enumerate(vals)]
-    return spark.createDataFrame(rows, HISTORY)
+    @F.pandas_udf("array<double>")
+    def probabilities(vectors: pd.Series) -> pd.Series:
+        x = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+        return pd.Series(list(1.0 / (1.0 + np.exp(-(x @ weights[:, :-1].T + weights[:, -1])))), index=vectors.index)
+
+    labels = F.array(*[F.lit(n) for n in names])
+    return df.withColumn(out_col, F.arrays_zip(labels.alias("label"), probabilities(F.col(vector_col)).alias("p")))
+
+
+def load_linear(model: DataFrame) -> list[list[float]]:
+    """A linear model table ``(label, w)`` as rows in label order; its size is the number of classes."""
+    return [list(r["w"]) for r in model.orderBy("label").collect()]
+
+
+def linear_scores(df: DataFrame, vector_col: str, weights: Sequence[Sequence[float]], out_col: str = "scores") -> DataFrame:
+    """M-14: the scores of a supplied linear model, one per class."""
+    return df.withColumn(out_col, F.array(*[F.round(_dot(F.col(vector_col), w), 9) for w in weights]))

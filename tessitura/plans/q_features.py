@@ -105,7 +105,8 @@ def q_mean_pool(spark, sf_dir):
     f"""
 WITH e AS ({EMB_SQL})
 SELECT track_id, repeat('0', label) || '1' || repeat('0', 9 - label) AS multihot,
-       CAST(len(list_resize(v, 64, 0.0)) AS INTEGER) AS n_values FROM e
+       CAST(len(list_resize(v, 70, 0.0)) AS INTEGER) AS n_values, list_resize(v, 70, 0.0)[1] AS x_first, list_resize(v, 70, 0.0)[64] AS x_last,
+       list_resize(v, 70, 0.0)[65] AS x_pad, round(list_sum(list_transform(range(64), lambda i: (i + 1) * v[i + 1])), 5) AS x_weighted FROM e
 """,
 )
 def q_training_matrix(spark, sf_dir):
@@ -113,5 +114,9 @@ def q_training_matrix(spark, sf_dir):
 
     e = embedding_rows(spark, sf_dir)
     labels = e.select("track_id", F.array(F.col("label").cast("string")).alias("labels"))
-    m = training_matrix(e.select("track_id", F.col("v").alias("values")), labels, [str(i) for i in range(10)], 64)
-    return m.select("track_id", F.array_join("y", "").alias("multihot"), F.size("x").alias("n_values"))
+    m = training_matrix(e.select("track_id", F.col("v").alias("values")), labels, [str(i) for i in range(10)], 70)
+    weighted = F.aggregate(F.zip_with("x", F.sequence(F.lit(1), F.size("x")), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return m.select(
+        "track_id", F.array_join("y", "").alias("multihot"), F.size("x").alias("n_values"),
+        F.col("x")[0].alias("x_first"), F.col("x")[63].alias("x_last"), F.col("x")[64].alias("x_pad"), F.round(weighted, 5).alias("x_weighted"),
+    )

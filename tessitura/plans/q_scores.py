@@ -1,4 +1,4 @@
-"""Score/metric queries: first 10 embedding values are class scores, ``label`` is the truth."""
+"""Score/metric queries: the 64 embedding values folded into 10 class scores (value j counts for class j mod 10), ``label`` is the truth."""
 
 from __future__ import annotations
 
@@ -25,12 +25,15 @@ from .bindings import sql_list
 from .q_features import EMB_SQL, embedding_rows
 from .registry import register
 
-SCORES_SQL = f"SELECT track_id, list_slice(v, 1, 10) AS s, label FROM ({EMB_SQL})"
+FOLD_SQL = "list_transform(range(10), lambda c: round(list_sum(list_transform(list_filter(range(len(v)), lambda j: j % 10 = c), lambda j: v[j + 1])), 9))"
+SCORES_SQL = f"SELECT track_id, {FOLD_SQL} AS s, label FROM ({EMB_SQL})"
 NAMES10 = EMOTIONS[:10]
 
 
 def score_rows(spark, sf_dir):
-    return embedding_rows(spark, sf_dir).select("track_id", F.slice("v", 1, 10).alias("s"), "label")
+    mine = lambda c: F.filter("v", lambda x, j: j % 10 == c)
+    folded = F.array(*[F.round(F.aggregate(mine(c), F.lit(0.0), lambda a, x: a + x), 9) for c in range(10)])
+    return embedding_rows(spark, sf_dir).select("track_id", folded.alias("s"), "label")
 
 
 TOPK_SQL = f"""

@@ -30,4 +30,4 @@ def register(name: str, covers: tuple[str, ...] = (), oracle: str | None = None)
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from . import q_catalog, q_crowd, q_features, q_ml, q_scores, q_split, q_store, q_stream, q_text  # noqa: F401
+    from . import q_catalog, q_crowd, q_features, q_files, q_ml, q_scores, q_split, q_store, q_stream, q_text  # noqa: F401

@@ -91,14 +91,14 @@ def load_or_extract(
     lineage of the extraction.
     """
     req = requested.select(F.col(key).alias("track_id")).distinct()
-    store = read_store(spark, path)
-    have = store.select("track_id").distinct()
-    misses = req.join(have, "track_id", "left_anti")
-    extracted = extract(misses)
-    write_store(extracted, path, mode="append", n_shards=n_shards)
+    keyed = req.withColumn("bucket", shard_of("track_id", n_shards))
+    by = ["bucket", "track_id"]
+    misses = keyed.join(read_store(spark, path).select(*by), by, "left_anti")
+    # written only if still absent when the write runs, so a repeated call adds nothing twice
+    write_store(extract(misses.select("track_id")), path, mode="append", n_shards=n_shards)
     store = read_store(spark, path)
     found = lookup_table(store, req)
-    left = req.join(store.select("track_id").distinct(), "track_id", "left_anti")
+    left = keyed.join(store.select(*by), by, "left_anti").select("track_id")
     return found, left
 
 

@@ -86,9 +86,9 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str
 
 # ------------------------------------------------------------------ S-4 / S-5
 def read_text_dir(spark: SparkSession, path: str, id_pattern: str = r"(\d+)\.txt$") -> DataFrame:
-    """S-4: one row per file, whole text; the id comes from the file name."""
-    df = spark.read.text(path, wholetext=True)
-    name = F.col("_metadata.file_name")
+    """S-4: one row per file below ``path``, whole text; the id is what ``id_pattern`` finds in the file's path."""
+    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    name = F.col("_metadata.file_path")
     tid = F.nullif(F.regexp_extract(name, id_pattern, 1), F.lit("")).try_cast("bigint")
     return df.select(tid.alias("track_id"), F.col("value").alias("text"))
 
