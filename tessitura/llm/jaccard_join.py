@@ -36,7 +36,7 @@ from .components import connected_components
 
 TILE_SHINGLES = 4_000_000
 FLUSH_KEYS = 500_000
-BUCKETS_PER_TASK = 8
+BUCKETS_PER_TASK = 2
 _NO_ID = -(1 << 63)
 _U = np.uint64
 
@@ -135,22 +135,42 @@ def _star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], nodes[first], links[:, 0], links[:, 1]
 
 
-_BLOB = "bucket int, kind int, x binary, y binary"
+# Packed rows.  kind 0: entries of a bucket, document by document (x: 48 bits of every key, y: the nodes, z: keys per
+# node); kind 1: links found inside a block (x and y: their ends).
+_BLOB = "bucket int, kind int, x binary, y binary, z binary"
+_BLOB_NAMES = [c.split()[0] for c in _BLOB.split(", ")]
+_BLOB_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _six_bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view(_U).reshape(-1)
 
 
 def _key_blobs(n: int, num: int, den: int, buckets: int):
-    """Partition function: texts to packed (key, node) entries per bucket (kind 0) and links found inside a block (kind 1)."""
+    """Partition function: texts to packed (key, node) entries per bucket, and links found inside a block."""
 
     def pack(keys, nodes):
-        keys, nodes, a, b = _star(np.concatenate(keys), np.concatenate(nodes))
+        keys, nodes, a, b = _star(np.concatenate(keys) >> _U(16), np.concatenate(nodes))
         bucket = (keys % _U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        keys, nodes, bucket = keys[order], nodes[order], bucket[order]
+        o = np.argsort(nodes)  # a node's keys of one bucket lie together and name it once
+        o = o[np.argsort(bucket[o].astype(np.uint16) if buckets < 1 << 16 else bucket[o], kind="stable")]
+        keys, nodes, bucket = keys[o], nodes[o], bucket[o]
         at = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [(i, 0, keys[at[i] : at[i + 1]].tobytes(), nodes[at[i] : at[i + 1]].tobytes()) for i in range(buckets) if at[i + 1] > at[i]]
+        rows = []
+        for i in range(buckets):
+            k, m = keys[at[i] : at[i + 1]], nodes[at[i] : at[i + 1]]
+            if len(k):
+                first = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+                rows.append((i, 0, _six_bytes(k), m[first].tobytes(), np.diff(np.append(first, len(m))).astype(np.uint32).tobytes()))
         step = 50_000
-        rows += [(int(a[i] % buckets), 1, a[i : i + step].tobytes(), b[i : i + step].tobytes()) for i in range(0, len(a), step)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["bucket", "kind", "x", "y"])
+        rows += [(int(a[i] % buckets), 1, a[i : i + step].tobytes(), b[i : i + step].tobytes(), None) for i in range(0, len(a), step)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_BLOB_TYPES)], names=_BLOB_NAMES)
 
     def run(batches):
         bands, keys, nodes, held = Bands(num, den), [], [], 0
@@ -174,12 +194,12 @@ def _bucket_links(batches):
     """Partition function: packed entries to links between nodes that share a key."""
     keys, nodes, links = [], [], []
     for b in batches:
-        for kind, x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+        for kind, x, y, z in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
             if kind:
                 links.append(np.stack([np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)], 1))
             else:
-                keys.append(np.frombuffer(x, _U))
-                nodes.append(np.frombuffer(y, np.int64))
+                keys.append(_from_six(x))
+                nodes.append(np.repeat(np.frombuffer(y, np.int64), np.frombuffer(z, np.uint32)))
     if keys:
         _, _, a, b = _star(np.concatenate(keys), np.concatenate(nodes))
         links.append(np.stack([a, b], 1))
@@ -244,9 +264,6 @@ def tile_links(sets: list[np.ndarray], nodes: list[int], upper: list[bool] | Non
     return links
 
 
-_SETS = "root long, node long, n long, shingles binary"
-
-
 def _compare_tiles(num: int, den: int):
     """Partition function over rows sorted by tile: yields the links of each tile."""
 
@@ -279,8 +296,8 @@ def _link_batch(out):
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def spread_tiles(sets: DataFrame, num: int, den: int, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """tile, node, upper, shingles: the rows of every tile.
+def spread_tiles(members: DataFrame, num: int, den: int, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """tile, node, upper, _key: the members of every tile.  ``members``: root, node, n, _key (narrow rows).
 
     A cluster of up to ``tile_shingles`` n-grams is one tile.  A larger one is cut
     by size band and by hash; each pair of cuts of one band or of neighbouring
@@ -288,10 +305,9 @@ def spread_tiles(sets: DataFrame, num: int, den: int, tile_shingles: int = TILE_
     """
     log_ratio = float(np.log(den / num))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(log_ratio)).cast("long")
-    rows = sets.withColumn("band", band)
-    per_root = rows.groupBy("root").agg(F.sum("n").alias("_all"))
-    large = per_root.where(F.col("_all") > tile_shingles).select("root")
-    small = rows.join(large, "root", "left_anti").select(F.col("root").cast("string").alias("tile"), "node", F.lit(False).alias("upper"), "shingles")
+    rows = members.withColumn("band", band)
+    large = rows.groupBy("root").agg(F.sum("n").alias("_all")).where(F.col("_all") > tile_shingles).select("root")
+    small = rows.join(large, "root", "left_anti").select(F.col("root").cast("string").alias("tile"), "node", F.lit(False).alias("upper"), "_key")
     cuts = rows.join(large, "root", "left_semi").groupBy("root", "band").agg(F.ceil(2 * F.sum("n") / F.lit(tile_shingles)).cast("int").alias("cuts"))
     above, below = cuts.select("root", (F.col("band") - 1).alias("band"), F.col("cuts").alias("cuts_up")), cuts.select("root", (F.col("band") + 1).alias("band"), F.col("cuts").alias("cuts_down"))
     plan = cuts.join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")
@@ -306,7 +322,7 @@ def spread_tiles(sets: DataFrame, num: int, den: int, tile_shingles: int = TILE_
     same = F.transform(upto(F.col("cuts")), lambda j: F.struct(name(F.col("band"), F.least("c", j), F.col("band"), F.greatest("c", j)).alias("tile"), (F.col("c") > j).alias("upper")))
     up = F.transform(upto(F.col("cuts_up")), lambda j: F.struct(name(F.col("band"), F.col("c"), F.col("band") + 1, j).alias("tile"), F.lit(False).alias("upper")))
     down = F.transform(upto(F.col("cuts_down")), lambda j: F.struct(name(F.col("band") - 1, j, F.col("band"), F.col("c")).alias("tile"), F.lit(True).alias("upper")))
-    tiled = big.select("node", "shingles", F.explode(F.concat(same, up, down)).alias("t")).select("t.tile", "node", "t.upper", "shingles")
+    tiled = big.select("node", "_key", F.explode(F.concat(same, up, down)).alias("t")).select("t.tile", "node", "t.upper", "_key")
     return small.unionByName(tiled)
 
 
@@ -326,16 +342,18 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
     clusters = materialize(connected_components(candidates, "jac-cand"), "jac-clusters")
 
     reps = described.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("_key"))
-    wanted = reps.join(clusters, "node").select("_key", "node", "root")
+    sizes = described.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("n_shingles").alias("n"))
+    members = materialize(reps.join(clusters, "node").join(sizes, "node").select("root", "node", "n", "_key"), "jac-members")
+    placed = spread_tiles(members, num, den, tile_shingles)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_key"), "text")
 
     def as_sets(batches):
         for b in batches:
-            rows = [(r, k, len(u), u.tobytes()) for r, k, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), n)) if node_of(u) == k]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["root", "node", "n", "shingles"])
+            rows = [(t, k, up, u.tobytes()) for t, k, up, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(3), n)) if node_of(u) == k]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.binary())], names=["tile", "node", "upper", "shingles"])
 
-    sets = materialize(texts.join(wanted, "_key").select("root", "node", "text").mapInArrow(as_sets, _SETS), "jac-rows")
-    tiles = spread_tiles(sets, num, den, tile_shingles).repartition(width, "tile").sortWithinPartitions("tile", "node")
+    sets = texts.join(placed, "_key").select("tile", "node", "upper", "text").mapInArrow(as_sets, "tile string, node long, upper boolean, shingles binary")
+    tiles = sets.repartition(width, "tile").sortWithinPartitions("tile", "node")
     links = tiles.mapInArrow(_compare_tiles(num, den), "a long, b long")
     parts = materialize(connected_components(links, "jac-comp"), "jac-parts")
 
