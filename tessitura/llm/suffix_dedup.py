@@ -334,12 +334,13 @@ def _send_fragments(length: int, buckets: int):
 
 
 def _occurrences(batches):
-    """Partition function over sent rows: one row (content, tag, id, start) per occurrence."""
+    """Partition function over sent rows: one row (content, id, start and tag in one number) per occurrence."""
     for b in batches:
         for kind, _, c, ids, at, tag, _ in zip(*(col.to_pylist() for col in b.columns)):
             if kind == 1:
                 n = len(c) // 8
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c, np.int64)), pa.array(np.frombuffer(tag, np.uint16).astype(np.int32)), pa.array(_wide(ids, n)), pa.array(_wide(at, n))], names=["content", "tag", "id", "at"])
+                place = _wide(at, n) << 16 | np.frombuffer(tag, np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c, np.int64)), pa.array(_wide(ids, n)), pa.array(place)], names=["content", "id", "place"])
 
 
 def window_minima(size: np.ndarray, data: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
@@ -372,7 +373,7 @@ def window_minima(size: np.ndarray, data: np.ndarray, least: np.ndarray, length:
 
 
 def _shard_results(length: int):
-    """Partition function over packed fragments: (content, tag, a, b, least) for runs of windows a..b of fragments that matter."""
+    """Partition function over packed fragments: (content, run, least) for runs of windows of fragments that matter; run is first << 32 | last << 16 | tag."""
 
     def results(a, c, least, times, size, best):
         windows = size - length + 1
@@ -384,7 +385,7 @@ def _shard_results(length: int):
         lo, hi = start[at], start[np.append(at[1:], len(frag)) - 1]
         use = (times[f] > 1) | (g < least[f])
         f, g, lo, hi = f[use], g[use], lo[use], hi[use]
-        return pa.RecordBatch.from_arrays([pa.array(c[f].view(np.int64)), pa.array((a[f] & _TAG).astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(g)], names=["content", "tag", "a", "b", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(c[f].view(np.int64)), pa.array((lo << 32 | hi << 16).astype(np.int64) | (a[f] & _TAG).view(np.int64)), pa.array(g)], names=["content", "run", "least"])
 
     def hot(size, data, least):
         """A group too large for one array: its windows are dealt out by hash and sorted part by part."""
@@ -474,10 +475,12 @@ def cut_documents(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, int]
     shared = answers.repartition(width, "bucket").mapInArrow(_answers_by_id, "id long, entries binary").withColumnRenamed("id", "_key")
     told = base.join(shared.hint("shuffle_hash"), "_key").select("_key", "text", "entries", *rest)
     sent = told.mapInArrow(_send_fragments(length, buckets), _SENT).repartition(width, "bucket")  # read by both of the following
-    found = sent.mapInArrow(_shard_results(length), "content long, tag int, a int, b int, least long")
-    places = sent.mapInArrow(_occurrences, "content long, tag int, id long, at long")
-    hits = places.join(found, ["content", "tag"]).where(F.col("least") < F.col("id"))
-    spans = hits.select(F.col("id").alias("_key"), F.struct((F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("b") + length).alias("e")).alias("_span"))
+    found = sent.mapInArrow(_shard_results(length), "content long, run long, least long")
+    places = sent.mapInArrow(_occurrences, "content long, id long, place long")
+    tag = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFF))
+    hits = places.join(found.withColumnRenamed("content", "_content"), (F.col("content") == F.col("_content")) & (tag("place") == tag("run"))).where(F.col("least") < F.col("id"))
+    at, first, last = F.shiftright("place", 16), F.shiftright("run", 32), F.shiftright("run", 16).bitwiseAND(F.lit(0xFFFF))
+    spans = hits.select(F.col("id").alias("_key"), F.shiftleft(at + first, 32).bitwiseOR(at + last + length).alias("_span"))  # start << 32 | end
     spans = spans.groupBy("_key").agg(F.collect_list("_span").alias("_spans"))
 
     def apply(batches):
@@ -486,7 +489,7 @@ def cut_documents(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, int]
             texts, copied, sizes, spans_ = b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)
             for i in range(b.num_rows):
                 raw = (texts[i].as_py() or "").encode()
-                cut = [] if copied[i] else union_spans([(x["s"], x["e"]) for x in spans_[i].as_py() or ()])
+                cut = [] if copied[i] else union_spans([(x >> 32, x & 0xFFFFFFFF) for x in spans_[i].as_py() or ()])
                 out.append(finish(raw, cut, sizes[i] or 0 if copied[i] else None))
             kept = b.column(0)
             yield pa.RecordBatch.from_arrays(

@@ -118,8 +118,8 @@ def test_dedup_of_hot_groups_and_small_blocks(spark, monkeypatch):
     got = np.full(int((size - 49).sum()), -1, dtype=np.int64)
     start = np.cumsum(size - 49) - (size - 49)
     for b in S._shard_results(50)([batch]):
-        for c, lo, hi, least in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
-            got[start[of[c]] + lo : start[of[c]] + hi + 1] = least
+        for c, run, least in zip(*(col.to_pylist() for col in b.columns)):
+            got[start[of[c]] + (run >> 32) : start[of[c]] + (run >> 16 & 0xFFFF) + 1] = least
     last = {d: i for i, d in enumerate(data)}  # equal fragments are one; the map above names the last
     exp = [x for i, d in enumerate(data) for x in (exp[start[i] : start[i] + len(d) - 49] if last[d] == i else [-1] * (len(d) - 49))]
     assert got.tolist() == exp and ends[-1] == len(buf)
