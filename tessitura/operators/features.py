@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,8 +140,7 @@ def log_mel(pcm: DataFrame, block_size: int = BLOCK_SIZE, n_fft: int = N_FFT, ho
     """X-1 / X-5: ``(track_id, frame, mel array<float>)`` time-major log-mel rows.
 
     X-5 is the same operator with ``channel`` (one channel of a multi-channel
-    PCM table, ``channel`` column) and ``scale='htk'``.  Resampling to
-    ``sr`` belongs to decoding and is not done here.
+    PCM table, ``channel`` column) and ``scale='htk'``, after :func:`resample`.
     """
     if block_size % hop:
         raise ValueError("block_size must be a multiple of hop")
@@ -154,6 +153,37 @@ def log_mel(pcm: DataFrame, block_size: int = BLOCK_SIZE, n_fft: int = N_FFT, ho
     return joined.mapInPandas(_blocks_to_frames(block_size, n_fft, hop, n_mels, sr, scale), FRAME_SCHEMA)
 
 
+def resample(pcm: DataFrame, sr_in: int, sr_out: int = SAMPLE_RATE, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """X-5: the PCM table at another sample rate, by linear interpolation; a track keeps its duration.
+
+    A block makes the output samples that fall into it and needs only the first
+    sample of the next block; its output is cut at the borders of the new blocks
+    and put together there, so no task holds more than a few blocks.
+    """
+    step = lambda j: F.floor(j * sr_in / F.lit(sr_out))
+    w = Window.partitionBy("track_id").orderBy("block")
+    src = pcm.select("track_id", "block", "samples", F.lead(F.col("samples")[0]).over(w).alias("next"))
+    begin = F.col("block").cast("long") * block_size
+    end = begin + F.size("samples")
+    up = lambda n: F.floor((n * sr_out + (sr_in - 1)) / F.lit(sr_in)).cast("long")
+    src = src.withColumn("begin", begin).withColumn("j0", up(begin)).withColumn("j1", up(end) - 1).where(F.col("j1") >= F.col("j0"))
+    wide = F.concat("samples", F.array(F.coalesce("next", F.element_at("samples", -1))))
+
+    def value(j):
+        i = (step(j) - F.col("begin")).cast("int")
+        part = F.pmod(j * sr_in, F.lit(sr_out)) / F.lit(sr_out)
+        return (F.get("wide", i) * (1 - part) + F.get("wide", i + 1) * part).cast("float")
+
+    made = src.withColumn("wide", wide).select("track_id", "j0", F.transform(F.sequence("j0", "j1"), value).alias("out"))
+    to = F.explode(F.sequence(F.floor(F.col("j0") / block_size), F.floor((F.col("j0") + F.size("out") - 1) / block_size)))
+    cut = made.withColumn("block", to)
+    lo = F.greatest(F.col("block") * block_size, F.col("j0"))
+    n = F.least((F.col("block") + 1) * block_size, F.col("j0") + F.size("out")) - lo
+    pieces = cut.select("track_id", F.col("block").cast("int").alias("block"), lo.alias("at"), F.slice("out", (lo - F.col("j0") + 1).cast("int"), n.cast("int")).alias("piece"))
+    blocks = pieces.groupBy("track_id", "block").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("_p"))
+    return blocks.select("track_id", "block", F.flatten(F.transform("_p", lambda x: x["piece"])).alias("samples"))
+
+
 def first_seconds(pcm: DataFrame, seconds: float, sr: int = SAMPLE_RATE, block_size: int = BLOCK_SIZE) -> DataFrame:
     """X-6: only the first ``seconds`` of every track (blocks past it dropped, the boundary block cut)."""
     limit = int(seconds * sr)

@@ -50,11 +50,35 @@ def q_first_seconds(spark, sf_dir):
     return features.frame_counts(pcm)
 
 
+RESAMPLE_IN, RESAMPLE_OUT = 22_050, 16_000
+
+
+@register(
+    "features_resample",
+    ("X-5",),
+    f"""
+WITH c AS (SELECT doc_id, list_transform(string_split(text, ''), lambda x: (unicode(x) % 64 - 32) / 32.0) AS s FROM documents WHERE length(text) > 0),
+     j AS (SELECT doc_id, s, unnest(range(0, CAST((len(s) * {RESAMPLE_OUT} + {RESAMPLE_IN - 1}) // {RESAMPLE_IN} AS BIGINT))) AS j FROM c),
+     y AS (SELECT doc_id, j, CAST(CAST(s[j * {RESAMPLE_IN} // {RESAMPLE_OUT} + 1] * (1 - (j * {RESAMPLE_IN} % {RESAMPLE_OUT}) / {RESAMPLE_OUT}.0)
+                  + coalesce(s[j * {RESAMPLE_IN} // {RESAMPLE_OUT} + 2], s[j * {RESAMPLE_IN} // {RESAMPLE_OUT} + 1]) * ((j * {RESAMPLE_IN} % {RESAMPLE_OUT}) / {RESAMPLE_OUT}.0) AS FLOAT) AS DOUBLE) AS v FROM j)
+SELECT doc_id AS track_id, count(*) AS n_samples, CAST(max(j // 4096) + 1 AS BIGINT) AS n_blocks, round(sum(v), 2) AS total, round(sum(v * (j % 7)), 1) AS weighted FROM y GROUP BY doc_id
+""",
+)
+def q_resample(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = features.resample(features.pcm_from_text(docs, block_size=PCM_BLOCK), RESAMPLE_IN, RESAMPLE_OUT, PCM_BLOCK)
+    place = lambda i: F.pmod(F.col("block").cast("long") * PCM_BLOCK + i, F.lit(7))
+    add = lambda a, x: a + x
+    per = out.select("track_id", "block", F.size("samples").alias("n"), F.aggregate(F.transform("samples", lambda x: x.cast("double")), F.lit(0.0), add).alias("s"),
+                     F.aggregate(F.transform("samples", lambda x, i: x.cast("double") * place(i)), F.lit(0.0), add).alias("w"))
+    return per.groupBy("track_id").agg(F.sum("n").alias("n_samples"), (F.max("block") + 1).cast("long").alias("n_blocks"), F.round(F.sum("s"), 2).alias("total"), F.round(F.sum("w"), 1).alias("weighted"))
+
+
 @register("features_second_extractor", ("X-5",))
 def q_second_extractor(spark, sf_dir):
-    """X-5: the HTK-scale extractor on channel 1 of a two-channel PCM table (channel 1 = inverted signal)."""
+    """X-5: the HTK-scale extractor on channel 1 of a two-channel PCM table (channel 1 = inverted signal), resampled first."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    mono = features.pcm_from_text(docs, block_size=PCM_BLOCK)
+    mono = features.resample(features.pcm_from_text(docs, block_size=PCM_BLOCK), 16_000, block_size=PCM_BLOCK)
     channels = F.array(F.struct(F.lit(0).alias("channel"), "samples"), F.struct(F.lit(1).alias("channel"), F.transform("samples", lambda x: -x).alias("samples")))
     stereo = checkpoint(mono.select("track_id", "block", F.explode(channels).alias("c")).select("track_id", "block", "c.channel", "c.samples"))
     frames = features.log_mel(stereo, block_size=PCM_BLOCK, channel=1, scale="htk")

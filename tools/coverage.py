@@ -24,7 +24,7 @@ ID_RE = re.compile(r"\b([A-Z])-(\d+)\b")
 def functions_by_id() -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for mod in pkgutil.walk_packages(tessitura.__path__, "tessitura."):
-        if ".plans" in mod.name:
+        if ".plans" in mod.name or ".llm" in mod.name:
             continue
         m = importlib.import_module(mod.name)
         for name, obj in vars(m).items():
