@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import checked_broadcast, materialize, read, register, shuffle_width
 
 DIMS, BITS, CURVES = 8, 7, 8
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 SAMPLE = 64
 RECALL = 0.97
 LEAST_WINDOW = 1024
