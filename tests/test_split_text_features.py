@@ -172,3 +172,52 @@ def test_keyphrases_use_every_word(spark):
                                  "doc_id long, text string")
     out = keyphrases(docs, n=100, alias_threshold=1.01).collect()
     assert sum(1 for r in out if r.doc_id == 1) == 80  # all 80 distinct words are candidates
+
+
+def test_append_equals_a_full_recompute(spark):
+    docs = spark.createDataFrame([(1, "alpha beta beta gamma"), (2, "beta gamma delta"), (3, "alpha alpha epsilon"), (4, None), (5, "zeta alpha")], "doc_id long, text string")
+    full = {(r.doc_id, r.keyword): round(r.weight, 9) for r in text.tfidf_keywords(docs).collect()}
+    for first in ([1, 2], [3], []):
+        known = docs.where(F.col("doc_id").isin(first))
+        terms = text.term_counts(known)
+        stored = text.document_frequencies(terms)
+        existing = text.top_keywords(text.weigh(terms, stored))
+        got = text.append_missing_keywords(existing, docs, stored, origin_col="origin").where("origin = 'new'")
+        assert {(r.doc_id, r.keyword): round(r.weight, 9) for r in got.collect()} == {k: w for k, w in full.items() if k[0] not in first}
+
+
+def test_resample_matches_linear_interpolation(spark):
+    rng = np.random.default_rng(4)
+    y = {1: rng.normal(size=1000).astype(np.float32), 2: rng.normal(size=7).astype(np.float32), 3: rng.normal(size=64).astype(np.float32)}
+    pcm = spark.createDataFrame([(t, b, y[t][b * 64 : (b + 1) * 64].tolist()) for t in y for b in range(-(-len(y[t]) // 64))], "track_id long, block int, samples array<float>")
+    for sr_in, sr_out in ((22050, 16000), (16000, 22050), (8000, 8000), (48000, 11025)):
+        got = {}
+        for r in features.resample(pcm, sr_in, sr_out, 64).orderBy("track_id", "block").collect():
+            assert r.block == len(got.setdefault(r.track_id, [])) // 64
+            got[r.track_id] += r.samples
+        for t, s in y.items():
+            at = np.arange(-(-len(s) * sr_out // sr_in)) * sr_in / sr_out
+            assert np.allclose(got[t], np.interp(at, np.arange(len(s)), s), atol=1e-5)
+
+
+def test_joint_keyword_model_separates(spark):
+    from tessitura.operators import ml
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 4))
+    rows_in = [(i, [float(a) for a in v], [n for n, k in (("a", 0), ("b", 1), ("c", 2)) if v[k] > 0]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows_in, "track_id long, v array<double>, labels array<string>")
+    w = ml.train_multilabel(df, "v", "labels", ["a", "b", "c"], rounds=40)
+    got = {r.track_id: {p.label: p.p for p in r.p} for r in ml.score_multilabel(df, "v", w, ["a", "b", "c"]).collect()}
+    right = [(got[i][n] > 0.5) == (n in labels) for i, _, labels in rows_in for n in "abc"]
+    assert np.mean(right) > 0.95
+    empty = df.where("false")
+    assert ml.train_multilabel(empty, "v", "labels", ["a"]).shape == (1, 1)
+
+
+def test_supplied_linear_model(spark):
+    from tessitura.operators import ml
+
+    model = spark.createDataFrame([(1, [0.0, 1.0]), (0, [1.0, 0.5])], "label int, w array<double>")
+    df = spark.createDataFrame([(1, [2.0, 4.0])], "id long, v array<double>")
+    assert ml.linear_scores(df, "v", ml.load_linear(model)).first().scores == [4.0, 4.0]
