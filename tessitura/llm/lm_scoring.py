@@ -30,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytescan import lower_words, mix, text_chunks
@@ -326,8 +326,12 @@ def score_texts(docs: DataFrame, training, mu: float = MU, shortlist: int = SHOR
     counted = learned.select("text").mapInArrow(_count_words(buckets), "bucket int, x binary").repartition(width, "bucket").mapInArrow(_sum_words(shortlist), "word long, times long, kinds long")
     counted = materialize(counted, "lm-words")
     n, v = counted.where(F.col("word") == -1).agg(F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    # a fixed number of rows; the end token is counted once per text, so it is looked up by itself
-    top = counted.where(F.col("word") > END).orderBy(F.desc("times"), "word").limit(shortlist - 1).collect()
+    # the list is cut at a count, found from the counts of counts, so that only its words reach the driver; the end token
+    # is counted once per text and looked up by itself
+    words_only = counted.where(F.col("word") > END)
+    upto = F.sum("count").over(Window.orderBy(F.desc("times")).rowsBetween(Window.unboundedPreceding, 0))
+    cut = words_only.groupBy("times").count().withColumn("upto", upto).where(F.col("upto") < shortlist).agg(F.min("times").alias("cut")).first()["cut"]
+    top = words_only.where(F.col("times") >= cut).select("word", "times").collect() if cut is not None else []
     n_docs = counted.where(F.col("word") == END).agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0] if n else 0
     words = np.array([END, *(r["word"] for r in top)], dtype=np.int64) if n else np.zeros(0, dtype=np.int64)
     times = np.array([n_docs, *(r["times"] for r in top)], dtype=np.int64) if n else np.zeros(0, dtype=np.int64)
