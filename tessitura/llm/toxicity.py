@@ -120,7 +120,8 @@ def sentences(text: str) -> list[list[str]]:
 def fit_noisy_or(texts: list[str | None], labels: list[int], rounds: int = 200, rate: float = 0.3, l1: float = 1e-4, bias: float = -6.0) -> NoisyOrModel:
     """Maximise the noisy-or likelihood of document labels over feature weights (full gradient, L1 by soft threshold).
 
-    Candidate features are those found clearly more often in toxic documents.
+    Candidate features are those found in at least four toxic documents and clearly more often there than elsewhere,
+    so a small sample gives a cautious model rather than one that takes chance for evidence.
     """
     y = np.asarray(labels, dtype=np.float64)
     n, n_pos = len(y), int(sum(labels))
@@ -132,8 +133,15 @@ def fit_noisy_or(texts: list[str | None], labels: list[int], rounds: int = 200,
         if v:
             in_toxic.update(seen)
         in_docs.update(seen)
-    odds = {f: math.log((c + 0.5) / (n_pos + 1)) - math.log((in_docs[f] - c + 0.5) / (n - n_pos + 1)) for f, c in in_toxic.items() if c >= min(MIN_TOXIC_DOCS, max(1, n_pos // 10))}
-    vocab = {f: i for i, f in enumerate(sorted(f for f, o in odds.items() if o > 1.5))}
+    odds, vocab = {}, []
+    for f, c in in_toxic.items():
+        other = in_docs[f] - c
+        odds[f] = math.log((c + 0.5) / (n_pos + 1)) - math.log((other + 0.5) / (n - n_pos + 1))
+        sure = odds[f] / math.sqrt(1 / (c + 0.5) + 1 / (other + 0.5))
+        # much more often and not by chance, or somewhat more often and surely so
+        if c >= MIN_TOXIC_DOCS and (odds[f] > 3.0 and sure > 2.3 or odds[f] > 1.5 and sure > 4.0):
+            vocab.append(f)
+    vocab = {f: i for i, f in enumerate(sorted(vocab))}
     word, sent, doc_of = array("l"), array("l"), array("l")
     for d, t in enumerate(texts):
         for s in sentences(t or ""):
