@@ -35,6 +35,7 @@ from .common import materialize, read, register, shuffle_width, small_batches
 from .components import connected_components
 
 TILE_SHINGLES = 4_000_000
+MOST_BITS = 8192
 FLUSH_KEYS = 500_000
 BUCKETS_PER_TASK = 2
 _NO_ID = -(1 << 63)
@@ -210,36 +211,54 @@ def _bucket_links(batches):
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
 
 
+def signature_bits(n: int) -> int:
+    """Bits of the parity bitmap of a set of ``n``: a power of two, about half a bit per n-gram or more."""
+    bits = 128
+    while bits < min(n // 2, MOST_BITS):
+        bits *= 2
+    return bits
+
+
+def parity_bitmap(u: np.ndarray, bits: int) -> np.ndarray:
+    """Bit i tells whether an odd number of the set's hashes fall on i; sets that differ in d places differ in at most d bits."""
+    parity = np.bincount((u >> _U(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(_U)
+
+
+def fold(bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """The bitmap the same set would have with fewer bits."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, bits // 64), axis=0)
+
+
 def describe_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node: one narrow row per document."""
+    """doc_id, n_shingles, node, bitmap: one narrow row per document."""
 
     def run(batches):
         for b in batches:
-            sizes, nodes = [], []
+            sizes, nodes, maps = [], [], []
             for u in shingle_sets(b.column(1), n):
                 sizes.append(len(u))
                 nodes.append(node_of(u))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+                maps.append(parity_bitmap(u, signature_bits(len(u))).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "n_shingles", "node", "bitmap"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, bitmap binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
 
+def tile_links(sets: list[np.ndarray] | None, nodes: list[int], upper: list[bool] | None, num: int, den: int, sizes: list[int], bitmaps: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning links of one tile; with ``upper`` only pairs of a lower and an upper member are compared.
 
-def tile_links(sets: list[np.ndarray], nodes: list[int], upper: list[bool] | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning links of one tile; with ``upper`` only pairs of a lower and an upper member are compared."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    Without ``sets`` every pair that the bitmaps cannot rule out is a link.
+    """
+    sizes = np.array(sizes, dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
     sizes = sizes[order]
     side = np.array(upper, dtype=bool)[order] if upper is not None else None
-    bits = 128
-    while bits < sizes[-1] // 2:
-        bits *= 2
-    maps = np.zeros((len(sets), bits // 64), dtype=_U)
-    for row, i in enumerate(order):
-        parity = np.bincount((sets[i] >> _U(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-        maps[row] = np.packbits(parity.astype(np.uint8)).view(_U)
-    parent = np.arange(len(sets))  # always points to the component's label: merged labels are rewritten
+    bits = min(len(m) for m in bitmaps) * 64
+    maps = np.stack([fold(bitmaps[i], bits) for i in order])
+    parent = np.arange(len(nodes))  # always points to the component's label: merged labels are rewritten
     links = []
-    for i in range(len(sets) - 1):
+    for i in range(len(nodes) - 1):
         stop = np.searchsorted(sizes, sizes[i] * den // num, side="right")
         near = np.arange(i + 1, stop)
         near = near[parent[near] != parent[i]]
@@ -250,42 +269,52 @@ def tile_links(sets: list[np.ndarray], nodes: list[int], upper: list[bool] | Non
         apart = np.bitwise_count(maps[near] ^ maps[i]).sum(axis=1, dtype=np.int64)
         bound = (sizes[near] + sizes[i] - apart) // 2
         near = near[den * bound >= num * (sizes[near] + sizes[i] - bound)]
-        mine = sets[order[i]]
+        mine = sets[order[i]] if sets is not None else None
         for j in near.tolist():
             if parent[j] == parent[i]:
                 continue
-            other = sets[order[j]]
-            at = np.searchsorted(other, mine)
-            at[at == len(other)] = 0
-            inter = int(np.count_nonzero(other[at] == mine))
-            if den * inter >= num * (len(mine) + len(other) - inter):
+            if mine is not None:
+                other = sets[order[j]]
+                at = np.searchsorted(other, mine)
+                at[at == len(other)] = 0
+                inter = int(np.count_nonzero(other[at] == mine))
+            if mine is None or den * inter >= num * (len(mine) + len(other) - inter):
                 links.append((nodes[order[i]], nodes[order[j]]))
                 parent[parent == parent[j]] = parent[i]
     return links
 
 
-def _compare_tiles(num: int, den: int):
-    """Partition function over rows sorted by tile: yields the links of each tile."""
+def _compare_tiles(num: int, den: int, exact: bool):
+    """Partition function over rows (tile, node, upper, blob, n) sorted by tile: the links of each tile.
+
+    ``exact``: the blob holds the n-gram hashes; else the bitmap of a set of ``n``.
+    """
 
-    def finish(sets, nodes, upper, out):
-        if len(sets) > 1:
-            out += tile_links(sets, nodes, upper if any(upper) else None, num, den)
+    def finish(blobs, nodes, upper, sizes, out):
+        if len(nodes) < 2:
+            return
+        if exact:
+            bits = signature_bits(max(sizes))
+            out += tile_links(blobs, nodes, upper if any(upper) else None, num, den, sizes, [parity_bitmap(u, bits) for u in blobs])
+        else:
+            out += tile_links(None, nodes, upper if any(upper) else None, num, den, sizes, blobs)
 
     def run(batches):
-        tile, sets, nodes, upper, out = None, [], [], [], []
+        tile, blobs, nodes, upper, sizes, out = None, [], [], [], [], []
         for b in batches:
-            for t, node, up, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for t, node, up, blob, n in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if t != tile:
-                    finish(sets, nodes, upper, out)
-                    tile, sets, nodes, upper = t, [], [], []
+                    finish(blobs, nodes, upper, sizes, out)
+                    tile, blobs, nodes, upper, sizes = t, [], [], [], []
                 if not nodes or nodes[-1] != node:
-                    sets.append(np.frombuffer(blob, _U))
+                    blobs.append(np.frombuffer(blob, _U))
                     nodes.append(node)
                     upper.append(up)
+                    sizes.append(n)
             if len(out) > 100_000:
                 yield _link_batch(out)
                 out = []
-        finish(sets, nodes, upper, out)
+        finish(blobs, nodes, upper, sizes, out)
         if out:
             yield _link_batch(out)
 
@@ -297,7 +326,7 @@ def _link_batch(out):
 
 
 def spread_tiles(members: DataFrame, num: int, den: int, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """tile, node, upper, _key: the members of every tile.  ``members``: root, node, n, _key (narrow rows).
+    """tile, node, upper, _key, n, bitmap: the members of every tile.  ``members``: root, node, n, _key, bitmap (narrow rows).
 
     A cluster of up to ``tile_shingles`` n-grams is one tile.  A larger one is cut
     by size band and by hash; each pair of cuts of one band or of neighbouring
@@ -307,7 +336,7 @@ def spread_tiles(members: DataFrame, num: int, den: int, tile_shingles: int = TI
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(log_ratio)).cast("long")
     rows = members.withColumn("band", band)
     large = rows.groupBy("root").agg(F.sum("n").alias("_all")).where(F.col("_all") > tile_shingles).select("root")
-    small = rows.join(large, "root", "left_anti").select(F.col("root").cast("string").alias("tile"), "node", F.lit(False).alias("upper"), "_key")
+    small = rows.join(large, "root", "left_anti").select(F.col("root").cast("string").alias("tile"), "node", F.lit(False).alias("upper"), "_key", "n", "bitmap")
     cuts = rows.join(large, "root", "left_semi").groupBy("root", "band").agg(F.ceil(2 * F.sum("n") / F.lit(tile_shingles)).cast("int").alias("cuts"))
     above, below = cuts.select("root", (F.col("band") - 1).alias("band"), F.col("cuts").alias("cuts_up")), cuts.select("root", (F.col("band") + 1).alias("band"), F.col("cuts").alias("cuts_down"))
     plan = cuts.join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")
@@ -322,7 +351,7 @@ def spread_tiles(members: DataFrame, num: int, den: int, tile_shingles: int = TI
     same = F.transform(upto(F.col("cuts")), lambda j: F.struct(name(F.col("band"), F.least("c", j), F.col("band"), F.greatest("c", j)).alias("tile"), (F.col("c") > j).alias("upper")))
     up = F.transform(upto(F.col("cuts_up")), lambda j: F.struct(name(F.col("band"), F.col("c"), F.col("band") + 1, j).alias("tile"), F.lit(False).alias("upper")))
     down = F.transform(upto(F.col("cuts_down")), lambda j: F.struct(name(F.col("band") - 1, j, F.col("band"), F.col("c")).alias("tile"), F.lit(True).alias("upper")))
-    tiled = big.select("node", "_key", F.explode(F.concat(same, up, down)).alias("t")).select("t.tile", "node", "t.upper", "_key")
+    tiled = big.select("node", "_key", "n", "bitmap", F.explode(F.concat(same, up, down)).alias("t")).select("t.tile", "node", "t.upper", "_key", "n", "bitmap")
     return small.unionByName(tiled)
 
 
@@ -341,20 +370,29 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
     candidates = blobs.repartition(width, "bucket").mapInArrow(_bucket_links, "a long, b long")
     clusters = materialize(connected_components(candidates, "jac-cand"), "jac-clusters")
 
-    reps = described.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("_key"))
-    sizes = described.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("n_shingles").alias("n"))
-    members = materialize(reps.join(clusters, "node").join(sizes, "node").select("root", "node", "n", "_key"), "jac-members")
-    placed = spread_tiles(members, num, den, tile_shingles)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("k"), F.col("n_shingles").alias("n"), "bitmap")).alias("f")
+    reps = described.where(F.col("n_shingles") > 0).groupBy("node").agg(first).select("node", F.col("f.k").alias("_key"), F.col("f.n").alias("n"), "f.bitmap")
+    members = materialize(reps.join(clusters, "node").select("root", "node", "n", "_key", "bitmap"), "jac-members")
+    # A passage that many documents hold can chain unrelated ones into one large cluster.  Large clusters are first cut down by
+    # the bitmaps alone: what they cannot rule out makes the clusters whose sets are shipped.
+    large = materialize(members.groupBy("root").agg(F.sum("n").alias("_all")).where(F.col("_all") > tile_shingles).select("root"), "jac-large")
+    if not large.isEmpty():
+        rough = spread_tiles(members.join(large, "root", "left_semi"), num, den, tile_shingles).select("tile", "node", "upper", "bitmap", "n")
+        rough = rough.repartition(width, "tile").sortWithinPartitions("tile", "node").mapInArrow(_compare_tiles(num, den, False), "a long, b long")
+        finer = materialize(connected_components(rough, "jac-fine"), "jac-finer")
+        kept = members.join(large, "root", "left_anti").select("root", "node", "n", "_key", "bitmap")
+        members = materialize(kept.unionByName(members.drop("root").join(finer, "node").select("root", "node", "n", "_key", "bitmap")), "jac-members-fine")
+    placed = spread_tiles(members, num, den, tile_shingles).drop("bitmap")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_key"), "text")
 
     def as_sets(batches):
         for b in batches:
-            rows = [(t, k, up, u.tobytes()) for t, k, up, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(3), n)) if node_of(u) == k]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.binary())], names=["tile", "node", "upper", "shingles"])
+            rows = [(t, k, up, u.tobytes(), len(u)) for t, k, up, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(3), n)) if node_of(u) == k]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.int64())], names=["tile", "node", "upper", "shingles", "n"])
 
-    sets = texts.join(placed, "_key").select("tile", "node", "upper", "text").mapInArrow(as_sets, "tile string, node long, upper boolean, shingles binary")
+    sets = texts.join(placed, "_key").select("tile", "node", "upper", "text").mapInArrow(as_sets, "tile string, node long, upper boolean, shingles binary, n long")
     tiles = sets.repartition(width, "tile").sortWithinPartitions("tile", "node")
-    links = tiles.mapInArrow(_compare_tiles(num, den), "a long, b long")
+    links = tiles.mapInArrow(_compare_tiles(num, den, True), "a long, b long")
     parts = materialize(connected_components(links, "jac-comp"), "jac-parts")
 
     placed = described.where(F.col("n_shingles") > 0).join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
