@@ -39,7 +39,7 @@ def q_text_dir(spark, sf_dir):
     "files_answers",
     ("S-12",),
     f"""
-SELECT l_orderkey * 10 + l_linenumber AS answer_id, worker_id, CAST(submitted_at AS TIMESTAMP) AS submitted_at, status, CAST(reward AS DOUBLE) AS reward, audio_path, result
+SELECT l_orderkey * 10 + l_linenumber AS answer_id, worker_id, strftime(submitted_at, '%Y-%m-%d %H:%M:%S') AS submitted_at, status, CAST(reward AS DOUBLE) AS reward, audio_path, result
 FROM ({ANSWERS_SQL})
 """,
 )
@@ -54,7 +54,7 @@ def q_answers_file(spark, sf_dir):
     path = scratch_path(spark, "answers-tsv")
     out.write.option("header", True).option("delimiter", "\t").csv(path)
     back = read_answers(spark, path)
-    return back.withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
+    return back.withColumn("submitted_at", F.date_format("submitted_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @register("files_emotion_fonts", ("S-10", "J-11"), f"SELECT emotion, array_to_string(fonts, '|') AS fonts FROM ({FONTS_SQL})")
