@@ -35,7 +35,7 @@ from .common import materialize, read, register, shuffle_width, small_batches
 from .components import connected_components
 
 TILE_SHINGLES = 4_000_000
-MOST_BITS = 8192
+MOST_BITS = 1 << 16
 FLUSH_KEYS = 500_000
 BUCKETS_PER_TASK = 2
 _NO_ID = -(1 << 63)
@@ -212,9 +212,12 @@ def _bucket_links(batches):
 
 
 def signature_bits(n: int) -> int:
-    """Bits of the parity bitmap of a set of ``n``: a power of two, about half a bit per n-gram or more."""
+    """Bits of the parity bitmap of a set of ``n``: a power of two, two bits per n-gram or more.
+
+    With fewer, the bitmaps of unrelated sets come so close to the bound that many pairs pass by chance.
+    """
     bits = 128
-    while bits < min(n // 2, MOST_BITS):
+    while bits < min(2 * n, MOST_BITS):
         bits *= 2
     return bits
 
