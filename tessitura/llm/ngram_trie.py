@@ -43,7 +43,7 @@ class EliasFano:
         return self._starts
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Position of each wanted value, or -1: a successor search inside its high part."""
+        """Position of each wanted value, or -1: a binary search inside its high part."""
         wanted = np.asarray(wanted, dtype=np.uint64)
         starts = self.bucket_starts()
         high = np.minimum((wanted >> np.uint64(self.low_bits)).astype(np.int64), len(starts) - 2)
@@ -52,13 +52,13 @@ class EliasFano:
         over = (wanted >> np.uint64(self.low_bits)).astype(np.int64) != high
         out = np.full(len(wanted), -1, dtype=np.int64)
         left = np.flatnonzero((at < end) & ~over)
-        while len(left):
-            here = self.low[at[left]].astype(np.uint64)
-            hit = here == low[left]
-            out[left[hit]] = at[left[hit]]
-            left = left[~hit & (here < low[left])]
-            at[left] += 1
-            left = left[at[left] < end[left]]
+        lo, hi, low = at[left], end[left], low[left]
+        while (lo < hi).any():
+            mid = (lo + hi) >> 1
+            less = (lo < hi) & (self.low[np.minimum(mid, self.n - 1)].astype(np.uint64) < low)
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.minimum(mid, hi))
+        hit = (lo < end[left]) & (self.low[np.minimum(lo, self.n - 1)].astype(np.uint64) == low)
+        out[left[hit]] = lo[hit]
         return out
 
     def arrays(self) -> list[np.ndarray]:

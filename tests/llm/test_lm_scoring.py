@@ -109,3 +109,29 @@ def test_empty_table(spark):
     assert L.score_texts(df, F.lit(True)).count() == 0
     one = spark.createDataFrame([(1, "a b")], "_row long, text string")
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in L.score_texts(one, F.lit(False)).collect()] == [(3, 0, 0)]
+
+
+def exact_scores(rows):
+    """log10 of the interpolated bigram model with every word a context and a successor."""
+    train = [tokens(x) for i, x in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    one = Counter(t for x in train for t in x)
+    two = Counter(p for x in train for p in zip([0, *x], x))
+    total, before = sum(one.values()) + 0.5 * (len(one) + 1), {**one, 0: len(train)}
+
+    def p(v, w):
+        return (two[v, w] + L.MU * (one[w] + 0.5) / total) / (before.get(v, 0) + L.MU)
+
+    return {i: sum(math.log10(p(v, w)) for v, w in zip([0, *tokens(x)], tokens(x))) for i, x in rows}
+
+
+@pytest.mark.parametrize("shortlist", [L.SHORTLIST, 6])
+def test_scores_of_rare_words(spark, shortlist, monkeypatch):
+    """Bigrams of words outside the list count like all others."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "FLUSH_TOKENS", 300)
+    rows = [(i, " ".join(f"w{(i * k * 7) % 23} r{(i + k) % 70} q{(i + k) % 70}" for k in range(1, 3 + i % 40))) for i in range(60)]
+    rows += [(101, ""), (103, "Ünïcode \x1c ÄB " * 20), (104, "unseen " * 40_000)]
+    df = spark.createDataFrame(rows, "_row long, text string").repartition(3)
+    got = {r["_row"]: r["score"] for r in L.score_texts(df, F.crc32(F.col("_row").cast("string")) % 5 != 1, L.MU, shortlist).collect()}
+    assert got == pytest.approx(exact_scores(rows), rel=1e-6)
