@@ -133,7 +133,7 @@ def _unplaned(blob: bytes) -> np.ndarray:
 
 
 # Packed rows.  kind 0: entries for a bucket of anchors (x planes of entries, y ids); kind 1: pairs of an id and an entry
-# that another document has too (x entries, y ids).
+# that another document has too (x entries, y ids); kind 2: like kind 0, entries that several documents of the block have.
 _ENTRY = "kind int, bucket int, x binary, y binary"
 _ENTRY_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
 
@@ -142,12 +142,12 @@ def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ENTRY_ARROW)], schema=_ENTRY_ARROW)
 
 
-def _group_flags(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """True for the members of every key that occurs with two ids or more."""
+def _group_flags(keys: np.ndarray, ids: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """True for the members of every key that occurs with two ids or more; a member marked ``several`` has them alone."""
     o = np.argsort(keys)
     k, d = keys[o], ids[o]
     at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    shared = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
+    shared = (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)) | np.logical_or.reduceat(several[o], at)
     out = np.empty(len(keys), dtype=bool)
     out[o] = np.repeat(shared, np.diff(np.append(at, len(k))))
     return out
@@ -162,14 +162,17 @@ def _send_anchors(length: int, buckets: int):
         e, d = e[o], d[o]
         at = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
         least, most = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
-        known = np.repeat(least != most, np.diff(np.append(at, len(e))))
-        n = int(known.sum())
+        several = least != most
+        known = np.repeat(several, np.diff(np.append(at, len(e))))
+        n, entry = int(known.sum()), e[at]
         step = 50_000
         rows = [(1, i // step % buckets, e[known][i : i + step].tobytes(), _narrow(d[known][i : i + step])) for i in range(0, n, step)]
-        e, d = e[at], least  # the smallest id speaks for the block
-        # buckets are stretches of the hash range, so they lie in order already
-        cut = np.searchsorted(((e >> _U(48)) * _U(buckets)) >> _U(16), np.arange(buckets + 1, dtype=_U))
-        rows += [(0, b, _planes(e[cut[b] : cut[b + 1]]), _narrow(d[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b + 1] > cut[b]]
+        # the smallest id speaks for the block; an entry of several ids says so, as one of the same anchor and side may have one of them only
+        for kind, i in ((0, ~several), (2, several)):
+            e, d = entry[i], least[i]
+            # buckets are stretches of the hash range, so they lie in order already
+            cut = np.searchsorted(((e >> _U(48)) * _U(buckets)) >> _U(16), np.arange(buckets + 1, dtype=_U))
+            rows += [(kind, b, _planes(e[cut[b] : cut[b + 1]]), _narrow(d[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b + 1] > cut[b]]
         return _entry_batch(rows)
 
     def run(batches):
@@ -195,15 +198,18 @@ def _answer_anchors(buckets: int):
     """Partition function over entries: the pairs that another document has too, packed per bucket of ids."""
 
     def run(batches):
-        entries, ids, known, whose = [], [], [], []
+        entries, ids, held, known, whose = [], [], [], [], []
         for b in batches:
             for kind, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                (entries if kind == 0 else known).append(_unplaned(x) if kind == 0 else np.frombuffer(x, _U))
-                (ids if kind == 0 else whose).append(_wide(y, len(x) // 8))
+                (known if kind == 1 else entries).append(np.frombuffer(x, _U) if kind == 1 else _unplaned(x))
+                (whose if kind == 1 else ids).append(_wide(y, len(x) // 8))
+                if kind != 1:
+                    held.append(np.full(len(x) // 8, kind == 2))
         if entries:
-            e, d = np.concatenate(entries), np.concatenate(ids)
+            e, d, several = np.concatenate(entries), np.concatenate(ids), np.concatenate(held)
             key = e >> _U(16)
-            shared = _group_flags(e >> _U(8), d) | _group_flags((key << _U(8)) | (e & _U(255)), d)
+            shared = _group_flags(e >> _U(8), d, several) | _group_flags((key << _U(8)) | (e & _U(255)), d, several)
+            shared &= ~several  # the pairs of these are known
             known.append(e[shared])
             whose.append(d[shared])
         if known:

@@ -95,6 +95,24 @@ def test_dedup_matches_brute_force(spark):
     assert _run(spark, rows) == exp
 
 
+def test_entries_of_several_documents_vouch_for_their_neighbours(spark):
+    """The smaller document has the larger one's anchor with both sides alike, and elsewhere, with one side alike, the string they share."""
+    rng = random.Random(8)
+    say = lambda n: "".join(chr(rng.randrange(97, 123)) for _ in range(n))
+    rows = []
+    for k in range(60):
+        s = say(160)
+        _, first, last, _, _ = S.anchors(np.frombuffer(s.encode(), np.uint8), np.array([0, 160]))
+        at = int(np.flatnonzero(last >= 60)[0])
+        # mostly the anchor is the end of its first window or the start of its last one
+        i = int(last[at] if k % 2 else first[at])
+        p = i if k % 2 else i + 38
+        rows += [(2 * k, say(30) + s[p - 19 : p + 31] + say(40) + s[i : i + 50] + say(40)), (2 * k + 1, s)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in S.cut_documents(df, S._digest, SCHEMA, FIELDS).collect())
+    assert got == sorted((i, *cut) for (i, _), cut in zip(rows, brute_cut(rows)))
+
+
 def test_dedup_of_hot_groups_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "BATCH_BYTES", 400)
     monkeypatch.setattr(S, "HOT_BATCHES", 1)
