@@ -131,17 +131,30 @@ def _covered(occurrences: Column) -> Column:
     return F.aggregate(occurrences, zero, step, lambda a: a["hit"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, items (sorted strings), occurrences (start, n, win)."""
-    windows = benchmark_windows(benchmark, length)
+def judge_rows(docs: DataFrame, windows: Windows, kept: Column) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): _kept (any columns of the row), _text, n_words, occurrences (start, n, win) in its own text."""
     index = build_index(docs, windows)
     found = phrase_candidates(windows, index).join(checked_broadcast(windows.windows, windows.n_windows), "win")
     by_doc = found.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "win", "words")).alias("cand"))
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), "text")
-    tokens = keyed.join(by_doc, "doc", "left").select("doc_id", words(F.col("text")).alias("w"), "cand")
+    keyed = docs.select(kept.alias("_kept"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").alias("_text"))
+    tokens = keyed.join(by_doc, "doc", "left").select("_kept", "_text", words(F.col("_text")).alias("w"), "cand")
     true = F.filter("cand", lambda c: F.slice("w", c["start"] + 1, c["n"]) == c["words"])
     sorted_ = F.array_sort(F.transform(true, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["win"].alias("win"))))
-    hits = tokens.select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce(sorted_, F.array().cast("array<struct<start:int,n:int,win:string>>")).alias("occurrences"))
+    return tokens.select("_kept", "_text", F.size("w").cast("long").alias("n_words"), F.coalesce(sorted_, F.array().cast("array<struct<start:int,n:int,win:string>>")).alias("occurrences"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no benchmark window, all columns unchanged."""
+    others = [c for c in docs.columns if c != "text"]
+    judged = judge_rows(docs, benchmark_windows(benchmark, length), F.struct(*[F.col(f"`{c}`") for c in others]))
+    clean = judged.where(F.size("occurrences") == 0)
+    return clean.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_kept.`{c}`") for c in docs.columns])
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, items (sorted strings), occurrences (start, n, win)."""
+    windows = benchmark_windows(benchmark, length)
+    hits = judge_rows(docs, windows, F.col("doc_id")).select(F.col("_kept").alias("doc_id"), "n_words", "occurrences")
     hits = materialize(hits.withColumn("_row", F.monotonically_increasing_id()), "decon-hits")
     wins = hits.where(F.size("occurrences") > 0).select("_row", F.explode(F.array_distinct(F.transform("occurrences", lambda o: o["win"]))).alias("win"))
     named = wins.join(windows.items, "win").select("_row", F.col("item_id").cast("string").alias("item")).distinct()

@@ -81,6 +81,16 @@ def test_decontamination_stage(spark, stages):
     assert hit and sorted(after) == sorted(r for r in before if r[0] not in hit)
 
 
+def test_decontamination_by_row(spark):
+    """A null id does not save a contaminated row, and a shared id does not drop a clean one."""
+    window = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    rows = [(None, "before " + window), (None, "clean"), (7, window + " after"), (7, "also clean"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_contaminated(spark, docs, SF_SMALL)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([rows[1], rows[3], rows[4], rows[5]], key=repr)
+
+
 def test_mix_stage(stages):
     before, columns, after = stages["mix"]
     size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1])) for r in before}
