@@ -233,19 +233,21 @@ def fold(bitmap: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bitmap.reshape(-1, bits // 64), axis=0)
 
 
-def describe_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node, bitmap: one narrow row per document."""
+def describe_sets(docs: DataFrame, n: int, carried: list[str]) -> DataFrame:
+    """doc_id, the long columns ``carried``, n_shingles, node, bitmap: one narrow row per document."""
+    ids = ["doc_id", *carried]
 
     def run(batches):
         for b in batches:
             sizes, nodes, maps = [], [], []
-            for u in shingle_sets(b.column(1), n):
+            for u in shingle_sets(b.column(len(ids)), n):
                 sizes.append(len(u))
                 nodes.append(node_of(u))
                 maps.append(parity_bitmap(u, signature_bits(len(u))).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "n_shingles", "node", "bitmap"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(ids)], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary())], names=[*ids, "n_shingles", "node", "bitmap"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, bitmap binary")
+    schema = ", ".join([f"{c} long" for c in ids] + ["n_shingles long, node long, bitmap binary"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, "text").mapInArrow(run, schema)
 
 
 def tile_links(sets: list[np.ndarray] | None, nodes: list[int], upper: list[bool] | None, num: int, den: int, sizes: list[int], bitmaps: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -364,11 +366,38 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
     ``component_id`` is the smallest doc_id reachable by links, the row's own
     included.
     """
+    placed, empty = place_rows(docs, n, threshold, tile_shingles)
+    named = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    full = placed.join(named, "root").select("doc_id", "n_shingles", "component_id")
+    return full.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_first_rows(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """``docs`` with exactly one row of each component: of its smallest doc_id (null ids last), then of the smallest hash of the row.
+
+    Rows with an empty set stay.
+    """
+    key = F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+    placed, _ = place_rows(docs.withColumn("_row", key), n, threshold, carried=["_row"])
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    best = placed.groupBy("root").agg(F.min(rank).alias("_best"))
+    judged = placed.groupBy("root", "doc_id", "_row").agg(F.count(F.lit(1)).alias("_n")).join(best, "root")
+    # what happens to the rows of a hash: all go, or one of several equal ones stays; others are not listed
+    marks = judged.groupBy("_row").agg(F.max(F.col("_best") == rank).alias("_stays"), F.sum("_n").alias("_n")).where(~F.col("_stays") | (F.col("_n") > 1)).select("_row", "_stays")
+    marks = materialize(marks, "jac-marks")
+    marked = docs.withColumn("_row", key).join(marks, "_row", "left")
+    once = marked.where(F.col("_stays")).dropDuplicates(["_row"])
+    return marked.where(F.col("_stays").isNull()).unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def place_rows(docs: DataFrame, n: int, threshold: tuple[int, int], tile_shingles: int = TILE_SHINGLES, carried: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """doc_id, the long columns ``carried``, n_shingles and root (of the component) of every row, and those of rows with empty sets without a root."""
     num, den = threshold
+    ids = ["doc_id", *(carried or [])]
     spark = docs.sparkSession
     small_batches(spark)
     width = shuffle_width(spark)
-    described = materialize(describe_sets(docs, n), "jac-sets")
+    described = materialize(describe_sets(docs, n, ids[1:]), "jac-sets")
     blobs = docs.select("text").mapInArrow(_key_blobs(n, num, den, width * BUCKETS_PER_TASK), _BLOB)
     candidates = blobs.repartition(width, "bucket").mapInArrow(_bucket_links, "a long, b long")
     clusters = materialize(connected_components(candidates, "jac-cand"), "jac-clusters")
@@ -399,11 +428,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
     parts = materialize(connected_components(links, "jac-comp"), "jac-parts")
 
     placed = described.where(F.col("n_shingles") > 0).join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialize(placed.select("doc_id", "n_shingles", "root"), "jac-placed")
-    named = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = placed.join(named, "root").select("doc_id", "n_shingles", "component_id")
-    empty = described.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    placed = materialize(placed.select(*ids, "n_shingles", "root"), "jac-placed")
+    return placed, described.where(F.col("n_shingles") == 0).select(*ids, "n_shingles")
 
 
 @register("op6_jaccard_join")

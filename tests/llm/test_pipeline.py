@@ -51,6 +51,19 @@ def test_jaccard_stage(stages):
     assert sorted(after) == sorted(r for r in before if r[0] in keep) and len(after) < len(before)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows and null ids leave one row, and a row that shares its id with a linked one stays."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (1, one), (1, one), (None, one + " end"), (2, one), (2, "unlike all others"), (None, two), (None, two), (None, two + " end"), (5, three + " end"), (4, three), (4, three + " more"), (8, ""), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.keep_one_of_each_group(spark, docs, SF_SMALL)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    for group, ids in ((one, [1]), (two, [None]), (three, [4])):
+        assert [i for i, x in got if x and x.startswith(group)] == ids
+    assert sorted(((i, x) for i, x in got if not x or x.startswith("unlike")), key=repr) == sorted([(2, "unlike all others"), (8, ""), (8, ""), (9, None)], key=repr)
+
+
 def test_suffix_stage(stages):
     before, _, after = stages["suffix_dedup"]
     raws = {r[0]: r[1].encode() for r in before}
