@@ -33,8 +33,9 @@ from .bytescan import BYTE_VALUE, span_hashes, text_chunks
 from .common import read, register
 
 MARK = "▁"
-CHUNK_BYTES = 1 << 21  # bytes encoded at once
-CACHE_WORDS = 1 << 20  # a worker forgets its words beyond this many
+CHUNK_BYTES = 1 << 20  # bytes encoded at once
+CACHE_WORDS = 1 << 19  # a worker forgets its words beyond this many
+BATCH_ROWS = 1000  # rows sent back at once
 LONG_SYMBOLS = 1 << 12  # words with more symbols are merged with a heap, in the same order
 OTHER = 1 << 16  # symbol of a character without a piece: OTHER + code point
 NONE = np.int32(2**31 - 1)
@@ -191,11 +192,12 @@ class Vocabulary:
     def _merge(self, out: np.ndarray, last: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """Merge the words that start at ``heads`` until no pair is left; a word's symbols end up at its head.  Returns their counts."""
         counts = np.diff(heads, append=len(out))
-        for w in np.flatnonzero(counts > LONG_SYMBOLS):
+        short = counts <= LONG_SYMBOLS
+        for w in np.flatnonzero(~short):
             got = self._merge_heap(out[heads[w] : heads[w] + counts[w]].tolist())
             out[heads[w] : heads[w] + len(got)] = got
             counts[w] = len(got)
-        word = np.flatnonzero((counts > 1) & (counts <= LONG_SYMBOLS))
+        word = np.flatnonzero((counts > 1) & short)
         take = ragged(heads[word], counts[word])
         sym, last = out[take], last[take]
         at = np.cumsum(counts[word]) - counts[word]
@@ -284,6 +286,15 @@ class Vocabulary:
         return self.piece_bytes[ragged(start, size)], np.bincount(doc, weights=size, minlength=len(counts)).astype(np.int64)
 
 
+def word_signs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Length and first bytes of every word: told apart from its hash, whatever that is."""
+    padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    sign = (ends - starts).astype(_U)
+    for k in range(6):
+        sign |= np.where(starts + k < ends, padded[starts + k], 0).astype(_U) << _U(56 - 8 * k)
+    return sign
+
+
 class WordTable:
     """Ids of the words met so far, found by the words' hashes; length and first bytes are compared as well."""
 
@@ -296,21 +307,12 @@ class WordTable:
         self.sign, self.start, self.count = np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.int32)
 
-    @staticmethod
-    def _signs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
-        sign = (ends - starts).astype(_U)
-        for k in range(6):
-            byte = np.where(starts + k < ends, padded[starts + k], 0).astype(_U)
-            sign |= byte << _U(56 - 8 * k)
-        return sign
-
     def look_up(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Slot of every word; ``start``, ``count`` and ``flat`` give the ids of a slot."""
         if len(self.keys) > self.most:
             self.clear()
         h = span_hashes(buf, starts, ends, BYTE_VALUE)
-        sign = self._signs(buf, starts, ends)
+        sign = word_signs(buf, starts, ends)
         keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
@@ -382,55 +384,62 @@ def encode_column(column: pa.Array, vocabulary: Vocabulary):
         yield np.concatenate(ids), np.diff(total[np.searchsorted(starts, off)])
 
 
-def _add_column(df: DataFrame, source: str, name: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` with the column that ``make`` (Arrow array to Arrow array) computes from ``source`` in the workers."""
-    rest = [c for c in df.columns if c != name]
-    names = [*rest, name]
-    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(name, kind)])
-    inner, at = f"_{name}_source", len(rest)
+def _add_columns(df: DataFrame, source: str, added: dict[str, T.DataType], make) -> DataFrame:
+    """``df`` with the columns that ``make`` (Arrow array to Arrow arrays) computes from ``source`` in the workers."""
+    rest = [c for c in df.columns if c not in added]
+    names, at = [*rest, *added], len(rest)
+    schema = T.StructType([*(df.schema[c] for c in rest), *(T.StructField(c, t) for c, t in added.items())])
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(at)), make(part.column(at))], names=names)
+            for lo in range(0, b.num_rows, BATCH_ROWS):
+                part = b.slice(lo, BATCH_ROWS)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(at)), *make(part.column(at))], names=names)
+
+    return df.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{source}`").alias("_coded")).mapInArrow(run, schema)
+
+
+def _ids_of(column: pa.Array, vocabulary: Vocabulary) -> pa.Array:
+    got = list(encode_column(column, vocabulary))
+    counts = np.concatenate([np.zeros(0, dtype=np.int64), *(c for _, c in got)])
+    ids = np.concatenate([np.zeros(0, dtype=np.int32), *(i for i, _ in got)])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
 
-    return df.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{source}`").alias(inner)).mapInArrow(run, schema)
 
+def _texts_of(column: pa.Array, vocabulary: Vocabulary) -> pa.Array:
+    column = pc.fill_null(column, pa.scalar([], column.type)) if column.null_count else column
+    ids = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
+    counts = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    raw, size = vocabulary.decode_flat(ids, counts)
+    off = np.concatenate([[0], np.cumsum(size)])
+    try:
+        whole = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(raw)])
+        whole.validate(full=True)
+        return whole
+    except pa.ArrowInvalid:
+        data = raw.tobytes()
+        return pa.array([_replaced(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.string())
 
-def encode_texts(texts: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Add ``ids_col`` (array of int): the text encoded as the library does, without begin and end ids."""
+
+def encode_texts(texts: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """Add ``ids_col`` (array of int): the text encoded as the library does, without begin and end ids.
+
+    With ``decoded_col`` the ids are decoded again in the same worker.
+    """
     held = texts.sparkSession.sparkContext.broadcast(Vocabulary(path or model_path()))
+    added = {ids_col: T.ArrayType(T.IntegerType())} | ({decoded_col: T.StringType()} if decoded_col else {})
 
-    def make(column: pa.Array) -> pa.Array:
-        got = list(encode_column(column, held.value))
-        counts = np.concatenate([np.zeros(0, dtype=np.int64), *(c for _, c in got)])
-        ids = np.concatenate([np.zeros(0, dtype=np.int32), *(i for i, _ in got)])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+    def make(column: pa.Array) -> list[pa.Array]:
+        ids = _ids_of(column, held.value)
+        return [ids, _texts_of(ids, held.value)] if decoded_col else [ids]
 
-    return _add_column(texts, text_col, ids_col, T.ArrayType(T.IntegerType()), make)
+    return _add_columns(texts, text_col, added, make)
 
 
 def decode_ids(coded: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Add ``text_col``: the text that the ids of ``ids_col`` stand for; bytes that are no UTF-8 become U+FFFD."""
     held = coded.sparkSession.sparkContext.broadcast(Vocabulary(path or model_path()))
-
-    def make(column: pa.Array) -> pa.Array:
-        column = pc.fill_null(column, pa.scalar([], column.type)) if column.null_count else column
-        ids = column.flatten()
-        ids = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False)
-        counts = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-        raw, size = held.value.decode_flat(ids, counts)
-        off = np.concatenate([[0], np.cumsum(size)])
-        try:
-            whole = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(raw)])
-            whole.validate(full=True)
-            return whole
-        except pa.ArrowInvalid:
-            data = raw.tobytes()
-            return pa.array([_replaced(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.string())
-
-    return _add_column(coded, ids_col, text_col, T.StringType(), make)
+    return _add_columns(coded, ids_col, {text_col: T.StringType()}, lambda column: [_texts_of(column, held.value)])
 
 
 def _replaced(raw: bytes) -> str:
@@ -449,9 +458,8 @@ def _replaced(raw: bytes) -> str:
 @register("op12_sentencepiece")
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again with the 32k piece vocabulary."""
-    coded = encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = decode_ids(coded.select("doc_id", "ids"))
-    return back.select(
+    coded = encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), decoded_col="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
