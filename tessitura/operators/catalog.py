@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .._compat import col_of
 from ..functions.lists import append_distinct, non_empty
-from ..functions.paths import cover_template
+from ..functions.paths import cover_template, lower_key
 from ..schemas import (
     GENRE_MAP,
     GENRE_MAP_DEFAULT,
@@ -24,7 +24,7 @@ from ..schemas import (
     UNPOPULAR_GENRES,
 )
 from ..session import bounded_broadcast
-from .ordering import dense_index, range_block
+from .ordering import dense_index, quantile_block
 
 
 # ------------------------------------------------------------------ P-1 .. P-4
@@ -215,23 +215,23 @@ def tracks_from_entries(entries: DataFrame, key: str = "ym_track_id", label_col:
     return by_track.select(key, pos_col, *[F.col("_row")[c].alias(c) for c in fields], labels.alias(list_col))
 
 
-def cut_position(entries: DataFrame, current: DataFrame, limit: int, key: str = "ym_track_id", pos_col: str = "pos") -> DataFrame:
+def cut_position(entries: DataFrame, current: DataFrame, limit: int | Column, key: str = "ym_track_id", pos_col: str = "pos") -> DataFrame:
     """L-3: the entries that are read before the table holds ``limit`` tracks.
 
     Reading goes on until the track that fills the table has been inserted;
     later entries are not read at all, so they add no label to known tracks
     either.  The cut is the first position of the k-th new track, k = limit -
-    tracks in ``current``; it is found with a dense index over stretches of the
-    position range, in the query itself.
+    tracks in ``current``; it is found with a dense index over stretches of
+    near-equal numbers of tracks, in the query itself.
     """
     fresh = entries.groupBy(key).agg(F.min(pos_col).alias("_p")).join(current.select(key), key, "left_anti")
-    k = F.lit(int(limit)) - current.select(F.count(F.lit(1))).scalar()
-    indexed = dense_index(fresh, ["_p", key], range_block(fresh, "_p"), idx_col="_i")
+    k = (limit if isinstance(limit, Column) else F.lit(int(limit))) - current.select(F.count(F.lit(1))).scalar()
+    indexed = dense_index(fresh, ["_p", key], quantile_block(fresh, "_p"), idx_col="_i")
     cut = indexed.where(F.col("_i") == k - 1).select(F.max("_p")).scalar()
     return entries.where((k > 0) & (cut.isNull() | (F.col(pos_col) <= cut)))
 
 
-def merge_playlist(current: DataFrame, entries: DataFrame, key: str = "ym_track_id", label_col: str = "emotion", pos_col: str = "pos", list_col: str = "emotions_maybe", limit: int | None = None) -> DataFrame:
+def merge_playlist(current: DataFrame, entries: DataFrame, key: str = "ym_track_id", label_col: str = "emotion", pos_col: str = "pos", list_col: str = "emotions_maybe", limit: int | Column | None = None) -> DataFrame:
     """U-3: merge valid playlist entries (one row per entry, in ``pos_col`` order) into the tracks table.
 
     Known tracks keep their fields and get the new labels appended (A-8); new
@@ -287,7 +287,7 @@ ARTIST_FIELDS = ("artist_country", "artist_sex", "artist_year")
 
 def dedupe_cache(cache: DataFrame, name_col: str = "artist_name") -> DataFrame:
     """One cache row per lower-cased name: the one with the most requests (then the max name)."""
-    keyed = cache.withColumn("_key", F.lower(F.col(name_col)))
+    keyed = cache.withColumn("_key", lower_key(name_col))
     payload = [c for c in cache.columns]
     agg = keyed.groupBy("_key").agg(F.max_by(F.struct(*payload), F.struct("requests_cnt", name_col)).alias("_row"))
     return agg.select("_key", *[F.col("_row")[c].alias(c) for c in payload])
@@ -309,7 +309,7 @@ def enrich_artists(tracks: DataFrame, cache: DataFrame, fallbacks: Sequence[Data
         one = src.select("_key", F.lit(i).alias("_rank"), *fields)
         ranked = one if ranked is None else ranked.unionByName(one)
     first = ranked.groupBy("_key").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_rank"))).alias("_s_" + f) for f in ARTIST_FIELDS])
-    out = tracks.withColumn("_key", F.lower(F.col(name_col))).join(first, "_key", "left")
+    out = tracks.withColumn("_key", lower_key(name_col)).join(first, "_key", "left")
     for f in ARTIST_FIELDS:
         out = out.withColumn(f, F.coalesce(F.col(f), F.col("_s_" + f)))
     return out.drop("_key", *["_s_" + f for f in ARTIST_FIELDS])
@@ -318,7 +318,7 @@ def enrich_artists(tracks: DataFrame, cache: DataFrame, fallbacks: Sequence[Data
 def dedupe_source(src: DataFrame, name_col: str = "artist_name") -> DataFrame:
     """One row per lower-cased name: the smallest by (name, then the fields as they stand); facts of different rows do not mix."""
     fields = [f for f in ARTIST_FIELDS if f in src.columns]
-    keyed = src.withColumn("_key", F.lower(F.col(name_col)))
+    keyed = src.withColumn("_key", lower_key(name_col))
     agg = keyed.groupBy("_key").agg(F.min_by(F.struct(*fields), F.struct(name_col, *fields)).alias("_row"))
     return agg.select("_key", *[F.col("_row")[f].alias(f) for f in fields])
 

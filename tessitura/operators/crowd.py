@@ -33,7 +33,7 @@ from ..schemas import (
     vocabulary,
 )
 from ..session import bounded_broadcast, materialize
-from .ordering import day_block, dense_index, epoch_micros, near_equal_parts, range_block
+from .ordering import day_block, dense_index, epoch_micros, near_equal_parts, quantile_block
 
 DAY_MICROS = 86_400_000_000
 MONEY = "decimal(20,4)"
@@ -47,13 +47,15 @@ def majority_vote(
     result_col: str = "result",
     emotion_col: str = "emotion",
     base_url: str | None = None,
+    keep_input: bool = False,
 ) -> DataFrame:
     """A-1: per (pool class, task input) count YES and NO, track id from the URL, ``rate = YES/(YES+NO)``.
 
     ``emotion`` is a literal pool class, or None to take it from ``emotion_col``.
     One hash aggregate with map-side partial counts; a hot task collapses to
     one row per map task before the shuffle.  Missing answers count 0; a task
-    with no YES/NO answer gets a null rate (Q-6).
+    with no YES/NO answer gets a null rate (Q-6).  ``keep_input`` keeps the task
+    input, which with the class is the row's key.
     """
     src = answers if emotion is None else answers.withColumn(emotion_col, F.lit(emotion))
     res = col_of(result_col)
@@ -62,6 +64,7 @@ def majority_vote(
         F.count_if(res == "YES").alias("YES"),
     )
     return counts.select(
+        *([input_col] if keep_input else []),
         track_id_from_url(F.col(input_col), base_url).alias("ym_track_id"),
         F.col(emotion_col).alias("emotion"),
         F.col("NO").cast("long").alias("NO"),
@@ -152,11 +155,8 @@ def task_suites(
     Positions come from :func:`dense_index` (blocked, no whole-pool sort);
     sizes equal ``numpy.array_split``.  Adds ``task_idx`` and ``suite``.
     """
-    # ``block`` must be monotone in ``order_cols``; without one, a numeric first order column is cut into
-    # stretches of its range, and any other makes each pool one block
-    first = order_cols[0]
-    numeric = isinstance(first, str) and isinstance(tasks.schema[first].dataType, T.NumericType)
-    blk = block if block is not None else range_block(tasks, first) if numeric else F.lit(0)
+    # ``block`` must be monotone in ``order_cols``; without one, the first order column is cut at its quantiles
+    blk = block if block is not None else quantile_block(tasks, order_cols[0])
     indexed = dense_index(tasks, order_cols, blk, partition_cols=group_cols, idx_col="task_idx", total_col="_n")
     k = F.ceil(F.col("_n") / F.lit(per_suite))
     return indexed.withColumn("suite", near_equal_parts("task_idx", "_n", k)).drop("_n")
@@ -187,27 +187,32 @@ def income_last_24h(
 ) -> DataFrame:
     """W-4: per answer, the worker's income over the last 24 h (inclusive); restricted when >= limit.
 
-    One pass and a running sum: in the partition of (worker, day) an answer of
-    that day adds its reward, one of the day before adds its reward and takes
-    it back when its 24 hours are over.  So a partition holds two days of one
-    worker, never the whole history, and the cost is linear in its rows.
-    Rewards are summed as decimals.  Answers without a time see each other
-    only; answers without a worker are one worker.
+    An answer adds its reward when it is given and takes it back when its 24
+    hours are over, so the income is a running sum over these events.  Events of
+    one worker at one time are added up first; the sums run in two levels, over
+    stretches of time with near-equal numbers of events and over the stretches'
+    totals, so no task holds a worker's day, however many answers it has.  The
+    answers then look their time up (a hot worker and time is an equi-join that
+    AQE splits).  Rewards are summed as decimals.  Answers without a time see
+    each other only; answers without a worker are one worker.
     """
-    base = answers.withColumn("_us", epoch_micros(answers, time_col)).withColumn("_day", day_block(F.col("_us")))
+    base = answers.withColumn("_key", F.struct(F.col(worker_col).alias("w"), epoch_micros(answers, time_col).alias("at")))
     pay = F.coalesce(F.col(reward_col).cast(MONEY), F.lit(0).cast(MONEY))
-
-    def event(day, at, amount, own):
-        return F.struct(day.alias("day"), at.alias("at"), amount.cast(MONEY).alias("pay"), F.lit(own).alias("own"))
-
-    day, us = F.col("_day"), F.col("_us")
-    own = event(day, us, pay, True)
-    later = F.array(own, event(day + 1, us, pay, False), event(day + 1, us + DAY_MICROS + 1, -pay, False))
-    events = base.withColumn("_e", F.explode(F.when(us.isNull(), F.array(own)).otherwise(later)))
-    w = Window.partitionBy(worker_col, "_e.day").orderBy("_e.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = events.withColumn("income_24h", F.sum("_e.pay").over(w)).where(F.col("_e.own"))
+    given = F.struct("_key.at", pay.alias("pay"), F.lit(1).alias("given"))
+    over = F.struct((F.col("_key.at") + DAY_MICROS + 1).alias("at"), (-pay).cast(MONEY).alias("pay"), F.lit(0).alias("given"))
+    events = base.select(F.col("_key.w").alias("w"), F.inline(F.when(F.col("_key.at").isNull(), F.array(given)).otherwise(F.array(given, over))))
+    times = materialize(events.groupBy("w", "at").agg(F.sum("pay").alias("pay"), F.max("given").alias("given")), "income-times")
+    placed = times.withColumn("_blk", F.struct("w", quantile_block(times, "at").alias("b"))).repartition("_blk")
+    inside = Window.partitionBy("_blk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_run", F.sum("pay").over(inside))
+    # answers without a time are a stretch of their own that no other sees
+    totals = placed.groupBy("_blk").agg(F.sum(F.when(F.col("at").isNotNull(), F.col("pay")).otherwise(F.lit(0).cast(MONEY))).alias("_sum"))
+    earlier = Window.partitionBy("_blk.w").orderBy("_blk.b").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_blk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    incomes = placed.where("given = 1").join(before, "_blk").select(F.struct("w", "at").alias("_key"), (F.col("_before") + F.col("_run")).alias("income_24h"))
+    out = base.join(incomes, "_key").drop("_key")
     out = out.withColumn("restricted", F.col("income_24h") >= F.lit(limit).cast(MONEY))
-    return out.withColumn("income_24h", F.col("income_24h").cast("double")).drop("_us", "_day", "_e")
+    return out.withColumn("income_24h", F.col("income_24h").cast("double"))
 
 
 # --------------------------------------------------------------------- W-5

@@ -15,6 +15,8 @@ padding at the track ends; power 2.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -140,7 +142,7 @@ def log_mel(pcm: DataFrame, block_size: int = BLOCK_SIZE, n_fft: int = N_FFT, ho
     """X-1 / X-5: ``(track_id, frame, mel array<float>)`` time-major log-mel rows.
 
     X-5 is the same operator with ``channel`` (one channel of a multi-channel
-    PCM table, ``channel`` column) and ``scale='htk'``, after :func:`resample`.
+    PCM table, ``channel`` column) and ``scale='htk'``, after :func:`resample_bandlimited`.
     """
     if block_size % hop:
         raise ValueError("block_size must be a multiple of hop")
@@ -153,8 +155,19 @@ def log_mel(pcm: DataFrame, block_size: int = BLOCK_SIZE, n_fft: int = N_FFT, ho
     return joined.mapInPandas(_blocks_to_frames(block_size, n_fft, hop, n_mels, sr, scale), FRAME_SCHEMA)
 
 
+def _cut_at_blocks(made: DataFrame, block_size: int) -> DataFrame:
+    """``(track_id, j0, out)``: stretches of new samples from number ``j0`` on, cut at the new blocks' borders and put together there."""
+    to = F.explode(F.sequence(F.floor(F.col("j0") / block_size), F.floor((F.col("j0") + F.size("out") - 1) / block_size)))
+    cut = made.withColumn("block", to)
+    lo = F.greatest(F.col("block") * block_size, F.col("j0"))
+    n = F.least((F.col("block") + 1) * block_size, F.col("j0") + F.size("out")) - lo
+    pieces = cut.select("track_id", F.col("block").cast("int").alias("block"), lo.alias("at"), F.slice("out", (lo - F.col("j0") + 1).cast("int"), n.cast("int")).alias("piece"))
+    blocks = pieces.groupBy("track_id", "block").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("_p"))
+    return blocks.select("track_id", "block", F.flatten(F.transform("_p", lambda x: x["piece"])).alias("samples"))
+
+
 def resample(pcm: DataFrame, sr_in: int, sr_out: int = SAMPLE_RATE, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """X-5: the PCM table at another sample rate, by linear interpolation; a track keeps its duration.
+    """The PCM table at another sample rate, by linear interpolation (no band limit); a track keeps its duration.
 
     A block makes the output samples that fall into it and needs only the first
     sample of the next block; its output is cut at the borders of the new blocks
@@ -175,13 +188,65 @@ def resample(pcm: DataFrame, sr_in: int, sr_out: int = SAMPLE_RATE, block_size:
         return (F.get("wide", i) * (1 - part) + F.get("wide", i + 1) * part).cast("float")
 
     made = src.withColumn("wide", wide).select("track_id", "j0", F.transform(F.sequence("j0", "j1"), value).alias("out"))
-    to = F.explode(F.sequence(F.floor(F.col("j0") / block_size), F.floor((F.col("j0") + F.size("out") - 1) / block_size)))
-    cut = made.withColumn("block", to)
-    lo = F.greatest(F.col("block") * block_size, F.col("j0"))
-    n = F.least((F.col("block") + 1) * block_size, F.col("j0") + F.size("out")) - lo
-    pieces = cut.select("track_id", F.col("block").cast("int").alias("block"), lo.alias("at"), F.slice("out", (lo - F.col("j0") + 1).cast("int"), n.cast("int")).alias("piece"))
-    blocks = pieces.groupBy("track_id", "block").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("_p"))
-    return blocks.select("track_id", "block", F.flatten(F.transform("_p", lambda x: x["piece"])).alias("samples"))
+    return _cut_at_blocks(made, block_size)
+
+
+ZERO_CROSSINGS = 64  # of the sinc, to either side
+ROLLOFF = 0.94  # share of the lower rate's band that passes
+KAISER_BETA = 9.0  # side lobes some 90 dB down
+
+
+def polyphase_bank(sr_in: int, sr_out: int, zeros: int = ZERO_CROSSINGS, rolloff: float = ROLLOFF, beta: float = KAISER_BETA) -> np.ndarray:
+    """``(phases, 2 * half)`` filters of a Kaiser-windowed sinc, one per position of an output sample between two
+    input samples: phase ``p`` of ``phases`` weighs the inputs ``half - 1`` before to ``half`` after."""
+    phases = sr_out // math.gcd(sr_in, sr_out)
+    cutoff = min(1.0, sr_out / sr_in) * rolloff
+    half = math.ceil(zeros / cutoff)
+    t = np.arange(phases)[:, None] / phases - np.arange(-(half - 1), half + 1)[None, :]
+    window = np.i0(beta * np.sqrt(np.maximum(0.0, 1.0 - (t / half) ** 2))) / np.i0(beta)
+    bank = cutoff * np.sinc(cutoff * t) * window
+    return bank / bank.sum(axis=1, keepdims=True)  # a constant stays what it is
+
+
+def resample_frames(signal: np.ndarray, start: int, j0: int, j1: int, sr_in: int, sr_out: int, bank: np.ndarray) -> np.ndarray:
+    """Output samples ``j0 .. j1 - 1``; ``signal[0]`` is input sample ``start`` and reaches half a filter beyond both ends."""
+    up, down, half = sr_out // math.gcd(sr_in, sr_out), sr_in // math.gcd(sr_in, sr_out), bank.shape[1] // 2
+    at = np.arange(j0, j1, dtype=np.int64) * down
+    windows = np.lib.stride_tricks.sliding_window_view(signal, 2 * half)
+    return np.einsum("ij,ij->i", windows[at // up - start - (half - 1)], bank[at % up])
+
+
+def resample_bandlimited(pcm: DataFrame, sr_in: int, sr_out: int = SAMPLE_RATE, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """X-5: the PCM table at another sample rate through a polyphase windowed-sinc filter; a track keeps its duration.
+
+    What lies above the new rate's band is damped by more than 60 dB.  Every
+    block gets the last samples of the block before and the first of the block
+    after as halo (two equi-joins), silence beyond the track's ends, and makes
+    the output samples that fall into it.
+    """
+    bank = polyphase_bank(sr_in, sr_out)
+    half = bank.shape[1] // 2
+    if block_size < half:
+        raise ValueError(f"blocks of {half} samples or more are needed")
+    src = pcm.select("track_id", "block", "samples")
+    before = src.select("track_id", (F.col("block") + 1).alias("block"), F.slice("samples", -F.least(F.lit(half), F.size("samples")), half).alias("before"))
+    after = src.select("track_id", (F.col("block") - 1).alias("block"), F.slice("samples", 1, half).alias("after"))
+    joined = src.join(before, ["track_id", "block"], "left").join(after, ["track_id", "block"], "left").select("track_id", "block", "before", "samples", "after")
+    first = lambda n: -(-n * sr_out // sr_in)  # noqa: E731  (the first output sample at or after input sample n)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for tid, block, left, mid, right in pdf.itertuples(index=False):
+                begin = int(block) * block_size
+                j0, j1 = first(begin), first(begin + len(mid))
+                if j1 > j0:
+                    side = [np.zeros(0) if x is None else np.asarray(x, dtype=np.float64) for x in (left, right)]
+                    signal = np.concatenate([np.zeros(half - len(side[0])), side[0], np.asarray(mid, dtype=np.float64), side[1], np.zeros(half - len(side[1]))])
+                    rows.append((int(tid), j0, resample_frames(signal, begin - half, j0, j1, sr_in, sr_out, bank).astype(np.float32)))
+            yield pd.DataFrame(rows, columns=["track_id", "j0", "out"])
+
+    return _cut_at_blocks(joined.mapInPandas(run, "track_id long, j0 long, out array<float>"), block_size)
 
 
 def first_seconds(pcm: DataFrame, seconds: float, sr: int = SAMPLE_RATE, block_size: int = BLOCK_SIZE) -> DataFrame:

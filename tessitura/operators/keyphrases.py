@@ -1,20 +1,18 @@
 """K-2: diversity re-rank of keyword candidates (greedy maximal marginal relevance).
 
-Candidates are all words of a document, ranked by TF-IDF (K-1 weights).  Word vectors are
-hashed character-trigram profiles (subword vectors that need no training:
-inflected forms of one word land close together, which is what alias
-grouping needs); the document vector is the TF-IDF-weighted mean of its
-candidates.  The greedy selection runs per document (in Arrow batches of
-documents), as described for EmbedRank (Bennani-Smires et al., 2018):
-score = ``beta * sim(word, doc) - (1 - beta) * max sim(word, chosen)``;
-candidates whose similarity to a chosen word reaches ``alias_threshold``
-become its aliases and leave the pool.
+Candidates are all words of a document, ranked by TF-IDF (K-1 weights).  Word
+vectors are trained on the corpus (:mod:`.vectors`) and joined to the
+candidates; words too rare for a vector are like no other word.  The document vector
+is the TF-IDF-weighted mean of its candidates' unit vectors.  The greedy selection runs per document
+(in Arrow batches of documents), as described for EmbedRank (Bennani-Smires et
+al., 2018): score = ``beta * sim(word, doc) - (1 - beta) * max sim(word,
+chosen)``; candidates whose similarity to a chosen word reaches
+``alias_threshold`` become its aliases and leave the pool.  Similarities and scores are
+rounded to 9 digits, so ties are ties on any machine: the better TF-IDF rank wins.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,46 +20,33 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .text import document_frequencies, term_counts, weigh
+from .vectors import train_vectors
 
 MMR_SCHEMA = "doc_id long, rank int, keyword string, score double, aliases string"
-DIMS = 256
-
-
-def trigram_vector(word: str, dims: int = DIMS) -> np.ndarray:
-    """Hashed counts of the character trigrams of ``<word>`` (crc32, so stable across processes)."""
-    w = f"<{word}>"
-    v = np.zeros(dims)
-    for i in range(len(w) - 2):
-        v[zlib.crc32(w[i : i + 3].encode("utf-8")) % dims] += 1.0
-    return v
+DIGITS = 9
 
 
-def mmr_select(words, weights, n: int, beta: float, alias_threshold: float, cache: dict | None = None):
-    """Greedy MMR over all of one document's words (given best TF-IDF first).
+def mmr_select(words, weights, vectors, n: int, beta: float, alias_threshold: float):
+    """Greedy MMR over all of one document's words (given best TF-IDF first) and their vectors.
 
     Similarities to the chosen words are kept as a running maximum, so each
     step is one matrix-vector product: O(words x dims) memory and time per
     step, never words x words.
     """
-    weights = np.asarray(weights, dtype=np.float64)
-    cache = {} if cache is None else cache
-    for w in words:
-        if w not in cache:
-            cache[w] = trigram_vector(w)
-    vecs = np.stack([cache[w] for w in words])
+    weights, vecs = np.asarray(weights, dtype=np.float64), np.asarray(vectors, dtype=np.float64)
     vn = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-12)
     dvec = (np.maximum(weights, 0.0)[:, None] * vn).sum(axis=0)
     dn = dvec / max(np.linalg.norm(dvec), 1e-12)
-    sim_doc = vn @ dn
+    sim_doc = np.round(vn @ dn, DIGITS)
     active = np.ones(len(words), dtype=bool)
     max_sim = np.full(len(words), -np.inf)
     out = []
     while active.any() and len(out) < n:
-        scores = sim_doc if not out else beta * sim_doc - (1 - beta) * max_sim
+        scores = sim_doc if not out else np.round(beta * sim_doc - (1 - beta) * max_sim, DIGITS)
         masked = np.where(active, scores, -np.inf)
         best = int(np.argmax(masked))  # first maximum: the better TF-IDF rank wins ties
         active[best] = False
-        sim_best = vn @ vn[best]
+        sim_best = np.round(vn @ vn[best], DIGITS)
         aliases = np.flatnonzero(active & (sim_best >= alias_threshold))
         active[aliases] = False
         max_sim = np.maximum(max_sim, sim_best)
@@ -71,31 +56,31 @@ def mmr_select(words, weights, n: int, beta: float, alias_threshold: float, cach
 
 def _mmr_batches(n: int, beta: float, alias_threshold: float):
     def run(batches):
-        cache: dict = {}
         for pdf in batches:
-            if len(cache) > 200_000:
-                cache.clear()
             rows = []
             for doc, cands in zip(pdf["doc_id"], pdf["cands"]):
-                words = [c["keyword"] for c in cands]
-                weights = [-c["neg_weight"] for c in cands]
-                for rank, word, score, aliases in mmr_select(words, weights, n, beta, alias_threshold, cache):
+                dims = max((len(c["v"]) for c in cands if c["v"] is not None), default=1)
+                vectors = [np.zeros(dims) if c["v"] is None else c["v"] for c in cands]
+                for rank, word, score, aliases in mmr_select([c["keyword"] for c in cands], [-c["neg_weight"] for c in cands], vectors, n, beta, alias_threshold):
                     rows.append((int(doc), rank, word, score, aliases))
             yield pd.DataFrame(rows, columns=["doc_id", "rank", "keyword", "score", "aliases"])
 
     return run
 
 
-def keyphrases(docs: DataFrame, n: int = 10, beta: float = 0.55, alias_threshold: float = 0.7) -> DataFrame:
+def keyphrases(docs: DataFrame, n: int = 10, beta: float = 0.55, alias_threshold: float = 0.7, vectors: DataFrame | None = None) -> DataFrame:
     """K-2 over whole documents: ``(doc_id, rank, keyword, score, aliases)``.
 
     Every distinct word of a document is a candidate (no cut); a document's
     candidates are collected into one row (bounded by its own vocabulary) and
-    re-ranked in Arrow batches of many documents.
+    re-ranked in Arrow batches of many documents.  ``vectors``: ``(word, v)``
+    from an earlier training; trained on ``docs`` when not given.
     """
+    vectors = train_vectors(docs) if vectors is None else vectors
     terms = materialize(term_counts(docs), "term-counts")
-    scored = weigh(terms, document_frequencies(terms))
+    # rounded, so that equal weights stay equal and rank A-Z
+    scored = weigh(terms, document_frequencies(terms)).withColumn("weight", F.round("weight", DIGITS)).join(vectors, "word", "left")
     per_doc = scored.groupBy(F.col("doc").alias("doc_id")).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("neg_weight"), F.col("word").alias("keyword")))).alias("cands")
+        F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("neg_weight"), F.col("word").alias("keyword"), "v"))).alias("cands")
     )
     return per_doc.mapInPandas(_mmr_batches(n, beta, alias_threshold), MMR_SCHEMA)

@@ -11,12 +11,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .quasi_newton import L2, TOLERANCE, train_linear
+
 
 def with_vector(df: DataFrame, array_col: str, out_col: str = "features") -> DataFrame:
     return df.withColumn(out_col, array_to_vector(F.col(array_col)))
@@ -28,37 +30,22 @@ def train_multiclass(train: DataFrame, features_col: str = "features", label_col
     return lr.fit(train.withColumn(label_col, F.col(label_col).cast("double")))
 
 
-def train_multilabel(train: DataFrame, vector_col: str, labels_col: str, names: Sequence[str], rounds: int = 20, rate: float = 1.0, l2: float = 1e-3) -> np.ndarray:
-    """M-13: one logistic model per label name, all fitted together by full gradient steps.
+def label_numbers(labels_col: str, names: Sequence[str]) -> Column:
+    """Positions of a track's label names in ``names``; others are left out."""
+    listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return F.transform(F.filter(F.col(labels_col), lambda x: F.array_contains(listed, x)), lambda x: (F.array_position(listed, x) - 1).cast("int"))
+
+
+def train_multilabel(train: DataFrame, vector_col: str, labels_col: str, names: Sequence[str], l2: float = L2, tolerance: float = TOLERANCE, path: str | None = None) -> np.ndarray:
+    """M-13: one logistic model per label name, all fitted together until the gradient vanishes.
 
-    A round is one pass: every partition returns the summed gradient of all
-    labels (``labels x (dims + 1)`` numbers), and Spark adds the partitions up.
-    Returns the weights, the bias last.
+    A round is one pass in which Spark adds up the gradients of all labels
+    (:mod:`.quasi_newton`); with ``path`` a broken run is continued.  Returns the
+    weights, the bias last.
     """
-    place = {n: i for i, n in enumerate(names)}
-    data = train.select(F.col(vector_col).alias("x"), F.col(labels_col).alias("y")).persist()
-    n = data.count()
-    dims = len(data.first()["x"]) if n else 0
-    w = np.zeros((len(names), dims + 1))
-    for _ in range(rounds if n else 0):
-
-        def gradient(batches, w=w):
-            g = np.zeros_like(w)
-            for b in batches:
-                x = np.array(b.column(0).to_pylist(), dtype=np.float64)
-                x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-                y = np.zeros((len(x), len(w)))
-                for i, own in enumerate(b.column(1).to_pylist()):
-                    y[i, [place[k] for k in own or () if k in place]] = 1.0
-                g += (1.0 / (1.0 + np.exp(-(x @ w.T))) - y).T @ x
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(g.size)), pa.array(g.ravel())], names=["i", "g"])
-
-        total = data.mapInArrow(gradient, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
-        g = np.zeros(w.size)
-        g[[r["i"] for r in total]] = [r["g"] for r in total]
-        w = w - rate * (g.reshape(w.shape) / n + l2 * w)
-    data.unpersist()
-    return w
+    data = materialize(train.select(F.col(vector_col).alias("x"), label_numbers(labels_col, names).alias("y")), "multilabel-train")
+    state = train_linear(data, "logistic", len(names), l2, tolerance=tolerance, path=path)
+    return state.w.reshape(len(names), -1)
 
 
 def score(model: LogisticRegressionModel, df: DataFrame, features_col: str = "features") -> DataFrame:
@@ -85,6 +72,18 @@ def score_multilabel(df: DataFrame, vector_col: str, weights: np.ndarray, names:
     return df.withColumn(out_col, F.arrays_zip(labels.alias("label"), probabilities(F.col(vector_col)).alias("p")))
 
 
+def softmax_scores(df: DataFrame, vector_col: str, weights: np.ndarray, out_col: str = "scores") -> DataFrame:
+    """M-14: class probabilities of a softmax model (rows of ``weights``: one class each, the bias last) as ``array<double>``."""
+
+    @F.pandas_udf("array<double>")
+    def probabilities(vectors: pd.Series) -> pd.Series:
+        z = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1) @ weights[:, :-1].T + weights[:, -1]
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return pd.Series(list(z / z.sum(axis=1, keepdims=True)), index=vectors.index)
+
+    return df.withColumn(out_col, probabilities(F.col(vector_col)))
+
+
 def load_linear(model: DataFrame) -> list[list[float]]:
     """A linear model table ``(label, w)`` as rows in label order; its size is the number of classes."""
     return [list(r["w"]) for r in model.orderBy("label").collect()]

@@ -15,10 +15,12 @@ more than one block.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .._compat import col_of
 from ..session import bounded_broadcast
@@ -72,12 +74,57 @@ def range_block(df: DataFrame, col: str, n_blocks: int = 4096) -> Column:
 
     Least and greatest value come from a scalar subquery, so the block table
     has at most ``n_blocks`` rows (and one for null) however sparse the values are.
+    For evenly spread values; :func:`quantile_block` holds for any.
     """
     x = F.col(col).cast("double")
     lo, hi = df.select(F.min(x)).scalar(), df.select(F.max(x)).scalar()
     return F.least(F.floor((x - lo) / F.greatest(hi - lo, F.lit(1.0)) * n_blocks), F.lit(n_blocks - 1)).cast("long")
 
 
+def order_number(df: DataFrame, col: str) -> Column:
+    """A number that does not decrease in the order of ``col``: numbers and times as they are, text by the
+    seven bytes that follow the prefix common to all values (found by their least and greatest)."""
+    kind = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return epoch_micros(df, col).cast("double")
+    if not isinstance(kind, T.StringType):
+        return c.cast("double")
+    lo, hi = df.agg(F.min(c), F.max(c)).first()
+    shared = len(os.path.commonprefix([lo or "", hi or ""]))
+    rest = F.encode(F.substring(c, shared + 1, 1 << 30), "UTF-8")
+    return F.conv(F.rpad(F.hex(F.substring(rest, 1, 7)), 14, "0"), 16, 10).cast("double")
+
+
+def count_below(borders: Sequence[float], x: Column) -> Column:
+    """How many of the ascending ``borders`` are below ``x``, by binary search."""
+    n = len(borders)
+    if n == 0:
+        return F.lit(0).cast("long")
+    listed = F.array(*[F.lit(float(b)) for b in borders])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    hop = lambda at, step: F.when((at + step <= n) & (F.try_element_at(listed, at + step) < x), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), hop).cast("long")
+
+
+def quantile_block(df: DataFrame, col: str, n_blocks: int = 1024) -> Column:
+    """Block key for an order by a column of any type: ``n_blocks`` stretches of near-equal numbers of rows.
+
+    The borders are quantiles from a mergeable sketch: every partition makes a
+    small summary, Spark merges them, and the driver gets ``n_blocks`` numbers (a
+    job runs when this is called; error a tenth of a block).  Outliers cannot
+    crowd the rest into one block; equal values always share one.  Null is a
+    block of its own.
+    """
+    x = order_number(df, col)
+    ranks = [k / n_blocks for k in range(1, n_blocks)]
+    found = df.agg(F.percentile_approx(x, ranks, 10 * n_blocks)).first()[0]
+    borders = sorted(set(found or ()))
+    return F.when(F.col(col).isNotNull(), F.coalesce(count_below(borders, x), F.lit(0).cast("long")))
+
+
 def hex_block(key: Column, digits: int = 3) -> Column:
     """Block key for an order by a hex digest: its first ``digits`` characters."""
     return F.substring(key, 1, digits)

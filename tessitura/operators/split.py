@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .._compat import col_of
 from ..schemas import BATCH_SIZE, SPLIT_SEED, TEST_SPLIT
-from .ordering import dense_index, hex_block, near_equal_parts, range_block
+from .ordering import dense_index, hex_block, near_equal_parts, quantile_block
 
 
 def shuffle_key(key, seed: int, epoch: int | None = None) -> Column:
@@ -64,11 +64,12 @@ def random_partner(df: DataFrame, key: str, seed: int = 0, exclude_self: bool =
     return left.join(right, "_target", "left").drop("_target", "_pidx", "_n")
 
 
-def n_parts(df: DataFrame, key: str, n: int, n_blocks: int = 4096) -> DataFrame:
+def n_parts(df: DataFrame, key: str, n: int, n_blocks: int = 1024) -> DataFrame:
     """W-8: cut the rows, ordered by ``key``, into ``n`` near-equal consecutive parts (``array_split`` sizes).
 
-    Positions come from a dense index over ``n_blocks`` stretches of the key's
-    range, so the only whole-table step is a count per block.
+    Positions come from a dense index over ``n_blocks`` stretches of near-equal
+    numbers of rows, so the only whole-table steps are a quantile sketch and a
+    count per block, however the keys are spread.
     """
-    idx = dense_index(df, [F.col(key)], range_block(df, key, n_blocks), idx_col="_i", total_col="_n")
+    idx = dense_index(df, [F.col(key)], quantile_block(df, key, n_blocks), idx_col="_i", total_col="_n")
     return idx.withColumn("batch", near_equal_parts("_i", "_n", F.lit(n))).drop("_i", "_n")

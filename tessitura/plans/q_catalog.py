@@ -92,11 +92,13 @@ def merged_playlists(spark, sf_dir, new_tracks=None):
     from ..schemas import TRACKS
     from ..sources.tables import empty_frame, tracks_to_csv_frame
 
-    ok = valid_playlist_rows(spark, sf_dir).drop("playlist", "reject_reason")
+    from ..session import materialize
+
+    ok = materialize(valid_playlist_rows(spark, sf_dir).drop("playlist", "reject_reason"), "playlist-entries")  # read by the cut and the merge
     ts = F.lit(SPLIT_TS).cast("timestamp_ntz")
     old, new = ok.where(F.col("ts") < ts).drop("ts"), ok.where(F.col("ts") >= ts).drop("ts")
     current = catalog.merge_playlist(empty_frame(spark, TRACKS), old)
-    limit = None if new_tracks is None else old.select("ym_track_id").distinct().count() + new_tracks
+    limit = None if new_tracks is None else old.select(F.countDistinct("ym_track_id")).scalar() + F.lit(new_tracks)
     return tracks_to_csv_frame(catalog.merge_playlist(current, new, limit=limit))
 
 
@@ -515,17 +517,50 @@ def artist_responses(spark, sf_dir):
     locs = F.when(F.pmod(key, F.lit(4)) == 0, F.lit("[]")).otherwise(F.format_string('[{"country":"%s"}]', F.col("r_name")))
     js = F.format_string('{"headers":{"status":"%s"},"results":[{"locations":%s}]}', status, locs)
     name = F.col("c_name").alias("artist_name")
+    # every third artist was asked before; the old answers, though greater as text, no longer count
+    stale = F.format_string("<row><code>999</code><answer>old</answer><country>old %d</country></row>", key)
+    asked_before = j.where(F.pmod(key, F.lit(3)) == 1)
     parts = [
+        asked_before.select(name, F.lit("musicovery").alias("source"), F.explode(F.array(F.lit("search"), F.lit("getinfo"))).alias("kind"), stale.alias("body")).withColumn("received", F.lit(1).cast("long")),
+        asked_before.select(name, F.lit("jamendo").alias("source"), F.lit("locations").alias("kind"), F.lit('{"old":1}').alias("body"), F.lit(1).cast("long").alias("received")),
         j.select(name, F.lit("musicovery").alias("source"), F.lit("search").alias("kind"), search.alias("body")),
         j.select(name, F.lit("musicovery").alias("source"), F.lit("getinfo").alias("kind"), F.when(F.col("c_acctbal") >= 0, info).otherwise(F.lit("<row></row>")).alias("body")),
         j.select(name, F.lit("jamendo").alias("source"), F.lit("locations").alias("kind"), js.alias("body")),
     ]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p if "received" in p.columns else p.withColumn("received", F.lit(2).cast("long")))
     return out
 
 
+@register(
+    "catalog_artist_as_of",
+    ("S-14", "P-12"),
+    """
+WITH r AS (SELECT c_custkey AS k, v, CAST(DATE '1992-03-01' + CAST(c_custkey % 300 + v * 500 AS INTEGER) AS TIMESTAMP) AS received,
+                  CASE WHEN (c_custkey + v) % 10 = 0 THEN 'limit' WHEN (c_custkey + v) % 10 = 1 OR (c_custkey + v) % 7 = 0 THEN 'error' ELSE 'ok' END AS status,
+                  n_name || ' ' || CAST(v AS VARCHAR) AS country
+           FROM customer JOIN nation ON c_nationkey = n_nationkey, range(4) t(v))
+SELECT o_orderkey, r.status, CASE WHEN r.status = 'ok' THEN r.country END AS artist_country
+FROM orders ASOF LEFT JOIN r ON o_custkey = r.k AND CAST(o_orderdate AS TIMESTAMP) >= r.received
+""",
+)
+def q_artist_as_of(spark, sf_dir):
+    """Orders as requests for an artist at a time; every artist was answered four times over the years."""
+    from ..operators import artists
+
+    c, n = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation")
+    kind = F.col("c_custkey") + F.col("v")
+    code = F.when(F.pmod(kind, F.lit(10)) == 0, F.lit("103")).when(F.pmod(kind, F.lit(10)) == 1, F.lit("101")).otherwise(F.lit("100"))
+    answer = F.when(F.pmod(kind, F.lit(7)) == 0, F.lit("invalid")).otherwise(F.lit("valid"))
+    body = F.format_string("<row><code>%s</code><answer>%s</answer><country>%s %d</country></row>", code, answer, F.col("n_name"), F.col("v"))
+    received = F.date_add(F.lit("1992-03-01").cast("date"), (F.pmod("c_custkey", F.lit(300)) + F.col("v") * 500).cast("int")).cast("timestamp_ntz")
+    versions = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("v"))
+    responses = versions.select(F.col("c_custkey").cast("string").alias("artist_name"), F.lit("musicovery").alias("source"), F.lit("search").alias("kind"), body.alias("body"), received.alias("received"))
+    requests = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("artist_name"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    return artists.answers_as_of(requests, responses, "at").select("o_orderkey", "status", "artist_country")
+
+
 @register(
     "catalog_artist_responses",
     ("S-14", "P-12"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lists import join_list
-from ..functions.paths import track_url_pattern
+from ..functions.paths import track_url_pattern, track_key
 from ..operators import crowd
 from ..schemas import EMOTIONS
 from ..sources.tables import read_table
@@ -92,6 +92,22 @@ def q_upsert(spark, sf_dir):
     return crowd.upsert_assignments(old, new)
 
 
+@register(
+    "crowd_assignment_keys",
+    ("U-2",),
+    f"""
+WITH answers AS ({ANSWERS_SQL}), votes AS ({_vote_sql()}), tracks AS ({ORDER_TRACKS_SQL})
+SELECT CAST(t.ym_album_id AS VARCHAR) || ':' || CAST(v.ym_track_id AS VARCHAR) || ':' || v.emotion AS key, count(*) AS n_rows
+FROM votes v JOIN tracks t USING (ym_track_id) GROUP BY ALL
+""",
+)
+def q_assignment_keys(spark, sf_dir):
+    """The text key of every assignment whose track is known."""
+    votes = vote(spark, sf_dir).select("ym_track_id", "emotion")
+    known = votes.join(order_tracks(spark, sf_dir).select("ym_track_id", "ym_album_id"), "ym_track_id")
+    return known.groupBy(track_key("ym_album_id", "ym_track_id", "emotion").alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @register(
     "crowd_unassigned_tracks",
     ("J-1",),

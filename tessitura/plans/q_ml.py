@@ -1,16 +1,19 @@
-"""Model, mel and keyphrase queries: iterative or numeric work with no SQL oracle (rows-only check)."""
+"""Model, mel and keyphrase queries; where results have no SQL, closed forms and facts of the optimum are checked instead."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import aggregates, features, keyphrases, metrics, ml, split, text
-from ..schemas import EMOTIONS
+from ..operators import aggregates, features, keyphrases, metrics, ml, quasi_newton, split, text
+from ..schemas import EMOTIONS, HOP_LENGTH, N_FFT, N_MELS, SAMPLE_RATE
 from ..session import checkpoint, materialize
 from ..sources.tables import read_table
 from .bindings import sql_list
 from .q_features import EMB_SQL, embedding_rows
+from .q_text import _kw_sql
 from .registry import register
 
 PCM_BLOCK = 4096  # several blocks for most texts
@@ -78,14 +81,76 @@ def q_resample(spark, sf_dir):
 def q_second_extractor(spark, sf_dir):
     """X-5: the HTK-scale extractor on channel 1 of a two-channel PCM table (channel 1 = inverted signal), resampled first."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    mono = features.resample(features.pcm_from_text(docs, block_size=PCM_BLOCK), 16_000, block_size=PCM_BLOCK)
+    mono = features.pcm_from_text(docs, block_size=PCM_BLOCK)
     channels = F.array(F.struct(F.lit(0).alias("channel"), "samples"), F.struct(F.lit(1).alias("channel"), F.transform("samples", lambda x: -x).alias("samples")))
-    stereo = checkpoint(mono.select("track_id", "block", F.explode(channels).alias("c")).select("track_id", "block", "c.channel", "c.samples"))
-    frames = features.log_mel(stereo, block_size=PCM_BLOCK, channel=1, scale="htk")
-    st = features.frame_stats(frames)
+    stereo = mono.select("track_id", "block", F.explode(channels).alias("c")).select("track_id", "block", "c.channel", "c.samples")
+    # the channel is chosen before the samples are resampled and written
+    right = checkpoint(features.resample_bandlimited(stereo.where("channel = 1"), 16_000, block_size=PCM_BLOCK))
+    st = features.frame_stats(features.log_mel(right, block_size=PCM_BLOCK, scale="htk"))
     return st.select("track_id", "n_frames", F.round("mean_log_mel", 3).alias("mean_log_mel"), F.round("max_log_mel", 3).alias("max_log_mel"))
 
 
+TONE_SAMPLES, TONE_BLOCK = 8192, 2048
+
+
+def tones(spark, sf_dir, hertz, rate, amplitude=None):
+    """A PCM table with one pure tone per embedding; ``hertz`` and ``amplitude`` are columns of its id and label."""
+    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), "label")
+    e = e.select("track_id", hertz.alias("hz"), (F.lit(1.0) if amplitude is None else amplitude).cast("double").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(TONE_SAMPLES // TONE_BLOCK - 1))).alias("block"))
+    wave = F.transform(F.sequence(F.lit(0), F.lit(TONE_BLOCK - 1)), lambda i: (F.col("a") * F.sin(F.lit(2 * math.pi / rate) * F.col("hz") * (F.col("block") * TONE_BLOCK + i))).cast("float"))
+    return e.select("track_id", "hz", "a", "block", wave.alias("samples"))
+
+
+@register(
+    "features_resample_tones",
+    ("X-5",),
+    f"""
+WITH t AS (SELECT vec_id AS track_id, 300 + 100 * (vec_id % 105) AS hz FROM embeddings)
+SELECT track_id, hz, CAST(({TONE_SAMPLES} * {RESAMPLE_OUT} + {RESAMPLE_IN - 1}) // {RESAMPLE_IN} AS BIGINT) AS n_samples, hz < 7200 AS passes, true AS as_expected
+FROM t WHERE hz < 7200 OR hz > 8200
+""",
+)
+def q_resample_tones(spark, sf_dir):
+    """Pure tones at the new rate: below the new band limit they are the same tones (to 0.1 %), above it they are 60 dB down."""
+    hertz = F.lit(300) + 100 * F.pmod("track_id", F.lit(105))
+    pcm = tones(spark, sf_dir, hertz, RESAMPLE_IN).where("hz < 7200 OR hz > 8200")
+    out = features.resample_bandlimited(pcm, RESAMPLE_IN, RESAMPLE_OUT, TONE_BLOCK)
+    known = pcm.where("block = 0").select("track_id", "hz")
+    passes = F.col("hz") < 7200
+    wanted = lambda i: F.when(passes, F.sin(F.lit(2 * math.pi / RESAMPLE_OUT) * F.col("hz") * (F.col("block") * TONE_BLOCK + i))).otherwise(F.lit(0.0))
+    gap = F.transform("samples", lambda x, i: F.abs(x.cast("double") - wanted(i)))
+    # the first and last filter length hear the silence around the track
+    edge = features.polyphase_bank(RESAMPLE_IN, RESAMPLE_OUT).shape[1]
+    total = (TONE_SAMPLES * RESAMPLE_OUT + RESAMPLE_IN - 1) // RESAMPLE_IN
+    inner = F.filter(gap, lambda x, i: (F.col("block") * TONE_BLOCK + i >= edge) & (F.col("block") * TONE_BLOCK + i < total - edge))
+    per = out.join(known, "track_id").groupBy("track_id", "hz").agg(F.sum(F.size("samples")).alias("n_samples"), F.max(F.array_max(inner)).alias("gap"))
+    return per.select("track_id", "hz", "n_samples", passes.alias("passes"), (F.col("gap") < 1e-3).alias("as_expected"))
+
+
+@register(
+    "features_log_mel_tones",
+    ("X-1",),
+    f"""
+WITH t AS (SELECT vec_id AS track_id, 12 + vec_id % 900 AS k, 0.1 * (1 + label % 10) AS a FROM embeddings),
+     m AS (SELECT i, i * (15 + ln({SAMPLE_RATE} / 2000.0) * 27 / ln(6.4)) / {N_MELS + 1} AS mel FROM range({N_MELS + 2}) r(i)),
+     p AS (SELECT i, CASE WHEN mel < 15 THEN mel * 200.0 / 3 ELSE 1000 * exp((mel - 15) * ln(6.4) / 27) END AS hz FROM m),
+     b AS (SELECT p0.i AS band, p0.hz AS lo, p1.hz AS mid, p2.hz AS hi FROM p p0 JOIN p p1 ON p1.i = p0.i + 1 JOIN p p2 ON p2.i = p0.i + 2),
+     s AS (SELECT track_id, (k + d) * {SAMPLE_RATE} / CAST({N_FFT} AS DOUBLE) AS hz, power(a * {N_FFT} / CASE WHEN d = 0 THEN 4 ELSE 8 END, 2) AS power FROM t, (VALUES (-1), (0), (1)) ds(d)),
+     e AS (SELECT track_id, band, sum(power * greatest(0, least((s.hz - lo) / (mid - lo), (hi - s.hz) / (hi - mid))) * 2 / (hi - lo)) AS energy FROM s, b GROUP BY ALL)
+SELECT track_id, CAST(arg_max(band, (round(ln(greatest(energy, 1e-6)), 2), band)) AS INTEGER) AS band, round(max(ln(greatest(energy, 1e-6))), 2) AS log_mel, count(*) FILTER (energy > 1e-3) AS n_bands FROM e GROUP BY track_id
+""",
+)
+def q_log_mel_tones(spark, sf_dir):
+    """X-1 of tones that fall on an FFT bin: a Hann window leaves that bin and its two neighbours, so every mel value has a closed form."""
+    bins = F.lit(12) + F.pmod("track_id", F.lit(900))
+    pcm = tones(spark, sf_dir, bins * F.lit(SAMPLE_RATE / N_FFT), SAMPLE_RATE, F.lit(0.1) * (1 + F.pmod("label", F.lit(10))))
+    # a frame away from the ends, computed across a block border
+    frame = features.log_mel(pcm.select("track_id", "block", "samples"), block_size=TONE_BLOCK).where(F.col("frame") == TONE_BLOCK // HOP_LENGTH * 2)
+    bands = F.transform("mel", lambda x, i: F.struct(F.round(x.cast("double"), 2).alias("v"), i.alias("band")))
+    top = F.array_max(bands)
+    return frame.select("track_id", top["band"].alias("band"), top["v"].alias("log_mel"), F.size(F.filter("mel", lambda x: x > math.log(1e-3))).cast("long").alias("n_bands"))
+
+
 def pooled(spark, sf_dir):
     """A-10 vectors: each embedding as 8 frames x 8 dims, averaged over frames."""
     e = embedding_rows(spark, sf_dir)
@@ -103,9 +168,8 @@ def q_train(spark, sf_dir):
                          F.round(F.array_max("scores"), 4).alias("confidence"))
 
 
-@register("ml_keywords_train", ("M-13", "M-5", "A-6", "A-7"))
-def q_multilabel(spark, sf_dir):
-    """All keywords of the vocabulary as labels at once, for the documents that have features."""
+def keyword_training(spark, sf_dir):
+    """(tracks with vector, keywords and split; the keyword names): all documents that have features, with their keywords of the vocabulary."""
     emb = embedding_rows(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     known = docs.join(emb.select(F.col("track_id").alias("doc_id")), "doc_id", "left_semi")  # the gate: tracks with features
@@ -114,13 +178,74 @@ def q_multilabel(spark, sf_dir):
     names = [r["keyword"] for r in vocab.orderBy("idx").select("keyword").collect()]  # at most the vocabulary size
     labels = text.restrict_to_vocabulary(kw, vocab).withColumnRenamed("doc_id", "track_id")
     data = emb.join(labels, "track_id").select("track_id", "v", F.array_sort("labels").alias("labels"))
-    parts = checkpoint(split.exact_split(data, "track_id", 0.2, 2021))
-    weights = ml.train_multilabel(parts.where(F.col("split") == "train"), "v", "labels", names)
+    return checkpoint(split.exact_split(data, "track_id", 0.2, 2021)), names
+
+
+KNOWN_KW_SQL = _kw_sql("WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+
+
+@register("ml_keywords_train", ("M-13", "M-5", "A-6", "A-7"))
+def q_multilabel(spark, sf_dir):
+    """All keywords of the vocabulary as labels at once, for the documents that have features."""
+    parts, names = keyword_training(spark, sf_dir)
+    weights = ml.train_multilabel(parts.where(F.col("split") == "train"), "v", "labels", names, tolerance=1e-4)
     scored = ml.score_multilabel(parts.where(F.col("split") == "test"), "v", weights, names)
     best = F.slice(F.reverse(F.array_sort(F.transform("p", lambda x: F.struct(x["p"], x["label"])))), 1, 3)
     return scored.select("track_id", F.array_join("labels", "|").alias("labels"), F.array_join(F.transform(best, lambda x: x["label"]), "|").alias("top3"), F.round(F.array_max(F.transform("p", lambda x: x["p"])), 4).alias("p_max"))
 
 
+@register(
+    "ml_emotions_optimum",
+    ("M-12", "M-15"),
+    f"""
+WITH e AS ({EMB_SQL}),
+     i AS (SELECT track_id, label, row_number() OVER (ORDER BY md5('2021:' || CAST(track_id AS VARCHAR)), track_id) - 1 AS idx, count(*) OVER () AS n FROM e),
+     t AS (SELECT label FROM i WHERE idx >= ceil(n * 0.1)), k AS (SELECT max(label) AS k FROM e)
+SELECT CAST(c.label AS INTEGER) AS label, count(t.label) AS n_train, CAST(count(t.label) AS DOUBLE) AS expected, true AS converged, true AS falls, true AS two_best
+FROM (SELECT unnest(range(0, k + 1)) AS label FROM k) c LEFT JOIN t USING (label) GROUP BY c.label
+""",
+)
+def q_emotions_optimum(spark, sf_dir):
+    """M-12 trained until the gradient vanishes.  At the optimum the probabilities of a class add up to its number of
+    training tracks, because biases are not penalised; losses fall from round to round and two rounds are kept by validation loss."""
+    data = embedding_rows(spark, sf_dir).select("track_id", F.col("v").alias("x"), F.col("label").alias("y"))
+    parts = checkpoint(split.exact_split(data, "track_id", 0.1, 2021))
+    train, held_out = parts.where(F.col("split") == "train"), parts.where(F.col("split") == "test")
+    classes = data.agg(F.max("y")).first()[0] + 1
+    run = quasi_newton.train_linear(train, "softmax", classes, l2=1e-2, validation=held_out, tolerance=1e-5)
+    weights = run.w.reshape(classes, -1)
+    scored = ml.softmax_scores(train, "x", weights)
+    sums = scored.select(F.posexplode("scores").alias("label", "p")).groupBy("label").agg(F.sum("p").alias("expected"))
+    counts = train.groupBy(F.col("y").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n_train"))
+    falls = all(b <= a + 1e-12 for a, b in zip(run.losses, run.losses[1:]))
+    facts = [F.lit(run.gradient_norm <= 1e-5).alias("converged"), F.lit(falls).alias("falls"), F.lit(len(run.best) == 2).alias("two_best")]
+    return sums.join(counts, "label", "left").select("label", F.coalesce("n_train", F.lit(0)).alias("n_train"), F.round("expected", 1).alias("expected"), *facts)
+
+
+@register(
+    "ml_keywords_optimum",
+    ("M-13", "M-5", "A-6", "A-7"),
+    f"""
+WITH kw AS ({KNOWN_KW_SQL}), c AS (SELECT keyword, count(*) AS n FROM kw GROUP BY keyword ORDER BY n DESC, keyword LIMIT 50),
+     l AS (SELECT DISTINCT kw.doc_id, kw.keyword FROM kw JOIN c USING (keyword)), e AS ({EMB_SQL}),
+     d AS (SELECT DISTINCT doc_id AS track_id FROM l JOIN e ON e.track_id = l.doc_id),
+     i AS (SELECT track_id, row_number() OVER (ORDER BY md5('2021:' || CAST(track_id AS VARCHAR)), track_id) - 1 AS idx, count(*) OVER () AS n FROM d),
+     t AS (SELECT l.keyword FROM l JOIN i ON i.track_id = l.doc_id WHERE idx >= ceil(n * 0.2))
+SELECT c.keyword, count(t.keyword) AS n_train, CAST(count(t.keyword) AS DOUBLE) AS expected, true AS converged FROM c LEFT JOIN t USING (keyword) GROUP BY c.keyword
+""",
+)
+def q_keywords_optimum(spark, sf_dir):
+    """M-13 trained to convergence: a label's probabilities add up to its number of training tracks."""
+    parts, names = keyword_training(spark, sf_dir)
+    train = materialize(parts.where(F.col("split") == "train").select("track_id", F.col("v").alias("x"), ml.label_numbers("labels", names).alias("y")), "keyword-train")
+    run = quasi_newton.train_linear(train, "logistic", len(names), l2=1e-2, tolerance=1e-5)
+    scored = ml.score_multilabel(train, "x", run.w.reshape(len(names), -1), names)
+    sums = scored.select(F.explode("p").alias("p")).groupBy(F.col("p.label").alias("keyword")).agg(F.sum("p.p").alias("expected"))
+    counts = train.select(F.explode("y").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n_train"))
+    listed = counts.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("keyword"), "n_train")
+    return sums.join(listed, "keyword", "left").select("keyword", F.coalesce("n_train", F.lit(0)).alias("n_train"), F.round("expected", 1).alias("expected"), F.lit(run.gradient_norm <= 1e-5).alias("converged"))
+
+
 CENTROIDS_SQL = f"""
 WITH e AS ({EMB_SQL}), c AS (SELECT track_id, label, unnest(range(8)) AS chunk, v FROM e),
      x AS (SELECT track_id, label, chunk, list_slice(v, chunk * 8 + 1, chunk * 8 + 8) AS c FROM c),

@@ -11,6 +11,8 @@ from ..functions.scores import (
     binary_accuracy,
     categorical_crossentropy,
     crossentropy_index,
+    multi_hot_from_indices,
+    multi_hot_inverse,
     names_of,
     one_hot,
     sigmoid_all,
@@ -43,6 +45,22 @@ WITH s AS ({SCORES_SQL}),
 """
 
 
+@register(
+    "scores_topk_multi_hot",
+    ("M-2", "M-5"),
+    f"""
+{TOPK_SQL}
+SELECT track_id, string_agg(CASE WHEN rk <= 3 THEN '1' ELSE '0' END, '' ORDER BY i) AS bits,
+       string_agg(CASE WHEN rk <= 3 THEN {sql_list(NAMES10)}[i + 1] END, '|' ORDER BY i) AS names
+FROM r GROUP BY track_id
+""",
+)
+def q_topk_multi_hot(spark, sf_dir):
+    """The three best classes as a 0/1 vector, and the names that the vector stands for."""
+    s = score_rows(spark, sf_dir).withColumn("hot", multi_hot_from_indices(topk_indices("s", 3), 10))
+    return s.select("track_id", F.array_join("hot", "").alias("bits"), F.array_join(multi_hot_inverse("hot", NAMES10), "|").alias("names"))
+
+
 @register(
     "scores_top1",
     ("M-1",),

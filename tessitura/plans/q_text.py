@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import text
+from ..operators import phrases, text
 from ..session import materialize
 from ..sources.tables import read_table, vocabulary_line
 from .registry import register
@@ -139,3 +139,39 @@ def q_weights(spark, sf_dir):
     )
     parsed = stored.select("doc_id", F.explode(keyword_structs("keywords", "weights")).alias("k"))
     return parsed.select("doc_id", F.col("k.keyword").alias("keyword"), F.col("k.weight").alias("weight"))
+
+
+PHRASES_SQL = f"""
+WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(lower({CLEAN_SQL}), '[^\\p{{L}} ]+', ' . ', 'g'), ' +') AS w FROM documents),
+     l AS (SELECT doc_id, w, len(list_filter(w, lambda x: length(x) >= 3)) AS n FROM d),
+     g AS (SELECT doc_id, n, k, list_slice(w, i, i + k - 1) AS p FROM (SELECT doc_id, w, n, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM l, range(1, 5) ks(k) WHERE len(w) >= k)),
+     c AS (SELECT doc_id AS doc, array_to_string(p, ' ') AS phrase, k AS words, count(*) AS tf, any_value(n) AS doc_len FROM g WHERE len(list_filter(p, lambda x: length(x) < 3)) = 0 GROUP BY ALL),
+     f AS (SELECT phrase, words, sum(tf)::BIGINT AS f, count(*) AS df FROM c GROUP BY ALL HAVING sum(tf) >= 5),
+     s AS (SELECT DISTINCT f, phrase AS b, array_to_string(list_slice(string_split(phrase, ' '), i, i + m - 1), ' ') AS phrase
+           FROM (SELECT f, phrase, words, m, unnest(generate_series(1, words - m + 1)) AS i FROM f, range(1, 4) ms(m) WHERE m < words)),
+     a AS (SELECT phrase, count(*) AS n_around, sum(f) AS f_around FROM s GROUP BY phrase),
+     v AS (SELECT f.phrase, f.words, f.f, f.df, coalesce(n_around, 0) AS n_around, log2(f.words + 1) * (f.f - CASE WHEN n_around > 0 THEN f_around / n_around ELSE 0 END) AS cvalue
+           FROM f LEFT JOIN a USING (phrase))
+"""
+
+
+@register("text_phrase_candidates", ("K-1",), f"{PHRASES_SQL} SELECT phrase, CAST(words AS INTEGER) AS words, f, df, n_around, round(cvalue, 6) AS cvalue FROM v")
+def q_phrases(spark, sf_dir):
+    """Frequent phrases of up to four words with their C-values."""
+    ranked, _ = phrases.corpus_keyphrases(docs(spark, sf_dir))
+    return ranked.select("phrase", "words", "f", "df", "n_around", F.round("cvalue", 6).alias("cvalue"))
+
+
+@register(
+    "text_phrase_keywords",
+    ("K-1",),
+    f"""
+{PHRASES_SQL}
+SELECT doc AS doc_id, phrase, weight, CAST(row_number() OVER (PARTITION BY doc ORDER BY weight DESC, phrase) AS INTEGER) AS rank
+FROM (SELECT doc, phrase, round((tf / doc_len) * ln((SELECT count(DISTINCT doc) FROM c) / df) * (cvalue / f), 9) AS weight FROM c JOIN v USING (phrase))
+QUALIFY rank <= 10
+""",
+)
+def q_phrase_keywords(spark, sf_dir):
+    _, ranked = phrases.corpus_keyphrases(docs(spark, sf_dir))
+    return ranked.select("doc_id", "phrase", "weight", F.col("rank").cast("int").alias("rank"))

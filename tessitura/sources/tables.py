@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.lists import join_list, split_list
 from ..schemas import ANSWERS_RAW, LIST_COLUMNS, PLAYLISTS, TRACKS, TRACKS_CSV
+from .csv_splits import read_quoted_csv
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -33,23 +34,20 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
 EMPTY = "\u0001"  # what the reader puts for a quoted empty field, to tell it from a missing one
 
 
-def read_tracks_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_tracks_csv(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """S-1: tracks CSV with header; ``|`` lists become arrays (F-1).
 
     A field with nothing between the separators is null, a quoted empty field is
     the empty string (an empty list); pandas' ``NA``/``null``/``nan`` are text
-    here.  Fields may hold quotes and line breaks, so a file is not split: a
-    large table is read as many files.
+    here.  Fields may hold quotes and line breaks; large files are still read by
+    many tasks (:mod:`.csv_splits`).  ``whole_files`` reads one file per task
+    with Spark's own reader, for files with stray quotes in unquoted fields.
     """
-    raw = (
-        spark.read.schema(TRACKS_CSV)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("nullValue", "")
-        .option("emptyValue", EMPTY)
-        .csv(path)
-    )
+    empties = {"nullValue": "", "emptyValue": EMPTY}
+    if whole_files:
+        raw = spark.read.schema(TRACKS_CSV).options(header=True, multiLine=True, escape='"', **empties).csv(path)
+    else:
+        raw = read_quoted_csv(spark, path, TRACKS_CSV, **empties)
     text = {f.name: F.when(F.col(f.name) == EMPTY, F.lit("")).otherwise(F.col(f.name)) for f in raw.schema.fields if isinstance(f.dataType, T.StringType)}
     return raw.select(*[(split_list(text[c]) if c in LIST_COLUMNS else text.get(c, F.col(c))).alias(c) for c in raw.columns])
 

@@ -17,14 +17,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.crowd import majority_vote
 from ..session import scratch_path
+from ..sources.keyed import read_keyed, replace_rows, upsert_keyed
 
 
-def vote_stream(spark: SparkSession, answers_dir: str, schema: T.StructType, base_url: str | None = None, max_files: int | None = None) -> DataFrame:
+def vote_stream(spark: SparkSession, answers_dir: str, schema: T.StructType, base_url: str | None = None, max_files: int | None = None, keep_input: bool = False) -> DataFrame:
     """Streaming A-1 over the answer files of a folder (``max_files`` per micro-batch; None: all there are)."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return majority_vote(reader.parquet(answers_dir), base_url=base_url)
+    return majority_vote(reader.parquet(answers_dir), base_url=base_url, keep_input=keep_input)
 
 
 def run_votes(votes: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
@@ -34,9 +35,20 @@ def run_votes(votes: DataFrame, on_batch: Callable[[DataFrame, int], None], chec
     return q
 
 
-def final_votes(spark: SparkSession, answers_dir: str, schema: T.StructType, base_url: str | None = None, max_files: int | None = None) -> DataFrame:
-    """The vote after all files: each batch's complete table replaces the one before."""
-    out = scratch_path(spark, "votes")
-    votes = vote_stream(spark, answers_dir, schema, base_url, max_files)
-    run_votes(votes, lambda batch, _: batch.write.mode("overwrite").parquet(out), scratch_path(spark, "votes-checkpoint"), "complete")
-    return spark.read.schema(votes.schema).parquet(out)
+KEYS = ["emotion", "audio_path"]
+
+
+def final_votes(spark: SparkSession, answers_dir: str, schema: T.StructType, base_url: str | None = None, max_files: int | None = None, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """The vote after all files: every micro-batch hands over the tasks whose counts changed, which are upserted in place.
+
+    A batch that is run again writes the same rows.  With ``path`` and
+    ``checkpoint`` of an earlier call only files that have come since are read.
+    """
+    out = path or scratch_path(spark, "votes")
+    votes = vote_stream(spark, answers_dir, schema, base_url, max_files, keep_input=True)
+
+    def upsert(batch: DataFrame, _: int) -> None:
+        upsert_keyed(batch.sparkSession, out, batch, KEYS, replace_rows(KEYS), votes.schema)
+
+    run_votes(votes, upsert, checkpoint or scratch_path(spark, "votes-checkpoint"))
+    return read_keyed(spark, out, votes.schema).drop("audio_path")

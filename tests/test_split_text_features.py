@@ -133,38 +133,6 @@ def test_first_or_zeros(spark, n):
     assert got == ([1.0] * 5 if n else [0.0] * 5)
 
 
-def _mmr_brute(words, weights, n, beta, thr):
-    from tessitura.operators.keyphrases import trigram_vector
-
-    V = np.stack([trigram_vector(w) for w in words])
-    V = V / np.maximum(np.linalg.norm(V, axis=1, keepdims=True), 1e-12)
-    d = (np.maximum(np.array(weights), 0)[:, None] * V).sum(0)
-    d = d / max(np.linalg.norm(d), 1e-12)
-    sd, S = V @ d, V @ V.T
-    pool, chosen, out = list(range(len(words))), [], []
-    while pool and len(chosen) < n:
-        sc = sd[pool] if not chosen else beta * sd[pool] - (1 - beta) * S[np.ix_(pool, chosen)].max(1)
-        bp = int(np.argmax(sc))
-        b = pool.pop(bp)
-        al = [p for p in pool if S[b, p] >= thr]
-        pool = [p for p in pool if p not in al]
-        chosen.append(b)
-        out.append((len(chosen), words[b], "|".join(sorted(words[a] for a in al))))
-    return out
-
-
-def test_mmr_incremental_equals_brute_force():
-    from tessitura.operators.keyphrases import mmr_select
-
-    rng = np.random.default_rng(0)
-    vocab = ["".join(rng.choice(list("abcdeéfg"), rng.integers(3, 9))) for _ in range(300)]
-    for _ in range(10):
-        words = list(dict.fromkeys(rng.choice(vocab, 120)))
-        weights = sorted(rng.uniform(0, 1, len(words)), reverse=True)
-        got = [(r, w, a) for r, w, _s, a in mmr_select(words, weights, 10, 0.55, 0.7)]
-        assert got == _mmr_brute(words, weights, 10, 0.55, 0.7)
-
-
 def test_keyphrases_use_every_word(spark):
     from tessitura.operators.keyphrases import keyphrases
 
