@@ -34,11 +34,11 @@ from .bytescan import lower_words, mix, text_chunks
 from .common import materialize, read, register, shuffle_width, small_batches
 from .components import connected_components
 
-TILE_SHINGLES = 4_000_000
+TILE_SHINGLES = 4_000_000  # n-grams of a tile of sets: 32 MB of hashes
+BITMAP_TILE = 8  # a bitmap takes a half byte per n-gram at most, so a tile of bitmaps holds so many times as many in half the bytes
 MOST_BITS = 1 << 16
 FLUSH_KEYS = 500_000
 BUCKETS_PER_TASK = 2
-_NO_ID = -(1 << 63)
 _U = np.uint64
 
 
@@ -331,7 +331,7 @@ def _link_batch(out):
 
 
 def spread_tiles(members: DataFrame, num: int, den: int, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """tile, node, upper, _key, n, bitmap: the members of every tile.  ``members``: root, node, n, _key, bitmap (narrow rows).
+    """tile, node, upper, _key, _more, n, bitmap: the members of every tile.  ``members``: root, node, n, _key, _more, bitmap (narrow rows).
 
     A cluster of up to ``tile_shingles`` n-grams is one tile.  A larger one is cut
     by size band and by hash; each pair of cuts of one band or of neighbouring
@@ -341,7 +341,7 @@ def spread_tiles(members: DataFrame, num: int, den: int, tile_shingles: int = TI
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(log_ratio)).cast("long")
     rows = members.withColumn("band", band)
     large = rows.groupBy("root").agg(F.sum("n").alias("_all")).where(F.col("_all") > tile_shingles).select("root")
-    small = rows.join(large, "root", "left_anti").select(F.col("root").cast("string").alias("tile"), "node", F.lit(False).alias("upper"), "_key", "n", "bitmap")
+    small = rows.join(large, "root", "left_anti").select(F.col("root").cast("string").alias("tile"), "node", F.lit(False).alias("upper"), "_key", "_more", "n", "bitmap")
     cuts = rows.join(large, "root", "left_semi").groupBy("root", "band").agg(F.ceil(2 * F.sum("n") / F.lit(tile_shingles)).cast("int").alias("cuts"))
     above, below = cuts.select("root", (F.col("band") - 1).alias("band"), F.col("cuts").alias("cuts_up")), cuts.select("root", (F.col("band") + 1).alias("band"), F.col("cuts").alias("cuts_down"))
     plan = cuts.join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")
@@ -356,7 +356,7 @@ def spread_tiles(members: DataFrame, num: int, den: int, tile_shingles: int = TI
     same = F.transform(upto(F.col("cuts")), lambda j: F.struct(name(F.col("band"), F.least("c", j), F.col("band"), F.greatest("c", j)).alias("tile"), (F.col("c") > j).alias("upper")))
     up = F.transform(upto(F.col("cuts_up")), lambda j: F.struct(name(F.col("band"), F.col("c"), F.col("band") + 1, j).alias("tile"), F.lit(False).alias("upper")))
     down = F.transform(upto(F.col("cuts_down")), lambda j: F.struct(name(F.col("band") - 1, j, F.col("band"), F.col("c")).alias("tile"), F.lit(True).alias("upper")))
-    tiled = big.select("node", "_key", "n", "bitmap", F.explode(F.concat(same, up, down)).alias("t")).select("t.tile", "node", "t.upper", "_key", "n", "bitmap")
+    tiled = big.select("node", "_key", "_more", "n", "bitmap", F.explode(F.concat(same, up, down)).alias("t")).select("t.tile", "node", "t.upper", "_key", "_more", "n", "bitmap")
     return small.unionByName(tiled)
 
 
@@ -397,32 +397,37 @@ def place_rows(docs: DataFrame, n: int, threshold: tuple[int, int], tile_shingle
     spark = docs.sparkSession
     small_batches(spark)
     width = shuffle_width(spark)
-    described = materialize(describe_sets(docs, n, ids[1:]), "jac-sets")
+    # a row's text is found again by hashes of its id and text: rows without an id, or of one id, are no hot key
+    flat = [F.col("doc_id").isNull(), "doc_id", "text"]
+    keyed = docs.withColumns({"_key": F.xxhash64(*flat), "_more": F.hash("text", "doc_id").cast("long")})
+    described = materialize(describe_sets(keyed, n, [*ids[1:], "_key", "_more"]), "jac-sets")
     blobs = docs.select("text").mapInArrow(_key_blobs(n, num, den, width * BUCKETS_PER_TASK), _BLOB)
     candidates = blobs.repartition(width, "bucket").mapInArrow(_bucket_links, "a long, b long")
     clusters = materialize(connected_components(candidates, "jac-cand"), "jac-clusters")
 
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("k"), F.col("n_shingles").alias("n"), "bitmap")).alias("f")
-    reps = described.where(F.col("n_shingles") > 0).groupBy("node").agg(first).select("node", F.col("f.k").alias("_key"), F.col("f.n").alias("n"), "f.bitmap")
-    members = materialize(reps.join(clusters, "node").select("root", "node", "n", "_key", "bitmap"), "jac-members")
+    first = F.min(F.struct("_key", "_more", F.col("n_shingles").alias("n"), "bitmap")).alias("f")
+    reps = described.where(F.col("n_shingles") > 0).groupBy("node").agg(first).select("node", "f._key", "f._more", "f.n", "f.bitmap")
+    columns = ["root", "node", "n", "_key", "_more", "bitmap"]
+    members = materialize(reps.join(clusters, "node").select(*columns), "jac-members")
     # A passage that many documents hold can chain unrelated ones into one large cluster.  Large clusters are first cut down by
     # the bitmaps alone: what they cannot rule out makes the clusters whose sets are shipped.
     large = materialize(members.groupBy("root").agg(F.sum("n").alias("_all")).where(F.col("_all") > tile_shingles).select("root"), "jac-large")
     if not large.isEmpty():
-        rough = spread_tiles(members.join(large, "root", "left_semi"), num, den, tile_shingles).select("tile", "node", "upper", "bitmap", "n")
+        rough = spread_tiles(members.join(large, "root", "left_semi"), num, den, tile_shingles * BITMAP_TILE).select("tile", "node", "upper", "bitmap", "n")
         rough = rough.repartition(width, "tile").sortWithinPartitions("tile", "node").mapInArrow(_compare_tiles(num, den, False), "a long, b long")
         finer = materialize(connected_components(rough, "jac-fine"), "jac-finer")
-        kept = members.join(large, "root", "left_anti").select("root", "node", "n", "_key", "bitmap")
-        members = materialize(kept.unionByName(members.drop("root").join(finer, "node").select("root", "node", "n", "_key", "bitmap")), "jac-members-fine")
+        kept = members.join(large, "root", "left_anti").select(*columns)
+        members = materialize(kept.unionByName(members.drop("root").join(finer, "node").select(*columns)), "jac-members-fine")
     placed = spread_tiles(members, num, den, tile_shingles).drop("bitmap")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_key"), "text")
+    # one text per representative: equal rows collapse before they are shuffled
+    texts = keyed.select("_key", "_more", "text").join(members.select("_key", "_more"), ["_key", "_more"], "left_semi").groupBy("_key", "_more").agg(F.first("text").alias("text"))
 
     def as_sets(batches):
         for b in batches:
             rows = [(t, k, up, u.tobytes(), len(u)) for t, k, up, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(3), n)) if node_of(u) == k]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.int64())], names=["tile", "node", "upper", "shingles", "n"])
 
-    sets = texts.join(placed, "_key").select("tile", "node", "upper", "text").mapInArrow(as_sets, "tile string, node long, upper boolean, shingles binary, n long")
+    sets = texts.join(placed, ["_key", "_more"]).select("tile", "node", "upper", "text").mapInArrow(as_sets, "tile string, node long, upper boolean, shingles binary, n long")
     tiles = sets.repartition(width, "tile").sortWithinPartitions("tile", "node")
     links = tiles.mapInArrow(_compare_tiles(num, den, True), "a long, b long")
     parts = materialize(connected_components(links, "jac-comp"), "jac-parts")

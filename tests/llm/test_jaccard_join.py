@@ -104,3 +104,29 @@ def test_connected_components(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in used}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_rows_without_an_id_and_a_chained_cluster(spark):
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for g in range(200):  # 1,000 rows without an id, in groups of copies and near copies
+        base = say(60)
+        for k in range(5):
+            w = list(base)
+            if k > 2:
+                w[rng.randrange(60)] = "other"
+            rows.append((None, " ".join(w)))
+    passage = " ".join(say(70))
+    for k in range(150):  # unrelated texts that a long common passage chains into one candidate cluster
+        rows.append((5000 + k, " ".join(say(25)) + " " + passage))
+    rows += [(7, " ".join(say(40)))] * 300  # one id, equal rows
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = J.jaccard_components(df, 3, (90, 100), 2000)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 3, 90, 100)
+    kept = J.keep_first_rows(df, 3, (90, 100))
+    names = brute(rows, 3, 90, 100)
+    # every component keeps one row: rows with an id by their component, rows without one by their group of five
+    with_id = len({c for d, _, c in names if d is not None})
+    assert kept.where("doc_id is not null").count() == with_id
+    assert kept.where("doc_id is null").count() >= 200
