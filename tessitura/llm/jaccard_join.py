@@ -37,6 +37,7 @@ from .components import connected_components
 TILE_SHINGLES = 4_000_000  # n-grams of a tile of sets: 32 MB of hashes
 BITMAP_TILE = 8  # a bitmap takes a half byte per n-gram at most, so a tile of bitmaps holds so many times as many in half the bytes
 MOST_BITS = 1 << 16
+KEY_BITS = 23
 FLUSH_KEYS = 500_000
 BUCKETS_PER_TASK = 2
 _U = np.uint64
@@ -360,6 +361,18 @@ def spread_tiles(members: DataFrame, num: int, den: int, tile_shingles: int = TI
     return small.unionByName(tiled)
 
 
+def likely_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``_key`` is not in ``wanted``: none that is in it is lost.
+
+    The keys fall on 2^KEY_BITS flags, kept as 64-bit words: a table of at most
+    2^(KEY_BITS - 6) rows whatever the data, so it is broadcast.
+    """
+    address = F.shiftrightunsigned("_key", 64 - KEY_BITS)
+    word, flag = F.shiftrightunsigned(address, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_key, {64 - KEY_BITS}) & 63 as int))")
+    flags = wanted.select(word, flag.alias("_flag")).groupBy("_word").agg(F.bit_or("_flag").alias("_flags"))
+    return rows.select("*", word).join(F.broadcast(flags), "_word").where(F.col("_flags").bitwiseAND(flag) != 0).select(*rows.columns)
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (90, 100), tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text): links where den * overlap >= num * union.
 
@@ -419,8 +432,9 @@ def place_rows(docs: DataFrame, n: int, threshold: tuple[int, int], tile_shingle
         kept = members.join(large, "root", "left_anti").select(*columns)
         members = materialize(kept.unionByName(members.drop("root").join(finer, "node").select(*columns)), "jac-members-fine")
     placed = spread_tiles(members, num, den, tile_shingles).drop("bitmap")
-    # one text per representative: equal rows collapse before they are shuffled
-    texts = keyed.select("_key", "_more", "text").join(members.select("_key", "_more"), ["_key", "_more"], "left_semi").groupBy("_key", "_more").agg(F.first("text").alias("text"))
+    # one text per representative: equal rows collapse before they are shuffled, and most others are left out by a bitmap
+    wanted = members.select("_key", "_more")
+    texts = likely_rows(keyed.select("_key", "_more", "text"), wanted).join(wanted, ["_key", "_more"], "left_semi").groupBy("_key", "_more").agg(F.first("text").alias("text"))
 
     def as_sets(batches):
         for b in batches:
