@@ -433,8 +433,8 @@ def place_rows(docs: DataFrame, n: int, threshold: tuple[int, int], tile_shingle
         members = materialize(kept.unionByName(members.drop("root").join(finer, "node").select(*columns)), "jac-members-fine")
     placed = spread_tiles(members, num, den, tile_shingles).drop("bitmap")
     # one text per representative: equal rows collapse before they are shuffled, and most others are left out by a bitmap
-    wanted = members.select("_key", "_more")
-    texts = likely_rows(keyed.select("_key", "_more", "text"), wanted).join(wanted, ["_key", "_more"], "left_semi").groupBy("_key", "_more").agg(F.first("text").alias("text"))
+    # (no semi join here: the optimizer would move it below the bitmap, and shuffle all texts)
+    texts = likely_rows(keyed.select("_key", "_more", "text"), members.select("_key")).groupBy("_key", "_more").agg(F.first("text").alias("text"))
 
     def as_sets(batches):
         for b in batches:
