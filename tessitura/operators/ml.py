@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .quasi_newton import L2, TOLERANCE, train_linear
+from .quasi_newton import L2, MAX_ROUNDS, TOLERANCE, train_linear
 
 
 def with_vector(df: DataFrame, array_col: str, out_col: str = "features") -> DataFrame:
@@ -36,15 +36,15 @@ def label_numbers(labels_col: str, names: Sequence[str]) -> Column:
     return F.transform(F.filter(F.col(labels_col), lambda x: F.array_contains(listed, x)), lambda x: (F.array_position(listed, x) - 1).cast("int"))
 
 
-def train_multilabel(train: DataFrame, vector_col: str, labels_col: str, names: Sequence[str], l2: float = L2, tolerance: float = TOLERANCE, path: str | None = None) -> np.ndarray:
-    """M-13: one logistic model per label name, all fitted together until the gradient vanishes.
+def train_multilabel(train: DataFrame, vector_col: str, labels_col: str, names: Sequence[str], rounds: int = MAX_ROUNDS, l2: float = L2, tolerance: float = TOLERANCE, path: str | None = None) -> np.ndarray:
+    """M-13: one logistic model per label name, all fitted together until the gradient vanishes (``rounds`` at most).
 
     A round is one pass in which Spark adds up the gradients of all labels
     (:mod:`.quasi_newton`); with ``path`` a broken run is continued.  Returns the
     weights, the bias last.
     """
     data = materialize(train.select(F.col(vector_col).alias("x"), label_numbers(labels_col, names).alias("y")), "multilabel-train")
-    state = train_linear(data, "logistic", len(names), l2, tolerance=tolerance, path=path)
+    state = train_linear(data, "logistic", len(names), l2, tolerance=tolerance, max_rounds=rounds, path=path)
     return state.w.reshape(len(names), -1)
 
 
