@@ -129,6 +129,6 @@ def test_odd_documents(spark):
 
 def test_registered_queries(spark):
     names = sorted(queries.QUERIES)
-    assert sorted(n.split("_")[0] for n in names) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in names) == sorted(f"op{i}" for i in range(1, 14))
     assert set(queries.ORACLES) <= set(names)
     assert corpus_pipeline.run(spark, SF_SMALL).select(F.sum("taken")).first()[0] > 0
