@@ -2,8 +2,9 @@
 
 K-1 is TF-IDF over the corpus with DataFrame aggregates: tokens by a Unicode
 letter regex, term counts per (doc, word), document frequency per word, and
-a top-10 window per document.  Hot words ("the") are the skew key of the
-df join, which AQE splits at run time.
+a top-10 window per document.  Term counts need no shuffle (a document is one
+row), and hot words ("the"), the skew key of the df join, meet their
+frequency by a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .._compat import col_of
 from ..schemas import KEYWORD_VOCAB_SIZE, KEYWORDS_TOP
-from ..session import bounded_broadcast, materialize, spread
+from ..session import bounded_broadcast, join_hot_keys, materialize, split_repeats, spread
 
 TOKEN_RE = r"\p{L}{3,}"
 
@@ -41,16 +42,32 @@ def tokens(c) -> Column:
     return F.filter(parts, lambda w: F.length(w) >= 3)
 
 
-def term_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, word, tf, doc_len)`` over whole texts (every token of every document).
+def count_in_row(listed: DataFrame, words_col: str) -> DataFrame:
+    """``(doc, word, tf, doc_len)`` of rows ``(doc, array of words)``: a row's words are sorted and the runs counted, so nothing is shuffled.
 
     ``explode_outer`` + a null filter instead of ``explode``: the optimizer
-    would otherwise infer a ``size(tokens) > 0`` filter and evaluate the
+    would otherwise infer a ``size(...) > 0`` filter and evaluate the
     tokenizer a second time.
     """
-    toks = spread(docs.select(doc_col, text_col)).select(F.col(doc_col).alias("doc"), tokens(text_col).alias("toks"))
-    toks = toks.select("doc", F.size("toks").alias("doc_len"), F.explode_outer("toks").alias("word")).where(F.col("word").isNotNull())
-    return toks.groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    s = listed.select("doc", F.sort_array(F.coalesce(F.col(words_col), F.array().cast("array<string>"))).alias("_s"))
+    begin = F.filter(F.transform("_s", lambda w, i: F.when((i == 0) | (w != F.get("_s", i - 1)), i)), lambda i: i.isNotNull())
+    at = s.select("doc", "_s", F.size("_s").alias("doc_len"), begin.alias("_at"))
+    runs = F.transform("_at", lambda p, k: F.struct(F.get("_s", p).alias("word"), (F.coalesce(F.get("_at", k + 1), F.col("doc_len")) - p).cast("long").alias("tf")))
+    return at.select("doc", "doc_len", F.explode_outer(runs).alias("r")).where(F.col("r").isNotNull()).select("doc", "r.word", "r.tf", "doc_len")
+
+
+def term_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc, word, tf, doc_len)`` over whole texts (every token of every document).
+
+    A document is one row, so its words are counted inside the row; only
+    documents whose id comes more than once (or is null) are put together by
+    a shuffle.
+    """
+    count = lambda d: count_in_row(spread(d).select(F.col(doc_col).alias("doc"), tokens(text_col).alias("toks")), "toks")
+    once, again = split_repeats(docs.select(doc_col, text_col), doc_col, "repeated-ids")
+    if again is None:
+        return count(once)
+    return count(once).unionByName(count(again).groupBy("doc", "word").agg(F.sum("tf").alias("tf"), F.first("doc_len").alias("doc_len")))
 
 
 def document_frequencies(terms: DataFrame) -> DataFrame:
@@ -67,8 +84,11 @@ def add_frequencies(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def weigh(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """Every (document, word) with its weight ``tf/len * ln(N/df)``.  A word of a third of all rows is left to AQE's skew join."""
-    j = terms.join(frequencies, "word")
+    """Every (document, word) with its weight ``tf/len * ln(N/df)``; the rows of the most frequent words are not shuffled.
+
+    The frequencies are written once, as the frequent and the other words are joined apart (jobs run when this is called).
+    """
+    j = join_hot_keys(terms, materialize(frequencies, "frequencies"), "word", "df")
     weight = (F.col("tf") / F.col("doc_len")) * F.log(F.col("n_docs") / F.col("df"))
     return j.select("doc", "word", weight.alias("weight"))
 

@@ -155,3 +155,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def split_repeats(df: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose key no other row has, the rest or None); null keys belong to the rest.
+
+    What holds for a key that comes once (its whole group is one row) needs no
+    shuffle; the rest takes the general way.  Only the keys are shuffled here (a
+    job runs when this is called).
+    """
+    again = materialize(df.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR _again IS NULL").select("_again"), name)
+    if again.isEmpty():
+        return df, None
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+
+
+HOT_KEYS = 1 << 18
+
+
+def join_hot_keys(rows: DataFrame, table: DataFrame, key: str, heat: str, bound: int = HOT_KEYS) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row per key, a written table): an inner join that shuffles the rows of rare keys only.
+
+    The ``bound`` keys with the largest ``heat`` are broadcast, which keeps the rows of a
+    skewed table where they are; the others meet by a shuffle.
+    """
+    hot = bounded_broadcast(materialize(table.orderBy(F.desc(heat), F.asc(key)).limit(bound), "hot-keys"), bound)
+    far = rows.join(hot.select(key), key, "left_anti").join(table, key)
+    return rows.join(hot, key).unionByName(far)
