@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 
-from tessitura.operators import text
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessitura.operators import phrases, text
 from tessitura.session import join_hot_keys, materialize
 
 REPEATED = [(1, "alpha beta beta gamma"), (2, "beta gamma"), (2, "beta delta beta"), (3, None), (4, ""), (None, "gamma gamma"), (None, "gamma alpha")]
@@ -34,3 +38,28 @@ def test_hot_keys_join_like_any(spark):
     want = sorted(map(tuple, rows.join(table, "k").collect()))
     for bound in (1, 3, 100):
         assert sorted(map(tuple, join_hot_keys(rows, table, "k", "n", bound).collect())) == want
+
+
+def test_phrases_of_a_long_text_take_linear_time(spark):
+    rng = np.random.default_rng(1)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(300)]
+    long = " ".join(words[x] for x in rng.integers(0, 300, 60_000))
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    begun = time.monotonic()
+    counts = phrases.phrase_counts(df, 5)
+    n = {r.words: r.n for r in counts.groupBy("words").agg(F.sum("tf").alias("n")).collect()}
+    assert n[1] == 60_000 and time.monotonic() - begun < 40  # minutes when every slice copied the text's words
+
+
+def test_phrase_counts_of_single_rows_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, "new york city is big") for i in range(6)], "doc_id long, text string")
+    found = phrases.phrase_counts(df, 5)
+    assert "Exchange" not in plan(found)
+    assert {(r.phrase, r.words, r.tf, r.doc_len) for r in found.collect()} == {("new", 1, 1, 4), ("york", 1, 1, 4), ("city", 1, 1, 4), ("big", 1, 1, 4), ("new york", 2, 1, 4), ("york city", 2, 1, 4), ("new york city", 3, 1, 4)}
+
+
+def test_phrases_of_repeated_documents_are_put_together(spark):
+    df = spark.createDataFrame(REPEATED, "doc_id long, text string")
+    ranked, _ = phrases.corpus_keyphrases(df, least=2)
+    got = {r.phrase: (r.f, r.df) for r in ranked.collect()}
+    assert got == {"alpha": (2, 2), "beta": (5, 2), "gamma": (5, 3), "beta gamma": (2, 2)}
