@@ -4,8 +4,10 @@ Input is ``(track_id, block, samples array<float>)`` with every block but the
 last exactly ``block_size`` samples.  Each block is joined with the last
 ``n_fft/2`` samples of the block before and the first ``n_fft/2`` of the
 block after (two equi-joins on ``(track_id, block)``), so every frame is
-computed from one row: no task ever holds a whole track.  The STFT and mel
-projection run in NumPy over Arrow batches (``mapInPandas``).
+computed from one row: no task ever holds a whole track.  Where the blocks of
+a track are known to stand in order in one partition (``placed``), the neighbours
+are read in passing instead.  The STFT and mel projection run in NumPy, block by
+block, and results leave in record batches of bounded size.
 
 Mel filters follow the published Slaney-style definition used by common
 audio libraries by default: ``fmin=0``, ``fmax=sr/2``, area-normalised
@@ -15,10 +17,12 @@ padding at the track ends; power 2.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,51 +112,104 @@ FRAME_SCHEMA = T.StructType([
 ])
 
 
-def _blocks_to_frames(block_size: int, n_fft: int, hop: int, n_mels: int, sr: int, scale: str = "slaney"):
+PACKED = 1 << 20  # numbers in one record batch made here
+
+
+def _packed(rows, names: list[str], number: pa.DataType = pa.int32()):
+    """Record batches of bounded size from ``(track, number, float32 array)`` rows."""
+    ids, numbers, arrays, n = [], [], [], 0
+
+    def batch():
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+        values = np.concatenate(arrays).astype(np.float32, copy=False)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, number), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=names)
+
+    for tid, at, array in rows:
+        ids.append(tid)
+        numbers.append(at)
+        arrays.append(array)
+        n += len(array) + 1
+        if n >= PACKED:
+            yield batch()
+            ids, numbers, arrays, n = [], [], [], 0
+    if ids:
+        yield batch()
+
+
+def _lists(column: pa.Array):
+    """Every list of a column as an array (a view), None for null."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(column)
+    ends = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False))
+    for null, lo, hi in zip(column.is_null().to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+        yield None if null else values[lo:hi]
+
+
+def _halos(batches, placed: bool):
+    """``(track, block, samples, samples before, samples after)`` of every block; None where the track has no such block.
+
+    The neighbours are columns of their own or, with ``placed``, the rows next to it.
+    """
+    rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(_lists(c) for c in b.columns[2:])))
+    if not placed:
+        yield from rows
+        return
+    follows = lambda x, y: x is not None and y is not None and x[0] == y[0] and x[1] + 1 == y[1]
+    before = now = None
+    for after in itertools.chain(rows, [None]):
+        if now is not None:
+            yield (*now, before[2] if follows(before, now) else None, after[2] if follows(now, after) else None)
+        before, now = now, after
+
+
+def _blocks_to_frames(block_size: int, n_fft: int, hop: int, n_mels: int, sr: int, scale: str = "slaney", placed: bool = False):
     half = n_fft // 2
 
-    def run(batches):
+    def frames(batches):
         mel = mel_filterbank(sr, n_fft, n_mels, scale)
-        for pdf in batches:
-            out_tid, out_frame, out_mel = [], [], []
-            for tid, b, samples, prev, nxt in zip(pdf["track_id"], pdf["block"], pdf["samples"], pdf["prev_tail"], pdf["next_head"]):
-                cur = np.asarray(samples, dtype=np.float64)
-                is_last = nxt is None
-                p = np.zeros(half) if prev is None else np.asarray(prev, dtype=np.float64)
-                nx = np.zeros(0) if nxt is None else np.asarray(nxt, dtype=np.float64)
-                nx = np.concatenate([nx, np.zeros(half - len(nx))]) if len(nx) < half else nx[:half]
-                local = np.concatenate([p, cur, nx])
-                start_global = int(b) * block_size
-                t0 = start_global // hop
-                if is_last:
-                    t1 = (start_global + len(cur)) // hop
-                else:
-                    t1 = (start_global + block_size) // hop - 1
-                n = t1 - t0 + 1
-                feats = log_mel_frames(local, t0 * hop - start_global, n, n_fft, hop, mel)
-                out_tid.extend([int(tid)] * n)
-                out_frame.extend(range(t0, t0 + n))
-                out_mel.extend(list(feats))
-            yield pd.DataFrame({"track_id": out_tid, "frame": out_frame, "mel": out_mel})
+        for tid, b, samples, prev, nxt in _halos(batches, placed):
+            cur = samples.astype(np.float64)
+            is_last = nxt is None
+            p = np.zeros(half) if prev is None else prev[len(prev) - half :].astype(np.float64)
+            nx = np.zeros(0) if nxt is None else nxt[:half].astype(np.float64)
+            nx = np.concatenate([nx, np.zeros(half - len(nx))])
+            local = np.concatenate([p, cur, nx])
+            start_global = b * block_size
+            t0 = start_global // hop
+            if is_last:
+                t1 = (start_global + len(cur)) // hop
+            else:
+                t1 = (start_global + block_size) // hop - 1
+            n = t1 - t0 + 1
+            for k, frame in enumerate(log_mel_frames(local, t0 * hop - start_global, n, n_fft, hop, mel)):
+                yield tid, t0 + k, frame
+
+    def run(batches):
+        yield from _packed(frames(batches), ["track_id", "frame", "mel"])
 
     return run
 
 
-def log_mel(pcm: DataFrame, block_size: int = BLOCK_SIZE, n_fft: int = N_FFT, hop: int = HOP_LENGTH, n_mels: int = N_MELS, sr: int = SAMPLE_RATE, channel: int | None = None, scale: str = "slaney") -> DataFrame:
+def log_mel(pcm: DataFrame, block_size: int = BLOCK_SIZE, n_fft: int = N_FFT, hop: int = HOP_LENGTH, n_mels: int = N_MELS, sr: int = SAMPLE_RATE, channel: int | None = None, scale: str = "slaney", placed: bool = False) -> DataFrame:
     """X-1 / X-5: ``(track_id, frame, mel array<float>)`` time-major log-mel rows.
 
     X-5 is the same operator with ``channel`` (one channel of a multi-channel
     PCM table, ``channel`` column) and ``scale='htk'``, after :func:`resample_bandlimited`.
+
+    ``placed`` says that the blocks of every track stand in order, one after the other, in one
+    partition, as :func:`pcm_from_text` makes them for texts with ids of their own; their neighbours are
+    then the rows next to them and no samples are shuffled.
     """
     if block_size % hop:
         raise ValueError("block_size must be a multiple of hop")
     src = pcm if channel is None else pcm.where(F.col("channel") == channel)
     src = src.select("track_id", "block", "samples")
     half = n_fft // 2
-    prev = src.select("track_id", (F.col("block") + 1).alias("block"), F.slice("samples", -half, half).alias("prev_tail"))
-    nxt = src.select("track_id", (F.col("block") - 1).alias("block"), F.slice("samples", 1, half).alias("next_head"))
-    joined = src.join(prev, ["track_id", "block"], "left").join(nxt, ["track_id", "block"], "left")
-    return joined.mapInPandas(_blocks_to_frames(block_size, n_fft, hop, n_mels, sr, scale), FRAME_SCHEMA)
+    if not placed:
+        prev = src.select("track_id", (F.col("block") + 1).alias("block"), F.slice("samples", -half, half).alias("prev_tail"))
+        nxt = src.select("track_id", (F.col("block") - 1).alias("block"), F.slice("samples", 1, half).alias("next_head"))
+        src = src.join(prev, ["track_id", "block"], "left").join(nxt, ["track_id", "block"], "left")
+    return src.mapInArrow(_blocks_to_frames(block_size, n_fft, hop, n_mels, sr, scale, placed), FRAME_SCHEMA)
 
 
 def _cut_at_blocks(made: DataFrame, block_size: int) -> DataFrame:
@@ -166,6 +223,23 @@ def _cut_at_blocks(made: DataFrame, block_size: int) -> DataFrame:
     return blocks.select("track_id", "block", F.flatten(F.transform("_p", lambda x: x["piece"])).alias("samples"))
 
 
+def _in_blocks(made, block_size: int):
+    """The same for pieces ``(track, j0, out)`` that come in order: ``(track, block, samples)``."""
+    now, parts = None, []
+    for tid, j0, out in made:
+        while len(out):
+            block = j0 // block_size
+            if now != (tid, block):
+                if parts:
+                    yield (*now, np.concatenate(parts))
+                now, parts = (tid, block), []
+            n = min(len(out), (block + 1) * block_size - j0)
+            parts.append(out[:n])
+            j0, out = j0 + n, out[n:]
+    if parts:
+        yield (*now, np.concatenate(parts))
+
+
 def resample(pcm: DataFrame, sr_in: int, sr_out: int = SAMPLE_RATE, block_size: int = BLOCK_SIZE) -> DataFrame:
     """The PCM table at another sample rate, by linear interpolation (no band limit); a track keeps its duration.
 
@@ -216,37 +290,45 @@ def resample_frames(signal: np.ndarray, start: int, j0: int, j1: int, sr_in: int
     return np.einsum("ij,ij->i", windows[at // up - start - (half - 1)], bank[at % up])
 
 
-def resample_bandlimited(pcm: DataFrame, sr_in: int, sr_out: int = SAMPLE_RATE, block_size: int = BLOCK_SIZE) -> DataFrame:
+def resample_bandlimited(pcm: DataFrame, sr_in: int, sr_out: int = SAMPLE_RATE, block_size: int = BLOCK_SIZE, placed: bool = False) -> DataFrame:
     """X-5: the PCM table at another sample rate through a polyphase windowed-sinc filter; a track keeps its duration.
 
     What lies above the new rate's band is damped by more than 60 dB.  Every
     block gets the last samples of the block before and the first of the block
     after as halo (two equi-joins), silence beyond the track's ends, and makes
-    the output samples that fall into it.
+    the output samples that fall into it.  With ``placed`` (see :func:`log_mel`) the halo
+    comes from the rows next to it, and the new table is placed as well.
     """
     bank = polyphase_bank(sr_in, sr_out)
     half = bank.shape[1] // 2
     if block_size < half:
         raise ValueError(f"blocks of {half} samples or more are needed")
     src = pcm.select("track_id", "block", "samples")
-    before = src.select("track_id", (F.col("block") + 1).alias("block"), F.slice("samples", -F.least(F.lit(half), F.size("samples")), half).alias("before"))
-    after = src.select("track_id", (F.col("block") - 1).alias("block"), F.slice("samples", 1, half).alias("after"))
-    joined = src.join(before, ["track_id", "block"], "left").join(after, ["track_id", "block"], "left").select("track_id", "block", "before", "samples", "after")
+    if not placed:
+        before = src.select("track_id", (F.col("block") + 1).alias("block"), F.slice("samples", -F.least(F.lit(half), F.size("samples")), half).alias("before"))
+        after = src.select("track_id", (F.col("block") - 1).alias("block"), F.slice("samples", 1, half).alias("after"))
+        src = src.join(before, ["track_id", "block"], "left").join(after, ["track_id", "block"], "left").select("track_id", "block", "samples", "before", "after")
     first = lambda n: -(-n * sr_out // sr_in)  # noqa: E731  (the first output sample at or after input sample n)
 
+    def pieces(batches):
+        for tid, block, mid, left, right in _halos(batches, placed):
+            begin = block * block_size
+            j0, j1 = first(begin), first(begin + len(mid))
+            if j1 > j0:
+                left = np.zeros(0) if left is None else left[max(0, len(left) - half) :].astype(np.float64)
+                right = np.zeros(0) if right is None else right[:half].astype(np.float64)
+                signal = np.concatenate([np.zeros(half - len(left)), left, mid.astype(np.float64), right, np.zeros(half - len(right))])
+                yield tid, j0, resample_frames(signal, begin - half, j0, j1, sr_in, sr_out, bank).astype(np.float32)
+
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for tid, block, left, mid, right in pdf.itertuples(index=False):
-                begin = int(block) * block_size
-                j0, j1 = first(begin), first(begin + len(mid))
-                if j1 > j0:
-                    side = [np.zeros(0) if x is None else np.asarray(x, dtype=np.float64) for x in (left, right)]
-                    signal = np.concatenate([np.zeros(half - len(side[0])), side[0], np.asarray(mid, dtype=np.float64), side[1], np.zeros(half - len(side[1]))])
-                    rows.append((int(tid), j0, resample_frames(signal, begin - half, j0, j1, sr_in, sr_out, bank).astype(np.float32)))
-            yield pd.DataFrame(rows, columns=["track_id", "j0", "out"])
+        yield from _packed(pieces(batches), ["track_id", "j0", "out"], pa.int64())
+
+    def run_placed(batches):
+        yield from _packed(_in_blocks(pieces(batches), block_size), ["track_id", "block", "samples"])
 
-    return _cut_at_blocks(joined.mapInPandas(run, "track_id long, j0 long, out array<float>"), block_size)
+    if placed:
+        return src.mapInArrow(run_placed, PCM_SCHEMA)
+    return _cut_at_blocks(src.mapInArrow(run, "track_id long, j0 long, out array<float>"), block_size)
 
 
 def first_seconds(pcm: DataFrame, seconds: float, sr: int = SAMPLE_RATE, block_size: int = BLOCK_SIZE) -> DataFrame:
@@ -307,19 +389,19 @@ PCM_SCHEMA = T.StructType([
 
 
 def _text_to_blocks(block_size: int):
-    def run(batches):
-        for pdf in batches:
-            tids, blocks, samples = [], [], []
-            for tid, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
+    def blocks(batches):
+        for batch in batches:
+            for tid, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py()
                 if text is None or len(text) == 0:
                     continue
                 codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
                 y = ((codes % 64).astype(np.float32) - 32.0) / 32.0
                 for b in range(0, (len(y) + block_size - 1) // block_size):
-                    tids.append(int(tid))
-                    blocks.append(b)
-                    samples.append(y[b * block_size : (b + 1) * block_size])
-            yield pd.DataFrame({"track_id": tids, "block": blocks, "samples": samples})
+                    yield int(tid.as_py()), b, y[b * block_size : (b + 1) * block_size]
+
+    def run(batches):
+        yield from _packed(blocks(batches), ["track_id", "block", "samples"])
 
     return run
 
@@ -328,10 +410,11 @@ def pcm_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A PCM table derived from text (one sample per character, in [-1, 1)), cut into blocks.
 
     Used to drive X-1 at the scale of the text corpus; real deployments read
-    decoded audio into the same ``(track_id, block, samples)`` shape.
+    decoded audio into the same ``(track_id, block, samples)`` shape.  Blocks of one text
+    stand in order, one after the other; a task holds one batch of texts and a bounded number of samples.
     """
     docs = spread(docs.select(id_col, text_col))
-    return docs.mapInPandas(_text_to_blocks(block_size), PCM_SCHEMA)
+    return docs.mapInArrow(_text_to_blocks(block_size), PCM_SCHEMA)
 
 
 def frame_stats(frames: DataFrame) -> DataFrame:

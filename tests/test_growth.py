@@ -6,9 +6,11 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessitura.operators import phrases, text
+from tessitura.operators import features, phrases, text
+from tessitura.plans import q_ml
 from tessitura.session import join_hot_keys, materialize
 
 REPEATED = [(1, "alpha beta beta gamma"), (2, "beta gamma"), (2, "beta delta beta"), (3, None), (4, ""), (None, "gamma gamma"), (None, "gamma alpha")]
@@ -63,3 +65,34 @@ def test_phrases_of_repeated_documents_are_put_together(spark):
     ranked, _ = phrases.corpus_keyphrases(df, least=2)
     got = {r.phrase: (r.f, r.df) for r in ranked.collect()}
     assert got == {"alpha": (2, 2), "beta": (5, 2), "gamma": (5, 3), "beta gamma": (2, 2)}
+
+
+def _pcm(spark, tracks, block):
+    rows = [(t, b, y[b * block : (b + 1) * block].tolist()) for t, y in tracks.items() for b in range(-(-len(y) // block))]
+    return spark.createDataFrame(rows, "track_id long, block int, samples array<float>").coalesce(1)
+
+
+def test_placed_blocks_need_no_shuffle(spark):
+    rng = np.random.default_rng(2)
+    pcm = _pcm(spark, {t: rng.normal(size=n).astype(np.float32) for t, n in ((1, 9000), (2, 700), (3, 2048 * 3), (5, 2049))}, 2048)
+    for step in (lambda p, placed: features.log_mel(p, 2048, placed=placed), lambda p, placed: features.resample_bandlimited(p, 22_050, 16_000, 2048, placed)):
+        read, joined = step(pcm, True), step(pcm, False)
+        assert "Exchange" not in plan(read) and "Exchange" in plan(joined)
+        got, want = (sorted((r[0], r[1], tuple(r[2])) for r in x.collect()) for x in (read, joined))
+        assert got == want and len(got) > 4
+
+
+def test_batches_made_in_python_are_bounded():
+    text_rows = pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text": ["x" * 30_000] * 400})
+    sizes = [len(b.column(2).flatten()) for b in features._text_to_blocks(4096)(iter([text_rows]))]
+    assert sum(sizes) == 400 * 30_000 and max(sizes) <= features.PACKED + 4096
+    blocks = next(features._text_to_blocks(4096)(iter([text_rows])))
+    frames = [len(b.column(2).flatten()) for b in features._blocks_to_frames(4096, 2048, 64, 128, 22_050, placed=True)(iter([blocks]))]
+    assert len(frames) > 1 and max(frames) <= features.PACKED + 4096
+
+
+def test_tones_and_texts_of_repeated_ids_are_joined(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "id long, t string")
+    (once, placed), (again, not_placed) = q_ml.placed_parts(df, "id")
+    assert [r.t for r in once.collect()] == ["a"] and sorted(r.t for r in again.collect()) == ["b", "c", "d"]
+    assert placed and not not_placed and len(q_ml.placed_parts(df.where("t = 'a'"), "id")) == 1
