@@ -37,6 +37,7 @@ from .ordering import day_block, dense_index, epoch_micros, near_equal_parts, qu
 
 DAY_MICROS = 86_400_000_000
 MONEY = "decimal(20,4)"
+BUSY_TIMES = 1 << 20  # times of one worker that one window may hold
 
 
 # --------------------------------------------------------------------- A-1 / L-1
@@ -184,14 +185,16 @@ def income_last_24h(
     time_col: str = "submitted_at",
     reward_col: str = "reward",
     limit: float = INCOME_LIMIT_24H,
+    busy_times: int = BUSY_TIMES,
 ) -> DataFrame:
     """W-4: per answer, the worker's income over the last 24 h (inclusive); restricted when >= limit.
 
     An answer adds its reward when it is given and takes it back when its 24
     hours are over, so the income is a running sum over these events.  Events of
-    one worker at one time are added up first; the sums run in two levels, over
-    stretches of time with near-equal numbers of events and over the stretches'
-    totals, so no task holds a worker's day, however many answers it has.  The
+    one worker at one time are added up first; the sums run over a worker's times.
+    Workers of more than ``busy_times`` times have them cut into stretches with near-equal
+    numbers of events, and the sums run in two levels, over stretches and over their
+    totals, so no task holds more, however many answers a worker has.  The
     answers then look their time up (a hot worker and time is an equi-join that
     AQE splits).  Rewards are summed as decimals.  Answers without a time see
     each other only; answers without a worker are one worker.
@@ -202,7 +205,13 @@ def income_last_24h(
     over = F.struct((F.col("_key.at") + DAY_MICROS + 1).alias("at"), (-pay).cast(MONEY).alias("pay"), F.lit(0).alias("given"))
     events = base.select(F.col("_key.w").alias("w"), F.inline(F.when(F.col("_key.at").isNull(), F.array(given)).otherwise(F.array(given, over))))
     times = materialize(events.groupBy("w", "at").agg(F.sum("pay").alias("pay"), F.max("given").alias("given")), "income-times")
-    placed = times.withColumn("_blk", F.struct("w", quantile_block(times, "at").alias("b"))).repartition("_blk")
+    busy = materialize(times.groupBy("w").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > busy_times).select(F.col("w").alias("_w")), "income-busy")
+    # a worker is one stretch of time, a busy one is cut into many
+    stretch = F.lit(0).cast("long")
+    if not busy.isEmpty():
+        flagged = times.join(busy.withColumn("_busy", F.lit(True)), F.col("w").eqNullSafe(F.col("_w")), "left")
+        times, stretch = flagged.drop("_w"), F.when(F.col("_busy"), quantile_block(times, "at")).otherwise(stretch)
+    placed = times.withColumn("_blk", F.struct("w", F.when(F.col("at").isNotNull(), stretch).alias("b"))).repartition("_blk")
     inside = Window.partitionBy("_blk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_run", F.sum("pay").over(inside))
     # answers without a time are a stretch of their own that no other sees

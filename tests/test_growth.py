@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessitura.operators import features, phrases, text
+from tessitura.operators import crowd, features, phrases, text
 from tessitura.plans import q_ml
 from tessitura.session import join_hot_keys, materialize
 
@@ -96,3 +97,20 @@ def test_tones_and_texts_of_repeated_ids_are_joined(spark):
     (once, placed), (again, not_placed) = q_ml.placed_parts(df, "id")
     assert [r.t for r in once.collect()] == ["a"] and sorted(r.t for r in again.collect()) == ["b", "c", "d"]
     assert placed and not not_placed and len(q_ml.placed_parts(df.where("t = 'a'"), "id")) == 1
+
+
+def test_income_of_busy_workers_is_cut_into_stretches(spark):
+    rng = np.random.default_rng(4)
+    base = dt.datetime(2024, 1, 1)
+    data = [(n, [None, "a", "b", "c"][int(rng.choice(4, p=[0.1, 0.7, 0.1, 0.1]))], None if n % 17 == 0 else base + dt.timedelta(hours=int(rng.integers(0, 96))), float(rng.integers(0, 9))) for n in range(300)]
+    df = spark.createDataFrame(data, "id long, worker_id string, submitted_at timestamp, reward double")
+    want = {n: sum(r for _, v, s, r in data if v == w and (s is None if t is None else s is not None and t - dt.timedelta(days=1) <= s <= t)) for n, w, t, _ in data}
+    for busy in (10, 60, 1 << 20):
+        assert {r.id: r.income_24h for r in crowd.income_last_24h(df, busy_times=busy).collect()} == want
+
+
+def test_income_of_other_workers_stays_in_one_stretch(spark):
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(str(n % 3), base + dt.timedelta(hours=n), 1.0) for n in range(90)], "worker_id string, submitted_at timestamp, reward double")
+    # no table of borders is made, so no value is looked up in one
+    assert "aggregate(" not in plan(crowd.income_last_24h(df))
