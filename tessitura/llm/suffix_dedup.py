@@ -46,6 +46,7 @@ BUCKETS_PER_TASK = 8
 FLUSH_ENTRIES = 500_000
 FLUSH_BYTES = 6 << 20
 BATCH_BYTES = 1 << 20
+GATHER_BYTES = 1 << 20
 HOT_BATCHES = 4
 _LAST = (1 << 63) - 1
 _PIECE = 1 << 21
@@ -194,24 +195,48 @@ def _send_anchors(length: int, buckets: int):
     return run
 
 
+def _few_buckets(held: dict[int, list[tuple]], weight: Callable[[tuple], int], most: int) -> Iterator[list[tuple]]:
+    """The packed rows of a task in stretches of whole buckets, each ended by the bucket that brings it to ``most``; given rows are let go.
+
+    Equal anchors lie in one bucket, so a task unpacks, sorts and answers a few buckets at a time.
+    """
+    rows, n = [], 0
+    for bucket in sorted(held):
+        own = held.pop(bucket)
+        rows += own
+        n += sum(map(weight, own))
+        if n >= most:
+            yield rows
+            rows, n = [], 0
+    if rows:
+        yield rows
+
+
 def _answer_anchors(buckets: int):
     """Partition function over entries: the pairs that another document has too, packed per bucket of ids."""
 
+    def shared_pairs(rows):
+        e = np.concatenate([_unplaned(x) for _, x, _ in rows])
+        d = np.concatenate([_wide(y, len(x) // 8) for _, x, y in rows])
+        several = np.repeat([kind == 2 for kind, _, _ in rows], [len(x) // 8 for _, x, _ in rows])
+        key = e >> _U(16)
+        shared = _group_flags(e >> _U(8), d, several) | _group_flags((key << _U(8)) | (e & _U(255)), d, several)
+        shared &= ~several  # the pairs of these are known
+        return e[shared], d[shared]
+
     def run(batches):
-        entries, ids, held, known, whose = [], [], [], [], []
+        held, known, whose = {}, [], []
         for b in batches:
-            for kind, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                (known if kind == 1 else entries).append(np.frombuffer(x, _U) if kind == 1 else _unplaned(x))
-                (whose if kind == 1 else ids).append(_wide(y, len(x) // 8))
-                if kind != 1:
-                    held.append(np.full(len(x) // 8, kind == 2))
-        if entries:
-            e, d, several = np.concatenate(entries), np.concatenate(ids), np.concatenate(held)
-            key = e >> _U(16)
-            shared = _group_flags(e >> _U(8), d, several) | _group_flags((key << _U(8)) | (e & _U(255)), d, several)
-            shared &= ~several  # the pairs of these are known
-            known.append(e[shared])
-            whose.append(d[shared])
+            for kind, bucket, x, y in zip(*(col.to_pylist() for col in b.columns)):
+                if kind == 1:
+                    known.append(np.frombuffer(x, _U))
+                    whose.append(_wide(y, len(x) // 8))
+                else:
+                    held.setdefault(bucket, []).append((kind, x, y))
+        for rows in _few_buckets(held, lambda r: len(r[1]) // 8, FLUSH_ENTRIES):
+            e, d = shared_pairs(rows)
+            known.append(e)
+            whose.append(d)
         if known:
             e, d = np.concatenate(known), np.concatenate(whose)
             bucket = (mix(d.view(_U)) % _U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
@@ -271,11 +296,17 @@ _TAG = _U(65_535)
 
 
 def _gather(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of all (at, size) stretches, one after the other."""
+    """The bytes of all (at, size) stretches, one after the other; the places, several bytes for each byte, are made for about ``GATHER_BYTES`` at a time."""
     ends = np.cumsum(size)
     n = int(ends[-1]) if len(ends) else 0
     kind = np.int32 if max(n, len(buf)) < 1 << 31 else np.int64
-    return buf[np.arange(n, dtype=kind) + np.repeat((at - (ends - size)).astype(kind), size)]
+    out, lo, done = np.empty(n, dtype=buf.dtype), 0, 0
+    while done < n:
+        hi = max(int(np.searchsorted(ends, done + GATHER_BYTES, side="right")), lo + 1)
+        stop, part = int(ends[hi - 1]), slice(lo, hi)
+        out[done:stop] = buf[np.arange(done, stop, dtype=kind) + np.repeat((at[part] - (ends[part] - size[part])).astype(kind), size[part])]
+        lo, done = hi, stop
+    return out
 
 
 def _content_hashes(data: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
@@ -411,18 +442,13 @@ def _shard_results(length: int):
                 best[i] = window_minima(np.full(len(i), length), _gather(data, start[i], np.full(len(i), length)), least[frag[i]], length)
         return best
 
-    def run(batches):
-        parts = []
-        for b in batches:
-            for kind, _, a, l, t, s, d in zip(*(col.to_pylist() for col in b.columns)):
-                if kind:
-                    continue
-                a, size, d = _unplaned(a), np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(d, np.uint8)
-                parts.append((a, _content_hashes(d, size, length), _wide(l, len(a)), np.frombuffer(t, np.int64), size, d))
-        if not parts:
-            return
-        a, c, least, times, size, data = _merge(*(np.concatenate(x) for x in zip(*parts)))
-        del parts
+    def unpacked(rows):
+        for a, l, t, s, d in rows:
+            a, size, d = _unplaned(a), np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(d, np.uint8)
+            yield a, _content_hashes(d, size, length), _wide(l, len(a)), np.frombuffer(t, np.int64), size, d
+
+    def shard(rows):
+        a, c, least, times, size, data = _merge(*(np.concatenate(x) for x in zip(*unpacked(rows))))
         ends = np.cumsum(size)
         groups = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))  # never cut inside an anchor
         i = 0
@@ -437,6 +463,15 @@ def _shard_results(length: int):
             yield results(a[lo:hi], c[lo:hi], least[lo:hi], times[lo:hi], size[lo:hi], best)
             i = j
 
+    def run(batches):
+        held = {}
+        for b in batches:
+            for kind, bucket, *row in zip(*(col.to_pylist() for col in b.columns)):
+                if kind == 0:
+                    held.setdefault(bucket, []).append(row)
+        for rows in _few_buckets(held, lambda r: len(r[4]), FLUSH_BYTES):
+            yield from shard(rows)
+
     return run
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -167,3 +168,60 @@ def test_whole_characters():
     assert S.whole_characters(raw, [(2, 4)]) == "aé"
     assert S.whole_characters(raw, [(1, 2)]) == "aéb"
     assert S.whole_characters(raw, [(0, 3)]) == "b"
+
+
+def _packed_fragments(buckets, each, alphabet=4):
+    """One sent row per bucket, with ``each`` fragments of 60 bytes, of which every second one comes again as a later document's."""
+    rng = np.random.default_rng(3)
+    for b in range(buckets):
+        anchor = np.sort(rng.integers(0, 1 << 20, each).astype(np.uint64)) + np.uint64(b << 24)
+        text = rng.integers(97, 97 + alphabet, (each, 60)).astype(np.uint8)
+        text[1::2], anchor[1::2] = text[::2], anchor[::2]
+        row = (0, b, S._planes(anchor), S._narrow(rng.integers(0, 1000, each)), np.ones(each, dtype=np.int64).tobytes(), np.full(each, 60, dtype=np.int32).tobytes(), text.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, S._SENT_TYPES)], names=S._SENT_NAMES)
+
+
+def _peak_mb(run):
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in run())
+        return n, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_shard_holds_a_few_buckets_at_a_time(monkeypatch):
+    """Memory beyond the packed rows themselves does not grow with the buckets of a task, and what is found stays."""
+    shard = S._shard_results(50)
+    few = _peak_mb(lambda: shard(_packed_fragments(4, 20_000)))
+    many = _peak_mb(lambda: shard(_packed_fragments(32, 20_000)))
+    assert many[0] > 7 * few[0]
+    assert many[1] - few[1] < 28 * 20_000 * 100 / 1e6 * 1.5  # the packed rows of 28 more buckets, about 82 bytes a fragment
+
+    rows = lambda: sorted(r for b in shard(_packed_fragments(6, 300)) for r in zip(*(c.to_pylist() for c in b.columns)))
+    whole = rows()
+    monkeypatch.setattr(S, "FLUSH_BYTES", 1)
+    monkeypatch.setattr(S, "GATHER_BYTES", 70)
+    assert whole and rows() == whole
+
+
+def test_entries_are_answered_a_few_buckets_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+
+    def sent(buckets, each, step):
+        for b in range(buckets):
+            e = np.sort((rng.integers(0, 1 << 20, each).astype(np.uint64) << np.uint64(16)) + np.uint64(b << 44))
+            yield S._entry_batch([(0, b, S._planes(e), S._narrow(np.arange(each))), (0, b, S._planes(e[::step].copy()), S._narrow(np.arange(each)[::step] + each))])
+
+    answer = S._answer_anchors(8)
+    few, many = _peak_mb(lambda: answer(sent(4, 100_000, 50))), _peak_mb(lambda: answer(sent(40, 100_000, 50)))
+    assert many[1] - few[1] < 36 * 102_000 * 12 / 1e6 * 2
+
+    def pairs():
+        nonlocal rng
+        rng = np.random.default_rng(4)
+        return sorted(p for b in answer(sent(6, 500, 3)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()) for p in zip(np.frombuffer(x, np.uint64).tolist(), S._wide(y, len(x) // 8).tolist()))
+
+    whole = pairs()
+    monkeypatch.setattr(S, "FLUSH_ENTRIES", 1)
+    assert whole and pairs() == whole
