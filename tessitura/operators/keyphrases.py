@@ -1,8 +1,9 @@
 """K-2: diversity re-rank of keyword candidates (greedy maximal marginal relevance).
 
 Candidates are all words of a document, ranked by TF-IDF (K-1 weights).  Word
-vectors are trained on the corpus (:mod:`.vectors`) and joined to the
-candidates; words too rare for a vector are like no other word.  The document vector
+vectors are trained on the corpus (:mod:`.vectors`); words too rare for a vector are like
+no other word.  Of the ``HOT_WORDS`` most frequent words a candidate carries a number only, and every
+worker has their vectors; the others carry their vector.  The document vector
 is the TF-IDF-weighted mean of its candidates' unit vectors.  The greedy selection runs per document
 (in Arrow batches of documents), as described for EmbedRank (Bennani-Smires et
 al., 2018): score = ``beta * sim(word, doc) - (1 - beta) * max sim(word,
@@ -15,12 +16,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import bounded_broadcast, materialize
 from .text import document_frequencies, term_counts, weigh
-from .vectors import train_vectors
+from .vectors import HOT_WORDS, train_vectors
 
 MMR_SCHEMA = "doc_id long, rank int, keyword string, score double, aliases string"
 DIGITS = 9
@@ -54,13 +55,14 @@ def mmr_select(words, weights, vectors, n: int, beta: float, alias_threshold: fl
     return out
 
 
-def _mmr_batches(n: int, beta: float, alias_threshold: float):
+def _mmr_batches(n: int, beta: float, alias_threshold: float, hot: np.ndarray):
     def run(batches):
         for pdf in batches:
             rows = []
             for doc, cands in zip(pdf["doc_id"], pdf["cands"]):
-                dims = max((len(c["v"]) for c in cands if c["v"] is not None), default=1)
-                vectors = [np.zeros(dims) if c["v"] is None else c["v"] for c in cands]
+                vectors = [c["v"] if c["at"] < 0 else hot[c["at"]] for c in cands]
+                none = np.zeros(max((len(v) for v in vectors if v is not None), default=1))
+                vectors = [none if v is None else v for v in vectors]
                 for rank, word, score, aliases in mmr_select([c["keyword"] for c in cands], [-c["neg_weight"] for c in cands], vectors, n, beta, alias_threshold):
                     rows.append((int(doc), rank, word, score, aliases))
             yield pd.DataFrame(rows, columns=["doc_id", "rank", "keyword", "score", "aliases"])
@@ -78,9 +80,18 @@ def keyphrases(docs: DataFrame, n: int = 10, beta: float = 0.55, alias_threshold
     """
     vectors = train_vectors(docs) if vectors is None else vectors
     terms = materialize(term_counts(docs), "term-counts")
+    frequencies = materialize(document_frequencies(terms), "frequencies")
     # rounded, so that equal weights stay equal and rank A-Z
-    scored = weigh(terms, document_frequencies(terms)).withColumn("weight", F.round("weight", DIGITS)).join(vectors, "word", "left")
-    per_doc = scored.groupBy(F.col("doc").alias("doc_id")).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("neg_weight"), F.col("word").alias("keyword"), "v"))).alias("cands")
+    scored = weigh(terms, frequencies).select("doc", "word", F.round("weight", DIGITS).alias("weight"))
+    top = vectors.where(F.col("v").isNotNull()).join(frequencies.select("word", "df"), "word").orderBy(F.desc("df"), F.asc("word")).limit(HOT_WORDS)
+    w = Window.orderBy(F.desc("df"), F.asc("word"))  # over at most HOT_WORDS rows
+    hot = materialize(top.select("word", "v", (F.row_number().over(w) - 1).cast("int").alias("at")), "hot-vectors")
+    listed = hot.orderBy("at").select("v").toArrow().column("v").combine_chunks()
+    matrix = listed.flatten().to_numpy().reshape(len(listed), -1) if len(listed) else np.zeros((0, 1))
+    near = scored.join(bounded_broadcast(hot.select("word", "at"), HOT_WORDS), "word").withColumn("v", F.lit(None).cast("array<double>"))
+    words = bounded_broadcast(hot.select("word"), HOT_WORDS)
+    far = scored.join(words, "word", "left_anti").join(vectors.join(words, "word", "left_anti"), "word", "left").withColumn("at", F.lit(-1))
+    per_doc = near.unionByName(far).groupBy(F.col("doc").alias("doc_id")).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("neg_weight"), F.col("word").alias("keyword"), "at", "v"))).alias("cands")
     )
-    return per_doc.mapInPandas(_mmr_batches(n, beta, alias_threshold), MMR_SCHEMA)
+    return per_doc.mapInPandas(_mmr_batches(n, beta, alias_threshold, matrix), MMR_SCHEMA)

@@ -7,10 +7,11 @@ import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessitura.operators import crowd, features, phrases, text
+from tessitura.operators import crowd, features, keyphrases, phrases, text, vectors
 from tessitura.plans import q_ml
 from tessitura.session import join_hot_keys, materialize
 
@@ -114,3 +115,48 @@ def test_income_of_other_workers_stays_in_one_stretch(spark):
     df = spark.createDataFrame([(str(n % 3), base + dt.timedelta(hours=n), 1.0) for n in range(90)], "worker_id string, submitted_at timestamp, reward double")
     # no table of borders is made, so no value is looked up in one
     assert "aggregate(" not in plan(crowd.income_last_24h(df))
+
+
+def test_cells_of_frequent_words_meet_their_rows_without_a_shuffle(spark, monkeypatch):
+    """A product shuffles the sums, and the cells of words that are not frequent; whatever is frequent, the vectors and keyphrases are the same."""
+    rng = np.random.default_rng(2)
+    words = np.array([f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)])
+    odds = 1 / np.arange(1, 61)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 50, p=odds / odds.sum()))) for i in range(80)] + [(80, None), (81, "lonely")], "doc_id long, text string")
+    got = {}
+    for bound in (1 << 17, 7, 1):
+        monkeypatch.setattr(vectors, "HOT_WORDS", bound)
+        monkeypatch.setattr(keyphrases, "HOT_WORDS", bound)
+        cells = materialize(vectors.ppmi(materialize(vectors.co_occurrences(docs), "t-co")), "t-ppmi")
+        assert cells.where("NOT cold").select("other").distinct().count() <= bound
+        hot = vectors.hot_words(cells)
+        thin = materialize(vectors.start_signs(cells, 8), "t-thin")
+        y = vectors.product(cells, thin, 8, hot)
+        dense = {r.word: np.array(r.v) for r in y.collect()}
+        signs, plain = {r.word: np.array(r.v) for r in thin.collect()}, {}
+        for r in cells.collect():
+            plain[r.word] = plain.get(r.word, 0) + r.x * signs[r.other]
+        assert sorted(dense) == sorted(plain) and all(np.abs(dense[k] - plain[k]).max() < 1e-9 for k in plain)
+        if bound == 1 << 17:
+            near = cells.where(~F.col("cold"))
+            assert near.count() == cells.count()
+        trained = vectors.train_vectors(docs, rank=4, extra=3)
+        got[bound] = sorted((r.doc_id, r.rank, r.keyword, round(r.score, 6), r.aliases) for r in keyphrases.keyphrases(docs, vectors=trained).collect())
+    assert got[7] == got[1 << 17] == got[1] and len(got[1]) > 80
+
+
+def test_vectors_of_frequent_words_are_not_sent_with_every_document(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "alpha beta gamma delta") for i in range(30)] + [(30, "alpha only")], "doc_id long, text string")
+    wide = materialize(spark.createDataFrame([(w, [float(k)] * 24) for k, w in enumerate(["alpha", "beta", "gamma", "delta"])], "word string, v array<double>"), "t-wide")
+
+    def carried(*_):
+        def run(batches):
+            for pdf in batches:
+                sent = [float(sum(c["v"] is not None for c in cands)) for cands in pdf["cands"]]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "rank": [len(c) for c in pdf["cands"]], "keyword": "", "score": sent, "aliases": ""})
+
+        return run
+
+    monkeypatch.setattr(keyphrases, "_mmr_batches", carried)
+    got = {r.doc_id: (r["rank"], r.score) for r in keyphrases.keyphrases(docs, vectors=wide).collect()}
+    assert got == {**{i: (4, 0.0) for i in range(30)}, 30: (2, 0.0)}
