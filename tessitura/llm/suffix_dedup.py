@@ -89,7 +89,8 @@ def _anchors_of_piece(buf: np.ndarray, off: np.ndarray, length: int, gram: int,
         a, b = np.maximum(off[doc], at - half), np.minimum(off[doc + 1], at + gram + half)
         left = mix((run[at + gram] - run[a]) * inverse[a] + (at - a).astype(_U))
         right = mix((run[b] - run[at]) * inverse[at] + (b - at).astype(_U))
-        entry = (h[at] >> _U(16) << _U(16)) | (left >> _U(56) << _U(8)) | (right >> _U(56))
+        # anchors are the smallest hashes of their windows: mixed once more they fill the range evenly, and so the buckets
+        entry = (mix(h[at]) >> _U(16) << _U(16)) | (left >> _U(56) << _U(8)) | (right >> _U(56))
         content = mix((run[last + length] - run[first]) * inverse[first] + (last - first).astype(_U))
     return first, last, entry, content
 
@@ -167,7 +168,7 @@ def _send_anchors(length: int, buckets: int):
         known = np.repeat(several, np.diff(np.append(at, len(e))))
         n, entry = int(known.sum()), e[at]
         step = 50_000
-        rows = [(1, i // step % buckets, e[known][i : i + step].tobytes(), _narrow(d[known][i : i + step])) for i in range(0, n, step)]
+        rows = [(1, int((e[known][i] >> _U(16)) % _U(buckets)), e[known][i : i + step].tobytes(), _narrow(d[known][i : i + step])) for i in range(0, n, step)]
         # the smallest id speaks for the block; an entry of several ids says so, as one of the same anchor and side may have one of them only
         for kind, i in ((0, ~several), (2, several)):
             e, d = entry[i], least[i]
@@ -511,11 +512,12 @@ def cut_documents(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, int]
 
     # every branch reads the same columns, so that Spark shuffles the texts once and uses that exchange again
     rest = ["_keep", "_size", "_copy"]
+    # dealt out by number, every task gets as many buckets
     entries = base.select("_key", "text", *rest).mapInArrow(_send_anchors(length, buckets), _ENTRY)
-    answers = entries.repartition(width, "bucket").mapInArrow(_answer_anchors(buckets), _ENTRY)
-    shared = answers.repartition(width, "bucket").mapInArrow(_answers_by_id, "id long, entries binary").withColumnRenamed("id", "_key")
+    answers = entries.repartitionById(width, "bucket").mapInArrow(_answer_anchors(buckets), _ENTRY)
+    shared = answers.repartitionById(width, "bucket").mapInArrow(_answers_by_id, "id long, entries binary").withColumnRenamed("id", "_key")
     told = base.join(shared.hint("shuffle_hash"), "_key").select("_key", "text", "entries", *rest)
-    sent = told.mapInArrow(_send_fragments(length, buckets), _SENT).repartition(width, "bucket")  # read by both of the following
+    sent = told.mapInArrow(_send_fragments(length, buckets), _SENT).repartitionById(width, "bucket")  # read by both of the following
     found = sent.mapInArrow(_shard_results(length), "content long, run long, least long")
     places = sent.mapInArrow(_occurrences, "content long, id long, place long")
     tag = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFF))

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessitura.llm import suffix_dedup as S
 from tessitura.llm.suffix_array import classify, common_prefixes, suffix_array
 
@@ -225,3 +227,24 @@ def test_entries_are_answered_a_few_buckets_at_a_time(monkeypatch):
     whole = pairs()
     monkeypatch.setattr(S, "FLUSH_ENTRIES", 1)
     assert whole and pairs() == whole
+
+
+def test_buckets_are_even(spark):
+    """Anchors are the smallest of many hashes; their buckets hold about as many all the same, and so do the tasks."""
+    rng = np.random.default_rng(9)
+    text = bytes(rng.integers(97, 123, 400_000).astype(np.uint8)).decode()
+    texts = [text[i : i + 4000] for i in range(0, len(text), 4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts)], names=["id", "text"])
+    sizes = [len(x) // 8 for b in S._send_anchors(50, 16)([batch]) for kind, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) if kind != 1]
+    assert len(sizes) == 16 and max(sizes) < 1.3 * np.mean(sizes)
+
+    # pairs known inside a block: blocks with other texts begin with other buckets
+    first = set()
+    for k in range(0, 100, 4):
+        two = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([texts[k]] * 2)], names=["id", "text"])
+        first |= {bucket for b in S._send_anchors(50, 16)([two]) for kind, bucket in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if kind == 1}
+    assert len(first) > 8
+
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:50])), "doc_id long, text string")
+    cut = S.cut_documents(docs.withColumn("text", F.concat("text", F.lit(" and "), F.col("doc_id").cast("string"))), S._digest, SCHEMA, FIELDS)
+    assert cut.where("n_removed > 0").count() == 50
