@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from .bytescan import BYTE_VALUE, span_hashes, text_chunks
-from .common import read, register, shuffle_width
+from .common import read, register, shuffle_width, small_batches
 from .piece_bpe import Vocabulary, WordTable, model_path, ragged, spaced, word_signs
 from .token_counts import PATTERN
 
@@ -45,6 +45,8 @@ BLOCK_BYTES = 1 << 21
 PIECE_STEPS = 64  # steps of the merge that one piece walks
 LEAST_BUCKETS = 64
 FOLD_PAIRS = 1 << 21  # pairs that a bucket holds before it adds them up
+# A row is a whole block, some MB: a task writes and reads a few of them at a time, where by default it would hold a hundred.
+ROW_GROUPS = {"compression": "zstd", "parquet.block.size": str(1 << 24), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 
 
 class ByteLevel:
@@ -341,35 +343,32 @@ def _answer(batches):
 
 
 def _document_rows(pair: TokenizerPair, buckets: int, names: list[str]):
-    """Partition function over blocks with the answers of their pairs: one row per document."""
-
-    def run(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                ids = b.column(0)[r].values
-                words, a_counts, b_counts = (np.frombuffer(b.column(c)[r].as_py(), dtype=np.int32).astype(np.int64) for c in (1, 3, 4))
-                use = _wide(b.column(2)[r].as_py(), int(words.sum()))
-                a_ids, b_ids = _wide(b.column(5)[r].as_py(), int(a_counts.sum())), _wide(b.column(6)[r].as_py(), int(b_counts.sum()))
-                answers = [np.frombuffer(x["totals"].as_py(), dtype=np.int64) for x in b.column(7)[r].values or ()] if b.column(7)[r].is_valid else []
-                totals = np.concatenate([np.zeros(0, dtype=np.int64), *answers])
-                aligned = Alignment(pair, a_ids, a_counts, b_ids, b_counts)
-                _, place = _code_order(aligned.code, pair.b.size, buckets)
-                n_words = len(a_counts)
-                per_word = [a_counts, b_counts, aligned.n_groups, aligned.n_links]
-                for x in (totals[place] & 1, totals[place] >> 1):
-                    run_ = np.concatenate([[0], np.cumsum(x)])
-                    upto = np.cumsum(aligned.n_links)
-                    per_word.append(run_[upto] - run_[upto - aligned.n_links])
-                ends = np.concatenate([[0], np.cumsum(words)])
-                columns = []
-                for x in per_word:
-                    run_ = np.concatenate([[0], np.cumsum(x[use])]) if n_words else np.zeros(1, dtype=np.int64)
-                    columns.append(np.diff(run_[ends]).astype(np.int64))
-                text, use, ends = aligned.texts(), use.tolist(), ends.tolist()
-                for lo in range(0, len(words), 500):
-                    part = range(lo, min(lo + 500, len(words)))
-                    groups = [b";".join([text[w] for w in use[ends[d] : ends[d + 1]]]).decode() for d in part]
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), *(pa.array(c[lo : lo + len(part)]) for c in columns), pa.array(groups, pa.string())], names=names)
+    """Function of one block and the answers of its pairs: one row per document."""
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        row = {c: block.column(c).combine_chunks()[0] for c in block.column_names}
+        raw = {c: x.as_py() for c, x in row.items() if c not in ("block", "ids")}
+        words, a_counts, b_counts = (np.frombuffer(raw[c], dtype=np.int32).astype(np.int64) for c in ("words", "a_counts", "b_counts"))
+        use = _wide(raw["use"], int(words.sum()))
+        a_ids, b_ids = _wide(raw["a_ids"], int(a_counts.sum())), _wide(raw["b_ids"], int(b_counts.sum()))
+        told = [np.frombuffer(x, dtype=np.int64) for _, x in sorted(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()))]
+        totals = np.concatenate([np.zeros(0, dtype=np.int64), *told])
+        aligned = Alignment(pair, a_ids, a_counts, b_ids, b_counts)
+        _, place = _code_order(aligned.code, pair.b.size, buckets)
+        n_words = len(a_counts)
+        per_word = [a_counts, b_counts, aligned.n_groups, aligned.n_links]
+        for x in (totals[place] & 1, totals[place] >> 1):
+            run_ = np.concatenate([[0], np.cumsum(x)])
+            upto = np.cumsum(aligned.n_links)
+            per_word.append(run_[upto] - run_[upto - aligned.n_links])
+        ends = np.concatenate([[0], np.cumsum(words)])
+        columns = []
+        for x in per_word:
+            run_ = np.concatenate([[0], np.cumsum(x[use])]) if n_words else np.zeros(1, dtype=np.int64)
+            columns.append(np.diff(run_[ends]).astype(np.int64))
+        text, use, ends = aligned.texts(), use.tolist(), ends.tolist()
+        groups = [b";".join([text[w] for w in use[x:y]]).decode() for x, y in zip(ends[:-1], ends[1:])]
+        return pa.Table.from_arrays([row["ids"].values, *map(pa.array, columns), pa.array(groups, pa.string())], names=names)
 
     return run
 
@@ -378,6 +377,7 @@ def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None
     """``id_col``, n_a, n_b, n_groups, n_links, n_best, count_sum and groups (``a1,a2|b1;a3|b2``) of every row of ``docs``."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(TokenizerPair(a_path or tokenizer_path(), b_path or model_path()))
+    small_batches(spark)
     width = shuffle_width(spark)
     buckets = max(LEAST_BUCKETS, 2 * width)
     b_size = held.value.b.size
@@ -396,7 +396,8 @@ def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None
         yield from _block_rows(held.value, buckets, schema.names)(batches)
 
     path = scratch_path(spark, "aligned-blocks")
-    docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(encode, schema).write.option("compression", "zstd").parquet(path)
+    written = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(encode, schema).write.options(**ROW_GROUPS)
+    written.parquet(path)
     blocks = spark.read.parquet(path)
 
     sent = blocks.select("block", F.inline("sent"))
@@ -404,14 +405,15 @@ def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None
     sums = by_bucket.mapInArrow(_sum_pairs(b_size), "bucket int, codes binary, docs binary")
     asked = sums.select("bucket", F.lit(-1).cast("long").alias("block"), "codes", "docs").unionByName(sent.select("bucket", "block", "codes", F.lit(None).cast("binary").alias("docs")))
     answers = asked.repartition(width, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answer, "block long, bucket int, totals binary")
-    answered = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "totals"))).alias("answers"))
-
-    def finish(batches):
-        yield from _document_rows(held.value, buckets, out.names)(batches)
 
     counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     out = T.StructType([id_field, *(T.StructField(c, T.LongType()) for c in counts), T.StructField("groups", T.StringType())])
-    return blocks.select("block", "ids", *binary).join(answered, "block", "left").select("ids", *binary, "answers").mapInArrow(finish, out)
+
+    def finish(block: pa.Table, told: pa.Table) -> pa.Table:
+        return _document_rows(held.value, buckets, out.names)(block, told)
+
+    # a worker is handed one block with its answers at a time, however many there are in its partition
+    return blocks.select("block", "ids", *binary).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, out)
 
 
 @register("op11_token_alignment")

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tessitura.llm import token_alignment as A
@@ -118,3 +119,24 @@ def test_odd_tables(spark):
     rows = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (None, "a b", "z"), (2, None, "w")], "doc_id long, text string, n_a string")
     out = sorted(A.align_tokens(rows).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     assert [(r.doc_id, r.n_a, r.count_sum) for r in out] == [(1, 2, 6), (1, 2, 6), (2, 0, 0), (None, 2, 6)]
+
+
+def test_a_task_holds_few_blocks(spark, monkeypatch):
+    """Blocks are written in row groups of bounded bytes, not by the hundred; each is finished by itself, with the answers of its own pairs."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(300)) for _ in range(120)]
+    path = str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).removeprefix("file:") + "/few-blocks"
+    monkeypatch.setattr(A, "scratch_path", lambda *_: path)
+    monkeypatch.setitem(A.ROW_GROUPS, "parquet.block.size", str(1 << 14))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")  # every row is a block
+    try:
+        out = A.align_tokens(df)
+    finally:
+        spark.conf.set(name, before)
+    groups = [m.row_group(i).num_rows for f in sorted(os.listdir(path)) if f.endswith(".parquet") for m in [pq.ParquetFile(f"{path}/{f}").metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) == 120 and max(groups) <= 10
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == plain(texts)
