@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ from .text import document_frequencies, term_counts, weigh
 from .vectors import HOT_WORDS, train_vectors
 
 MMR_SCHEMA = "doc_id long, rank int, keyword string, score double, aliases string"
+MMR_ARROW = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("keyword", pa.string()), ("score", pa.float64()), ("aliases", pa.string())])
 DIGITS = 9
+DOCS = 200  # documents whose candidates' vectors a worker holds at a time
 
 
 def mmr_select(words, weights, vectors, n: int, beta: float, alias_threshold: float):
@@ -55,15 +58,46 @@ def mmr_select(words, weights, vectors, n: int, beta: float, alias_threshold: fl
     return out
 
 
+class Candidates:
+    """One document's candidates: words, weights (best first) and vectors as arrays; item by item they are dicts as in the table."""
+
+    def __init__(self, words, neg_weight: np.ndarray, at: np.ndarray, v, vectors: np.ndarray):
+        self.words, self.neg_weight, self.at, self.v, self.vectors = words, neg_weight, at, v, vectors
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __iter__(self):
+        for weight, word, at, v in zip(self.neg_weight.tolist(), self.words.to_pylist(), self.at.tolist(), self.v.to_pylist()):
+            yield {"neg_weight": weight, "keyword": word, "at": at, "v": v}
+
+
+def _documents(batches, hot: np.ndarray):
+    """Frames ``doc_id``, ``cands`` (:class:`Candidates`) of at most ``DOCS`` documents at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, DOCS):
+            part = b.slice(lo, DOCS)
+            listed = part.column(1)
+            word, neg_weight, at, v = (listed.flatten().field(k) for k in ("keyword", "neg_weight", "at", "v"))
+            at = at.to_numpy(zero_copy_only=False)
+            own = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+            given = v.drop_null().flatten().to_numpy(zero_copy_only=False)
+            vectors = np.zeros((len(at), len(given) // len(own) if len(own) else hot.shape[1]))
+            vectors[at >= 0] = hot[at[at >= 0]] if len(hot) else 0
+            if len(own):
+                vectors[own] = given.reshape(len(own), -1)
+            ends = np.append(0, np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False)))
+            neg_weight = neg_weight.to_numpy(zero_copy_only=False)
+            cands = [Candidates(word.slice(x, y - x), neg_weight[x:y], at[x:y], v.slice(x, y - x), vectors[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pd.DataFrame({"doc_id": part.column(0).to_pandas(), "cands": pd.Series(cands, dtype=object)})
+
+
 def _mmr_batches(n: int, beta: float, alias_threshold: float, hot: np.ndarray):
     def run(batches):
         for pdf in batches:
             rows = []
-            for doc, cands in zip(pdf["doc_id"], pdf["cands"]):
-                vectors = [c["v"] if c["at"] < 0 else hot[c["at"]] for c in cands]
-                none = np.zeros(max((len(v) for v in vectors if v is not None), default=1))
-                vectors = [none if v is None else v for v in vectors]
-                for rank, word, score, aliases in mmr_select([c["keyword"] for c in cands], [-c["neg_weight"] for c in cands], vectors, n, beta, alias_threshold):
+            for doc, c in zip(pdf["doc_id"], pdf["cands"]):
+                for rank, word, score, aliases in mmr_select(c.words.to_pylist(), -c.neg_weight, c.vectors, n, beta, alias_threshold):
                     rows.append((int(doc), rank, word, score, aliases))
             yield pd.DataFrame(rows, columns=["doc_id", "rank", "keyword", "score", "aliases"])
 
@@ -94,4 +128,10 @@ def keyphrases(docs: DataFrame, n: int = 10, beta: float = 0.55, alias_threshold
     per_doc = near.unionByName(far).groupBy(F.col("doc").alias("doc_id")).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("neg_weight"), F.col("word").alias("keyword"), "at", "v"))).alias("cands")
     )
-    return per_doc.mapInPandas(_mmr_batches(n, beta, alias_threshold, matrix), MMR_SCHEMA)
+    select = _mmr_batches(n, beta, alias_threshold, matrix)
+
+    def run(batches):
+        for pdf in select(_documents(batches, matrix)):
+            yield pa.RecordBatch.from_pandas(pdf, MMR_ARROW, preserve_index=False)
+
+    return per_doc.mapInArrow(run, MMR_SCHEMA)

@@ -160,3 +160,39 @@ def test_vectors_of_frequent_words_are_not_sent_with_every_document(spark, monke
     monkeypatch.setattr(keyphrases, "_mmr_batches", carried)
     got = {r.doc_id: (r["rank"], r.score) for r in keyphrases.keyphrases(docs, vectors=wide).collect()}
     assert got == {**{i: (4, 0.0) for i in range(30)}, 30: (2, 0.0)}
+
+
+def test_training_counts_pairs_in_packed_cells(spark, monkeypatch):
+    """Pairs are no rows of their own; stretches, buckets and ranges of any size make the matrix of the plain tables."""
+    rng = np.random.default_rng(7)
+    words = np.array([f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50)])
+    odds = 1 / np.arange(1, 51)
+    rows = [(i, " ".join(rng.choice(words, 40, p=odds / odds.sum()))) for i in range(60)] + [(60, None), (61, ""), (62, "seldom seen"), (None, "terma" * 3 + " termaa termaa termaa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cells = materialize(vectors.ppmi(materialize(vectors.co_occurrences(docs), "t-co")), "t-ppmi")
+    plain = {r.word: np.array(r.v) for r in vectors.product(cells, vectors.start_signs(cells, 8), 8, vectors.hot_words(cells)).collect()}
+    for limits in ({}, {"RANGE_WORDS": 7, "STRETCH": 50, "BUCKET_CELLS": 200}):
+        for name, value in limits.items():
+            monkeypatch.setattr(vectors, name, value)
+        packed = vectors.PackedCells(docs)
+        assert packed.size >= 40 and packed.table.select("kind").distinct().count() == 1 + -(-packed.size // packed.range)
+        n = sum(len(vectors._unpack_cells(r.codes, r.n)[0]) for r in packed.table.where("kind >= 0").collect())
+        assert n >= cells.count() and (limits or packed.table.where("kind >= 0").count() < n / 10)
+        got = {r["name"]: np.array(r.v) for r in packed.product(packed.start_signs(8), 8).join(packed.names, "word").collect()}
+        assert sorted(got) == sorted(plain) and all(np.abs(got[k] - plain[k]).max() < 1e-9 for k in plain)
+        packed.drop()
+
+
+def test_candidates_of_few_documents_are_held_at_a_time(monkeypatch):
+    """A batch is worked off some documents at a time; frequent words have the worker's vector, others their own or none."""
+    kind = pa.list_(pa.struct([("neg_weight", pa.float64()), ("keyword", pa.string()), ("at", pa.int32()), ("v", pa.list_(pa.float64()))]))
+    hot = np.arange(6.0).reshape(2, 3)
+    docs = [[{"neg_weight": -2.0, "keyword": "a", "at": 1, "v": None}, {"neg_weight": -1.0, "keyword": "b", "at": -1, "v": [9.0, 8.0, 7.0]}, {"neg_weight": -0.5, "keyword": "c", "at": -1, "v": None}], [], [{"neg_weight": 0.0, "keyword": "a", "at": 0, "v": None}]]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7]), pa.array(docs, kind)], names=["doc_id", "cands"])
+    monkeypatch.setattr(keyphrases, "DOCS", 2)
+    frames = list(keyphrases._documents([batch, batch.slice(1)], hot))
+    assert [f["doc_id"].tolist() for f in frames] == [[5, 6], [7], [6, 7]]
+    c = frames[0]["cands"][0]
+    assert list(c) == docs[0] and c.vectors.tolist() == [[3.0, 4.0, 5.0], [9.0, 8.0, 7.0], [0.0, 0.0, 0.0]]
+    assert [len(c) for f in frames for c in f["cands"]] == [3, 0, 1, 0, 1]
+    assert frames[2]["cands"][1].vectors.tolist() == [[0.0, 1.0, 2.0]]
